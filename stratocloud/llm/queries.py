@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocloud.llm.common import table
+from stratocloud.llm.hamming_search import code_of, top_k
 from stratocloud.llm.mixing import mix
+from stratocloud.llm.packing import pack_documents
 from stratocloud.llm.quality_rules import STOP_WORDS, quality_rules
+from stratocloud.llm.simhash import near_duplicates
 from stratocloud.llm.url_filter import UrlRule, filter_urls
 
 URL_RULES = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
 
 
+def tokenizer_path() -> str:
+    """The tokenizer's vocabulary file; it is read in place and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -26,7 +44,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_mixing, op8_url_filter)}
+def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 rows nearest to every row whose id is divisible by 20, by the signs of the vectors' components."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), code_of(F.col("embedding")).alias("code"))
+    return top_k(rows, rows.filter("id % 20 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_quality_rules, op7_mixing, op8_url_filter, op10_hamming_top_k)}
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -59,6 +83,11 @@ o AS (SELECT d.doc_id, size, source_size, target, floor(target)::BIGINT AS budge
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
   (budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - before)))::BIGINT END AS taken FROM o""",
+    "op10_hamming_top_k": """
+WITH v AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.id AS query_id, v.id, list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> v.bits[i])::INT))::BIGINT AS distance FROM v AS q JOIN v ON q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+SELECT query_id, id, distance, rank FROM r WHERE rank <= 10""",
     "op8_url_filter": """
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
