@@ -222,8 +222,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
     best = None
     for r in range(rounds):
         n_parts = max(1, -(-rows // part_rows))
-        bucket = F.pmod(F.xxhash64(F.lit(r), "doc_id", "start", "ids_crc32"), F.lit(n_parts)).alias("bucket")
-        schema = todo.select(*columns, F.lit(0).alias("bucket")).schema.add("sequence_id", "long").add("offset", "long").add("gap", "long").add("loose", "boolean")
+        bucket = F.pmod(F.xxhash64(F.lit(r), "doc_id", "start", "ids_crc32"), F.lit(n_parts)).cast("long").alias("bucket")
+        schema = todo.select(*columns, F.lit(0).cast("long").alias("bucket")).schema.add("sequence_id", "long").add("offset", "long").add("gap", "long").add("loose", "boolean")
         packed = kept(todo.select(*columns, bucket).groupBy("bucket").applyInArrow(_packer(capacity, r), schema))
         seen = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("loose"), F.col("sequence_id"))), F.sum(F.col("loose").cast("long"))).first()
         n_bins, n_loose, loose_rows = seen[0], seen[1], seen[2] or 0

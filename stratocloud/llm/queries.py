@@ -11,6 +11,7 @@ from stratocloud.llm.mixing import mix
 from stratocloud.llm.packing import pack_documents
 from stratocloud.llm.quality_rules import STOP_WORDS, quality_rules
 from stratocloud.llm.simhash import near_duplicates
+from stratocloud.llm.substring_dedup import dedup_substrings
 from stratocloud.llm.url_filter import UrlRule, filter_urls
 
 URL_RULES = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
@@ -36,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), text=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,7 +55,7 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_quality_rules, op7_mixing, op8_url_filter, op10_hamming_top_k)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op7_mixing, op8_url_filter, op10_hamming_top_k)}
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -70,6 +75,14 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars::DOUBLE >= 2.0::DOUBLE * n_words AND word_chars::DOUBLE <= 20.0::DOUBLE * n_words AND n_symbols::DOUBLE <= 0.1::DOUBLE * n_words
   AND n_stop_words::DOUBLE >= 0.005::DOUBLE * n_words AND n_dup_lines::DOUBLE <= 0.5::DOUBLE * n_lines AS kept FROM b""",
+    "op5_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS_SQL} AS words FROM documents),
+pos AS (SELECT id, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50 AND doc_id IS NOT NULL),
+win AS (SELECT id, i, doc_id > min(doc_id) OVER (PARTITION BY md5(array_to_string(words[i:i+49], ' '))) AS dup FROM pos),
+cov AS (SELECT DISTINCT id, i + k AS i FROM win, range(0, 50) AS r(k) WHERE dup),
+w AS (SELECT id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+k AS (SELECT w.id, count(cov.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.i) FILTER (cov.i IS NULL), '') AS kept FROM w LEFT JOIN cov USING (id, i) GROUP BY w.id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (id)""",
     "op7_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM d GROUP BY source),
