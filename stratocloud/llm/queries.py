@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratocloud.llm import quality_classifier, toxicity
 from stratocloud.llm.common import table
 from stratocloud.llm.hamming_search import code_of, top_k
 from stratocloud.llm.mixing import mix
@@ -24,6 +25,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,6 +47,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), text=False)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify_quality(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,7 +66,7 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op7_mixing, op8_url_filter, op10_hamming_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing, op8_url_filter, op10_hamming_top_k)}
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
