@@ -1,7 +1,75 @@
-"""The text pipeline."""
+"""A text pipeline: each stage takes documents and returns those it keeps, the last one their packing.
+
+Every stage reads the whole output of the one before. Intermediate tables are written to the shared
+folder, so that a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratocloud.llm import mixing, packing, quality_classifier, simhash, substring_dedup
+from stratocloud.llm.common import kept, table
+from stratocloud.llm.queries import tokenizer_path
+
+#: No SQL can express the learnt classifier and the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the positive-unlabelled classifier rejects."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score_quality(docs, model)
+    return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near-duplicates.
+
+    Documents without an id are all kept. Of rows that repeat both id and text, one stays.
+    """
+    found = simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
+    named = named.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of the texts; documents of which nothing is left go."""
+    found = substring_dedup.dedup_substrings(docs)
+    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that the sources have their target weights.
+
+    A document taken for more than its own words appears again; the one at a source's cut is kept whole if at
+    least half of its words fit.
+    """
+    return mixing.repeated(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("mixing sources", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept(docs)
+    return docs

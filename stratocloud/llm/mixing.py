@@ -89,3 +89,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return df.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as its words are taken, to the nearest whole document.
+
+    A row without words appears once. The texts are not shuffled with the running totals but joined by id; rows that share an
+    id share their words taken.
+    """
+    taken = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.try_divide(F.col("_taken"), F.col("_size")) + 0.5))
+    joined = docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    each = F.explode(F.sequence(F.lit(1), copies.cast("int")))
+    return joined.filter(copies >= 1).withColumn("_copy", each).drop("_taken", "_size", "_id", "_copy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocloud.llm import quality_classifier, toxicity
+from stratocloud.llm import lm_scoring, quality_classifier, toxicity
 from stratocloud.llm.common import table
 from stratocloud.llm.hamming_search import code_of, top_k
 from stratocloud.llm.mixing import mix
@@ -60,13 +60,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of every document to the benchmark's texts, against the documents themselves as background."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(table(spark, sf_dir, "benchmark"), docs))
+
+
 def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 rows nearest to every row whose id is divisible by 20, by the signs of the vectors' components."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), code_of(F.col("embedding")).alias("code"))
     return top_k(rows, rows.filter("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing, op8_url_filter, op10_hamming_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing, op8_url_filter, op9_lm_scoring, op10_hamming_top_k)}
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
