@@ -45,7 +45,7 @@ def nearest(points: DataFrame, k: int = 1, h: float = 0.5, queries: DataFrame |
     todo, done = queries.select(SCENE, F.col(key).alias("pid"), *XYZ).persist(), None
     while True:
         met = pairs_within(todo, points.select(SCENE, F.col(key).alias("pid"), *XYZ), h)
-        best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).persist()
         last = widest is None or h >= widest * 2
         if last:
             done = best if done is None else done.unionByName(best)
@@ -104,7 +104,7 @@ def nearest_place(queries: DataFrame, places: DataFrame, h: float, growth: float
     todo, done = queries.select(SCENE, "pid", *XYZ).persist(), None
     widest = places.groupBy(SCENE).agg(*((F.max(c) - F.min(c)).alias(f"w{c}") for c in XYZ)).agg(F.max(F.greatest("wx", "wy", "wz"))).first()[0] or 0.0
     while True:
-        near = pairs_within(todo, places, h, keep_self=True).filter("d > 0").groupBy(SCENE, "pid").agg(F.min("d").alias("d"))
+        near = pairs_within(todo, places, h, keep_self=True).filter("d > 0").groupBy(SCENE, "pid").agg(F.min("d").alias("d")).persist()
         done = near if done is None else done.unionByName(near)
         todo = todo.join(near.select(SCENE, "pid"), [SCENE, "pid"], "left_anti").persist()
         if h > 4 * widest or todo.isEmpty():
@@ -125,7 +125,7 @@ def statistical_outliers(points: DataFrame, k: int, ratio: float, h: float = 0.5
     The k neighbours include the point itself (at distance 0) by default.
     """
     others = max(1, k - 1) if include_self else k
-    near = nearest(points, others, h).groupBy(SCENE, "pid").agg(F.sum("d").alias("_s"), F.count("*").alias("_k"))
+    near = nearest(points, others, h).groupBy(SCENE, "pid").agg(F.sum("d").alias("_s"), F.count("*").alias("_k")).persist()
     mean = F.col("_s") / (F.col("_k") + F.lit(1 if include_self else 0))
     df = points.join(near, [SCENE, "pid"], "left").withColumn("mean_d", F.coalesce(mean, F.lit(0.0)))
     df = beside(df, F.avg("mean_d").alias("_m"), F.coalesce(F.stddev_samp("mean_d"), F.lit(0.0)).alias("_sd"))

@@ -115,9 +115,9 @@ _INSTANCES = """n AS (SELECT *, CASE WHEN segment IN (-1, 0) THEN NULL ELSE inst
 i AS (SELECT * EXCLUDE (instance), CASE WHEN own IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY scene_id ORDER BY own NULLS LAST) - 1 END::INT AS instance FROM n)"""
 
 
-@query(over(f"-- {_INSTANCES}, m AS (SELECT scene_id, instance, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM i WHERE instance >= 0 GROUP BY ALL) SELECT {ID}, instance, {r6('coalesce(mx, -1) AS mx', 'coalesce(my, -1) AS my', 'coalesce(mz, -1) AS mz', digits=8)} FROM i LEFT JOIN m USING (scene_id, instance)"))
+@query(over(f"-- {_INSTANCES}, m AS (SELECT scene_id, instance, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM i WHERE instance >= 0 GROUP BY ALL) SELECT {ID}, instance, {r6('coalesce(mx, -1) AS mx', 'coalesce(my, -1) AS my', 'coalesce(mz, -1) AS mz', digits=12)} FROM i LEFT JOIN m USING (scene_id, instance)"))
 def v15_instance_points(spark, sf_dir):
-    return rounded(voxel.parse_instances(points(spark, sf_dir), (-1, 0))[0].select("scene_id", "pid", "instance", "mx", "my", "mz"), "mx", "my", "mz", digits=8)
+    return rounded(voxel.parse_instances(points(spark, sf_dir), (-1, 0))[0].select("scene_id", "pid", "instance", "mx", "my", "mz"), "mx", "my", "mz", digits=12)
 
 
 @query(over(f"""-- {_INSTANCES} SELECT scene_id, instance, {r6('(min(x) + max(x)) / 2 AS cx', '(min(y) + max(y)) / 2 AS cy', '(min(z) + max(z)) / 2 AS cz', 'max(x) - min(x) AS sx', 'max(y) - min(y) AS sy', 'max(z) - min(z) AS sz')}, 0::DOUBLE AS theta,
