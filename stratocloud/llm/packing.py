@@ -122,12 +122,12 @@ class WordTokenizer:
         return out, total[ends] - total[ends - sizes]
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of slices of about SLICE_BYTES."""
+def _slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of slices of about so many bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield at, texts.slice(at, to - at).to_pylist()
         at = to
 

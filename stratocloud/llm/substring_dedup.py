@@ -7,9 +7,11 @@ thirteen windows. Tasks send the sketch cells of their documents; cells are merg
 shard to one bit each (two documents or more) and the bits are broadcast. Their number follows the input up to
 ``max_cells``; a fuller sketch only lets more windows through.
 
-Second pass: windows whose cells are all set are grouped exactly, by a 128-bit hash of their words, with
-the least document id of each; those that start in a document with a larger id mark 50 words.
-Windows are judged on the input, not on what is left. Only documents that have such a window are joined with their marks.
+Second pass: windows whose cells are all set are grouped exactly, by 128-bit hashes of their words. Neighbouring
+windows that share their least gram travel together as a run. Equal runs are first merged to one row
+with the least document id; only where a gram has several different runs are their windows told apart, each
+with the least id of the runs that hold it. A window is removed if its document's id is larger than that.
+Windows are judged on the input, not on what is left. Only documents that have such a window are joined with their runs.
 
 Edge cases: null or blank text has no words and no windows. A null id is neither smaller nor larger than
 another: its row keeps all its words and removes none. Rows with the same id are judged each by its own
@@ -38,6 +40,8 @@ DEPTH = 2
 CELLS_PER_BYTE = 0.2  # cells of each row of the sketch for each byte of text: about twenty a count
 MAX_CELLS = 1 << 28  # of each row of the sketch: 32 MB of bits
 SHARD_CELLS = 1 << 20
+LONGEST_RUN = 4096
+SLICE_BYTES = 2 << 20  # of text at once; hashing needs some forty times as much memory
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so powers can be inverted modulo 2^64
 _ROWS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)  # odd multipliers of the sketch's rows
@@ -80,9 +84,14 @@ class Hasher:
         size = len(hashes)
         if size < n:
             return np.empty(0, np.uint64)
-        up, down = self.powers[which].upto(size)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:size])])
-        h = (total[n:] - total[:-n]) * down[: size - n + 1]
+        at = np.arange(size - n + 1)
+        return self.spans(hashes, at, at + n, which)
+
+    def spans(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+        """One of the two hashes of the words from each start to before its end."""
+        up, down = self.powers[which].upto(len(hashes) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[: len(hashes)])])
+        h = (total[end] - total[start]) * down[start]
         return h ^ (h >> np.uint64(29))
 
 
@@ -111,12 +120,15 @@ class Windows:
         self.least = least[self.start]
         new = np.ones(len(self.least), bool)
         new[1:] = (self.least[1:] != self.least[:-1]) | (self.text[1:] != self.text[:-1])
-        self.run = np.cumsum(new) - 1  # windows that follow one another in a text and share their least gram
-        self.head = np.flatnonzero(new)
+        self.head = np.flatnonzero(new)  # of each run of windows that follow one another in a text and share their least gram
 
-    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The 128-bit hashes of the windows with these numbers."""
-        return tuple(self.hasher.runs(self.hashes[k], self.window, k)[self.start[at]] for k in (0, 1))
+    def runs(self, longest: int = LONGEST_RUN) -> tuple[np.ndarray, np.ndarray]:
+        """First window and number of windows of each run, long ones cut."""
+        size = np.diff(self.head, append=len(self.least))
+        parts = -(-size // longest)
+        at = np.repeat(self.head, parts)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+        return at + k * longest, np.minimum(longest, np.repeat(size, parts) - k * longest)
 
 
 def _cells(least: np.ndarray, depth: int, bits: int) -> Iterator[np.ndarray]:
@@ -131,7 +143,7 @@ def sketch(docs: DataFrame, bits: int, depth: int = DEPTH, window: int = WINDOW,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for _, texts in _slices(batch.column(0)):
+            for _, texts in _slices(batch.column(0), SLICE_BYTES):
                 _, ends, hashes = hasher.read(texts)
                 w = Windows(hasher, ends, hashes, window, gram)
                 heads = pd.DataFrame({"t": w.text[w.head], "h": w.least[w.head]}).drop_duplicates()["h"].to_numpy()
@@ -185,9 +197,11 @@ def _bitmaps(docs: DataFrame, bits: int, depth: int, window: int, gram: int) ->
     return out
 
 
-#: Columns beside the document's own in the table that the second pass writes: ``again`` is true for a
-#: document with a window to be grouped, and null for the rows of the windows themselves.
-_PASS = "uid bigint, again boolean, n_words bigint, kept_sha256 string, h1 bigint, h2 int, pos int"
+#: Columns beside the document's own in the table that the second pass writes. ``again`` is true for a
+#: document with a window to be grouped, and null for the rows of the runs: least gram, hashes of
+#: all words, hashes of each window, first word and number of windows.
+_PASS = "uid bigint, again boolean, n_words bigint, kept_sha256 string, gram bigint, d1 bigint, d2 bigint, h1 array<bigint>, h2 array<int>, pos int, n int"
+_OWN = tuple(x.split()[0] for x in _PASS.split(", "))
 
 
 def _second_pass(docs: DataFrame, bitmaps, bits: int, window: int, gram: int, text: bool) -> DataFrame:
@@ -197,38 +211,65 @@ def _second_pass(docs: DataFrame, bitmaps, bits: int, window: int, gram: int, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        kinds = {"gram": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int32()), "pos": pa.int32(), "n": pa.int32()}
         for batch in batches:
             own, uid = batch.columns[:-1], batch.columns[-1]
-            for at, texts in _slices(batch.column(text_at)):
+            for at, texts in _slices(batch.column(text_at), SLICE_BYTES):
                 words, ends, hashes = hasher.read(texts)
                 w = Windows(hasher, ends, hashes, window, gram)
+                first, size = w.runs()
                 named = own[id_at].slice(at, len(texts)).is_valid().to_numpy(zero_copy_only=False)
-                ok = _passed(shared.value, w.least[w.head], bits)[w.run] if len(w.run) else np.zeros(0, bool)
-                found = np.flatnonzero(ok & named[w.text])
+                ok = _passed(shared.value, w.least[first], bits) & named[w.text[first]]
+                first, size = first[ok], size[ok]
                 again = np.zeros(len(texts), bool)
-                again[w.text[found]] = True
-                sha = [None if text or a else _sha(words[e - n : e]) for a, e, n in zip(again, ends.tolist(), np.diff(ends, prepend=0).tolist())]
-                n, row = len(texts), {}
-                for k, c in enumerate(own):
-                    row[names[k]] = c.slice(at, n)
+                again[w.text[first]] = True
+                sizes = np.diff(ends, prepend=0)
+                sha = [None if text or a else _sha(words[e - n : e]) for a, e, n in zip(again, ends.tolist(), sizes.tolist())]
+                row = {name: c.slice(at, len(texts)) for name, c in zip(names, own)}
                 if not text:
                     row["text"] = pa.array([t if a else None for a, t in zip(again, texts)], row["text"].type)
-                nulls = lambda kind, n=n: pa.nulls(n, kind)
-                row |= {"uid": uid.slice(at, n), "again": pa.array(again), "n_words": pa.array(np.diff(ends, prepend=0)), "kept_sha256": pa.array(sha, pa.string())}
-                row |= {"h1": nulls(pa.int64()), "h2": nulls(pa.int32()), "pos": nulls(pa.int32())}
-                yield pa.RecordBatch.from_pydict(row)
-                for part in np.array_split(found, -(-len(found) // 500_000)) if len(found) else ():
-                    h1, h2 = w.keys(part)
-                    rows = pa.array(at + w.text[part])
-                    row = {name: own[k].take(rows) if k == id_at else pa.nulls(len(part), own[k].type) for k, name in enumerate(names)}
-                    row |= {"uid": uid.take(rows), "again": pa.nulls(len(part), pa.bool_()), "n_words": pa.nulls(len(part), pa.int64()), "kept_sha256": pa.nulls(len(part), pa.string())}
-                    row |= {"h1": pa.array(h1.view(np.int64)), "h2": pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), "pos": pa.array((w.start[part] - w.first[w.text[part]]).astype(np.int32))}
-                    yield pa.RecordBatch.from_pydict(row)
+                row |= {"uid": uid.slice(at, len(texts)), "again": pa.array(again), "n_words": pa.array(sizes), "kept_sha256": pa.array(sha, pa.string())}
+                yield pa.RecordBatch.from_pydict(row | {k: pa.nulls(len(texts), kind) for k, kind in kinds.items()})
+                if not len(first):
+                    continue
+                h1, h2 = (hasher.runs(hashes[k], window, k) for k in (0, 1))
+                start = w.start[first]
+                d1, d2 = (hasher.spans(hashes[k], start, start + size + (window - 1), k).view(np.int64) for k in (0, 1))
+                each = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                cuts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                rows, n = pa.array(at + w.text[first]), len(first)
+                row = {name: c.take(rows) if k == id_at else pa.nulls(n, c.type) for k, (name, c) in enumerate(zip(names, own))}
+                row |= {"uid": uid.take(rows), "again": pa.nulls(n, pa.bool_()), "n_words": pa.nulls(n, pa.int64()), "kept_sha256": pa.nulls(n, pa.string())}
+                row |= {"gram": pa.array(w.least[first].view(np.int64)), "d1": pa.array(d1), "d2": pa.array(d2)}
+                row |= {"h1": pa.ListArray.from_arrays(cuts, pa.array(h1[each].view(np.int64))), "h2": pa.ListArray.from_arrays(cuts, pa.array((h2[each] >> np.uint64(32)).astype(np.uint32).view(np.int32)))}
+                row |= {"pos": pa.array((start - w.first[w.text[first]]).astype(np.int32)), "n": pa.array(size.astype(np.int32))}
+                table = pa.RecordBatch.from_pydict(row)
+                for k in range(0, n, 50_000):
+                    yield table.slice(k, 50_000)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"{fields}, {_PASS}")
 
 
+def _least_ids(runs: DataFrame) -> DataFrame:
+    """(gram, d1, d2, least) of distinct runs that hold a repeated window; ``least`` has the least document
+    id of each window, or a single one that holds for all."""
+    key = ["gram", "d1", "d2"]
+    per = runs.groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    per = kept(per).withColumn("run", F.monotonically_increasing_id())  # of a written table, so the same at each read
+    groups = kept(per.groupBy("gram").agg(F.count("*").alias("k"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("gram", "k"))
+    alone = per.join(groups.filter("k = 1").select("gram"), "gram").select(*key, F.array("low").alias("least"))
+    apart = kept(per.join(groups.filter("k > 1").select("gram"), "gram").select("run", *key, "low", "h1", "h2"))
+    each = apart.select("run", "low", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("run", F.col("at").cast("smallint").alias("at"), "low", "h.h1", "h.h2")
+    # A window that a single distinct run holds needs no word from others: its run's least id is its own.
+    lows = each.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    lower = each.join(lows, ["h1", "h2"]).filter("least < low").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("m"))
+    told = apart.select("run", *key, "low", F.size("h1").alias("n")).join(lower, "run", "left")
+    of = lambda i: F.coalesce(F.try_element_at("m", i.cast("smallint")), F.col("low"))
+    least = F.when(F.col("m").isNull(), F.array("low")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), of))
+    return alone.unionByName(told.select(*key, least.alias("least")))
+
+
 _WORD_AND_SPACE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -242,29 +283,38 @@ def cut_words(text: str, starts: np.ndarray, window: int) -> tuple[str, int]:
     return b"".join(p for p, g in zip(parts, gone.tolist()) if not g).decode(), int(gone.sum())
 
 
+def _starts(runs: list[dict] | None, own: int) -> np.ndarray:
+    """Where windows begin that also begin in a document with a smaller id."""
+    found = [np.empty(0, np.int64)]
+    for r in runs or ():
+        every = r["least"] is None  # all of them do
+        found.append(r["pos"] + (np.arange(r["n"]) if every else np.flatnonzero(np.broadcast_to(np.array(r["least"]), r["n"]) < own)))
+    return np.concatenate(found)
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, max_cells: int = MAX_CELLS, text: bool = True) -> DataFrame:
     """Every document with n_words and n_removed. With ``text``, all its columns, the text without the
-    removed words; otherwise doc_id and kept_sha256, of the kept words joined by single spaces."""
-    docs = docs if text else docs.select("doc_id", "text")
-    names = docs.columns
-    docs = docs.drop(*(c for c in ("uid", "again", "n_words", "kept_sha256", "h1", "h2", "pos") if c in names))
+    removed words; otherwise doc_id and kept_sha256, of the kept words joined by single spaces.
+    Columns named like those made here are replaced."""
+    docs = docs.drop(*(c for c in (*_OWN, "n_removed") if c in docs.columns)) if text else docs.select("doc_id", "text")
     names = docs.columns
     bits = sketch_bits(docs, max_cells)
     passed = kept(_second_pass(docs, _bitmaps(docs, bits, depth, window, gram), bits, window, gram, text))
-    rows = passed.filter("again IS NULL").select("h1", "h2", F.col("doc_id").alias("id"), "uid", "pos")
-    least = kept(rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most"))
-    marks = rows.join(least, ["h1", "h2"]).filter("id > least").groupBy("uid").agg(F.collect_list("pos").alias("starts"))
+    runs = passed.filter("again IS NULL").withColumn("id", F.col("doc_id"))
+    least = _least_ids(runs)
+    own = runs.select("gram", "d1", "d2", "id", "uid", "pos", "n").join(least, ["gram", "d1", "d2"]).filter(F.array_min("least") < F.col("id"))
+    marks = own.groupBy("uid").agg(F.collect_list(F.struct("pos", "n", F.when(F.array_max("least") >= F.col("id"), F.col("least")).alias("least"))).alias("runs"))
     base = passed.filter("again IS NOT NULL")
     out = [*names, "n_words"] if text else ["doc_id", "n_words", "kept_sha256"]
     plain = base.filter("NOT again").select(*out, F.lit(0).cast("long").alias("n_removed"))
-    again = base.filter("again").join(marks, "uid", "left").select(*names, "n_words", "kept_sha256", "starts")
+    again = base.filter("again").join(marks, "uid", "left").select(*names, "n_words", "runs")
     text_at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in _slices(b.column(text_at)):
                 part = b.slice(at, len(texts))
-                starts = [np.array(s.as_py() or (), np.int64) for s in part.column("starts")]
+                starts = [_starts(r, i) for r, i in zip(part.column("runs").to_pylist(), part.column("doc_id").to_pylist())]
                 done = [cut_words(t, s, window) if len(s) else (t, 0) for t, s in zip(texts, starts)]
                 row = {n: part.column(n) for n in [*names, "n_words"]}
                 if text:
