@@ -2,8 +2,7 @@
 
 Points are dealt into cubic cells of side ``h`` and each point is sent to the 27 cells around its own;
 an equi-join on the cell then brings together all pairs within ``h`` of each other. What is within h is exact. Points
-whose k-th neighbour is farther are asked again with a larger cell, until none is left or the cell
-holds its whole scene. The joins are on (scene, cell), so a large scene is spread over as many tasks as it has cells.
+whose k-th neighbour is farther are asked again with larger cells, and the last few in their whole scene. The joins are on (scene, cell), so a large scene is spread over as many tasks as it has cells.
 """
 
 from __future__ import annotations
@@ -36,35 +35,38 @@ def pairs_within(queries: DataFrame, points: DataFrame, h: float, key: str = "pi
     return met.select(SCENE, "pid", "other", F.sqrt(d).alias("d")).filter(F.col("d") <= h_)
 
 
-def nearest(points: DataFrame, k: int = 1, h: float = 0.5, queries: DataFrame | None = None, key: str = "pid", growth: float = 2.0) -> DataFrame:
-    """(scene_id, pid, other, d, rank) of the k nearest other points; ties go to the smaller id. Fewer where a scene has fewer."""
-    queries = points if queries is None else queries
-    span = points.groupBy(SCENE).agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(f"w{c}") for c in XYZ))
-    widest = span.agg(F.max(F.greatest("wx", "wy", "wz"))).first()[0]
+def nearest(points: DataFrame, k: int = 1, h: float = 0.5, queries: DataFrame | None = None, key: str = "pid", growth: float = 4.0) -> DataFrame:
+    """(scene_id, pid, other, d, rank) of the k nearest other points; ties go to the smaller id. Fewer where a scene has fewer.
+
+    Two passes over cells, then the few points that are still short of k neighbours meet their whole scene.
+    """
+    left = (points if queries is None else queries).select(SCENE, F.col(key).alias("pid"), *XYZ)
+    right = points.select(SCENE, F.col(key).alias("pid"), *XYZ)
     order = W.partitionBy(SCENE, "pid").orderBy("d", "other")
-    todo, done = queries.select(SCENE, F.col(key).alias("pid"), *XYZ).persist(), None
-    while True:
-        met = pairs_within(todo, points.select(SCENE, F.col(key).alias("pid"), *XYZ), h)
-        best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).persist()
-        last = widest is None or h >= widest * 2
-        if last:
-            done = best if done is None else done.unionByName(best)
-            return done
-        full = best.groupBy(SCENE, "pid").agg(F.count("*").alias("_k")).filter(F.col("_k") == k).select(SCENE, "pid")
-        now = best.join(full, [SCENE, "pid"], "left_semi")
-        done = now if done is None else done.unionByName(now)
-        todo = todo.join(full, [SCENE, "pid"], "left_anti").persist()
-        if todo.isEmpty():
-            return done
-        h *= growth
-
-
-def brute_nearest(points: DataFrame, k: int = 1, key: str = "pid") -> DataFrame:
-    """The same by comparing all points of a scene; for tests."""
-    a = points.select(SCENE, F.col(key).alias("pid"), *(F.col(c).alias(f"q{c}") for c in XYZ))
-    b = points.select(SCENE, F.col(key).alias("other"), *XYZ)
+    todo, done = left, None
+    for reach in (h, h * growth, None):
+        met = pairs_within(todo, right, reach) if reach else pairs_of_scenes(todo, right)
+        best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if reach:
+            best = best.persist()
+            full = best.groupBy(SCENE, "pid").agg(F.count("*").alias("_k")).filter(F.col("_k") == k).select(SCENE, "pid")
+            best = best.join(full, [SCENE, "pid"], "left_semi")
+            todo = todo.join(full, [SCENE, "pid"], "left_anti")
+        done = best if done is None else done.unionByName(best)
+    return done
+
+
+def pairs_of_scenes(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """(scene_id, pid, other, d) of each query and every other point of its scene."""
+    a = queries.select(SCENE, "pid", *(F.col(c).alias(f"q{c}") for c in XYZ))
+    b = points.select(SCENE, F.col("pid").alias("other"), *XYZ)
     d = sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")))
-    met = a.join(b, SCENE).filter("pid <> other").select(SCENE, "pid", "other", F.sqrt(d).alias("d"))
+    return a.hint("merge").join(b, SCENE).filter("pid <> other").select(SCENE, "pid", "other", F.sqrt(d).alias("d"))
+
+
+def brute_nearest(points: DataFrame, k: int = 1) -> DataFrame:
+    """The same by comparing all points of a scene; for tests."""
+    met = pairs_of_scenes(points, points)
     return met.withColumn("rank", F.row_number().over(W.partitionBy(SCENE, "pid").orderBy("d", "other"))).filter(F.col("rank") <= k)
 
 
@@ -87,29 +89,24 @@ def spacing_scale(points: DataFrame, h: float = 0.5, fallback: float = 0.01) ->
     return every.join(found, SCENE, "left").select(SCENE, *(F.coalesce(c, F.lit(fallback)).alias(c) for c in ("median", "mean")))
 
 
-def plane_threshold(points: DataFrame, queries: int = 500, sample: int = 1000, seed: int = 42, h: float = 0.5) -> DataFrame:
+def plane_threshold(points: DataFrame, queries: int = 500, sample: int = 1000, seed: int = 42) -> DataFrame:
     """Half the spread between quartiles of distances to the nearest other place, within 0.001 and 0.1; 0.01 for scenes of under 10 points."""
     base = random_points(points, sample, seed, "plane/sample").persist()
     asked = random_points(points, queries, seed, "plane/query")
     places = base.groupBy(SCENE, *XYZ).agg(F.min("pid").alias("pid"))
-    met = nearest_place(asked, places, h)
+    met = nearest_place(asked, places)
     spread = met.groupBy(SCENE).agg((F.percentile("d", F.lit(0.75)) - F.percentile("d", F.lit(0.25))).alias("iqr"))
     n = points.groupBy(SCENE).agg(F.count("*").alias("n"))
     value = F.greatest(F.lit(0.001), F.least(F.lit(0.5) * F.col("iqr"), F.lit(0.1)))
     return n.join(spread, SCENE, "left").select(SCENE, F.when((F.col("n") < 10) | F.col("iqr").isNull(), 0.01).otherwise(value).alias("threshold"))
 
 
-def nearest_place(queries: DataFrame, places: DataFrame, h: float, growth: float = 2.0) -> DataFrame:
-    """(scene_id, pid, d): the distance of each query to the nearest place that isn't its own."""
-    todo, done = queries.select(SCENE, "pid", *XYZ).persist(), None
-    widest = places.groupBy(SCENE).agg(*((F.max(c) - F.min(c)).alias(f"w{c}") for c in XYZ)).agg(F.max(F.greatest("wx", "wy", "wz"))).first()[0] or 0.0
-    while True:
-        near = pairs_within(todo, places, h, keep_self=True).filter("d > 0").groupBy(SCENE, "pid").agg(F.min("d").alias("d")).persist()
-        done = near if done is None else done.unionByName(near)
-        todo = todo.join(near.select(SCENE, "pid"), [SCENE, "pid"], "left_anti").persist()
-        if h > 4 * widest or todo.isEmpty():
-            return done
-        h *= growth
+def nearest_place(queries: DataFrame, places: DataFrame) -> DataFrame:
+    """(scene_id, pid, d): the distance of each query to the nearest place that isn't its own. Queries and places are samples of bounded size a scene."""
+    a = queries.select(SCENE, "pid", *(F.col(c).alias(f"q{c}") for c in XYZ))
+    d = sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")))
+    met = a.join(places.select(SCENE, *XYZ), SCENE).select(SCENE, "pid", F.sqrt(d).alias("d")).filter("d > 0")
+    return met.groupBy(SCENE, "pid").agg(F.min("d").alias("d"))
 
 
 def radius_outliers(points: DataFrame, radius: float, least: int, include_self: bool = True, key: str = "pid") -> DataFrame:
