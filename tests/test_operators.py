@@ -1,0 +1,77 @@
+"""Operators on small hand-made clouds and sequences."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stratocloud.operators import affine, curves, features, frames, neighbors, voxel
+from stratocloud.plans import presets
+from stratocloud.sources import clouds
+
+SCHEMA = "scene_id bigint, pid string, x double, y double, z double"
+
+
+def _cloud(spark, n=60):
+    rng = np.random.default_rng(2)
+    rows = [(k % 2, f"p{k:03d}", *map(float, rng.normal(size=3))) for k in range(n)]
+    rows += [(3, "only", 1.0, 2.0, 3.0), (4, "a", 0.0, 0.0, 0.0), (4, "b", 0.0, 0.0, 0.0)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_nearest_matches_brute_force(spark):
+    df = _cloud(spark)
+    key = lambda d: sorted((r["scene_id"], r["pid"], r["other"], round(r["d"], 12)) for r in d.collect())
+    assert key(neighbors.nearest(df, 3, h=0.3)) == key(neighbors.brute_nearest(df, 3))
+
+
+def test_fragments_cover_all_points(spark):
+    df = _cloud(spark)
+    assert voxel.voxel_fragments(df, 1.0).select("pid").distinct().count() == df.count()
+
+
+def test_hilbert_neighbours_are_one_step_apart(spark):
+    side = spark.range(8)
+    cells = side.select(F.col("id").alias("gx")).join(side.select(F.col("id").alias("gy"))).join(side.select(F.col("id").alias("gz")))
+    rows = curves.with_hilbert(cells, 3).orderBy("code").collect()
+    assert [r["code"] for r in rows] == list(range(512))
+    steps = [sum(abs(a[c] - b[c]) for c in ("gx", "gy", "gz")) for a, b in zip(rows, rows[1:])]
+    assert set(steps) == {1}
+
+
+def test_rotation_is_orthonormal(spark):
+    scenes = spark.createDataFrame([(1, 0.3, -0.5, 0.8), (2, 0.0, 0.0, -1.0), (3, 0.0, 0.0, 2.0)], "scene_id int, a double, b double, c double")
+    for r in affine.z_up_rotation(scenes).collect():
+        m = np.array([[r[f"r{i}{j}"] for j in range(3)] for i in range(3)])
+        n = np.array([r["a"], r["b"], r["c"]])
+        assert np.allclose(m @ m.T, np.eye(3)) and np.allclose(m @ n / np.linalg.norm(n), [0, 0, 1])
+
+
+def test_ply_round_trip():
+    data = {c: np.arange(4) + k for k, c in enumerate("xyz")} | {c: np.array([0, 1, 128, 255]) for c in "rgb"}
+    back = clouds.read_ply(clouds.ply_bytes(data))
+    assert all(np.allclose(back[c], v) for c, v in data.items()) and "nx" not in back
+    text = b"ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n"
+    assert clouds.read_ply(text)["z"].tolist() == [3.0, 6.0]
+
+
+def test_short_segments_merge(spark):
+    rows = [(1, 0, 100, "a"), (1, 100, 104, "b"), (1, 104, 160, "a"), (2, 0, 3, "c"), (3, 0, 50, "a"), (3, 50, 55, "b"), (3, 55, 100, "c")]
+    found = frames.merge_short_segments(spark.createDataFrame(rows, "video_id int, start bigint, end bigint, label string"), 10)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 104, "a"), (1, 104, 160, "a"), (2, 0, 3, "c"), (3, 0, 55, "a"), (3, 55, 100, "c")]
+
+
+def test_registry_and_plans(spark):
+    with pytest.raises(KeyError):
+        presets.OPERATORS.get("no such operator")
+    with pytest.raises(KeyError):
+        presets.OPERATORS.register(affine.center_shift)
+    with pytest.raises(TypeError, match="random_scale"):
+        presets.Plan([{"type": "random_scale", "no": 1}]).apply(_cloud(spark))
+    done = presets.Plan([{"type": "center_shift"}, {"type": "operators.voxel_pick", "size": 5.0}]).apply(_cloud(spark))
+    assert done.count() >= 4
+
+
+def test_variants_and_widths(spark):
+    assert features.test_variants(_cloud(spark, 2)).count() == 5 * 13
+    with pytest.raises(ValueError):
+        features.resolve_width(spark.createDataFrame([([1.0],)], "v array<double>"), ["v"], 2)
