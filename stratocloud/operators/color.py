@@ -118,7 +118,7 @@ def hue(points: DataFrame, factor: Column | float) -> DataFrame:
 def color_jitter(points: DataFrame, bright=(0.6, 1.4), contrast_=(0.6, 1.4), saturate=(0.6, 1.4), hue_=(-0.1, 0.1), p: float = 0.95, seed: int = 42) -> DataFrame:
     """The four adjustments in an order of each scene's own, each with probability ``p``.
 
-    Each of the four places in the order is one pass in which every scene applies the adjustment that stands there.
+    Only contrast needs more than the point itself: what precedes it in a scene's order is applied first, then one mean for each scene is taken.
     """
     for name, (lo, hi) in (("brightness", bright), ("contrast", contrast_), ("saturation", saturate)):
         if not 0 <= lo <= hi:
@@ -127,18 +127,35 @@ def color_jitter(points: DataFrame, bright=(0.6, 1.4), contrast_=(0.6, 1.4), sat
         raise ValueError("hue must be an interval within -0.5 and 0.5")
     orders = list(permutations(range(4)))
     at = F.floor(uniform(seed, "jitter/order", F.col(SCENE)) * len(orders)).cast("int")
-    df = points.withColumn("_order", F.get(F.array(*(F.array(*map(F.lit, o)) for o in orders)), at))
+    drawn = {f"_on{k}": uniform(seed, f"jitter/p{k}", F.col(SCENE)) < p for k in range(4)}
+    drawn |= {f"_by{k}": uniform(seed, f"jitter/{k}", F.col(SCENE), low=lo, high=hi) for k, (lo, hi) in enumerate((bright, contrast_, saturate, hue_))}
+    drawn["_order"] = F.get(F.array(*(F.array(*map(F.lit, o)) for o in orders)), at)
+    df = points.join(points.select(SCENE).distinct().withColumns(drawn), SCENE)
+    at = F.array_position("_order", F.lit(1)) - 1
+    for place in range(3):
+        df = _jitter_pass(df, F.when(F.lit(place) < at, F.get("_order", F.lit(place))))
+    df = beside(df, F.avg(gray(*map(F.col, RGB)).cast(points.schema["r"].dataType)).alias("_mean"))
     for place in range(4):
-        for k, (step, (lo, hi), still) in enumerate(((brightness, bright, 1.0), (contrast, contrast_, 1.0), (saturation, saturate, 1.0), (hue, hue_, 0.0))):
-            on = (F.get("_order", F.lit(place)) == k) & (uniform(seed, f"jitter/p{k}", F.col(SCENE)) < p)
-            df = _only(df, on, step, F.when(on, uniform(seed, f"jitter/{k}", F.col(SCENE), low=lo, high=hi)).otherwise(still))
-    return df.drop("_order")
+        df = _jitter_pass(df, F.when(F.lit(place) >= at, F.get("_order", F.lit(place))), F.col("_mean"))
+    return df.select(*points.columns)
 
 
-def _only(points: DataFrame, on: Column, step, ratio: Column) -> DataFrame:
-    """``step`` for the scenes where ``on`` holds; the colours of others stay exactly as they are."""
-    df = step(points.withColumns({f"_own{c}": F.col(c) for c in RGB} | {"_on": on}), ratio)
-    return df.withColumns({c: F.when(F.col("_on"), F.col(c)).otherwise(F.col(f"_own{c}")) for c in RGB}).select(*points.columns)
+def _jitter_pass(df: DataFrame, which: Column, mean: Column | None = None) -> DataFrame:
+    """Every scene's adjustment number ``which``: brightness, contrast, saturation or hue; none if it is null."""
+    kept, level = df.columns, gray(*map(F.col, RGB)).cast(df.schema["r"].dataType)
+    df = _to_hsv(df.withColumns({"_which": which, "_gray": level}))
+    turned = F.col("_h") + F.col("_by3")
+    df = df.withColumn("_h", turned - F.floor(turned))
+    hues = _from_hsv(F.col("_h"), F.col("_s"), F.col("_v"))
+    on = [(F.col("_which") == k) & F.col(f"_on{k}") for k in range(4)]
+    toward = {0: F.lit(0.0), 2: F.col("_gray")} | ({} if mean is None else {1: mean})
+    values = {}
+    for c in RGB:
+        value = F.when(on[3], hues[c] * 255.0).otherwise(F.col(c))
+        for k, goal in toward.items():
+            value = F.when(on[k], _blend(F.col(c), goal, F.col(f"_by{k}"))).otherwise(value)
+        values[c] = value
+    return _set(df, values).select(*kept)
 
 
 def hue_saturation_translation(points: DataFrame, hue_max: float = 0.5, saturation_max: float = 0.2, seed: int = 42, shift: tuple[float, float] | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Points are dealt into cubic cells of side ``h`` and each point is sent to the 27 cells around its own;
 an equi-join on the cell then brings together all pairs within ``h`` of each other. What is within h is exact. Points
-whose k-th neighbour is farther are asked again with larger cells, and the last few in their whole scene. The joins are on (scene, cell), so a large scene is spread over as many tasks as it has cells.
+whose k-th neighbour is farther are asked again with larger cells, and the last few in their whole scene. The joins are on (scene, cell), so a large scene is spread over as many tasks as it has cells;
+the last pass deals each scene into slices, so that no task holds one whole.
+``h`` is a length, or None: each scene's own, from its extent and number of points.
 """
 
 from __future__ import annotations
@@ -16,38 +18,63 @@ from stratocloud.operators.voxel import random_points
 
 XYZ = ("x", "y", "z")
 LEAST_CELL = 1e-6
+SLICES = 32  # tasks over which a scene is spread where whole scenes are searched
 
 
 def _cells(h: Column | float) -> list[Column]:
     return [F.floor(F.col(c) / h).alias(f"c{c}") for c in XYZ]
 
 
-def pairs_within(queries: DataFrame, points: DataFrame, h: float, key: str = "pid", keep_self: bool = False) -> DataFrame:
-    """(scene_id, pid, other, d) of all pairs at most ``h`` apart; only the queries are sent to several cells."""
-    h_ = F.lit(float(h))
+def reaches(points: DataFrame, k: int = 1) -> DataFrame:
+    """(scene_id, reach): the side of a cube, square or length that holds about k points if the scene fills its box, a side of it or an edge; the longest of these."""
+    sides = F.sort_array(F.array(*(F.max(c) - F.min(c) for c in XYZ)), asc=False)
+    df = points.groupBy(SCENE).agg(sides.alias("_s"), F.count("*").alias("_n"))
+    a, b, c = (F.get("_s", F.lit(i)) for i in range(3))
+    share = F.lit(float(k)) / F.col("_n")
+    longest = F.greatest(a * share, F.sqrt(a * b * share), F.cbrt(a * b * c * share), F.lit(LEAST_CELL))
+    return df.select(SCENE, longest.alias("reach"))
+
+
+def _apart() -> Column:
+    d = sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")))
+    return F.sqrt(d)
+
+
+def pairs_within(queries: DataFrame, points: DataFrame, h: float | DataFrame, key: str = "pid", keep_self: bool = False) -> DataFrame:
+    """(scene_id, pid, other, d) of all pairs at most ``h`` apart; only the queries are sent to several cells.
+
+    ``h`` may be a table (scene_id, reach).
+    """
+    own = isinstance(h, DataFrame)
+    h_ = F.col("reach") if own else F.lit(float(h))
+    if own:
+        queries, points = queries.join(h, SCENE), points.join(h, SCENE)
     near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((a, b, c), "abc"))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
-    left = queries.select(SCENE, F.col(key).alias("pid"), *(F.col(c).alias(f"q{c}") for c in XYZ), *_cells(h_), near.alias("s"))
-    left = left.select(SCENE, "pid", "qx", "qy", "qz", *((F.col(f"c{c}") + F.col(f"s.{n}")).alias(f"c{c}") for c, n in zip(XYZ, "abc")))
+    more = ["reach"] if own else []
+    left = queries.select(SCENE, F.col(key).alias("pid"), *(F.col(c).alias(f"q{c}") for c in XYZ), *_cells(h_), *more, near.alias("s"))
+    left = left.select(SCENE, "pid", "qx", "qy", "qz", *((F.col(f"c{c}") + F.col(f"s.{n}")).alias(f"c{c}") for c, n in zip(XYZ, "abc")), *more)
     right = points.select(SCENE, F.col(key).alias("other"), *XYZ, *_cells(h_))
-    d = sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")))
     met = left.hint("merge").join(right, [SCENE, "cx", "cy", "cz"])
     met = met if keep_self else met.filter(F.col("pid") != F.col("other"))
-    return met.select(SCENE, "pid", "other", F.sqrt(d).alias("d")).filter(F.col("d") <= h_)
+    return met.withColumn("d", _apart()).filter(F.col("d") <= h_).select(SCENE, "pid", "other", "d")
 
 
-def nearest(points: DataFrame, k: int = 1, h: float = 0.5, queries: DataFrame | None = None, key: str = "pid", growth: float = 4.0) -> DataFrame:
+def nearest(points: DataFrame, k: int = 1, h: float | None = 0.5, queries: DataFrame | None = None, key: str = "pid", growth: float = 4.0) -> DataFrame:
     """(scene_id, pid, other, d, rank) of the k nearest other points; ties go to the smaller id. Fewer where a scene has fewer.
 
+    ``h`` is about the distance to one neighbour; the first cells are as much wider as k neighbours need.
     Two passes over cells, then the few points that are still short of k neighbours meet their whole scene.
     """
     left = (points if queries is None else queries).select(SCENE, F.col(key).alias("pid"), *XYZ)
     right = points.select(SCENE, F.col(key).alias("pid"), *XYZ)
     order = W.partitionBy(SCENE, "pid").orderBy("d", "other")
+    first = reaches(right, k).persist() if h is None else h * k ** (1 / 3)
+    second = first.withColumn("reach", F.col("reach") * growth) if h is None else first * growth
     todo, done = left, None
-    for reach in (h, h * growth, None):
-        met = pairs_within(todo, right, reach) if reach else pairs_of_scenes(todo, right)
+    for reach in (first, second, None):
+        met = pairs_within(todo, right, reach) if reach is not None else pairs_of_scenes(todo, right, k)
         best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        if reach:
+        if reach is not None:
             best = best.persist()
             full = best.groupBy(SCENE, "pid").agg(F.count("*").alias("_k")).filter(F.col("_k") == k).select(SCENE, "pid")
             best = best.join(full, [SCENE, "pid"], "left_semi")
@@ -56,12 +83,18 @@ def nearest(points: DataFrame, k: int = 1, h: float = 0.5, queries: DataFrame |
     return done
 
 
-def pairs_of_scenes(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """(scene_id, pid, other, d) of each query and every other point of its scene."""
-    a = queries.select(SCENE, "pid", *(F.col(c).alias(f"q{c}") for c in XYZ))
-    b = points.select(SCENE, F.col("pid").alias("other"), *XYZ)
-    d = sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x")))
-    return a.hint("merge").join(b, SCENE).filter("pid <> other").select(SCENE, "pid", "other", F.sqrt(d).alias("d"))
+def pairs_of_scenes(queries: DataFrame, points: DataFrame, k: int | None = None) -> DataFrame:
+    """(scene_id, pid, other, d) of each query and every other point of its scene; with ``k``, the k nearest of each slice.
+
+    A scene's points are dealt into slices and each query is sent to all of them, so that the largest scene is many tasks.
+    """
+    slices = F.explode(F.array(*map(F.lit, range(SLICES))))
+    a = queries.select(SCENE, "pid", *(F.col(c).alias(f"q{c}") for c in XYZ), slices.alias("_slice"))
+    b = points.select(SCENE, F.col("pid").alias("other"), *XYZ, F.pmod(F.xxhash64("pid"), F.lit(SLICES)).cast("int").alias("_slice"))
+    met = a.hint("merge").join(b, [SCENE, "_slice"]).filter("pid <> other").withColumn("d", _apart())
+    if k is not None:
+        met = met.withColumn("_r", F.row_number().over(W.partitionBy(SCENE, "pid", "_slice").orderBy("d", "other"))).filter(F.col("_r") <= k)
+    return met.select(SCENE, "pid", "other", "d")
 
 
 def brute_nearest(points: DataFrame, k: int = 1) -> DataFrame:
@@ -70,21 +103,25 @@ def brute_nearest(points: DataFrame, k: int = 1) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(W.partitionBy(SCENE, "pid").orderBy("d", "other"))).filter(F.col("rank") <= k)
 
 
-def spacing_stats(points: DataFrame, percents=(25, 75, 90, 95), h: float = 0.5) -> DataFrame:
+def spacing_stats(points: DataFrame, percents=(25, 75, 90, 95), h: float | None = 0.5) -> DataFrame:
     """mean, median, std (of the population), min, max and percentiles of each scene's distances to the nearest point."""
     one = nearest(points, 1, h)
     cut = [F.percentile("d", F.lit(p / 100)).alias(f"p{p}") for p in percents]
     return one.groupBy(SCENE).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.stddev_pop("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"), *cut)
 
 
-def sampled_median_spacing(points: DataFrame, n: int = 10_000, seed: int = 42, h: float = 0.5) -> DataFrame:
+def sampled_median_spacing(points: DataFrame, n: int = 10_000, seed: int = 42, h: float | None = 0.5) -> DataFrame:
     """The median distance to the nearest point among a sample of each scene."""
     return nearest(random_points(points, n, seed, "spacing"), 1, h).groupBy(SCENE).agg(F.percentile("d", F.lit(0.5)).alias("median"))
 
 
-def spacing_scale(points: DataFrame, h: float = 0.5, fallback: float = 0.01) -> DataFrame:
+def spacing_scale(points: DataFrame, h: float | None = 0.5, fallback: float = 0.01) -> DataFrame:
     """(scene_id, median, mean) of distances to the nearest point; the fallback for scenes of one point."""
-    found = nearest(points, 1, h).groupBy(SCENE).agg(F.percentile("d", F.lit(0.5)).alias("median"), F.avg("d").alias("mean"))
+    return _scale(points, nearest(points, 1, h), fallback)
+
+
+def _scale(points: DataFrame, one: DataFrame, fallback: float = 0.01) -> DataFrame:
+    found = one.groupBy(SCENE).agg(F.percentile("d", F.lit(0.5)).alias("median"), F.avg("d").alias("mean"))
     every = points.select(SCENE).distinct()
     return every.join(found, SCENE, "left").select(SCENE, *(F.coalesce(c, F.lit(fallback)).alias(c) for c in ("median", "mean")))
 
@@ -116,7 +153,7 @@ def radius_outliers(points: DataFrame, radius: float, least: int, include_self:
     return df.withColumn("stays", F.col("neighbours") + F.lit(1 if include_self else 0) > least)
 
 
-def statistical_outliers(points: DataFrame, k: int, ratio: float, h: float = 0.5, include_self: bool = True) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, ratio: float, h: float | None = 0.5, include_self: bool = True) -> DataFrame:
     """Points with their mean distance to k neighbours and whether it is at most the scene's mean + ratio deviations.
 
     The k neighbours include the point itself (at distance 0) by default.
@@ -135,28 +172,23 @@ def removal_report(marked: DataFrame, cap: float) -> DataFrame:
     return df.withColumn("ratio", F.col("removed") / F.col("n")).withColumn("over_cap", F.col("ratio") > cap)
 
 
-def remove_outliers(points: DataFrame, radius_factor: float = 10.0, least: int = 1, k: int = 50, ratio: float = 4.0, cap: float = 0.01, h: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Both passes: points within ``radius_factor`` median spacings of another, then those that aren't statistical outliers; and the reports.
+def remove_outliers(points: DataFrame, radius_factor: float = 10.0, least: int = 1, k: int = 50, ratio: float = 4.0, cap: float = 0.01, h: float | None = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Both passes: points with ``least`` others within ``radius_factor`` median spacings, then those that aren't statistical outliers; and the reports.
 
-    The radius differs by scene: one join reaches as far as the widest and each pair is held against its own scene's radius.
+    A point has that many others within a radius if its ``least``-th nearest is, so one search serves the spacing and
+    the radius, and no pairs of a dense scene are listed.
     """
-    scale = kept_scale(spacing_scale(points, h), radius_factor)
-    widest = scale.agg(F.max("_rad")).first()[0]
-    near = pairs_within(points, points, widest).join(scale, SCENE).filter(F.col("d") <= F.col("_rad"))
-    found = near.groupBy(SCENE, "pid").agg(F.count("*").alias("neighbours"))
-    first = points.join(found, [SCENE, "pid"], "left").withColumn("stays", F.coalesce("neighbours", F.lit(0)) + 1 > least)
+    met = nearest(points, max(1, least), h).persist()
+    radius = _scale(points, met.filter("rank = 1")).select(SCENE, F.greatest(F.col("median") * F.lit(radius_factor), F.lit(LEAST_CELL)).alias("_rad"))
+    near = met.filter(F.col("rank") == max(1, least)).join(radius, SCENE).filter(F.col("d") <= F.col("_rad")).select(SCENE, "pid", F.lit(True).alias("stays"))
+    first = points.join(near, [SCENE, "pid"], "left").withColumn("stays", F.coalesce("stays", F.lit(least < 1)))
     first = first.select(*points.columns, "stays").persist()
     second = statistical_outliers(first.filter("stays").drop("stays"), k, ratio, h)
     reports = removal_report(first, 0.6 * cap).withColumn("step", F.lit("radius")).unionByName(removal_report(second, cap).withColumn("step", F.lit("statistical")))
     return second.filter("stays").select(*points.columns), reports
 
 
-def kept_scale(scale: DataFrame, radius_factor: float) -> DataFrame:
-    """The radius of each scene, computed once."""
-    return scale.select(SCENE, F.greatest(F.col("median") * F.lit(radius_factor), F.lit(LEAST_CELL)).alias("_rad")).persist()
-
-
-def normals_by_neighbours(points: DataFrame, k: int = 32, h: float = 0.5) -> DataFrame:
+def normals_by_neighbours(points: DataFrame, k: int = 32, h: float | None = 0.5) -> DataFrame:
     """Unit normals: the direction of least spread of the k nearest points, turned towards the scene's middle."""
     import numpy as np
     import pandas as pd

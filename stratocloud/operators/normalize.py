@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash, normal, uniform
 from stratocloud.operators.neighbors import nearest, spacing_scale
-from stratocloud.operators.scenes import SCENE, beside
+from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.voxel import with_cells
 
 XYZ = ("x", "y", "z")
@@ -26,7 +26,7 @@ def _thin(points: DataFrame, size: str, seed: int, name: str) -> DataFrame:
     return df.groupBy(SCENE, *cells).agg(best.alias("_p")).select("_p.*")
 
 
-def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = 0.5) -> tuple[DataFrame, DataFrame]:
     """(points, report). Scenes that are denser than the target are thinned step by step until their mean spacing is within the threshold.
 
     A step aims at a fifth of the way in number of points. A scene stops when it is within the threshold, too sparse, or its step is under 2 %.
@@ -46,7 +46,7 @@ def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, ro
         if moving.isEmpty():
             break
         thinner = _thin(moving, "_size", seed, f"spacing/{k}").select(*points.columns).persist()
-        state = thinner.join(spacing_scale(thinner, h).select(SCENE, F.col("mean").alias("spacing")), SCENE).persist()
+        state = settled(thinner.join(spacing_scale(thinner, h).select(SCENE, F.col("mean").alias("spacing")), SCENE))
     else:
         done = done.unionByName(state)
     n = points.groupBy(SCENE).agg(F.count("*").alias("n_before"))
@@ -96,7 +96,7 @@ def elastic_distortion(points: DataFrame, steps=((0.2, 0.4), (0.8, 1.6)), p: flo
     return df
 
 
-def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int = 42, h: float = 0.5) -> DataFrame:
+def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int = 42, h: float | None = 0.5) -> DataFrame:
     """Adds a share of points to each scene, each between a random point and one of its k nearest that isn't too near; ``made`` marks them."""
     pick = points.withColumn("_r", F.row_number().over(W.partitionBy(SCENE).orderBy(key_hash(seed, "up", F.col(SCENE), F.col("pid")), "pid")))
     pick = beside(pick, F.count("*").alias("_n")).filter(F.col("_r") <= F.floor(F.col("_n") * share)).select(SCENE, "pid", *XYZ)

@@ -17,5 +17,11 @@ def beside(points: DataFrame, *aggregates: Column, by: str | list[str] = SCENE)
     return points.join(points.groupBy(*by).agg(*aggregates), by)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for loops that would otherwise grow the plan with every round: a checkpoint in the session's
+    ``spark.checkpoint.dir``, persisted where that is unset."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def has(points: DataFrame, *names: str) -> bool:
     return set(names) <= set(points.columns)

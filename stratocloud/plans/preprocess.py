@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratocloud.operators import affine, neighbors, normalize, planes, select
-from stratocloud.operators.scenes import SCENE
+from stratocloud.operators.scenes import SCENE, settled
 
 
 @dataclass
@@ -30,7 +30,7 @@ class Config:
     density: float = 1734.4
     least_points: int = 40_000
     normals_k: int = 32
-    reach: float = 0.5  # first search radius of neighbours
+    reach: float | None = None  # first search radius of neighbours; None: each scene's own
     seed: int = 42
 
 
@@ -54,6 +54,6 @@ def preprocess(points: DataFrame, config: Config | None = None) -> tuple[DataFra
     reports = count(points, 0, "input")
     df = points
     for k, step in enumerate((s for s in steps if s in c.steps), 1):
-        df = steps[step](df).persist()
+        df = settled(steps[step](df))
         reports = reports.unionByName(count(df, k, step))
     return df, reports
