@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratocloud.operators.scenes import SCENE, beside
+from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.voxel import random_points
 
 XYZ = ("x", "y", "z")
@@ -68,14 +68,14 @@ def nearest(points: DataFrame, k: int = 1, h: float | None = 0.5, queries: DataF
     left = (points if queries is None else queries).select(SCENE, F.col(key).alias("pid"), *XYZ)
     right = points.select(SCENE, F.col(key).alias("pid"), *XYZ)
     order = W.partitionBy(SCENE, "pid").orderBy("d", "other")
-    first = reaches(right, k).persist() if h is None else h * k ** (1 / 3)
+    first = settled(reaches(right, k)) if h is None else h * k ** (1 / 3)
     second = first.withColumn("reach", F.col("reach") * growth) if h is None else first * growth
     todo, done = left, None
     for reach in (first, second, None):
         met = pairs_within(todo, right, reach) if reach is not None else pairs_of_scenes(todo, right, k)
         best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         if reach is not None:
-            best = best.persist()
+            best = settled(best)
             full = best.groupBy(SCENE, "pid").agg(F.count("*").alias("_k")).filter(F.col("_k") == k).select(SCENE, "pid")
             best = best.join(full, [SCENE, "pid"], "left_semi")
             todo = todo.join(full, [SCENE, "pid"], "left_anti")
@@ -128,7 +128,7 @@ def _scale(points: DataFrame, one: DataFrame, fallback: float = 0.01) -> DataFra
 
 def plane_threshold(points: DataFrame, queries: int = 500, sample: int = 1000, seed: int = 42) -> DataFrame:
     """Half the spread between quartiles of distances to the nearest other place, within 0.001 and 0.1; 0.01 for scenes of under 10 points."""
-    base = random_points(points, sample, seed, "plane/sample").persist()
+    base = settled(random_points(points, sample, seed, "plane/sample"))
     asked = random_points(points, queries, seed, "plane/query")
     places = base.groupBy(SCENE, *XYZ).agg(F.min("pid").alias("pid"))
     met = nearest_place(asked, places)
@@ -159,7 +159,7 @@ def statistical_outliers(points: DataFrame, k: int, ratio: float, h: float | Non
     The k neighbours include the point itself (at distance 0) by default.
     """
     others = max(1, k - 1) if include_self else k
-    near = nearest(points, others, h).groupBy(SCENE, "pid").agg(F.sum("d").alias("_s"), F.count("*").alias("_k")).persist()
+    near = settled(nearest(points, others, h).groupBy(SCENE, "pid").agg(F.sum("d").alias("_s"), F.count("*").alias("_k")))
     mean = F.col("_s") / (F.col("_k") + F.lit(1 if include_self else 0))
     df = points.join(near, [SCENE, "pid"], "left").withColumn("mean_d", F.coalesce(mean, F.lit(0.0)))
     df = beside(df, F.avg("mean_d").alias("_m"), F.coalesce(F.stddev_samp("mean_d"), F.lit(0.0)).alias("_sd"))
@@ -178,11 +178,11 @@ def remove_outliers(points: DataFrame, radius_factor: float = 10.0, least: int =
     A point has that many others within a radius if its ``least``-th nearest is, so one search serves the spacing and
     the radius, and no pairs of a dense scene are listed.
     """
-    met = nearest(points, max(1, least), h).persist()
+    met = settled(nearest(points, max(1, least), h))
     radius = _scale(points, met.filter("rank = 1")).select(SCENE, F.greatest(F.col("median") * F.lit(radius_factor), F.lit(LEAST_CELL)).alias("_rad"))
     near = met.filter(F.col("rank") == max(1, least)).join(radius, SCENE).filter(F.col("d") <= F.col("_rad")).select(SCENE, "pid", F.lit(True).alias("stays"))
     first = points.join(near, [SCENE, "pid"], "left").withColumn("stays", F.coalesce("stays", F.lit(least < 1)))
-    first = first.select(*points.columns, "stays").persist()
+    first = settled(first.select(*points.columns, "stays"))
     second = statistical_outliers(first.filter("stays").drop("stays"), k, ratio, h)
     reports = removal_report(first, 0.6 * cap).withColumn("step", F.lit("radius")).unionByName(removal_report(second, cap).withColumn("step", F.lit("statistical")))
     return second.filter("stays").select(*points.columns), reports

@@ -1,7 +1,7 @@
 """Iterative normalization of spacing, elastic distortion and gentle upsampling, over all scenes at once.
 
 Each round is a set of joins over the scenes that aren't done; the loop on the driver only counts rounds and holds
-no data. What a round needs again is persisted.
+no data. What a round needs again is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, ro
     A step aims at a fifth of the way in number of points. A scene stops when it is within the threshold, too sparse, or its step is under 2 %.
     The best state of each scene is kept.
     """
-    first = spacing_scale(points, h).select(SCENE, F.col("mean").alias("before")).persist()
-    state = points.join(first.withColumn("spacing", F.col("before")), SCENE).drop("before").persist()
+    first = settled(spacing_scale(points, h).select(SCENE, F.col("mean").alias("before")))
+    state = settled(points.join(first.withColumn("spacing", F.col("before")), SCENE).drop("before"))
     done = None
     for k in range(rounds):
         error = F.abs(F.col("spacing") - target) / F.lit(target)
@@ -45,7 +45,7 @@ def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, ro
         moving = state.filter(go).withColumn("_size", F.col("spacing") * factor)
         if moving.isEmpty():
             break
-        thinner = _thin(moving, "_size", seed, f"spacing/{k}").select(*points.columns).persist()
+        thinner = settled(_thin(moving, "_size", seed, f"spacing/{k}").select(*points.columns))
         state = settled(thinner.join(spacing_scale(thinner, h).select(SCENE, F.col("mean").alias("spacing")), SCENE))
     else:
         done = done.unionByName(state)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import uniform
 from stratocloud.operators.affine import apply_z_up, z_up_rotation
-from stratocloud.operators.scenes import SCENE, beside
+from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.voxel import voxel_centroids
 
 XYZ = ("x", "y", "z")
@@ -81,13 +81,13 @@ def detect_planes(points: DataFrame, threshold: float, planes: int = 2, n: int =
     """(planes refitted to their points, points with ``plane``: -1 if in none). Planes are taken off one after the other; scenes with under ``stop`` points left are done."""
     left, inside, fits = points, None, None
     for k in range(planes):
-        many = beside(left, F.count("*").alias("_m")).filter(F.col("_m") >= stop).drop("_m").persist()
+        many = settled(beside(left, F.count("*").alias("_m")).filter(F.col("_m") >= stop).drop("_m"))
         best = best_plane(many, threshold, n, least, seed, k).select(SCENE, *(F.col(c).alias(f"_{c}") for c in "abcd"))
-        near = many.join(best, SCENE).filter(plane_distance(*(F.col(f"_{c}") for c in "abcd")) <= threshold).select(*points.columns).withColumn("plane", F.lit(k)).persist()
+        near = settled(many.join(best, SCENE).filter(plane_distance(*(F.col(f"_{c}") for c in "abcd")) <= threshold).select(*points.columns).withColumn("plane", F.lit(k)))
         fit = fit_planes(near).withColumn("plane", F.lit(k))
         fits = fit if fits is None else fits.unionByName(fit)
         inside = near if inside is None else inside.unionByName(near)
-        left = left.join(near.select(SCENE, "pid"), [SCENE, "pid"], "left_anti").persist()
+        left = settled(left.join(near.select(SCENE, "pid"), [SCENE, "pid"], "left_anti"))
     return fits, inside.unionByName(left.withColumn("plane", F.lit(-1)))
 
 

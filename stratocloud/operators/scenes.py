@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 
 SCENE = "scene_id"
+_own_folder: dict[str, str] = {}
 
 
 def beside(points: DataFrame, *aggregates: Column, by: str | list[str] = SCENE) -> DataFrame:
@@ -18,9 +22,21 @@ def beside(points: DataFrame, *aggregates: Column, by: str | list[str] = SCENE)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, for loops that would otherwise grow the plan with every round: a checkpoint in the session's
-    ``spark.checkpoint.dir``, persisted where that is unset."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """``df`` written to the shared folder and read back.
+
+    Loops and searches in passes would otherwise nest every pass in the plan of the next, and what a lost executor held
+    would be computed again from the start. The folder is the session's ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        app = spark.sparkContext.applicationId
+        if app not in _own_folder:
+            _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="stratocloud-")
+        named = _own_folder[app]
+    path = f"{named.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def has(points: DataFrame, *names: str) -> bool:

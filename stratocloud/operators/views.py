@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash, uniform
-from stratocloud.operators.scenes import SCENE, beside
+from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.select import squared_distance
 
 
@@ -35,7 +35,7 @@ def multi_views(points: DataFrame, global_views: int = 2, local_views: int = 4,
     df = beside(points, F.min("z").alias("_lo"), F.max("z").alias("_hi"))
     level = (F.col("z") - F.col("_lo")) - (F.col("_hi") - F.col("_lo")) * F.lit(band[0])
     inside = df.filter((level >= 0) & (F.col("z") <= F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(band[1]))).select(*points.columns)
-    major = _crop(points, _one(inside, "global0", seed), global_scale, most, "global0", seed).persist()
+    major = settled(_crop(points, _one(inside, "global0", seed), global_scale, most, "global0", seed))
     out = [major]
     for k in range(1, global_views):
         out.append(_crop(points, _one(major, f"global{k}", seed), global_scale, most, f"global{k}", seed))
@@ -44,7 +44,7 @@ def multi_views(points: DataFrame, global_views: int = 2, local_views: int = 4,
         free = major if covered is None else major.join(covered, [SCENE, "pid"], "left_anti")
         center = _one(free, f"local{k}", seed)
         again = _one(major, f"local{k}", seed).join(center.select(SCENE), SCENE, "left_anti")
-        local = _crop(points, center.unionByName(again), local_scale, most, f"local{k}", seed).persist()
+        local = settled(_crop(points, center.unionByName(again), local_scale, most, f"local{k}", seed))
         out.append(local)
         seen = local.select(SCENE, "pid")
         covered = seen if covered is None else covered.unionByName(seen)
