@@ -85,7 +85,7 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         queue, left = [left[:1]], left[1:]
         while queue and len(left):
             for x in queue.pop():
-                near = np.bitwise_count(left ^ x) <= radius
+                near = np.bitwise_count((left ^ x).view(np.uint64)) <= radius  # signed numbers would count the absolute value's bits
                 if near.any():
                     found = left[near]
                     a.append(np.full(len(found), x))

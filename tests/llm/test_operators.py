@@ -136,6 +136,23 @@ def test_links_miss_no_pair_within_the_radius(spark, bucket):
     assert groups([root.get(v, v) for v in signed]) == groups(brute)
 
 
+def test_forest_counts_the_sign_bit():
+    for seed in range(60):
+        rng = random.Random(seed)
+        values = [rng.getrandbits(64) for _ in range(8)]
+        values += [v ^ 1 << 63 ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for v in values[:4] for _ in range(6)]
+        signed = np.unique([v - (1 << 64) if v >> 63 else v for v in values])
+        u, v = simhash.forest(signed, 4)
+        place = {int(x): k for k, x in enumerate(signed)}
+        roots = list(range(len(signed)))
+        for a, b in zip(u.tolist(), v.tolist()):
+            old, new = roots[place[a]], roots[place[b]]
+            roots = [new if r == old else r for r in roots]
+        brute = _components([x & (1 << 64) - 1 for x in signed.tolist()], 4)
+        groups = lambda keys: {frozenset(x for x, k in zip(signed.tolist(), keys) if k == g) for g in set(keys)}
+        assert groups(roots) == groups(brute), seed
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(8)] + [(5, 5), (100, 101), (101, 100)], "u bigint, v bigint")
     assert {(r["node"], r["root"]) for r in components.connected_components(edges).collect()} == {(k, 0) for k in range(1, 9)} | {(101, 100)}
