@@ -1,18 +1,17 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary, one smoothing and one table size; the
-background's counts are scaled to the target's number of words, so that smoothing weighs alike in both. A
-document's score is the mean over its words of the background's loss minus the target's: higher is
-more like the target.
+A target and a background bigram model share one vocabulary and one smoothing; the background's counts are scaled to
+the target's number of words, so that smoothing weighs alike in both. A document's score is the mean over its words of
+the background's loss minus the target's: higher is more like the target.
 
-Counts are taken over all texts of both corpora. The vocabulary is the ``vocabulary`` words of the largest
-summed relative frequency; other words are one unknown word. Bigrams are counted in ``2 ** bits`` cells by a hash of both
-words, so that the broadcast models have a fixed size (two tables of 16 MB) for any corpus; a cell's
-count can only be too large, and the wider the table the more rarely. Tasks count their texts and send the cells that they
-used; cells are added up shard by shard.
+Counts are taken over all texts of both corpora and stay in Spark tables: words by ``w``, bigrams by (``p``, ``w``),
+the 64-bit hashes of the word before and of the word. No word is cut off and bigrams share no cells; only two words
+of one hash would be taken for each other (among a billion distinct words 0.03 such pairs are expected). Tasks count their slices
+of the texts before they are shuffled. Documents are joined, by their own bigrams, to the losses of each bigram.
 
 Edge cases: null, empty and blank text has no words and scores 0, with zero losses. Null ids and repeated rows
-are scored like any. With an empty target or background the other's smoothing alone remains. Extra columns are ignored. Texts are read whole.
+are scored like any. With an empty target or background the other's smoothing alone remains. Words that neither corpus has count 0 in
+both. Extra columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,158 +22,144 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratocloud.llm.common import kept
+from stratocloud.llm.common import kept, word_count
 from stratocloud.llm.packing import _slices
 
-VOCABULARY = 50_000
-BITS = 22
-SHARD_BITS = 16
+SEED = 42
+ROWS = 100_000
 PRIOR = 2.0  # words by which the unigram model weighs in each bigram context
 FLOOR = 0.5  # added to each word's count
+START = int(np.uint64(xxhash.xxh64_intdigest(b"", SEED)).view(np.int64))  # the word before a text's first; no word is empty
 
 
 def _read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words of all texts, the distinct words, and the number of words of each text."""
+    """Codes of the words of all texts (from 1), the hashes by code (0: a text's start), and the number of words of each text."""
     words: list[bytes] = []
     sizes = np.empty(len(texts), np.int64)
     for k, t in enumerate(texts):
         at = len(words)
         words += t.lower().encode().split() if t else ()
         sizes[k] = len(words) - at
-    codes, distinct = pd.factorize(np.array(words, object)) if words else (np.empty(0, np.int64), np.empty(0, object))
-    return codes, distinct, sizes
+    codes, distinct = pd.factorize(np.array(words, object)) if words else (np.empty(0, np.int64), ())
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)).view(np.int64)
+    return codes + 1, np.concatenate([np.array([START], np.int64), hashes]), sizes
+
+
+def _before(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The codes before each word's; 0 at the start of a text."""
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return before
+
+
+def _emit(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    arrays = [pa.array(x, pa.int64()) for x in columns.values()]
+    for k in range(0, len(arrays[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([x.slice(k, ROWS) for x in arrays], list(columns))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word and n over all texts; each slice of texts is counted before it is shuffled."""
+    """w and n over all texts; START has the number of texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in _slices(batch.column(0)):
-                codes, distinct, _ = _read(part)
-                n = np.bincount(codes, minlength=len(distinct))
-                words = pa.array([w.decode() for w in distinct], pa.string())
-                for k in range(0, len(words), 100_000):
-                    yield pa.RecordBatch.from_arrays([words[k : k + 100_000], pa.array(n[k : k + 100_000], pa.int64())], ["word", "n"])
-
-    return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+                codes, hashes, sizes = _read(part)
+                n = np.bincount(codes, minlength=len(hashes))
+                n[0] = (sizes > 0).sum()
+                yield from _emit(w=hashes, n=n)
 
+    return texts.select("text").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
-def shared_vocabulary(target: DataFrame, background: DataFrame, size: int = VOCABULARY) -> tuple[list[tuple[bytes, int, int]], int, int]:
-    """(word, count in the target, count in the background) of at most ``size`` words, and the words of both corpora."""
-    t, b = word_counts(target).withColumn("m", F.lit(0).cast("long")), word_counts(background)
-    both = kept(t.unionByName(b.select("word", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
-    n, m = both.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    share = F.col("n") / F.lit(float(max(n, 1))) + F.col("m") / F.lit(float(max(m, 1)))
-    return [(r["word"].encode(), r["n"], r["m"]) for r in both.orderBy(share.desc(), "word").limit(size).collect()], n, m
 
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """p, w and n of each bigram over all texts; each slice of texts is counted before it is shuffled."""
 
-def _ids(known: dict[bytes, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids (0: unknown), the ids before them (-1 at the start of a text), and the sizes of the texts."""
-    codes, distinct, sizes = _read(texts)
-    ids = np.fromiter((known.get(w, 0) for w in distinct), np.int64, len(distinct))[codes] if len(codes) else np.empty(0, np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[starts] = -1
-    return ids, before, sizes
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in _slices(batch.column(0)):
+                codes, hashes, sizes = _read(part)
+                pairs, n = np.unique(_before(codes, sizes) * len(hashes) + codes, return_counts=True)
+                yield from _emit(p=hashes[pairs // len(hashes)], w=hashes[pairs % len(hashes)], n=n)
 
-def _cells(before: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    h = ((before + 1).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xD1342543DE82EF95)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return texts.select("text").mapInArrow(run, "p bigint, w bigint, n bigint")
 
 
-def bigram_counts(texts: DataFrame, known: dict[bytes, int], bits: int = BITS) -> np.ndarray:
-    """Counts of all bigrams of the texts in 2 ** bits cells."""
-    shared = texts.sparkSession.sparkContext.broadcast(known)
-    shard_bits = min(bits, SHARD_BITS)
+def _document_bigrams(docs: DataFrame) -> DataFrame:
+    """t (the text's hash), p, w and how often each document has the bigram."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _slices(batch.column(0)):
-                ids, before, _ = _ids(shared.value, part)
-                total += np.bincount(_cells(before, ids, bits), minlength=1 << bits)
-        for shard, part in enumerate(total.reshape(-1, 1 << shard_bits)):
-            used = np.flatnonzero(part)
-            if len(used):
-                row = [[shard], [used.astype("<u2").tobytes()], [part[used].astype("<u4").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["shard", "cells", "counts"])
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << shard_bits, np.int64)
-        for part in parts:
-            for cells, counts in zip(part.column("cells"), part.column("counts")):
-                total[np.frombuffer(cells.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["shard", "total"])
-
-    out = np.zeros((1 << (bits - shard_bits), 1 << shard_bits), np.int64)
-    parts = texts.select("text").mapInArrow(count, "shard int, cells binary, counts binary").groupBy("shard").applyInArrow(add, "shard int, total binary")
-    for shard, total in parts.toLocalIterator():
-        out[shard] = np.frombuffer(total, "<i8")
-    return out.reshape(-1)
+            for at, part in _slices(batch.column(1)):
+                codes, hashes, sizes = _read(part)
+                own = batch.column(0).slice(at, len(part)).to_numpy(zero_copy_only=False)
+                kinds, distinct = pd.factorize(_before(codes, sizes) * len(hashes) + codes)
+                met, c = np.unique(np.repeat(np.arange(len(part)), sizes) * max(1, len(distinct)) + kinds, return_counts=True)
+                pairs = distinct[met % max(1, len(distinct))]
+                yield from _emit(t=own[met // max(1, len(distinct))], p=hashes[pairs // len(hashes)], w=hashes[pairs % len(hashes)], c=c)
 
+    return docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(run, "t bigint, p bigint, w bigint, c bigint")
 
-@dataclass
-class Bigrams:
-    """A smoothed model: logarithms of unigram shares, scaled counts of contexts and of bigram cells."""
 
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-
-    def loss(self, before: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        own = self.word[ids]
-        pair = np.minimum(self.pair[cells], self.context[before + 1])
-        return -np.log((pair + PRIOR * own) / (self.context[before + 1] + PRIOR))
+def _both(target: DataFrame, background: DataFrame, *keys: str) -> DataFrame:
+    """The counts of both corpora side by side: n in the target, m in the background."""
+    none = F.lit(0).cast("long")
+    rows = target.select(*keys, "n", none.alias("m")).unionByName(background.select(*keys, none.alias("n"), F.col("n").alias("m")))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 @dataclass
 class Models:
-    known: dict[bytes, int]
-    target: Bigrams
-    background: Bigrams
-    bits: int
+    """Counts of both corpora: ``words`` (w, n, m), ``bigrams`` (p, w, n, m; counted when they are read), and of how many words."""
 
+    words: DataFrame
+    bigrams: DataFrame
+    background: DataFrame
+    n: int
+    m: int
+    distinct: int
 
-def train(target: DataFrame, background: DataFrame, vocabulary: int = VOCABULARY, bits: int = BITS) -> Models:
-    """Both models from all of both corpora (DataFrames with a text column)."""
-    words, n, m = shared_vocabulary(target, background, vocabulary)
-    known = {w: k + 1 for k, (w, _, _) in enumerate(words)}
+    def losses(self, bigrams: DataFrame) -> DataFrame:
+        """p, w, target_loss and background_loss of each of the bigrams p, w, n, m."""
+        own = self.words.select("w", F.col("n").alias("own_n"), F.col("m").alias("own_m"))
+        context = self.words.select(F.col("w").alias("p"), F.col("n").alias("ctx_n"), F.col("m").alias("ctx_m"))
+        met = bigrams.join(own, "w", "left").join(context, "p", "left")
 
-    def model(texts: DataFrame, at: int, total: int, scale: float) -> Bigrams:
-        counts = np.array([0, *(w[at] for w in words)], float)
-        counts[0] = total - counts.sum()
-        share = (counts * scale + FLOOR) / (counts.sum() * scale + FLOOR * len(counts))
-        starts = texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
-        context = np.concatenate([[starts], counts]) * scale
-        return Bigrams(share, context, (bigram_counts(texts, known, bits) * scale).astype(np.float32))
+        def loss(of: str, total: int, scale: float) -> Column:
+            pair, own, context = (F.coalesce(F.col(c), F.lit(0)) * F.lit(scale) for c in (of, f"own_{of}", f"ctx_{of}"))
+            share = (own + FLOOR) / F.lit(total * scale + FLOOR * (self.distinct + 1))  # one more for words not met
+            return -F.log((pair + PRIOR * share) / (context + PRIOR))
 
-    return Models(known, model(target, 1, n, 1.0), model(background, 2, m, n / m if n and m else 1.0), bits)
+        scale = self.n / self.m if self.n and self.m else 1.0
+        return met.select("p", "w", loss("n", self.n, 1.0).alias("target_loss"), loss("m", self.m, scale).alias("background_loss"))
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def train(target: DataFrame, background: DataFrame, bits: int | None = None) -> Models:
+    """Both models from all of both corpora (DataFrames with a text column). ``bits``, once the number of cells, has no effect."""
+    words = kept(_both(word_counts(target), word_counts(background), "w"))
+    total = words.filter(F.col("w") != START).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
+    bigrams = _both(bigram_counts(target), bigram_counts(background), "p", "w")
+    return Models(words, bigrams, background, *total)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for at, texts in _slices(batch.column(1)):
-                ids, before, sizes = _ids(m.known, texts)
-                cells = _cells(before, ids, m.bits)
-                ends = np.cumsum(sizes)
-                means = []
-                for model in (m.target, m.background):
-                    total = np.concatenate([[0.0], np.cumsum(model.loss(before, ids, cells))])
-                    means.append((total[ends] - total[ends - sizes]) / np.maximum(sizes, 1))
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")
+
+def score(docs: DataFrame, models: Models) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss and score of every document.
+
+    Equal texts are summed together, which leaves their means as they are.
+    """
+    bigrams = models.bigrams
+    if docs is not models.background:  # which may not have all of the documents' bigrams
+        none = F.lit(0).cast("long")
+        more = bigram_counts(docs).select("p", "w", none.alias("n"), none.alias("m"))
+        bigrams = bigrams.unionByName(more).groupBy("p", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    met = _document_bigrams(docs).join(models.losses(bigrams), ["p", "w"])
+    names = ("target_loss", "background_loss")
+    means = met.groupBy("t").agg(*((F.sum(F.col("c") * F.col(x)) / F.sum("c")).alias(x) for x in names))
+    heads = docs.select("doc_id", word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("t"))
+    found = heads.join(means, "t", "left").select("doc_id", "n_words", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in names))
+    return found.withColumn("score", F.col("background_loss") - F.col("target_loss"))

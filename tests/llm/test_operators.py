@@ -224,6 +224,43 @@ def test_language_model_scores(spark):
     assert abs(found[4]["score"] - (found[4]["background_loss"] - found[4]["target_loss"])) < 1e-12
 
 
+def test_language_model_counts_every_word_and_bigram(spark):
+    rng = random.Random(11)
+    common, rare = [f"w{k}" for k in range(300)], [f"r{k}" for k in range(60_000)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(1_000)) for _ in range(120)] + [" ".join(rare)]
+    target = texts[:3] + ["r7 r8 r9"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (900, None)], "doc_id bigint, text string").repartition(3)
+    models = lm_scoring.train(spark.createDataFrame([(t,) for t in target], "text string"), docs)
+    other = spark.createDataFrame([(1, "r7 r8 never r9 r9")], "doc_id bigint, text string")
+
+    def counts(part):
+        words, pairs = defaultdict(int), defaultdict(int)
+        for t in part:
+            before = None
+            words[None] += 1
+            for w in t.split():
+                words[w] += 1
+                pairs[before, w] += 1
+                before = w
+        return words, pairs, sum(words.values()) - words[None]
+
+    parts = [counts(target), counts(texts + texts[:1])]
+    size = len({w for words, _, _ in parts for w in words} - {None}) + 1
+    scales = [1.0, parts[0][2] / parts[1][2]]
+
+    def brute(text):
+        words = text.split()
+        for (n, pairs, total), scale in zip(parts, scales):
+            share = lambda w: (n[w] * scale + 0.5) / (total * scale + 0.5 * size)  # noqa: E731, B023
+            yield float(np.mean([-np.log((pairs[p, w] * scale + 2 * share(w)) / (n[p] * scale + 2)) for p, w in zip([None, *words], words)]))
+
+    found = {r["doc_id"]: r for r in lm_scoring.score(docs, models).collect()}
+    assert len(found) == len(texts) + 2 and found[900]["score"] == 0
+    found[-1] = lm_scoring.score(other, models).first()
+    for k, t in [(0, texts[0]), (None, texts[0]), (50, texts[50]), (120, texts[120]), (-1, "r7 r8 never r9 r9")]:
+        assert np.allclose([found[k]["target_loss"], found[k]["background_loss"]], list(brute(t)), rtol=1e-9, atol=0), k
+
+
 def _held_out_accuracy(spark, module, column, d="/root/testdata/sf0.01"):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = module.train(docs, labels)
