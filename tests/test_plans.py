@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import color, neighbors
+from stratocloud.operators import color, neighbors, normalize
 from stratocloud.plans.preprocess import Config, preprocess
 from stratocloud.streaming import ingest
 
@@ -98,3 +98,38 @@ def test_frame_rates_count_windows(spark):
     df = spark.createDataFrame(rows, "video_id int, ts string, prob_inside double").withColumn("ts", F.to_timestamp("ts"))
     found = sorted((r["video_id"], r["n"], r["prob"]) for r in ingest.frame_rates(df).collect())
     assert found == [(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.5)]
+
+
+def _cloud(spark, xyz):
+    return spark.createDataFrame([(1, f"p{k:04d}", *map(float, p)) for k, p in enumerate(xyz)], "scene_id bigint, pid string, x double, y double, z double")
+
+
+def test_spacing_keeps_the_best_state(spark):
+    # pairs 0.1 apart in places 1 apart: a step merges most pairs and overshoots by far
+    places = np.array([(x, y, 0) for x in range(10) for y in range(10)], float) * 1.037
+    report = normalize.adjust_spacing(_cloud(spark, np.r_[places, places + (0.1, 0, 0)]), 0.12)[1].first()
+    assert report["error"] <= abs(report["before"] - 0.12) / 0.12 + 1e-9
+
+
+def test_spacing_layout_pass_and_reruns(spark):
+    xyz = np.c_[np.random.default_rng(3).uniform(0, 10, (400, 2)), np.zeros(400)]
+    df = _cloud(spark, xyz)
+    before = normalize.adjust_spacing(df, 0.3, rounds=0)[1].first()["before"]
+    target = 1.1 * before
+    done, report = normalize.adjust_spacing(df, target, rounds=0)
+    laid = report.first()
+    assert laid["error"] < 1 - before / target and 320 < laid["n_after"] < 400 and done.count() == laid["n_after"]
+    more = normalize.refine_spacing(df, target, 0.001, rounds=0, reruns=1)[1].first()
+    assert more["error"] <= laid["error"] and more["n_before"] == 400
+    kept = normalize.iterate_spacing(df, target)
+    found = kept.join(neighbors.spacing_scale(kept), "scene_id").first()["mean"]
+    assert abs(found - target) <= abs(before - target) + 1e-9 and kept.count() >= 280
+
+
+def test_upsampling_reaches_the_exact_number(spark):
+    rng = np.random.default_rng(5)
+    clumps = np.repeat(rng.uniform(0, 20, (6, 3)), 10, axis=0) + rng.uniform(0, 1e-4, (60, 3))
+    df = _cloud(spark, np.r_[clumps, rng.uniform(0, 20, (20, 3))])
+    for share in (0.5, 1.5):
+        rows = normalize.gentle_upsample(df, share, 2).collect()
+        assert sum(r["made"] for r in rows) == 80 * share and len({r["pid"] for r in rows}) == len(rows)
