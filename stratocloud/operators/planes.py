@@ -1,6 +1,7 @@
 """Planes: through three points, by least spread, by random triples, and which of them is a scene's floor.
 
-All candidate triples of all scenes are scored in one join of points with a bounded number of candidates a scene.
+All candidate triples of all scenes are scored together: a scene's candidates are one array beside its points, and
+counts are summed in each task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def fit_planes(points: DataFrame, by: list[str] = [SCENE]) -> DataFrame:  # noqa
     return moments.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a double, b double, c double, d double, n bigint")
 
 
-def candidate_planes(points: DataFrame, n: int = 100, seed: int = 42, plane: int = 0, key: str = "pid") -> DataFrame:
+def candidate_planes(points: DataFrame, n: int = 500, seed: int = 42, plane: int = 0, key: str = "pid") -> DataFrame:
     """(scene_id, candidate, a, b, c, d) of ``n`` random triples of each scene; those on a line are left out.
 
     Each triple is three keyed draws of a place among the scene's points.
@@ -67,17 +68,18 @@ def candidate_planes(points: DataFrame, n: int = 100, seed: int = 42, plane: int
     return triples.withColumn("_p", plane_through(F.col("p0"), F.col("p1"), F.col("p2"))).filter("_p IS NOT NULL").select(SCENE, "candidate", "_p.*")
 
 
-def best_plane(points: DataFrame, threshold: Column | float, n: int = 100, least: int = 50, seed: int = 42, plane: int = 0) -> DataFrame:
+def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least: int = 50, seed: int = 42, plane: int = 0) -> DataFrame:
     """(scene_id, candidate, a, b, c, d, inliers): the candidate with most points within the threshold, the first of equals."""
     threshold = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    met = points.select(SCENE, *XYZ).join(candidate_planes(points, n, seed, plane), SCENE)
+    planes = candidate_planes(points, n, seed, plane).groupBy(SCENE).agg(F.collect_list(F.struct("candidate", *"abcd")).alias("_p"))
+    met = points.select(SCENE, *XYZ).join(planes, SCENE).withColumn("_p", F.explode("_p")).select(SCENE, *XYZ, "_p.*")
     near = plane_distance(*map(F.col, "abcd")) <= threshold
     scored = met.groupBy(SCENE, "candidate").agg(F.sum(near.cast("long")).alias("inliers"), *(F.first(c).alias(c) for c in "abcd"))
     top = scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(F.min_by(F.struct("candidate", *"abcd", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b"))
     return top.select(SCENE, "_b.*")
 
 
-def detect_planes(points: DataFrame, threshold: float, planes: int = 2, n: int = 100, least: int = 50, stop: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def detect_planes(points: DataFrame, threshold: float, planes: int = 2, n: int = 500, least: int = 50, stop: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(planes refitted to their points, points with ``plane``: -1 if in none). Planes are taken off one after the other; scenes with under ``stop`` points left are done."""
     left, inside, fits = points, None, None
     for k in range(planes):
@@ -103,18 +105,20 @@ def align_z_up(points: DataFrame, cell: float = 0.2, threshold: float = 0.1, see
     """Turns each scene so that its floor is level, below the rest and at height 0.
 
     Planes are sought among cell means. The best one's normal is turned over if the evidence (floor below the middle 1, more points
-    below than above 1, normal pointing down 0.5) comes to 1.5 or more. Scenes without a plane go to their middle.
+    below than above 1, normal pointing down 0.5) comes to 1.5 or more. Scenes without a plane go to their middle, turned by their direction of
+    least spread.
     """
     means = voxel_centroids(points, cell).withColumn("pid", F.concat_ws("-", "gx", "gy", "gz"))
     planes, members = detect_planes(means, threshold, seed=seed)
-    best = ground_scores(members, planes).groupBy(SCENE).agg(F.max_by(F.struct(*"abcd"), F.struct("score", -F.col("plane"))).alias("f")).select(SCENE, "f.*")
+    best = settled(ground_scores(members, planes).groupBy(SCENE).agg(F.max_by(F.struct(*"abcd"), F.struct("score", -F.col("plane"))).alias("f")).select(SCENE, "f.*"))
     scenes = points.groupBy(SCENE).agg(*(F.avg(c).alias(f"m{c}") for c in XYZ)).join(best, SCENE, "left")
     side = lambda p: F.col("a") * p[0] + F.col("b") * p[1] + F.col("c") * p[2] + F.col("d")
     votes = points.select(SCENE, *XYZ).join(best, SCENE).groupBy(SCENE).agg(F.sum(F.signum(side([F.col(c) for c in XYZ]))).alias("_up"))
     scenes = scenes.join(votes, SCENE, "left")
     vote = F.when(side([F.col(f"m{c}") for c in XYZ]) < 0, 1.0).otherwise(0.0) + F.when(F.col("_up") < 0, 1.0).otherwise(0.0) + F.when(F.col("c") < 0, 0.5).otherwise(0.0)
     sign = F.when(vote >= 1.5, -1.0).otherwise(1.0)
-    scenes = scenes.withColumns({c: F.coalesce(sign * F.col(c), F.lit(1.0 if c == "c" else 0.0)) for c in "abc"})
+    spread = fit_planes(points.join(best, SCENE, "left_anti")).select(SCENE, *(F.col(c).alias(f"_{c}") for c in "abc"))
+    scenes = scenes.join(spread, SCENE, "left").withColumns({c: F.coalesce(sign * F.col(c), F.col(f"_{c}"), F.lit(1.0 if c == "c" else 0.0)) for c in "abc"})
     turn = z_up_rotation(scenes).withColumns({f"t{c}": F.col(f"m{c}") for c in XYZ})
     turned = apply_z_up(points, turn)
     floor = beside(turned, F.min("z").alias("_lo")).join(best.select(SCENE, F.lit(True).alias("_f")), SCENE, "left")

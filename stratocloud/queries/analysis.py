@@ -53,7 +53,7 @@ def l4_ransac_plane(spark, sf_dir):
 
 @query()
 def l5_detect_planes(spark, sf_dir):
-    return planes.detect_planes(points(spark, sf_dir), 0.3, n=20)[0]
+    return planes.detect_planes(points(spark, sf_dir), 0.3)[0]
 
 
 @query(over(f"""-- p AS (SELECT *, instance % 3 AS plane FROM points), s AS (SELECT scene_id, plane, count(*) AS k, var_pop(x) AS vx, var_pop(y) AS vy, var_pop(z) AS vz, avg(nz) AS c FROM p GROUP BY ALL)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import color, neighbors, normalize
+from stratocloud.operators import color, neighbors, normalize, planes
 from stratocloud.plans.preprocess import Config, preprocess
 from stratocloud.streaming import ingest
 
@@ -133,3 +133,19 @@ def test_upsampling_reaches_the_exact_number(spark):
     for share in (0.5, 1.5):
         rows = normalize.gentle_upsample(df, share, 2).collect()
         assert sum(r["made"] for r in rows) == 80 * share and len({r["pid"] for r in rows}) == len(rows)
+
+
+def test_enough_triples_for_a_cluttered_scenes_floor(spark):
+    rng = np.random.default_rng(2)
+    xyz = [np.r_[np.c_[rng.uniform(0, 4, (75, 2)), np.zeros(75)], rng.uniform(0, 4, (225, 3))] for _ in range(8)]
+    rows = [(s, f"p{k:04d}", *map(float, p)) for s, scene in enumerate(xyz) for k, p in enumerate(scene)]
+    df = spark.createDataFrame(rows, "scene_id bigint, pid string, x double, y double, z double")
+    found = planes.best_plane(df, 0.01).collect()
+    assert len(found) == 8 and all(r["inliers"] >= 75 and abs(r["c"]) > 0.999 for r in found)
+
+
+def test_scenes_without_a_plane_are_turned_by_their_least_spread(spark):
+    flat = np.c_[np.random.default_rng(4).uniform(0, 6, (60, 2)), np.zeros(60)]  # too few for a plane
+    turn = np.array([[1, 0, 0], [0, np.cos(0.5), -np.sin(0.5)], [0, np.sin(0.5), np.cos(0.5)]])
+    rows = planes.align_z_up(_cloud(spark, flat @ turn.T)).collect()
+    assert len(rows) == 60 and max(abs(r["z"]) for r in rows) < 1e-6
