@@ -49,9 +49,22 @@ def heat(scored: DataFrame, value: str = "similarity", key: str = "vec_id") -> D
     return df.withColumn("heat", F.when(F.col(value) >= F.col("_mid"), sig(F.coalesce(up, F.lit(0.0)))).otherwise(F.lit(0.9) * sig(F.coalesce(down, F.lit(0.0))))).drop("_high", "_mid", "_low")
 
 
-def linear_probe(features: DataFrame, head: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, class_id, logit): the class of the largest w x + b, of equals the smaller. ``head`` has class_id, weight, bias, a row a class."""
-    scored = features.select(key, vector).join(F.broadcast(head.limit(10_000)))
+def linear_probe(features: DataFrame, head: DataFrame, vector: str = "embedding", key: str = "vec_id", most: int = 10_000, blocks: int = 16) -> DataFrame:
+    """(key, class_id, logit): the class of the largest w x + b, of equals the smaller. ``head`` has class_id, weight, bias, a row a class.
+
+    Heads of over ``most`` classes are not broadcast: classes and rows are dealt into blocks, and a task holds one block of each.
+    """
+    n = head.count()
+    rows = features.select(key, vector)
+    if n <= most:
+        scored = rows.crossJoin(F.broadcast(head))
+    else:
+        deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        parts = -(-n // most)
+        left = rows.select(key, vector, deal(key, blocks).alias("_a"), every(parts).alias("_b"))
+        right = head.select("class_id", "weight", "bias", deal("class_id", parts).alias("_b"), every(blocks).alias("_a"))
+        scored = left.join(right, ["_a", "_b"])
     scored = scored.withColumn("logit", dot(F.col("weight"), F.col(vector)) + F.col("bias"))
     return scored.groupBy(key).agg(F.min_by(F.struct("class_id", "logit"), F.struct(-F.col("logit"), F.col("class_id"))).alias("m")).select(key, "m.*")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import color, neighbors, normalize, planes
+from stratocloud.operators import color, features, neighbors, normalize, planes
 from stratocloud.plans.preprocess import Config, preprocess
 from stratocloud.streaming import ingest
 
@@ -149,3 +149,11 @@ def test_scenes_without_a_plane_are_turned_by_their_least_spread(spark):
     turn = np.array([[1, 0, 0], [0, np.cos(0.5), -np.sin(0.5)], [0, np.sin(0.5), np.cos(0.5)]])
     rows = planes.align_z_up(_cloud(spark, flat @ turn.T)).collect()
     assert len(rows) == 60 and max(abs(r["z"]) for r in rows) < 1e-6
+
+
+def test_linear_probe_meets_every_class(spark):
+    rows = spark.createDataFrame([(1, [1.0]), (2, [-1.0]), (3, [2.0])], "vec_id bigint, embedding array<double>")
+    head = spark.range(10_500).select(F.col("id").alias("class_id"), F.array(F.col("id").cast("double")).alias("weight"), F.lit(0.5).alias("bias"))
+    for most in (10_000, 20_000):
+        found = {r["vec_id"]: (r["class_id"], r["logit"]) for r in features.linear_probe(rows, head, most=most).collect()}
+        assert found == {1: (10_499, 10_499.5), 2: (0, 0.5), 3: (10_499, 20_998.5)}
