@@ -167,18 +167,18 @@ def split_at_cuts(frames: DataFrame, cuts: DataFrame) -> DataFrame:
 def fit_size(width: Column, height: Column, limit: int, step: int = 14) -> tuple[Column, Column]:
     """The width and height, in multiples of ``step``, of about the same shape and at most ``limit`` pixels.
 
-    The larger multiple gives way one by one; rounding can miss the limit by a few at most.
+    Both numbers of steps are rounded; while their area is over the limit, the one that is too large for the shape gives way by one.
+    At least one step is left of each, so a very long and thin frame stays over the limit. Rounding adds half a step at most,
+    so each number gives way at most once, and two turns are all there can be.
     """
-    scale = F.sqrt(F.lit(float(limit)) / (width * height))
-    start = F.struct(F.greatest(F.lit(1), F.bround(width * scale / step).cast("int")).alias("k"), F.greatest(F.lit(1), F.bround(height * scale / step).cast("int")).alias("m"))
-
-    def less(s, _):
-        over = s["k"] * s["m"] * F.lit(step * step) > limit
-        wide = s["k"].cast("double") / s["m"] > width / height
-        return F.struct(F.when(over & wide, s["k"] - 1).otherwise(s["k"]).alias("k"), F.when(over & ~wide, s["m"] - 1).otherwise(s["m"]).alias("m"))
-
-    best = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, less)
-    return best["k"] * step, best["m"] * step
+    scale = F.when(width * height > 0, F.sqrt(F.try_divide(F.lit(float(limit)), width * height))).otherwise(1.0)
+    wide, high = width * scale, height * scale
+    k, m = (F.bround(x / step).cast("long") for x in (wide, high))
+    for _ in range(2):
+        over = k * m * F.lit(step * step) > limit
+        by_width = F.try_divide(k, m) > F.try_divide(wide, high)
+        k, m = F.when(over & by_width, k - 1).otherwise(k), F.when(over & ~by_width, m - 1).otherwise(m)
+    return F.greatest(k, F.lit(1)) * step, F.greatest(m, F.lit(1)) * step
 
 
 def clip_name(number: Column, label: Column) -> Column:

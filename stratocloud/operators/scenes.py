@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SCENE = "scene_id"
 _own_folder: dict[str, str] = {}
@@ -21,20 +21,28 @@ def beside(points: DataFrame, *aggregates: Column, by: str | list[str] = SCENE)
     return points.join(points.groupBy(*by).agg(*aggregates), by)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves a local session (tests); a cluster's
+    executors would write to their own disks, so there it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="stratocloud-")
+    return _own_folder[app]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Loops and searches in passes would otherwise nest every pass in the plan of the next, and what a lost executor held
-    would be computed again from the start. The folder is the session's ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one.
+    would be computed again from the start. The tables stay in the shared folder until whoever runs the cluster clears it.
     """
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _own_folder:
-            _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="stratocloud-")
-        named = _own_folder[app]
-    path = f"{named.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

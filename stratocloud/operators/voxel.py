@@ -81,8 +81,9 @@ def ravel_key(points: DataFrame, size: float) -> DataFrame:
 
 
 def cell_key(points: DataFrame, size: float) -> DataFrame:
-    """A 64-bit hash of each point's cell."""
-    return with_cells(points, size).withColumn("key", F.md5(F.concat_ws(":", *CELL)))
+    """A 64-bit hash of each point's cell, as a signed number: the first 16 digits of the md5 of its coordinates."""
+    digits = F.substring(F.md5(F.concat_ws(":", *CELL)), 1, 16)
+    return with_cells(points, size).withColumn("key", F.conv(digits, 16, -10).cast("long"))
 
 
 def spatial_sample(points: DataFrame, size: float, target: int, seed: int = 42, key: str = "pid") -> DataFrame:

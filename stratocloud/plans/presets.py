@@ -21,10 +21,10 @@ class Registry:
     def register(self, operator: Operator | None = None, *, name: str | None = None, force: bool = False):
         if operator is None:
             return lambda f: self.register(f, name=name, force=force)
-        for n in [name or operator.__name__]:
-            if n in self.known and not force:
-                raise KeyError(f"{n} is already registered in {self.name}")
-            self.known[n] = operator
+        name = name or operator.__name__
+        if name in self.known and not force:
+            raise KeyError(f"{name} is already registered in {self.name}")
+        self.known[name] = operator
         return operator
 
     def get(self, name: str) -> Operator:

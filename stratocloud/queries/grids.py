@@ -39,7 +39,8 @@ def v4_ravel_key(spark, sf_dir):
     return voxel.ravel_key(points(spark, sf_dir), 0.5).select("scene_id", "pid", "key")
 
 
-@query(over(f"-- {GRID} SELECT {ID}, md5(concat_ws(':', gx, gy, gz)) AS key FROM g"))
+@query(over(f"""-- {GRID}, u AS (SELECT {ID}, ('0x' || substr(md5(concat_ws(':', gx, gy, gz)), 1, 16))::UBIGINT::HUGEINT AS h FROM g)
+SELECT {ID}, CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END::BIGINT AS key FROM u"""))
 def v5_cell_hash(spark, sf_dir):
     return voxel.cell_key(points(spark, sf_dir), 0.5).select("scene_id", "pid", "key")
 

@@ -132,13 +132,26 @@ def _segments(spark, sf_dir):
     return frames.boundaries(sampled, totals, 3)
 
 
-@query(_fsql(f"""-- {_ABSORB}, t AS (SELECT video_id, count(*) * 3 + 1 AS total FROM frames GROUP BY video_id), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY run) AS k, count(*) OVER (PARTITION BY video_id) AS m FROM j JOIN t USING (video_id))
-SELECT video_id, run, label, total, CASE WHEN k = 1 THEN 0 ELSE first * 3 END::BIGINT AS start, CASE WHEN k = m THEN total ELSE least(last * 3 + 3, total) END::BIGINT AS "end" FROM k"""))
+_BOUNDS = f"""{_ABSORB}, t AS (SELECT video_id, count(*) * 3 + 1 AS total FROM frames GROUP BY video_id), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY run) AS k, count(*) OVER (PARTITION BY video_id) AS m FROM j JOIN t USING (video_id)),
+b AS (SELECT video_id, run, label, total, CASE WHEN k = 1 THEN 0 ELSE first * 3 END::BIGINT AS start, CASE WHEN k = m THEN total ELSE least(last * 3 + 3, total) END::BIGINT AS "end" FROM k)"""
+
+
+@query(_fsql(f"-- {_BOUNDS} SELECT * FROM b"))
 def q10_boundaries(spark, sf_dir):
     return _segments(spark, sf_dir)
 
 
-@query()
+#: A video's segments as a list, merged one step at a time: the first short one, with its left or its right neighbour.
+_MERGED = f"""{_BOUNDS}, rec AS (
+  SELECT video_id, list(struct_pack(a := start, b := "end", label := label) ORDER BY start) AS s FROM b GROUP BY video_id
+  UNION ALL SELECT video_id, s[:j - 1] || [struct_pack(a := s[j].a, b := s[j + 1].b, label := CASE WHEN j < k THEN s[j].label ELSE s[j + 1].label END)] || s[j + 2:] FROM (
+    SELECT *, CASE WHEN k > 1 AND s[k - 1].label = s[k].label OR k = len(s) THEN k - 1 WHEN k = 1 OR s[k + 1].label = s[k].label THEN k
+      WHEN s[k - 1].b - s[k - 1].a >= s[k + 1].b - s[k + 1].a THEN k - 1 ELSE k END AS j FROM (
+      SELECT *, list_position(list_transform(s, lambda x: x.b - x.a < 12), true) AS k FROM rec) WHERE k > 0 AND len(s) > 1)),
+f AS (SELECT video_id, unnest(s) AS x FROM rec WHERE len(s) = 1 OR NOT list_contains(list_transform(s, lambda x: x.b - x.a < 12), true))"""
+
+
+@query(_fsql(f'-- {_MERGED} SELECT video_id, x.a AS start, x.b AS "end", x.label AS label FROM f').replace("WITH ", "WITH RECURSIVE ", 1))
 def q11_merge_short_segments(spark, sf_dir):
     return frames.merge_short_segments(_segments(spark, sf_dir), 12)
 
@@ -151,9 +164,18 @@ def q12_split_at_cuts(spark, sf_dir):
     return frames.split_at_cuts(rows, cuts).select("video_id", "frame_index", "start")
 
 
-@query()
+#: Every tenth frame is long and thin, so that a number of steps is rounded to none.
+_SIZES = """s AS (SELECT video_id, frame_index, (video_id % 1280 + 640) * CASE WHEN frame_index % 10 = 5 THEN 15 ELSE 1 END AS w, CASE WHEN frame_index % 10 = 5 THEN frame_index // 10 + 3 ELSE frame_index * 7 + 360 END AS h FROM frames),
+a AS (SELECT *, w * sqrt(255000::DOUBLE / (w * h)) AS x, h * sqrt(255000::DOUBLE / (w * h)) AS y FROM s), k0 AS (SELECT *, round_even(x / 14, 0)::BIGINT AS k, round_even(y / 14, 0)::BIGINT AS m FROM a),"""
+_TURN = "(SELECT * EXCLUDE (k, m), CASE WHEN o AND k / m > x / y THEN k - 1 ELSE k END AS k, CASE WHEN o AND NOT k / m > x / y THEN m - 1 ELSE m END AS m FROM (SELECT * EXCLUDE (o), k * m * 196 > 255000 AS o FROM {0}))"
+_SIZES += f" k1 AS {_TURN.format('(SELECT *, true AS o FROM k0)')}, k2 AS {_TURN.format('k1')}"
+
+
+@query(_fsql(f"-- {_SIZES} SELECT video_id, frame_index, greatest(k, 1) * 14 AS width, greatest(m, 1) * 14 AS height FROM k2"))
 def q13_fit_size(spark, sf_dir):
-    df = _frames(spark, sf_dir).select("video_id", "frame_index", (F.col("video_id") % 1280 + 640).alias("w"), (F.col("frame_index") * 7 + 360).alias("h"))
+    thin = F.col("frame_index") % 10 == 5
+    w, h = (F.col("video_id") % 1280 + 640) * F.when(thin, 15).otherwise(1), F.when(thin, F.floor(F.col("frame_index") / 10) + 3).otherwise(F.col("frame_index") * 7 + 360)
+    df = _frames(spark, sf_dir).select("video_id", "frame_index", w.alias("w"), h.alias("h"))
     w, h = frames.fit_size(F.col("w"), F.col("h"), 255_000)
     return df.select("video_id", "frame_index", w.alias("width"), h.alias("height"))
 

@@ -55,11 +55,20 @@ def stem_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def discover_videos(files: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Video files, without partial transfers and without those already done (video_id)."""
-    df = files.filter(suffix_of(F.col("path")).isin(*VIDEO_SUFFIXES) & ~F.col("path").contains(".rsync-partial"))
-    df = df.withColumn("video_id", stem_of(F.col("path")))
-    return df.join(done.select("video_id"), "video_id", "left_anti") if done is not None else df
+def relative_name(path: Column, root: str = "") -> Column:
+    """The path below ``root``, without the file's suffix; the whole path where it is not below it."""
+    root = root.rstrip("/") + "/" if root else ""
+    inside = F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
+    return F.regexp_replace(inside, r"(?<=[^/])\.[^./]*$", "")
+
+
+def discover_videos(files: DataFrame, done: DataFrame | None = None, root: str = "") -> DataFrame:
+    """Video files with ``name`` (path below ``root`` without suffix) and ``video_id`` (the file's stem), without partial transfers
+    (a folder or file called .rsync-partial) and without those whose name is among ``done`` (name). Files of one stem in different folders are different videos."""
+    partial = F.array_contains(F.split("path", "/"), ".rsync-partial")
+    df = files.filter(suffix_of(F.col("path")).isin(*VIDEO_SUFFIXES) & ~partial)
+    df = df.withColumns({"name": relative_name(F.col("path"), root), "video_id": stem_of(F.col("path"))})
+    return df.join(done.select("name").distinct(), "name", "left_anti") if done is not None else df
 
 
 def discover_image_folders(files: DataFrame) -> DataFrame:

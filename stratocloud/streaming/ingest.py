@@ -13,12 +13,16 @@ def watch(spark: SparkSession, path: str, schema: str, files_at_once: int = 100)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def ingest(rows: DataFrame, output: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None, key: str = "video_id"):
-    """Starts a query that works off what is there. A batch that is run again replaces its own part of the output, so that no row doubles."""
+def ingest(rows: DataFrame, output: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None):
+    """Starts a query that works off what is there. A batch that is run again replaces its own part of the output, so that no row doubles.
+
+    With ``key``, of the rows of a batch that share it one stays, an arbitrary one; rows of different batches are not compared.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         done = step(batch) if step else batch
-        done.dropDuplicates([key]).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        done = done.dropDuplicates([key]) if key else done
+        done.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
