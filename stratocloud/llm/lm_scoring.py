@@ -4,14 +4,20 @@ A target and a background bigram model share one vocabulary and one smoothing; t
 the target's number of words, so that smoothing weighs alike in both. A document's score is the mean over its words of
 the background's loss minus the target's: higher is more like the target.
 
-Counts are taken over all texts of both corpora and stay in Spark tables: words by ``w``, bigrams by (``p``, ``w``),
-the 64-bit hashes of the word before and of the word. No word is cut off and bigrams share no cells; only two words
-of one hash would be taken for each other (among a billion distinct words 0.03 such pairs are expected). Tasks count their slices
-of the texts before they are shuffled. Documents are joined, by their own bigrams, to the losses of each bigram.
+Counts are taken over all texts of both corpora; no word is cut off, nothing is sampled, and what is gathered grows
+with the corpora. Tasks deal texts into slices of about ``slice_words`` words and count the distinct words and bigrams
+(grams) of each slice. A gram's key is a hash; keys are dealt by range into shards, whose number follows the corpora, so
+that a shard holds about ``shard_words`` of them. A shard adds up the counts of its keys over all slices and answers each slice
+with the totals of the keys it asked for, in the order asked; the slice's own words, kept as short codes, then meet the answers. So a
+gram crosses the network once a slice, however often it occurs there, and no text does. A gram that is in every
+document is one key a slice for its shard, so hot words need no salt.
+
+Keys have ``bits`` + log2(number of shards) bits: of two million grams of a shard about one in 2^19 meets another by chance, at
+every size of the corpora.
 
 Edge cases: null, empty and blank text has no words and scores 0, with zero losses. Null ids and repeated rows
 are scored like any. With an empty target or background the other's smoothing alone remains. Words that neither corpus has count 0 in
-both. Extra columns are ignored. Texts are read whole.
+both. Extra columns are ignored. Texts are read whole; a text longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
@@ -23,143 +29,242 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratocloud.llm.common import kept, word_count
+from stratocloud.llm.common import kept
 from stratocloud.llm.packing import _slices
 
 SEED = 42
-ROWS = 100_000
 PRIOR = 2.0  # words by which the unigram model weighs in each bigram context
 FLOOR = 0.5  # added to each word's count
-START = int(np.uint64(xxhash.xxh64_intdigest(b"", SEED)).view(np.int64))  # the word before a text's first; no word is empty
-
-
-def _read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the words of all texts (from 1), the hashes by code (0: a text's start), and the number of words of each text."""
-    words: list[bytes] = []
-    sizes = np.empty(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        at = len(words)
-        words += t.lower().encode().split() if t else ()
-        sizes[k] = len(words) - at
-    codes, distinct = pd.factorize(np.array(words, object)) if words else (np.empty(0, np.int64), ())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)).view(np.int64)
-    return codes + 1, np.concatenate([np.array([START], np.int64), hashes]), sizes
-
-
-def _before(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The codes before each word's; 0 at the start of a text."""
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-    return before
-
-
-def _emit(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    arrays = [pa.array(x, pa.int64()) for x in columns.values()]
-    for k in range(0, len(arrays[0]), ROWS):
-        yield pa.RecordBatch.from_arrays([x.slice(k, ROWS) for x in arrays], list(columns))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """w and n over all texts; START has the number of texts that have words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in _slices(batch.column(0)):
-                codes, hashes, sizes = _read(part)
-                n = np.bincount(codes, minlength=len(hashes))
-                n[0] = (sizes > 0).sum()
-                yield from _emit(w=hashes, n=n)
-
-    return texts.select("text").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def bigram_counts(texts: DataFrame) -> DataFrame:
-    """p, w and n of each bigram over all texts; each slice of texts is counted before it is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in _slices(batch.column(0)):
-                codes, hashes, sizes = _read(part)
-                pairs, n = np.unique(_before(codes, sizes) * len(hashes) + codes, return_counts=True)
-                yield from _emit(p=hashes[pairs // len(hashes)], w=hashes[pairs % len(hashes)], n=n)
-
-    return texts.select("text").mapInArrow(run, "p bigint, w bigint, n bigint")
-
-
-def _document_bigrams(docs: DataFrame) -> DataFrame:
-    """t (the text's hash), p, w and how often each document has the bigram."""
+START = np.uint64(xxhash.xxh64_intdigest(b"", SEED))  # the word before a text's first; no word is empty
+BITS = 40
+SLICE_WORDS = 1_000_000
+SHARD_WORDS = 2_000_000
+WORD_BYTES = 6  # of text a word, about; it only sizes the shards
+SLICE_TEXTS = 200_000  # of texts without words, say
+TARGET, BACKGROUND, ASKED = range(3)
+
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0xFF51AFD7ED558CCD)]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of their bytes, as many as the largest needs, compressed if that pays."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    if len(planes) < 64:
+        return bytes([width]) + planes
+    return bytes([width | 128]) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, planes = data[0] & 127, data[1:]
+    if data[0] & 128:
+        planes = zstandard.ZstdDecompressor().decompress(planes)
+    bytes_ = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((bytes_.shape[1], 8), np.uint8)
+    out[:, :width] = bytes_.T
+    return out.view("<u8").ravel()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _ODD[2]
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class Keys:
+    """How grams become keys, and keys shards: the same for all slices."""
+
+    bits: int
+    shards: int
+
+    def of(self, gram: np.ndarray, word: bool) -> np.ndarray:
+        """Keys of mixed hashes; the last bit tells words from bigrams."""
+        one = np.uint64(1)
+        return (gram >> np.uint64(64 - self.bits)) & ~one | (one if word else np.uint64(0))
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        """In order of the keys."""
+        top = keys >> np.uint64(self.bits - 32) if self.bits > 32 else keys << np.uint64(32 - self.bits)
+        return ((top * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+
+    def word(self, hashes: np.ndarray) -> np.ndarray:
+        return self.of(_mixed(hashes * _ODD[3] + _ODD[0]), True)
+
+    def pair(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.of(_mixed(before * _ODD[0] + word * _ODD[1]), False)
+
+
+class Grams:
+    """The distinct words (0: the start of a text) and bigrams of a slice, given by word hashes, codes and sizes of texts."""
+
+    def __init__(self, keys: Keys, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
+        self.words, self.codes = words, codes
+        self.texts = int((sizes > 0).sum())
+        before = np.zeros_like(codes)
+        before[1:] = codes[:-1]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        pairs, self.pair_of = np.unique(before * len(words) + codes, return_inverse=True)
+        self.before, self.word = pairs // len(words), pairs % len(words)
+        every = np.concatenate([keys.word(words), keys.pair(words[self.before], words[self.word])])
+        self.keys, self.at = np.unique(every, return_inverse=True)  # ``at``: the key of each word, then of each pair
+
+    def counts(self) -> np.ndarray:
+        """How often each key occurs in the slice."""
+        words = np.bincount(self.codes, minlength=len(self.words))
+        words[0] = self.texts
+        n = np.concatenate([words, np.bincount(self.pair_of, minlength=len(self.before))])
+        return np.bincount(self.at, weights=n, minlength=len(self.keys)).astype(np.int64)
+
+    def split(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of the keys as those of each pair, of its word and of its context."""
+        words, pairs = totals[self.at[: len(self.words)]], totals[self.at[len(self.words) :]]
+        return pairs, words[self.word], words[self.before]
+
+
+_ROW = "slice bigint, role int, sizes array<bigint>, words binary, codes binary, total bigint, shard int, first bigint, keys binary, counts binary"
+
+
+def sliced(texts: DataFrame, keys: Keys, role: int, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """Rows of two kinds, written down: a slice (``shard`` is null) with its texts' ids and words, and what it has for each shard."""
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    rows = texts.select("doc_id", "text") if "doc_id" in texts.columns else texts.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    kinds = {"slice": pa.int64(), "role": pa.int32(), "sizes": pa.list_(pa.int64()), "words": pa.binary(), "codes": pa.binary(), "total": pa.int64()}
+    kinds |= {"shard": pa.int32(), "first": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+
+    def emit(number: int, ids: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        size, ids_ = np.concatenate(sizes), pa.concat_arrays(ids)
+        distinct, codes, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        often = np.argsort(-n, kind="stable")  # frequent words have small codes, which compress better
+        place = np.empty_like(often)
+        place[often] = np.arange(1, len(often) + 1)
+        words, codes = np.concatenate([[START], distinct[often]]), place[codes]
+        grams = Grams(keys, words, codes, size)
+        shards = keys.shard(grams.keys)
+        cuts = np.flatnonzero(np.diff(shards, prepend=-1))
+        counts = grams.counts()
+        parts = [(int(shards[a]), grams.keys[a:b], counts[a:b]) for a, b in zip(cuts, [*cuts[1:], len(shards)])]
+        own = {"sizes": [size.tolist()], "words": [words.tobytes()], "codes": [packed(codes)], "total": [len(codes)]}
+        own |= {"shard": [None], "first": [None], "keys": [None], "counts": [None]}
+        asked = {"sizes": [None] * len(parts), "words": [None] * len(parts), "codes": [None] * len(parts), "total": [None] * len(parts)}
+        asked |= {"shard": [s for s, _, _ in parts], "first": [int(k[0].view(np.int64)) for _, k, _ in parts]}
+        asked |= {"keys": [packed(np.diff(k, prepend=k[:1])) for _, k, _ in parts], "counts": [packed(c) for _, _, c in parts]}
+        for row, n_rows, ids_column in ((own, 1, pa.ListArray.from_arrays([0, len(ids_)], ids_)), (asked, len(parts), pa.nulls(len(parts), pa.list_(ids_.type)))):
+            row = {"slice": [number] * n_rows, "role": [role] * n_rows} | row
+            yield pa.RecordBatch.from_arrays([ids_column, *(pa.array(row[c], kinds[c]) for c in names)], ["ids", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (role << 60) | (TaskContext.get().partitionId() << 30)
+        ids, hashes, sizes, n, m = [], [], [], 0, 0
         for batch in batches:
             for at, part in _slices(batch.column(1)):
-                codes, hashes, sizes = _read(part)
-                own = batch.column(0).slice(at, len(part)).to_numpy(zero_copy_only=False)
-                kinds, distinct = pd.factorize(_before(codes, sizes) * len(hashes) + codes)
-                met, c = np.unique(np.repeat(np.arange(len(part)), sizes) * max(1, len(distinct)) + kinds, return_counts=True)
-                pairs = distinct[met % max(1, len(distinct))]
-                yield from _emit(t=own[met // max(1, len(distinct))], p=hashes[pairs // len(hashes)], w=hashes[pairs % len(hashes)], c=c)
-
-    return docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(run, "t bigint, p bigint, w bigint, c bigint")
-
-
-def _both(target: DataFrame, background: DataFrame, *keys: str) -> DataFrame:
-    """The counts of both corpora side by side: n in the target, m in the background."""
-    none = F.lit(0).cast("long")
-    rows = target.select(*keys, "n", none.alias("m")).unionByName(background.select(*keys, none.alias("n"), F.col("n").alias("m")))
-    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+                words: list[bytes] = []
+                size = np.empty(len(part), np.int64)
+                for k, t in enumerate(part):
+                    before = len(words)
+                    words += t.lower().encode().split() if t else ()
+                    size[k] = len(words) - before
+                codes, distinct = pd.factorize(np.array(words, object)) if words else (np.empty(0, np.int64), ())
+                known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
+                ids.append(batch.column(0).slice(at, len(part)))
+                hashes.append(known[codes])
+                sizes.append(size)
+                n, m = n + len(words), m + len(part)
+                if n >= slice_words or m >= SLICE_TEXTS:
+                    yield from emit(number, ids, hashes, sizes)
+                    ids, hashes, sizes, n, m, number = [], [], [], 0, 0, number + 1
+        if m:
+            yield from emit(number, ids, hashes, sizes)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return kept(rows.mapInArrow(run, f"ids array<{kind}>, {_ROW}"))
+
+
+def answers(asks: DataFrame, role: int) -> DataFrame:
+    """(slice, shard, n, m, distinct): to each slice of the role, the target's and the background's totals of its keys; and without a
+    slice, how many distinct words each shard has."""
+    names = {"slice": pa.int64(), "shard": pa.int32(), "n": pa.binary(), "m": pa.binary(), "distinct": pa.int64()}
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        roles, slices = t["role"].to_numpy(), t["slice"].to_pylist()
+        keys = [np.cumsum(unpacked(d.as_py())) + np.int64(f).view(np.uint64) for d, f in zip(t["keys"], t["first"].to_numpy())]
+        counts = [unpacked(d.as_py()).astype(float) for d in t["counts"]]
+        sizes = np.array([len(k) for k in keys])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts, of = np.concatenate(counts), np.repeat(roles, sizes)
+        totals = [np.bincount(at, weights=np.where(of == r, counts, 0.0), minlength=len(distinct)).astype(np.uint64) for r in (TARGET, BACKGROUND)]
+        met = ((distinct & np.uint64(1)) == 1) & (totals[0] + totals[1] > 0)
+        out = {c: [None] for c in names} | {"shard": [key[0].as_py()], "distinct": [int(met.sum())]}
+        ends = np.cumsum(sizes)
+        for r, s, a, b in zip(roles.tolist(), slices, (ends - sizes).tolist(), ends.tolist()):
+            if r == role:
+                for c, v in zip(names, (s, key[0].as_py(), packed(totals[0][at[a:b]]), packed(totals[1][at[a:b]]), None)):
+                    out[c].append(v)
+        return pa.table({c: pa.array(v, names[c]) for c, v in out.items()})
+
+    asked = asks.filter("shard IS NOT NULL").select("slice", "shard", "role", "first", "keys", "counts")
+    return kept(asked.groupBy("shard").applyInArrow(run, "slice bigint, shard int, n binary, m binary, distinct bigint"))
 
 
 @dataclass
 class Models:
-    """Counts of both corpora: ``words`` (w, n, m), ``bigrams`` (p, w, n, m; counted when they are read), and of how many words."""
+    """Both corpora in slices, the background's also with its ids, and how many words each has."""
 
-    words: DataFrame
-    bigrams: DataFrame
+    slices: DataFrame
     background: DataFrame
+    source: DataFrame
+    keys: Keys
     n: int
     m: int
-    distinct: int
-
-    def losses(self, bigrams: DataFrame) -> DataFrame:
-        """p, w, target_loss and background_loss of each of the bigrams p, w, n, m."""
-        own = self.words.select("w", F.col("n").alias("own_n"), F.col("m").alias("own_m"))
-        context = self.words.select(F.col("w").alias("p"), F.col("n").alias("ctx_n"), F.col("m").alias("ctx_m"))
-        met = bigrams.join(own, "w", "left").join(context, "p", "left")
-
-        def loss(of: str, total: int, scale: float) -> Column:
-            pair, own, context = (F.coalesce(F.col(c), F.lit(0)) * F.lit(scale) for c in (of, f"own_{of}", f"ctx_{of}"))
-            share = (own + FLOOR) / F.lit(total * scale + FLOOR * (self.distinct + 1))  # one more for words not met
-            return -F.log((pair + PRIOR * share) / (context + PRIOR))
-
-        scale = self.n / self.m if self.n and self.m else 1.0
-        return met.select("p", "w", loss("n", self.n, 1.0).alias("target_loss"), loss("m", self.m, scale).alias("background_loss"))
+    slice_words: int
 
 
-def train(target: DataFrame, background: DataFrame, bits: int | None = None) -> Models:
-    """Both models from all of both corpora (DataFrames with a text column). ``bits``, once the number of cells, has no effect."""
-    words = kept(_both(word_counts(target), word_counts(background), "w"))
-    total = words.filter(F.col("w") != START).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
-    bigrams = _both(bigram_counts(target), bigram_counts(background), "p", "w")
-    return Models(words, bigrams, background, *total)
+def train(target: DataFrame, background: DataFrame, bits: int = BITS, slice_words: int = SLICE_WORDS, shard_words: int = SHARD_WORDS) -> Models:
+    """Both models from all of both corpora (DataFrames with a text column). ``bits`` are those of a key within its shard."""
+    size = sum(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for df in (target, background))
+    shards = max(1, -(-size // (WORD_BYTES * shard_words)))
+    keys = Keys(min(64, bits + (shards - 1).bit_length()), shards)
+    own = sliced(background, keys, BACKGROUND, slice_words)
+    slices = sliced(target.select("text"), keys, TARGET, slice_words).drop("ids").unionByName(own.drop("ids"))
+    totals = dict(slices.groupBy("role").agg(F.sum("total")).collect())  # at most two rows
+    return Models(slices, own, background, keys, totals.get(TARGET) or 0, totals.get(BACKGROUND) or 0, slice_words)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss and score of every document.
-
-    Equal texts are summed together, which leaves their means as they are.
-    """
-    bigrams = models.bigrams
-    if docs is not models.background:  # which may not have all of the documents' bigrams
-        none = F.lit(0).cast("long")
-        more = bigram_counts(docs).select("p", "w", none.alias("n"), none.alias("m"))
-        bigrams = bigrams.unionByName(more).groupBy("p", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    met = _document_bigrams(docs).join(models.losses(bigrams), ["p", "w"])
-    names = ("target_loss", "background_loss")
-    means = met.groupBy("t").agg(*((F.sum(F.col("c") * F.col(x)) / F.sum("c")).alias(x) for x in names))
-    heads = docs.select("doc_id", word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("t"))
-    found = heads.join(means, "t", "left").select("doc_id", "n_words", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in names))
-    return found.withColumn("score", F.col("background_loss") - F.col("target_loss"))
+    """doc_id, n_words, target_loss, background_loss and score of every document."""
+    known = docs is models.source
+    own = models.background if known else sliced(docs, models.keys, ASKED, models.slice_words)
+    every = models.slices if known else models.slices.unionByName(own.drop("ids"))
+    found = answers(every, BACKGROUND if known else ASKED)
+    met = found.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    distinct = met - (1 if models.n + models.m else 0)  # without the start of a text
+    keys, n, m = models.keys, models.n, models.m
+    scale = n / m if n and m else 1.0
+
+    def loss(grams: Grams, totals: np.ndarray, size: int, scale: float) -> np.ndarray:
+        pair, word, context = (x * scale for x in grams.split(totals.astype(float)))
+        share = (word + FLOOR) / (size * scale + FLOOR * (distinct + 1))  # one more for words not met
+        return -np.log((pair + PRIOR * share) / (context + PRIOR))[grams.pair_of]
+
+    def run(_: tuple, slices: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, sizes = (slices[c].combine_chunks().flatten() for c in ("ids", "sizes"))
+        size = sizes.to_numpy(zero_copy_only=False)
+        codes = unpacked(slices["codes"][0].as_py()).astype(np.int64)
+        grams = Grams(keys, np.frombuffer(slices["words"][0].as_py(), np.uint64), codes, size)
+        order = np.argsort(replies["shard"].to_numpy())
+        totals = [np.concatenate([unpacked(column[int(k)].as_py()) for k in order]) for column in (replies["n"], replies["m"])]
+        text = np.repeat(np.arange(len(size)), size)
+        both = (loss(grams, totals[0], n, 1.0), loss(grams, totals[1], m, scale))
+        means = [np.bincount(text, weights=x, minlength=len(size)) / np.maximum(1, size) for x in both]
+        return pa.table({"doc_id": ids, "n_words": sizes, "target_loss": pa.array(means[0]), "background_loss": pa.array(means[1])})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    left = own.filter("shard IS NULL").select("slice", "ids", "sizes", "words", "codes").groupBy("slice")
+    right = found.filter("slice IS NOT NULL").select("slice", "shard", "n", "m").groupBy("slice")
+    scored = left.cogroup(right).applyInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("background_loss") - F.col("target_loss"))
