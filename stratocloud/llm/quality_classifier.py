@@ -116,10 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     p = first_by_hash(known, positives, seed)
     web = docs.select("doc_id").filter(fold_of(F.col("doc_id"), modulus) != held_out).withColumn("y", F.lit(0))
     u = first_by_hash(web, unlabelled, seed + 1).dropDuplicates(["doc_id"])
-    n = positives + unlabelled
     chosen = p.unionByName(u)
-    rows = texts_of(docs, chosen, n).select("y", "text").mapInArrow(_feature_rows, "y int, x array<double>")
-    rows = kept(rows).toPandas()  # at most 2 * n rows of about 150 numbers
+    rows = texts_of(docs, chosen).select("y", "text").mapInArrow(_feature_rows, "y int, x array<double>")
+    rows = kept(rows).toPandas()  # at most positives + unlabelled rows of about 150 numbers
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, N_FEATURES))
     y = rows["y"].to_numpy()
     if not (y == 1).any() or not (y == 0).any():
