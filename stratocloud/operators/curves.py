@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratocloud.operators.scenes import SCENE
+from stratocloud.operators.places import ranked_by_number
+from stratocloud.operators.scenes import SCENE, beside
 
 MOST_DEPTH = 16
 
@@ -123,7 +124,7 @@ def serialize(cells: DataFrame, depth: int, orders: Sequence[str] = ORDERS, key:
     df = with_codes(cells, depth, orders)
     for order in orders:
         name = order.replace("-", "_")
-        df = df.withColumn(f"place_{name}", (F.row_number().over(W.partitionBy(SCENE).orderBy(f"code_{name}", key)) - 1).cast("long"))
+        df = ranked_by_number(df, f"code_{name}", key, "_r").withColumn(f"place_{name}", F.col("_r") - 1).drop("_r")
     return df
 
 
@@ -132,7 +133,7 @@ def patches(places: DataFrame, size: int, place: str = "place") -> DataFrame:
 
     The last patch borrows the points that stand as far before the end of the patch before it; those rows are ``padded``.
     """
-    df = places.withColumn("_n", F.count("*").over(W.partitionBy(SCENE)))
+    df = beside(places, F.count("*").alias("_n"))
     short = F.when((F.col("_n") > size) & (F.pmod("_n", F.lit(size)) != 0), F.lit(size) - F.pmod("_n", F.lit(size))).otherwise(0)
     df = df.withColumn("_short", short)
     own = df.withColumn("patch", F.floor(F.col(place) / size)).withColumn("slot", F.col(place)).withColumn("padded", F.lit(False))

@@ -7,16 +7,17 @@ counts are summed in each task before they are shuffled.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import uniform
 from stratocloud.operators.affine import apply_z_up, z_up_rotation
+from stratocloud.operators.places import ranked_at_random
 from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.voxel import voxel_centroids
 
 XYZ = ("x", "y", "z")
 FLAT = 1e-8
+SLICES = 16  # of the points of a scene that candidate planes meet
 
 
 def plane_through(p: Column, q: Column, r: Column) -> Column:
@@ -54,29 +55,43 @@ def fit_planes(points: DataFrame, by: list[str] = [SCENE]) -> DataFrame:  # noqa
 
 
 def candidate_planes(points: DataFrame, n: int = 500, seed: int = 42, plane: int = 0, key: str = "pid") -> DataFrame:
-    """(scene_id, candidate, a, b, c, d) of ``n`` random triples of each scene; those on a line are left out.
+    """(scene_id, candidate, a, b, c, d) of ``n`` random triples of different points of each scene; those on a line are left out.
 
-    Each triple is three keyed draws of a place among the scene's points.
+    Points are numbered in a random order; each triple is three keyed draws of a number, the later ones from those still free.
+    Scenes of fewer than three points have none.
     """
-    order = W.partitionBy(SCENE).orderBy(key)
-    rows = points.withColumns({"_r": F.row_number().over(order) - 1, "_n": F.count("*").over(W.partitionBy(SCENE))})
-    scenes = points.groupBy(SCENE).agg(F.count("*").alias("n"))
-    draws = scenes.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
-    draws = draws.withColumn("_r", F.floor(uniform(seed, f"triple/{plane}", F.col(SCENE), F.col("candidate"), F.col("k")) * F.col("n")).cast("int"))
+    rows = ranked_at_random(points.select(SCENE, key, *XYZ), seed, "triple/order", key)
+    draws = points.groupBy(SCENE).agg(F.count("*").alias("n")).filter("n >= 3").withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    u = [uniform(seed, f"triple/{plane}", F.col(SCENE), F.col("candidate"), F.lit(k)) for k in range(3)]
+    draws = draws.withColumns({f"_u{k}": F.floor(u[k] * (F.col("n") - k)).cast("long") for k in range(3)})
+    one = F.col("_u0")
+    two = F.when(F.col("_u1") >= one, F.col("_u1") + 1).otherwise(F.col("_u1"))
+    draws = draws.withColumns({"_one": one, "_two": two})
+    low, high = F.least("_one", "_two"), F.greatest("_one", "_two")
+    three = F.when(F.col("_u2") >= low, F.col("_u2") + 1).otherwise(F.col("_u2"))
+    draws = draws.withColumn("_three", three).withColumn("_three", F.when(F.col("_three") >= high, F.col("_three") + 1).otherwise(F.col("_three")))
+    draws = draws.select(SCENE, "candidate", F.posexplode(F.array("_one", "_two", "_three")).alias("k", "_r")).withColumn("_r", F.col("_r") + 1)
     picked = draws.join(rows.select(SCENE, "_r", *XYZ), [SCENE, "_r"])
     triples = picked.groupBy(SCENE, "candidate").agg(*(F.max(F.when(F.col("k") == k, F.struct(*XYZ))).alias(f"p{k}") for k in range(3)))
     return triples.withColumn("_p", plane_through(F.col("p0"), F.col("p1"), F.col("p2"))).filter("_p IS NOT NULL").select(SCENE, "candidate", "_p.*")
 
 
 def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least: int = 50, seed: int = 42, plane: int = 0) -> DataFrame:
-    """(scene_id, candidate, a, b, c, d, inliers): the candidate with most points within the threshold, the first of equals."""
-    threshold = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    planes = candidate_planes(points, n, seed, plane).groupBy(SCENE).agg(F.collect_list(F.struct("candidate", *"abcd")).alias("_p"))
-    met = points.select(SCENE, *XYZ).join(planes, SCENE).withColumn("_p", F.explode("_p")).select(SCENE, *XYZ, "_p.*")
-    near = plane_distance(*map(F.col, "abcd")) <= threshold
-    scored = met.groupBy(SCENE, "candidate").agg(F.sum(near.cast("long")).alias("inliers"), *(F.first(c).alias(c) for c in "abcd"))
-    top = scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(F.min_by(F.struct("candidate", *"abcd", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b"))
-    return top.select(SCENE, "_b.*")
+    """(scene_id, candidate, a, b, c, d, inliers): the candidate with most points within the threshold, the first of equals.
+
+    A scene's candidates travel as one array (of at most ``n``), once for each slice of its points; a point gives a row for each
+    candidate that it lies in, and these are counted in its task before they are shuffled. ``threshold`` may be a column of ``points``.
+    """
+    points = points.withColumn("_t", F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold)
+    candidates = settled(candidate_planes(points, n, seed, plane))
+    slices = F.explode(F.array(*map(F.lit, range(SLICES)))).alias("_slice")
+    planes = candidates.groupBy(SCENE).agg(F.collect_list(F.struct("candidate", *"abcd")).alias("_p")).select(SCENE, "_p", slices)
+    rows = points.select(SCENE, *XYZ, "_t", F.pmod(F.xxhash64("pid"), F.lit(SLICES)).cast("int").alias("_slice")).join(planes, [SCENE, "_slice"])
+    inside = F.filter("_p", lambda p: plane_distance(p["a"], p["b"], p["c"], p["d"]) <= F.col("_t"))
+    scored = rows.select(SCENE, F.explode(F.transform(inside, lambda p: p["candidate"])).alias("candidate")).groupBy(SCENE, "candidate").agg(F.count("*").alias("inliers"))
+    best = F.min_by(F.struct("candidate", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b")
+    top = scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(best).select(SCENE, "_b.*")
+    return top.join(candidates, [SCENE, "candidate"]).select(SCENE, "candidate", *"abcd", "inliers")
 
 
 def detect_planes(points: DataFrame, threshold: float, planes: int = 2, n: int = 500, least: int = 50, stop: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -9,24 +9,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash, uniform
+from stratocloud.operators.places import numbered, ranked_at_random, ranked_by_distance
 from stratocloud.operators.scenes import SCENE, beside
 
 
-def by_hash(seed: int, name: str, by: str | Sequence[str] = SCENE, key: str = "pid"):
-    """A window in the random order of a scene's points."""
-    by = [by] if isinstance(by, str) else list(by)
-    return W.partitionBy(*by).orderBy(key_hash(seed, name, F.col(SCENE), F.col(key)), key)
-
-
 def keep_random(points: DataFrame, target: Column, seed: int, name: str, key: str = "pid") -> DataFrame:
     """``target`` random points of each scene."""
-    return points.withColumn("_r", F.row_number().over(by_hash(seed, name, key=key))).filter(F.col("_r") <= target).select(*points.columns)
+    return ranked_at_random(points, seed, name, key, most=target).select(*points.columns)
 
 
 def random_dropout(points: DataFrame, ratio: float = 0.2, application_ratio: float = 0.5, seed: int = 42, key: str = "pid", forced: Column | None = None) -> DataFrame:
     """Keeps the whole part of n (1 - ratio) points of a share of the scenes; ``forced`` points always stay."""
     on = uniform(seed, "dropout/p", F.col(SCENE)) < application_ratio
-    df = beside(points, F.count("*").alias("_n")).withColumn("_r", F.row_number().over(by_hash(seed, "dropout", key=key)))
+    df = ranked_at_random(beside(points, F.count("*").alias("_n")), seed, "dropout", key)
     stay = ~on | (F.col("_r") <= F.floor(F.col("_n") * F.lit(1 - ratio)))
     return df.filter(stay | forced if forced is not None else stay).select(*points.columns)
 
@@ -43,27 +38,27 @@ def scene_center(points: DataFrame, mode: str, seed: int = 42, key: str = "pid")
         return points.groupBy(SCENE).agg(best.alias("c")).select(SCENE, *(F.col(f"c.{c}").alias(f"c{c}") for c in "xyz"))
     if mode != "center":
         raise ValueError(f"unknown crop mode {mode!r}")
-    df = beside(points, F.count("*").alias("_n")).withColumn("_r", F.row_number().over(W.partitionBy(SCENE).orderBy(key)) - 1)
-    return df.filter(F.col("_r") == F.floor(F.col("_n") / 2)).select(SCENE, *(F.col(c).alias(f"c{c}") for c in "xyz"))
+    df = numbered(points.select(SCENE, key, *"xyz"), SCENE, key)
+    middle = df.groupBy(SCENE).agg((F.min("_place") + F.floor(F.count("*") / 2)).alias("_place"))
+    return df.join(middle, [SCENE, "_place"]).select(SCENE, *(F.col(c).alias(f"c{c}") for c in "xyz"))
 
 
 def sphere_crop(points: DataFrame, point_max: int | None = 80_000, sample_rate: float | None = None, mode: str = "random", seed: int = 42, key: str = "pid") -> DataFrame:
     """The points nearest to a centre, at most ``point_max`` (or a share of the scene)."""
     df = beside(points, F.count("*").alias("_n")).join(scene_center(points, mode, seed, key), SCENE)
     most = F.floor(F.col("_n") * F.lit(sample_rate)) if sample_rate is not None else F.lit(point_max)
-    near = W.partitionBy(SCENE).orderBy(squared_distance(*(F.col(f"c{c}") for c in "xyz")), key)
-    return df.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= most).select(*points.columns)
+    apart = squared_distance(*(F.col(f"c{c}") for c in "xyz"))
+    return ranked_by_distance(df, apart, key, most).select(*points.columns)
 
 
 def nearest_to(points: DataFrame, at: Sequence[float], k: int, key: str = "pid") -> DataFrame:
     """The k points of each scene nearest to a place, with their rank."""
-    near = W.partitionBy(SCENE).orderBy(squared_distance(*map(F.lit, map(float, at))), key)
-    return points.withColumn("rank", F.row_number().over(near).cast("long")).filter(F.col("rank") <= k)
+    return ranked_by_distance(points, squared_distance(*map(F.lit, map(float, at))), key, F.lit(k)).withColumnRenamed("_r", "rank")
 
 
 def shuffle_points(points: DataFrame, seed: int = 42, key: str = "pid") -> DataFrame:
     """A random place for each point of a scene."""
-    return points.withColumn("place", F.row_number().over(by_hash(seed, "shuffle", key=key)).cast("long"))
+    return ranked_at_random(points, seed, "shuffle", key).withColumnRenamed("_r", "place")
 
 
 def crop_boundary(points: DataFrame, segments: Sequence[int] = (0, 1)) -> DataFrame:
@@ -87,7 +82,7 @@ def adjust_density(points: DataFrame, target: float, ratio: float = 1.5, most: i
     wanted = F.greatest(F.coalesce(F.col("_n") * F.try_divide(F.lit(target), density), F.col("_n")).cast("long"), F.lit(least))
     wanted = F.least(F.greatest(wanted, F.floor(F.col("_n") * 0.7)), F.floor(F.col("_n") * 1.3))
     goal = F.when((density > target * ratio) | (F.col("_n") > most), wanted).otherwise(F.col("_n"))
-    df = df.withColumn("_goal", goal).withColumn("_r", F.row_number().over(by_hash(seed, "density", key=key)))
+    df = ranked_at_random(df.withColumn("_goal", goal), seed, "density", key)
     again = F.when(F.col("_r") <= F.col("_goal") - F.col("_n"), 2).otherwise(1)
     df = df.filter(F.col("_r") <= F.col("_goal")).withColumn("copy", F.explode(F.sequence(F.lit(0), again - 1)))
     return df.select(*points.columns, "copy")
@@ -111,12 +106,17 @@ def skip_existing(work: DataFrame, done: DataFrame, key: str = "video_id") -> Da
 
 def shard(rows: DataFrame, n: int, order: str) -> DataFrame:
     """Round robin: ``shard`` of the i-th row is i mod n."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(W.orderBy(order)) - 1, F.lit(n)).cast("long"))
+    return numbered(rows, order).withColumn("shard", F.pmod("_place", F.lit(n)).cast("long")).drop("_place")
 
 
 def split_evenly(rows: DataFrame, n: int, order: str) -> DataFrame:
     """Contiguous parts whose sizes differ by one at most, the larger first."""
-    return rows.withColumn("part", (F.ntile(n).over(W.orderBy(order)) - 1).cast("long"))
+    df = numbered(rows, order)
+    size = df.count()
+    each, more = divmod(size, n)  # the first ``more`` parts have one row more
+    late = F.lit(more) + F.floor((F.col("_place") - more * (each + 1)) / F.lit(max(1, each)))
+    part = F.when(F.col("_place") < more * (each + 1), F.floor(F.col("_place") / F.lit(each + 1))).otherwise(late)
+    return df.withColumn("part", part.cast("long")).drop("_place")
 
 
 def longest(clips: DataFrame, n: int, duration: str = "n_frames", key: str = "clip_id") -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash, uniform
+from stratocloud.operators.places import ranked_by_distance
 from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.select import squared_distance
 
@@ -15,8 +15,8 @@ def _crop(points: DataFrame, centers: DataFrame, scale: tuple[float, float], mos
     """The points nearest to each scene's centre: a uniform share of the smaller of ``most`` and its points."""
     size = F.floor(uniform(seed, f"{name}/size", F.col(SCENE), low=scale[0], high=scale[1]) * F.least(F.lit(most), F.col("_n")))
     df = beside(points, F.count("*").alias("_n")).join(centers, SCENE)
-    near = W.partitionBy(SCENE).orderBy(squared_distance(*(F.col(f"c{c}") for c in "xyz")), "pid")
-    return df.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= F.greatest(F.lit(1), size)).select(*points.columns).withColumn("view", F.lit(name))
+    apart = squared_distance(*(F.col(f"c{c}") for c in "xyz"))
+    return ranked_by_distance(df, apart, most=F.greatest(F.lit(1), size)).select(*points.columns).withColumn("view", F.lit(name))
 
 
 def _one(points: DataFrame, name: str, seed: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash
 from stratocloud.operators.scenes import SCENE, beside
-from stratocloud.operators.select import by_hash
+from stratocloud.operators.places import ranked_at_random
+from stratocloud.operators.select import keep_random
 
 CELL = ("gx", "gy", "gz")
 XYZ = ("x", "y", "z")
@@ -91,8 +92,7 @@ def spatial_sample(points: DataFrame, size: float, target: int, seed: int = 42,
     df = with_cells(points, size, "min")
     first = df.groupBy(SCENE, *CELL).agg(F.min(key).alias(key)).select(SCENE, key, F.lit(0).alias("_late"))
     df = points.join(first, [SCENE, key], "left").withColumn("_late", F.coalesce("_late", F.lit(1)))
-    order = W.partitionBy(SCENE).orderBy("_late", key_hash(seed, "spatial", F.col(SCENE), F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= target).select(*points.columns)
+    return ranked_at_random(df, seed, "spatial", key, late="_late", most=F.lit(target)).select(*points.columns)
 
 
 def spacing_sample(points: DataFrame, median: float, target: int, seed: int = 42, key: str = "pid") -> DataFrame:
@@ -179,4 +179,4 @@ def scene_boxes(points: DataFrame) -> DataFrame:
 
 def random_points(points: DataFrame, n: int, seed: int = 42, name: str = "sample", key: str = "pid") -> DataFrame:
     """At most ``n`` random points of each scene."""
-    return points.withColumn("_r", F.row_number().over(by_hash(seed, name, key=key))).filter(F.col("_r") <= n).drop("_r")
+    return keep_random(points, F.lit(n), seed, name, key)

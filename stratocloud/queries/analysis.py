@@ -20,8 +20,11 @@ def _features(spark, sf_dir):
 
 # ---------------------------------------------------------------- planes
 
-_CAND = f"""o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY pid) - 1 AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM points),
-w AS (SELECT scene_id, c AS candidate, j, floor({uniform_sql('triple/0', 'scene_id', 'c', 'j')} * n)::INT AS k FROM (SELECT DISTINCT scene_id, n FROM o), range(0, 20) AS a(c), range(0, 3) AS b(j)),
+_U3 = lambda j: f"floor({uniform_sql('triple/0', 'scene_id', 'c', str(j))} * (n - {j}))::BIGINT"
+_CAND = f"""o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {key_sql('triple/order', 'scene_id', 'pid')}, pid) - 1 AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM points),
+w0 AS (SELECT scene_id, c AS candidate, {_U3(0)} AS a, {_U3(1)} AS b, {_U3(2)} AS d FROM (SELECT DISTINCT scene_id, n FROM o WHERE n >= 3), range(0, 20) AS a(c)),
+w1 AS (SELECT * EXCLUDE (b), CASE WHEN b >= a THEN b + 1 ELSE b END AS b FROM w0), w2 AS (SELECT * EXCLUDE (d), CASE WHEN d >= least(a, b) THEN d + 1 ELSE d END AS d FROM w1),
+w3 AS (SELECT * EXCLUDE (d), CASE WHEN d >= greatest(a, b) THEN d + 1 ELSE d END AS d FROM w2), w AS (SELECT scene_id, candidate, j, [a, b, d][j + 1] AS k FROM w3, range(0, 3) AS b(j)),
 t AS (SELECT w.scene_id, candidate, max(CASE WHEN j = 0 THEN x END) AS px, max(CASE WHEN j = 0 THEN y END) AS py, max(CASE WHEN j = 0 THEN z END) AS pz,
   max(CASE WHEN j = 1 THEN x END) - px AS ux, max(CASE WHEN j = 1 THEN y END) - py AS uy, max(CASE WHEN j = 1 THEN z END) - pz AS uz,
   max(CASE WHEN j = 2 THEN x END) - px AS vx, max(CASE WHEN j = 2 THEN y END) - py AS vy, max(CASE WHEN j = 2 THEN z END) - pz AS vz FROM w JOIN o ON w.scene_id = o.scene_id AND w.k = o.k GROUP BY ALL),
