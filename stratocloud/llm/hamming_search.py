@@ -7,8 +7,8 @@ segment: once segments 0..j have been searched to radius s and the others to s-1
 m*s + j differing bits has been met, so a query is done when its kth verified distance is at most that.
 Each shard gives its k nearest codes for each query, and the k nearest of those are the answer.
 
-Equal codes are searched once, with their k smallest ids (a larger id cannot be among the nearest k,
-because ties go to smaller ids), and equal query codes are searched once.
+Equal codes are searched once (their k smallest ids, as a larger one cannot be among the nearest k, are joined to what is found;
+tasks know only the first and how many there are), and equal query codes are searched once.
 
 Edge cases: a null vector has no code: as a row of the index it is skipped, as a query it has no
 result. A code's bit j is 1 if component j is above zero; missing, null and NaN components give 0, and those
@@ -32,6 +32,7 @@ from stratocloud.llm.common import kept
 BITS = 64
 K = 10
 SHARD = 1_000_000
+LEAST_SHARD = 5_000  # codes; small tables are dealt over the cores as far as that allows
 BLOCK = 100_000
 
 
@@ -99,17 +100,17 @@ class MultiIndex:
 
 def _searcher(k: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"code": [], "id": [], "distance": []}
+        asked, found, apart = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(index) and len(queries):
-            codes, copies = index["code"].to_numpy(), index["ids"].map(len).to_numpy()
-            ids, tables = index["ids"].tolist(), MultiIndex(codes)
+            codes, copies, first = (index[c].to_numpy() for c in ("code", "n", "first"))
+            tables = MultiIndex(codes)
             for q in queries["code"].tolist():
                 rows, dist = tables.search(q, k, copies)
-                best = sorted((d, i) for r, d in zip(rows.tolist(), dist.tolist()) for i in ids[r])[:k]
-                out["code"] += [q] * len(best)
-                out["id"] += [i for _, i in best]
-                out["distance"] += [d for d, _ in best]
-        return pd.DataFrame(out).astype({"code": "int64", "id": "int64", "distance": "int64"})
+                best = np.lexsort((first[rows], dist))[:k]  # a code behind k others, by distance and first id, has none of the k nearest ids
+                asked.append(np.full(len(best), q))
+                found.append(codes[rows[best]])
+                apart.append(dist[best])
+        return pd.DataFrame({"code": np.concatenate(asked), "found": np.concatenate(found), "distance": np.concatenate(apart)})
 
     return run
 
@@ -125,13 +126,15 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD,
     codes = kept(ids.groupBy("code").agg(F.collect_list("id").alias("ids")))
     wanted = kept(queries.filter("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").cast("long").alias("query_id"), "code"))
     asked = kept(wanted.select("code").distinct())
-    n_shards = max(1, -(-codes.count() // shard))
+    n = codes.count()
+    n_shards = max(1, -(-n // shard), min(index.sparkSession.sparkContext.defaultParallelism, n // LEAST_SHARD))
     n_blocks = max(1, -(-asked.count() // block))
     dealt = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = codes.select("code", "ids", dealt(1, n_shards).alias("shard"), every(n_blocks).alias("block"))
+    left = codes.select("code", F.size("ids").alias("n"), F.array_min("ids").alias("first"), dealt(1, n_shards).alias("shard"), every(n_blocks).alias("block"))
     right = asked.select("code", every(n_shards).alias("shard"), dealt(2, n_blocks).alias("block"))
-    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_searcher(k), "code bigint, id bigint, distance bigint")
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_searcher(k), "code bigint, found bigint, distance bigint")
+    near = near.join(codes.select(F.col("code").alias("found"), "ids"), "found").select("code", "distance", F.explode("ids").alias("id"))
     best = W.partitionBy("code").orderBy("distance", "id")
     near = near.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
     return wanted.join(near, "code").select("query_id", "id", "distance", "rank")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratocloud.llm.common import kept, word_count
+from stratocloud.llm.common import fresh, kept, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -36,7 +36,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     The water level solves sum(min(cap * size, level * weight)) = share * total: with sources in
     order of the level at which they fill up, it is the first level that does not fill the
     next source, and later levels are lower. The
-    windows here run over the table of sources, which has a row for each distinct source only.
+    windows here run over the table of sources in one task. It has a row of some fifty bytes for each distinct source: tens of millions
+    of sources (hosts, say) fit; beyond that sources should be grouped first.
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").cast("long").alias("source_size"))
     order = W.orderBy(F.col("source").isNull(), F.col("source"))
@@ -97,8 +98,9 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     A row without words appears once. The texts are not shuffled with the running totals but joined by id; rows that share an
     id share their words taken.
     """
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.try_divide(F.col("_taken"), F.col("_size")) + 0.5))
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    own, taken, size, copy = fresh(docs, "_id", "_taken", "_size", "_copy")
+    mixed = mix(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.sum("taken").alias(taken), F.sum("size").alias(size))
+    copies = F.when(F.col(size) == 0, 1).otherwise(F.floor(F.try_divide(F.col(taken), F.col(size)) + 0.5))
+    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col(own)))
     each = F.explode(F.sequence(F.lit(1), copies.cast("int")))
-    return joined.filter(copies >= 1).withColumn("_copy", each).drop("_taken", "_size", "_id", "_copy")
+    return joined.filter(copies >= 1).withColumn(copy, each).select(*(docs[c] for c in docs.columns))

@@ -13,6 +13,7 @@ An empty table gives no pieces. Extra columns are ignored. Texts of any length a
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -48,6 +49,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: The steps before the model in the vocabulary files whose words can be tokenized one by one. Text of other files
+#: goes through the library's tokenizer whole.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class _Pieces(dict):
     """Token ids of the pieces that the pattern leaves, found when first asked for."""
 
@@ -64,14 +85,17 @@ class _Pieces(dict):
 class WordTokenizer:
     """Token ids of many texts, with each distinct word tokenized once.
 
-    The tokenizer drops white space and no token of it spans any, so a text's ids are those of its
-    words one after the other.
+    Where the tokenizer drops white space and no token of it spans any, a text's ids are those of its
+    words one after the other. A file with other steps than those known to do so is used as it is, text by text.
     """
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
         self.full.no_padding()
         self.full.no_truncation()
+        spec = json.loads(self.full.to_str())
+        whole = all("<|" in t["content"] for t in spec["added_tokens"]) and spec["post_processor"] is None
+        self.by_word = whole and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
         self.pieces = _Pieces(self.full.model)
         self.words: dict[bytes, list[int]] = {}
 
@@ -96,6 +120,10 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, ``end`` after each text, and the number of ids of each text."""
+        if not self.by_word:
+            found = self.full.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            lists = [[*e.ids, end] for e in found]
+            return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         words: list[bytes] = []
         sizes = np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):

@@ -126,9 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     return fit(x[y == 1], x[y == 0])
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with a score from 0 to 1; a column ``score`` that they have is replaced."""
-    docs = docs.drop("score")
+def score_quality(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """All columns of ``docs`` with a score from 0 to 1; a column of that name that they have is replaced."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at_text = names.index("text")
@@ -137,10 +137,10 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at, texts in _slices(batch.column(at_text)):
                 score = shared.value.score(np.stack([features(t) for t in texts]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, pa.array(score)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, pa.array(score)], [*names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{column}` double")
 
 
 def classify_quality(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:

@@ -79,19 +79,24 @@ WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLES: dict[str, str] = {
     "op4_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS words FROM documents),
-lines AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+lines AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[\x20\x09]*[-*•]')) AS n_bullet_lines
   FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
 pos AS (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5),
 win AS (SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(words[i:i+4], ' ')) AS n FROM pos),
 cov AS (SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM win, range(0, 5) AS r(k) WHERE n > 1 GROUP BY id),
 m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
-    coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(words, lambda w: w IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) AS n_stop_words
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bullet_lines, 0) AS n_bullet_lines, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters,
+    len(list_filter(regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'), '[^\x20\x09-\x0D]+'),
+      lambda w: w IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) AS n_stop_words,
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_echoes
   FROM d LEFT JOIN lines USING (id) LEFT JOIN cov USING (id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars::DOUBLE >= 2.0::DOUBLE * n_words AND word_chars::DOUBLE <= 20.0::DOUBLE * n_words AND n_symbols::DOUBLE <= 0.1::DOUBLE * n_words
-  AND n_stop_words::DOUBLE >= 0.005::DOUBLE * n_words AND n_dup_lines::DOUBLE <= 0.5::DOUBLE * n_lines AS kept FROM b""",
+  NOT base_failed AND n_words BETWEEN 10 AND 1000000 AND word_chars::DOUBLE >= 2.0::DOUBLE * n_words AND word_chars::DOUBLE <= 20.0::DOUBLE * n_words
+  AND n_letters::DOUBLE >= 0.5::DOUBLE * word_chars AND n_symbols::DOUBLE <= 0.1::DOUBLE * n_words AND n_stop_words::DOUBLE >= 0.02::DOUBLE * n_words
+  AND n_echoes::DOUBLE <= 0.2::DOUBLE * n_words AND n_words::DOUBLE >= 1.5::DOUBLE * n_lines AND n_dup_lines::DOUBLE <= 0.5::DOUBLE * n_lines
+  AND n_bullet_lines::DOUBLE <= 0.9::DOUBLE * n_lines AS kept FROM b""",
     "op5_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS_SQL} AS words FROM documents),
 pos AS (SELECT id, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50 AND doc_id IS NOT NULL),
@@ -119,10 +124,10 @@ d AS (SELECT q.id AS query_id, v.id, list_sum(list_transform(range(1, 65), lambd
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
 SELECT query_id, id, distance, rank FROM r WHERE rank <= 10""",
     "op8_url_filter": """
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH p AS (SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS t(verdict, rule_host, rule_path)),
-f AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS rank
+f AS (SELECT p.page_id, host, path, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY p.id ORDER BY len(string_split(rule_host, '.')) DESC NULLS LAST, length(rule_path) DESC, verdict DESC) AS rank
   FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE rank = 1""",
 }

@@ -7,7 +7,8 @@ thirteen windows. Tasks send the sketch cells of their documents; cells are merg
 shard to one bit each (two documents or more) and the bits are broadcast. Their number follows the input up to
 ``max_cells``; a fuller sketch only lets more windows through.
 
-Second pass: windows whose cells are all set are grouped exactly, by 128-bit hashes of their words. Neighbouring
+Second pass: windows whose cells are all set are grouped by 96 bits of hashes of their words (among 10^13 different windows the
+odds are 1 in 1,600 that any two are taken for each other) and runs by 128. Neighbouring
 windows that share their least gram travel together as a run. Equal runs are first merged to one row
 with the least document id; only where a gram has several different runs are their windows told apart, each
 with the least id of the runs that hold it. A window is removed if its document's id is larger than that.
@@ -29,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.llm.common import kept
@@ -41,6 +43,7 @@ CELLS_PER_BYTE = 0.2  # cells of each row of the sketch for each byte of text: a
 MAX_CELLS = 1 << 28  # of each row of the sketch: 32 MB of bits
 SHARD_CELLS = 1 << 20
 LONGEST_RUN = 4096
+SALTS = 16  # tasks over which the runs that hold one window are spread
 SLICE_BYTES = 2 << 20  # of text at once; hashing needs some forty times as much memory
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so powers can be inverted modulo 2^64
@@ -261,9 +264,13 @@ def _least_ids(runs: DataFrame) -> DataFrame:
     alone = per.join(groups.filter("k = 1").select("gram"), "gram").select(*key, F.array("low").alias("least"))
     apart = kept(per.join(groups.filter("k > 1").select("gram"), "gram").select("run", *key, "low", "h1", "h2"))
     each = apart.select("run", "low", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("run", F.col("at").cast("smallint").alias("at"), "low", "h.h1", "h.h2")
+    # A window may be in very many runs: these are dealt by a salt, and a window's least id is taken to each of its salts.
     # A window that a single distinct run holds needs no word from others: its run's least id is its own.
-    lows = each.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    lower = each.join(lows, ["h1", "h2"]).filter("least < low").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("m"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("tinyint"))
+    parts = each.groupBy("h1", "h2", "salt").agg(F.min("low").alias("least"), F.count("*").alias("k"))
+    window = W.partitionBy("h1", "h2")  # at most SALTS rows
+    lows = parts.select("h1", "h2", "salt", F.min("least").over(window).alias("least"), F.sum("k").over(window).alias("k")).filter("k > 1").drop("k")
+    lower = each.join(lows, ["h1", "h2", "salt"]).filter("least < low").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("m"))
     told = apart.select("run", *key, "low", F.size("h1").alias("n")).join(lower, "run", "left")
     of = lambda i: F.coalesce(F.try_element_at("m", i.cast("smallint")), F.col("low"))
     least = F.when(F.col("m").isNull(), F.array("low")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), of))
