@@ -120,44 +120,55 @@ def iterate_spacing(points: DataFrame, target: float, rounds: int = 5, least: fl
     return _best(states, target).select(*points.columns)
 
 
+#: What two box blurs of width three make of a node's neighbours in one direction.
+BLUR = {-2: 1 / 9, -1: 2 / 9, 0: 3 / 9, 1: 2 / 9, 2: 1 / 9}
+
+
+def _noise_field(cells: DataFrame, seed: int, name: str) -> DataFrame:
+    """(scene_id, gx, gy, gz, ex, ey, ez): blurred noise at the corners of the occupied ``cells``.
+
+    Each node's noise is drawn once and blurred axis by axis; beyond the grid (one node before the least cell to three behind the
+    largest) noise is 0.
+    """
+    place = [SCENE, *(f"g{c}" for c in XYZ)]
+    extent = cells.groupBy(SCENE).agg(*(F.max(f"g{c}").alias(f"_m{c}") for c in XYZ))
+    nodes = cells.select(*place).distinct()
+    for c in XYZ:  # the corners of a cell and two nodes on each side of them
+        nodes = nodes.withColumn("_d", F.explode(F.array(*map(F.lit, range(-2, 4))))).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_d")).drop("_d").distinct()
+    inside = F.lit(True)
+    for c in XYZ:
+        inside = inside & (F.col(f"g{c}") >= -1) & (F.col(f"g{c}") <= F.col(f"_m{c}") + 2)
+    field = nodes.join(extent, SCENE).filter(inside)
+    field = field.select(*place, *(normal(seed, f"{name}/{c}", *map(F.col, place)).alias(f"e{c}") for c in XYZ))
+    for c in XYZ:
+        step = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in BLUR.items())))
+        spread = field.withColumn("_s", step).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_s.d"))
+        field = spread.groupBy(*place).agg(*(F.sum(F.col("_s.w") * F.col(f"e{v}")).alias(f"e{v}") for v in XYZ))
+    return field
+
+
 def elastic_distortion(points: DataFrame, steps=((0.2, 0.4), (0.8, 1.6)), p: float = 0.95, seed: int = 42) -> DataFrame:
     """Moves points by smoothed noise on a grid, for each (cell size, magnitude).
 
-    Noise is a function of the grid node, so nodes are made only where points are: each cell asks for its 8 corners and each
-    corner averages the noise of the 5 x 5 x 5 nodes around it (two box blurs of width three; beyond the grid noise is 0).
+    Noise is a function of the grid node, so nodes are made only where points are. A point moves by what the eight corners of its cell
+    say, each by how near it is.
     """
     df = points
     on = uniform(seed, "elastic/p", F.col(SCENE)) < p
+    place = [SCENE, *(f"g{c}" for c in XYZ)]
     for k, (size, magnitude) in enumerate(steps):
         cells = with_cells(df, size, "min")
-        extent = cells.groupBy(SCENE).agg(*((F.max(f"g{c}") + 3).alias(f"_n{c}") for c in XYZ))
+        field = _noise_field(cells, seed, f"elastic/{k}")
         low = df.groupBy(SCENE).agg(*(F.min(c).alias(f"_lo{c}") for c in XYZ))
-        corner = lambda w: F.explode(F.array(*(F.lit(i) for i in range(w))))
-        corners = cells.select(SCENE, "gx", "gy", "gz").distinct()
-        for c in XYZ:
-            corners = corners.withColumn("_i", corner(2)).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_i")).drop("_i")
-        corners = corners.distinct()
-        weights = {0: 3 / 9, 1: 2 / 9, 2: 1 / 9}
-        around = corners
-        for c in XYZ:
-            around = around.withColumn(f"_d{c}", F.explode(F.array(*(F.lit(i) for i in range(-2, 3)))))
-        around = around.join(extent, SCENE)
-        inside, weight = F.lit(True), F.lit(1.0)
-        for c in XYZ:
-            at = F.col(f"g{c}") + F.col(f"_d{c}") + 1
-            inside = inside & (at >= 0) & (at < F.col(f"_n{c}") + 1)
-            weight = weight * F.get(F.array(*(F.lit(weights[abs(i)]) for i in range(-2, 3))), F.col(f"_d{c}") + 2)
-        node = [F.col(f"g{c}") + F.col(f"_d{c}") for c in XYZ]
-        noise = {c: F.sum(weight * normal(seed, f"elastic/{k}/{c}", F.col(SCENE), *node)).alias(f"_e{c}") for c in XYZ}
-        field = around.filter(inside).groupBy(SCENE, "gx", "gy", "gz").agg(*noise.values())
-        asked = cells.join(low, SCENE)
-        share = {c: (F.col(c) - F.col(f"_lo{c}")) / F.lit(size) - F.col(f"g{c}") for c in XYZ}
-        asked = asked.withColumns({f"_f{c}": v for c, v in share.items()}).select(SCENE, "pid", "gx", "gy", "gz", *(f"_f{c}" for c in XYZ))
+        share = {f"_f{c}": (F.col(c) - F.col(f"_lo{c}")) / F.lit(size) - F.col(f"g{c}") for c in XYZ}
+        asked = cells.join(low, SCENE).withColumns(share).select(*place, "pid", *share)
         for c in XYZ:
-            asked = asked.withColumn("_i", corner(2)).withColumn(f"_w{c}", F.when(F.col("_i") == 1, F.col(f"_f{c}")).otherwise(1 - F.col(f"_f{c}"))).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_i")).drop("_i")
+            side = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), w.alias("w")) for i, w in ((0, 1 - F.col(f"_f{c}")), (1, F.col(f"_f{c}"))))))
+            asked = asked.withColumn("_s", side).withColumns({f"_w{c}": F.col("_s.w"), f"g{c}": F.col(f"g{c}") + F.col("_s.i")}).drop("_s")
         w = F.col("_wx") * F.col("_wy") * F.col("_wz")
-        moves = asked.join(field, [SCENE, "gx", "gy", "gz"]).groupBy(SCENE, "pid").agg(*(F.sum(w * F.col(f"_e{c}")).alias(f"_m{c}") for c in XYZ))
-        df = df.join(moves, [SCENE, "pid"]).withColumns({c: F.when(on, F.col(c) + F.col(f"_m{c}") * magnitude).otherwise(F.col(c)) for c in XYZ}).select(*points.columns)
+        moves = asked.join(field, place).groupBy(SCENE, "pid").agg(*(F.sum(w * F.col(f"e{c}")).alias(f"_m{c}") for c in XYZ))
+        moved = {c: F.when(on, F.col(c) + F.col(f"_m{c}") * magnitude).otherwise(F.col(c)) for c in XYZ}
+        df = df.join(moves, [SCENE, "pid"]).withColumns(moved).select(*points.columns)
     return df
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import uniform
 from stratocloud.operators.affine import apply_z_up, z_up_rotation
+from stratocloud.operators.neighbors import plane_threshold, sampled_median_spacing
 from stratocloud.operators.places import ranked_at_random
 from stratocloud.operators.scenes import SCENE, beside, settled
-from stratocloud.operators.voxel import voxel_centroids
 
 XYZ = ("x", "y", "z")
 FLAT = 1e-8
@@ -94,8 +94,11 @@ def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least
     return top.join(candidates, [SCENE, "candidate"]).select(SCENE, "candidate", *"abcd", "inliers")
 
 
-def detect_planes(points: DataFrame, threshold: float, planes: int = 2, n: int = 500, least: int = 50, stop: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(planes refitted to their points, points with ``plane``: -1 if in none). Planes are taken off one after the other; scenes with under ``stop`` points left are done."""
+def detect_planes(points: DataFrame, threshold: Column | float, planes: int = 2, n: int = 500, least: int = 50, stop: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(planes refitted to their points, points with ``plane``: -1 if in none). Planes are taken off one after the other; scenes with under ``stop`` points left are done.
+
+    ``threshold`` may be a column of ``points``.
+    """
     left, inside, fits = points, None, None
     for k in range(planes):
         many = settled(beside(left, F.count("*").alias("_m")).filter(F.col("_m") >= stop).drop("_m"))
@@ -116,25 +119,52 @@ def ground_scores(members: DataFrame, planes: DataFrame) -> DataFrame:
     return df.withColumn("score", score)
 
 
-def align_z_up(points: DataFrame, cell: float = 0.2, threshold: float = 0.1, seed: int = 42) -> DataFrame:
-    """Turns each scene so that its floor is level, below the rest and at height 0.
+def cell_means(points: DataFrame, size: DataFrame) -> DataFrame:
+    """The mean of the points of each cell, as scene_id, pid, x, y, z; ``size`` has scene_id and cell. Cells start at the scene's least coordinates."""
+    df = beside(points.select(SCENE, *XYZ), *(F.min(c).alias(f"_lo{c}") for c in XYZ)).join(size.select(SCENE, "cell"), SCENE)
+    cells = [F.floor((F.col(c) - F.col(f"_lo{c}")) / F.col("cell")).alias(f"g{c}") for c in XYZ]
+    means = df.groupBy(SCENE, *cells).agg(*(F.avg(c).alias(c) for c in XYZ))
+    return means.select(SCENE, F.concat_ws("-", *(f"g{c}" for c in XYZ)).alias("pid"), *XYZ)
+
+
+def align_z_up(points: DataFrame, cell: float | None = None, threshold: float | None = None, seed: int = 42, n: int = 500) -> DataFrame:
+    """Turns each scene so that its floor is level, below the rest, and its lowest point at height 0; the origin comes to lie on the floor.
 
-    Planes are sought among cell means. The best one's normal is turned over if the evidence (floor below the middle 1, more points
-    below than above 1, normal pointing down 0.5) comes to 1.5 or more. Scenes without a plane go to their middle, turned by their direction of
-    least spread.
+    Planes are sought among cell means; without ``cell`` a cell is four times the median spacing (of 10,000 points at most), within 0.01 and
+    0.2. Without ``threshold`` it is ``plane_threshold``'s, of the means for the search and of the points for the floor. The best plane's normal
+    is turned over if the evidence (the points' middle below the floor's 1, more points below than above 1, normal pointing down 0.5) comes to
+    1.5 or more. Scenes without a plane go to their middle, turned by their direction of least spread. Normals are turned too.
     """
-    means = voxel_centroids(points, cell).withColumn("pid", F.concat_ws("-", "gx", "gy", "gz"))
-    planes, members = detect_planes(means, threshold, seed=seed)
-    best = settled(ground_scores(members, planes).groupBy(SCENE).agg(F.max_by(F.struct(*"abcd"), F.struct("score", -F.col("plane"))).alias("f")).select(SCENE, "f.*"))
-    scenes = points.groupBy(SCENE).agg(*(F.avg(c).alias(f"m{c}") for c in XYZ)).join(best, SCENE, "left")
+    points = settled(points)
+    every = points.select(SCENE).distinct()
+    if cell is None:
+        spacing = every.join(sampled_median_spacing(points, 10_000, seed), SCENE, "left")
+        size = spacing.select(SCENE, F.greatest(F.lit(0.01), F.least(F.coalesce(4 * F.col("median"), F.lit(0.01)), F.lit(0.2))).alias("cell"))
+    else:
+        size = every.withColumn("cell", F.lit(float(cell)))
+    means = settled(cell_means(points, settled(size)))
+    near = lambda df, seed: every.withColumn("threshold", F.lit(float(threshold))) if threshold is not None else plane_threshold(df, seed=seed)
+    planes, members = detect_planes(means.join(near(means, seed), SCENE), F.col("threshold"), n=n, seed=seed)
+    scored = ground_scores(members, planes).groupBy(SCENE)
+    best = settled(scored.agg(F.max_by(F.struct(*"abcd"), F.struct("score", -F.col("plane"))).alias("f")).select(SCENE, "f.*"))
     side = lambda p: F.col("a") * p[0] + F.col("b") * p[1] + F.col("c") * p[2] + F.col("d")
-    votes = points.select(SCENE, *XYZ).join(best, SCENE).groupBy(SCENE).agg(F.sum(F.signum(side([F.col(c) for c in XYZ]))).alias("_up"))
-    scenes = scenes.join(votes, SCENE, "left")
-    vote = F.when(side([F.col(f"m{c}") for c in XYZ]) < 0, 1.0).otherwise(0.0) + F.when(F.col("_up") < 0, 1.0).otherwise(0.0) + F.when(F.col("c") < 0, 0.5).otherwise(0.0)
+    own = F.struct(*XYZ)
+    on_floor = plane_distance(*map(F.col, "abcd")) < F.col("threshold")
+    rows = points.select(SCENE, "pid", *XYZ).join(best, SCENE).join(near(points, seed + 1), SCENE).withColumn("_on", on_floor)
+    rows = settled(rows.select(SCENE, "pid", "_on", F.signum(side([F.col(c) for c in XYZ])).alias("_side"), own.alias("_p")))
+    means_of = [F.avg(F.when(which, F.col(f"_p.{c}"))).alias(f"{m}{c}") for m, which in (("m", F.lit(True)), ("f", F.col("_on"))) for c in XYZ]
+    votes = rows.groupBy(SCENE).agg(F.sum("_side").alias("_up"), *means_of).join(best, SCENE)
+    lift = sum((F.col(v) * (F.col(f"m{c}") - F.col(f"f{c}")) for v, c in zip("bc", "yz")), F.col("a") * (F.col("mx") - F.col("fx")))
+    vote = F.when(lift < 0, 1.0).otherwise(0.0) + F.when(F.col("_up") < 0, 1.0).otherwise(0.0) + F.when(F.col("c") < 0, 0.5).otherwise(0.0)
     sign = F.when(vote >= 1.5, -1.0).otherwise(1.0)
-    spread = fit_planes(points.join(best, SCENE, "left_anti")).select(SCENE, *(F.col(c).alias(f"_{c}") for c in "abc"))
-    scenes = scenes.join(spread, SCENE, "left").withColumns({c: F.coalesce(sign * F.col(c), F.col(f"_{c}"), F.lit(1.0 if c == "c" else 0.0)) for c in "abc"})
-    turn = z_up_rotation(scenes).withColumns({f"t{c}": F.col(f"m{c}") for c in XYZ})
-    turned = apply_z_up(points, turn)
-    floor = beside(turned, F.min("z").alias("_lo")).join(best.select(SCENE, F.lit(True).alias("_f")), SCENE, "left")
-    return floor.withColumn("z", F.when(F.col("_f"), F.col("z") - F.col("_lo")).otherwise(F.col("z"))).select(*points.columns)
+    floors = votes.select(SCENE, *((sign * F.col(v)).alias(v) for v in "abcd"))
+    onto = {f"t{c}": -F.col("d") * F.col(v) for v, c in zip("abc", XYZ)}  # the floor's point nearest to the origin
+    loose = points.join(best, SCENE, "left_anti")
+    flat = fit_planes(loose).select(SCENE, *"abc")
+    middle = loose.groupBy(SCENE).agg(*(F.avg(c).alias(f"t{c}") for c in XYZ)).join(flat, SCENE, "left")
+    middle = middle.withColumns({v: F.coalesce(F.col(v), F.lit(1.0 if v == "c" else 0.0)) for v in "abc"})
+    columns = [SCENE, *"abc", *(f"t{c}" for c in XYZ)]
+    turn = z_up_rotation(floors.withColumns(onto).select(*columns).unionByName(middle.select(*columns)))
+    turned = settled(apply_z_up(points, turn))
+    lowest = turned.join(rows.filter("_on").select(SCENE, "pid"), [SCENE, "pid"], "left_semi").groupBy(SCENE).agg(F.min("z").alias("_lo"))
+    return turned.join(lowest, SCENE, "left").withColumn("z", F.col("z") - F.coalesce("_lo", F.lit(0.0))).select(*points.columns)

@@ -35,15 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def settled(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, or to a folder of its own, and read back.
 
     Loops and searches in passes would otherwise nest every pass in the plan of the next, and what a lost executor held
     would be computed again from the start. The tables stay in the shared folder until whoever runs the cluster clears it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,20 +25,22 @@ def _one(points: DataFrame, name: str, seed: int) -> DataFrame:
     return points.groupBy(SCENE).agg(best.alias("c")).select(SCENE, *(F.col(f"c.{c}").alias(f"c{c}") for c in "xyz"))
 
 
-def multi_views(points: DataFrame, global_views: int = 2, local_views: int = 4, global_scale=(0.4, 1.0), local_scale=(0.1, 0.4), most: int = 65_536, band: tuple[float, float] = (0.0, 1.0), seed: int = 42, global_transform=None, local_transform=None) -> DataFrame:
+def multi_views(points: DataFrame, global_views: int = 2, local_views: int = 4, global_scale=(0.4, 1.0), local_scale=(0.1, 0.4), most: int = 65_536, band: tuple[float, float] = (0.0, 1.0), seed: int = 42, global_transform=None, local_transform=None, shared_transform=None) -> DataFrame:
     """All views of all scenes, told apart by ``view``.
 
     The first global view is centred on a point within the height ``band`` (shares of the scene's height), further ones on points
     of the first. Each local view is centred on a point of the first view that no local view has covered yet; once all are
-    covered, on any. Local views are cut from the scene itself.
+    covered, on any. ``shared_transform`` (colours, say) is applied to the scene once, before its global views are cut; local views are
+    cut from the scene as it was. The other transforms are applied to each view.
     """
-    df = beside(points, F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    scene = settled(shared_transform(points)) if shared_transform else points
+    df = beside(scene, F.min("z").alias("_lo"), F.max("z").alias("_hi"))
     level = (F.col("z") - F.col("_lo")) - (F.col("_hi") - F.col("_lo")) * F.lit(band[0])
     inside = df.filter((level >= 0) & (F.col("z") <= F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(band[1]))).select(*points.columns)
-    major = settled(_crop(points, _one(inside, "global0", seed), global_scale, most, "global0", seed))
+    major = settled(_crop(scene, _one(inside, "global0", seed), global_scale, most, "global0", seed))
     out = [major]
     for k in range(1, global_views):
-        out.append(_crop(points, _one(major, f"global{k}", seed), global_scale, most, f"global{k}", seed))
+        out.append(_crop(scene, _one(major, f"global{k}", seed), global_scale, most, f"global{k}", seed))
     covered = None
     for k in range(local_views):
         free = major if covered is None else major.join(covered, [SCENE, "pid"], "left_anti")

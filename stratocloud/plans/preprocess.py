@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ class Config:
     least_neighbours: int = 1
     neighbours: int = 50
     deviations: float = 4.0
-    cell: float = 0.5
-    plane_threshold: float = 0.3
+    cell: float | None = None  # of the means that the floor is sought among; None: from each scene's spacing
+    plane_threshold: float | None = None
     scale: float | None = affine.FORCED_FACTOR
     spacing: float = 0.01333
     spacing_threshold: float = 0.03
@@ -33,11 +34,13 @@ class Config:
     normals_k: int = 32
     reach: float | None = None  # first search radius of neighbours; None: each scene's own
     seed: int = 42
+    intermediates: str | None = None  # folder for each step's result, as step1_downsample and so on
+    go_on: bool = True  # after a step that fails, with a warning and the points as they were
 
 
 def preprocess(points: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points, reports). A report has scene_id, step and the scene's number of points after it; a scene that a step
-    empties has no later rows."""
+    """(points, reports). A report has scene_id, step, the scene's number of points after it and, where the step failed, its error; a scene
+    that a step empties has no later rows."""
     c = config or Config()
     steps = {
         "downsample": lambda df: select.pre_downsample(df, c.threshold, c.seed),
@@ -51,10 +54,21 @@ def preprocess(points: DataFrame, config: Config | None = None) -> tuple[DataFra
     unknown = set(c.steps) - set(steps)
     if unknown:
         raise ValueError(f"unknown steps: {', '.join(sorted(unknown))}")
-    count = lambda df, k, step: df.groupBy(SCENE).agg(F.count("*").alias("n")).select(SCENE, F.lit(k).alias("place"), F.lit(step).alias("step"), "n")
+
+    def count(df: DataFrame, k: int, step: str, error: str | None = None) -> DataFrame:
+        sizes = df.groupBy(SCENE).agg(F.count("*").alias("n"))
+        return sizes.select(SCENE, F.lit(k).alias("place"), F.lit(step).alias("step"), "n", F.lit(error).cast("string").alias("error"))
+
     reports = count(points, 0, "input")
     df = points
     for k, step in enumerate((s for s in steps if s in c.steps), 1):
-        df = settled(steps[step](df))
-        reports = reports.unionByName(count(df, k, step))
+        error = None
+        try:
+            df = settled(steps[step](df), f"{c.intermediates}/step{k}_{step}" if c.intermediates else None)
+        except Exception as e:  # whatever a step's data may do; the next steps work on what it was given
+            if not c.go_on:
+                raise
+            error = f"{type(e).__name__}: {e}".splitlines()[0]
+            warnings.warn(f"step {step} failed and is left out: {error}", stacklevel=2)
+        reports = reports.unionByName(count(df, k, step, error))
     return df, reports

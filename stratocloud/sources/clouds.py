@@ -1,5 +1,8 @@
 """Point-cloud files: PLY and NPZ contents to rows and back, one file a scene. Contents travel as a binary column, as
-Spark's ``binaryFile`` reader gives them, so that any store that Spark reads will do."""
+Spark's ``binaryFile`` reader gives them, so that any store that Spark reads will do.
+
+A file is made by one task from one scene, and a binary cell holds at most 2 GB: some 75 million points with colours and normals. Larger scenes
+are written as Parquet (``write_scenes``), which has no such limit."""
 
 from __future__ import annotations
 
@@ -96,6 +99,39 @@ def encode_npz(points: DataFrame) -> DataFrame:
     return _encode(points, npz_bytes, [c for c in (*XYZ, *RGB, *NORMAL, "segment") if c in points.columns])
 
 
+def encode_npy(points: DataFrame) -> DataFrame:
+    """(scene_id, name, content): coord.npy, color.npy and normal.npy of each scene, the last two only where the columns are there."""
+    groups = [(n, g, t) for n, g, t in (("coord", XYZ, "f4"), ("color", RGB, "u1"), ("normal", NORMAL, "f4")) if all(c in points.columns for c in g)]
+
+    def content(columns: dict[str, np.ndarray], group: tuple[str, ...], kind: str) -> bytes:
+        out = io.BytesIO()
+        np.save(out, np.stack([columns[c] for c in group], 1).astype(kind))
+        return out.getvalue()
+
+    files = None
+    for name, group, kind in groups:
+        one = _encode(points, lambda c, g=group, k=kind: content(c, g, k), list(group)).select(SCENE, F.lit(f"{name}.npy").alias("name"), "content")
+        files = one if files is None else files.unionByName(one)
+    return files
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes each ``content`` to ``root``/``path`` (a local or mounted folder, or any store that Arrow knows). Tasks write their own rows; a
+    task that is run again writes the same bytes anew."""
+
+    def write(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for row in rows:
+            at = f"{base}/{row['path']}"
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(at) as out:
+                out.write(bytes(row["content"]))
+
+    files.select("path", "content").foreachPartition(write)
+
+
 def _decode(files: DataFrame, reader) -> DataFrame:
     kinds = {**dict.fromkeys(XYZ, pa.float64()), **dict.fromkeys(RGB, pa.int32()), **dict.fromkeys(NORMAL, pa.float64()), "segment": pa.int32()}
 
@@ -129,5 +165,6 @@ def load_files(spark, path: str, glob: str = "*.ply") -> DataFrame:
 
 
 def write_scenes(points: DataFrame, path: str) -> None:
-    """Parquet, a folder a scene, rows in order of their keys."""
-    points.repartition(SCENE).sortWithinPartitions("pid").write.mode("overwrite").partitionBy(SCENE).parquet(path)
+    """Parquet, a folder a scene, rows of a file in order of their keys. Scenes are dealt by ranges of (scene, key), so a large one is
+    several files, written by several tasks."""
+    points.repartitionByRange(SCENE, "pid").sortWithinPartitions(SCENE, "pid").write.mode("overwrite").partitionBy(SCENE).parquet(path)

@@ -31,7 +31,14 @@ def first_ids(rows: DataFrame, n: int, order: str = "video_id") -> DataFrame:
 
 
 def read_work_list(spark: SparkSession, path: str) -> DataFrame:
-    return work_list(spark.read.json(path, multiLine=True))
+    """A JSON array of objects (or a single one); elements that are no objects go."""
+    lists = spark.read.text(path, wholetext=True)
+    kind = "array<string>"
+    text = F.trim("value")
+    each = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), kind)
+    keys = ("input_path", "scene_mp4", "output_path", "source_ply", "video_id", "scene_dir", "scene_name")
+    rows = lists.select(F.explode(each).alias("row")).filter(F.col("row").startswith("{"))
+    return work_list(rows.select(F.from_json("row", ", ".join(f"{k} string" for k in keys)).alias("row")).select("row.*"))
 
 
 def work_list(rows: DataFrame) -> DataFrame:
@@ -85,6 +92,13 @@ def discover_scenes(files: DataFrame) -> DataFrame:
     return df.withColumn("video", F.nullif(F.regexp_extract("path", r"([^/]+)/scenes/[^/]+$", 1), F.lit(""))).withColumn("scene", stem_of(F.col("path")))
 
 
+def discover(layout: str, files: DataFrame, **options) -> DataFrame:
+    """What the named layout finds among the files."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}; known are {', '.join(LAYOUTS)}")
+    return LAYOUTS[layout](files, **options)
+
+
 def discover_clouds(paths: DataFrame, finished: DataFrame, n: int | None = None) -> DataFrame:
     """``.ply`` paths in order of ``pos``, each once, without those whose output folder has its coordinates, at most ``n``."""
     df = paths.filter(suffix_of(F.col("path")) == "ply").groupBy("path").agg(F.min("pos").alias("pos"))
@@ -92,6 +106,10 @@ def discover_clouds(paths: DataFrame, finished: DataFrame, n: int | None = None)
     return df.orderBy("pos").limit(n) if n else df
 
 
+#: How files lie in their folders.
+LAYOUTS = {"videos": discover_videos, "image folders": discover_image_folders, "scenes": discover_scenes, "clouds": discover_clouds}
+
+
 def output_name(path: Column, root: str | None = None) -> Column:
     """video_scene from the last two folders, one folder's name alone, or the file's stem; outside ``root`` the parent's name."""
     inside = path if root is None else F.regexp_replace(path, "^" + root.rstrip("/") + "/", "")
