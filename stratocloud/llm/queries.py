@@ -89,7 +89,7 @@ m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) A
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bullet_lines, 0) AS n_bullet_lines, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters,
     len(list_filter(regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g'), '[^\x20\x09-\x0D]+'),
       lambda w: w IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) AS n_stop_words,
-    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_echoes
+    len(list_filter(list_zip(words[2:], words[:-2]), lambda p: p[1] = p[2])) AS n_echoes
   FROM d LEFT JOIN lines USING (id) LEFT JOIN cov USING (id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
