@@ -174,10 +174,15 @@ def adjust_scale(points: DataFrame, factor: float | None = FORCED_FACTOR, seed:
     return scale_by(points.join(report.select(SCENE, "factor"), SCENE), F.col("factor")).select(*points.columns), report
 
 
-def scale_to_volume(points: DataFrame, target: float) -> DataFrame:
-    """Scales each scene so that its bounding box has the target volume; flat scenes stay."""
-    volume = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) * (F.max("z") - F.min("z"))
-    df = beside(points, volume.alias("_v"))
+def scale_to_volume(points: DataFrame, target: float, hull: bool = False) -> DataFrame:
+    """Scales each scene so that its bounding box, or its convex hull, has the target volume; flat scenes stay."""
+    if hull:
+        from stratocloud.operators.hull import hull_volumes
+
+        df = points.join(hull_volumes(points).select(SCENE, F.col("volume").alias("_v")), SCENE)
+    else:
+        volume = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) * (F.max("z") - F.min("z"))
+        df = beside(points, volume.alias("_v"))
     return scale_by(df, F.when(F.col("_v") > 0, F.pow(F.try_divide(F.lit(target), F.col("_v")), F.lit(1 / 3))).otherwise(1.0)).select(*points.columns)
 
 

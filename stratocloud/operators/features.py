@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratocloud.operators.places import numbered
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -23,50 +24,56 @@ def similarity_to(features: DataFrame, query: DataFrame, vector: str = "embeddin
     return features.withColumn("similarity", cosine(F.col(vector), F.array(*(F.lit(float(v)) for v in one))))
 
 
-def best_match(features: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
-    """The most similar row to each query, of equals the smaller id.
+BLOCK_ROWS = 5_000  # of each side in a task that compares all pairs of two blocks
+
+
+def _dealt(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def best_match(features: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, itself: bool = True) -> DataFrame:
+    """The most similar row to each query, of equals the smaller id; without ``itself`` not the row of the query's own id.
 
-    Both sides are dealt into blocks; a task holds one block of queries against one of rows and keeps one row a query.
+    Both sides are dealt into blocks of about ``block_rows``; a task holds one block of queries against one of rows and keeps one row a query.
     """
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    rows = features.select(F.col(key).alias("other"), F.col(vector).alias("v"), deal(F.col(key)).alias("_b"))
-    scored = q.join(rows, "_b").withColumn("similarity", cosine(F.col("q"), F.col("v")))
-    return scored.groupBy("query").agg(F.min_by(F.struct("other", "similarity"), F.struct(-F.col("similarity"), F.col("other"))).alias("m")).select("query", "m.*")
+    parts = {name: max(1, -(-df.count() // block_rows)) for name, df in (("_a", queries), ("_b", features))}
+    size = lambda v: F.sqrt(dot(v, v))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"), size(F.col(vector)).alias("_q"), _dealt(F.col(key), parts["_a"]).alias("_a"), _each(parts["_b"]).alias("_b"))
+    v = features.select(F.col(key).alias("other"), F.col(vector).alias("v"), size(F.col(vector)).alias("_v"), _dealt(F.col(key), parts["_b"]).alias("_b"), _each(parts["_a"]).alias("_a"))
+    met = q.join(v, ["_a", "_b"])
+    met = met if itself else met.filter(F.col("query") != F.col("other"))
+    scored = met.withColumn("similarity", F.try_divide(dot(F.col("q"), F.col("v")), F.col("_q") * F.col("_v")))
+    best = F.min_by(F.struct("other", "similarity"), F.struct(-F.col("similarity"), F.col("other")))
+    return scored.groupBy("query").agg(best.alias("m")).select("query", "m.*")
 
 
 def heat(scored: DataFrame, value: str = "similarity", key: str = "vec_id") -> DataFrame:
     """Similarities as heat: the values at ranks 2 % and 10 % from the top and 50 % set the scale; below the middle one heat fades by 0.9."""
-    rank = F.row_number().over(W.orderBy(F.desc(value), key)) - 1
-    n = scored.count()
-    at = lambda share: min(n - 1, int(n * share))
-    marks = scored.withColumn("_r", rank).filter(F.col("_r").isin(at(0.02), at(0.1), at(0.5)))
-    cut = {s: marks.filter(F.col("_r") == at(s)).select(value).limit(1).scalar() for s in (0.02, 0.1, 0.5)}
-    df = scored.withColumns({"_high": cut[0.02], "_mid": cut[0.1], "_low": cut[0.5]})
-    up = F.try_divide(F.col(value) - F.col("_mid"), F.col("_high") - F.col("_mid"))
-    down = F.try_divide(F.col(value) - F.col("_mid"), F.col("_mid") - F.col("_low"))
-    sig = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-    return df.withColumn("heat", F.when(F.col(value) >= F.col("_mid"), sig(F.coalesce(up, F.lit(0.0)))).otherwise(F.lit(0.9) * sig(F.coalesce(down, F.lit(0.0))))).drop("_high", "_mid", "_low")
+    placed = numbered(scored, F.desc(value), F.col(key))
+    n = placed.count()
+    at = {s: min(n - 1, int(n * s)) for s in (0.02, 0.1, 0.5)}
+    marks = dict(placed.filter(F.col("_place").isin(*at.values())).select("_place", value).collect())  # three rows
+    high, mid, low = (F.lit(marks.get(at[s])).cast("double") for s in at)
+    up, down = F.try_divide(F.col(value) - mid, high - mid), F.try_divide(F.col(value) - mid, mid - low)
+    sig = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-F.coalesce(x, F.lit(0.0))))
+    return scored.withColumn("heat", F.when(F.col(value) >= mid, sig(up)).otherwise(F.lit(0.9) * sig(down)))
 
 
 def linear_probe(features: DataFrame, head: DataFrame, vector: str = "embedding", key: str = "vec_id", most: int = 10_000, blocks: int = 16) -> DataFrame:
     """(key, class_id, logit): the class of the largest w x + b, of equals the smaller. ``head`` has class_id, weight, bias, a row a class.
 
-    Heads of over ``most`` classes are not broadcast: classes and rows are dealt into blocks, and a task holds one block of each.
+    Rows are dealt into ``blocks`` and classes into parts of about ``most``; a task holds one block and one part.
     """
-    n = head.count()
-    rows = features.select(key, vector)
-    if n <= most:
-        scored = rows.crossJoin(F.broadcast(head))
-    else:
-        deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        parts = -(-n // most)
-        left = rows.select(key, vector, deal(key, blocks).alias("_a"), every(parts).alias("_b"))
-        right = head.select("class_id", "weight", "bias", deal("class_id", parts).alias("_b"), every(blocks).alias("_a"))
-        scored = left.join(right, ["_a", "_b"])
-    scored = scored.withColumn("logit", dot(F.col("weight"), F.col(vector)) + F.col("bias"))
-    return scored.groupBy(key).agg(F.min_by(F.struct("class_id", "logit"), F.struct(-F.col("logit"), F.col("class_id"))).alias("m")).select(key, "m.*")
+    parts = max(1, -(-head.count() // most))
+    left = features.select(key, vector, _dealt(F.col(key), blocks).alias("_a"), _each(parts).alias("_b"))
+    right = head.select("class_id", "weight", "bias", _dealt(F.col("class_id"), parts).alias("_b"), _each(blocks).alias("_a"))
+    scored = left.join(right, ["_a", "_b"]).withColumn("logit", dot(F.col("weight"), F.col(vector)) + F.col("bias"))
+    best = F.min_by(F.struct("class_id", "logit"), F.struct(-F.col("logit"), F.col("class_id")))
+    return scored.groupBy(key).agg(best.alias("m")).select(key, "m.*")
 
 
 def resolve_width(features: DataFrame, columns: Sequence[str], width: int) -> str:

@@ -97,10 +97,11 @@ _DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DO
 _COS = f"""c AS (SELECT a.vec_id AS query, b.vec_id AS other, {_DOT('a.embedding', 'b.embedding')} / (sqrt({_DOT('a.embedding', 'a.embedding')}) * sqrt({_DOT('b.embedding', 'b.embedding')})) AS similarity FROM features AS a, features AS b)"""
 
 
-@query(over(f"-- {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, other) AS k FROM c WHERE query % 20 = 0 AND other % 20 <> 0) SELECT query, other, {r6('similarity')} FROM r WHERE k = 1", "features"))
+@query(over(f"-- {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, other) AS k FROM c WHERE query % 20 = 0 AND other <> query) SELECT query, other, {r6('similarity')} FROM r WHERE k = 1", "features"))
 def n14_best_match(spark, sf_dir):
+    """Every row whose id is divisible by 20 against all rows but itself."""
     rows = _features(spark, sf_dir)
-    return rounded(features.best_match(rows.filter("vec_id % 20 <> 0"), rows.filter("vec_id % 20 = 0")), "similarity")
+    return rounded(features.best_match(rows, rows.filter("vec_id % 20 = 0"), itself=False), "similarity")
 
 
 @query(over(f"""-- {_COS}, s AS (SELECT other AS vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, other) - 1 AS r, count(*) OVER () AS n FROM c WHERE query = (SELECT min(vec_id) FROM features)),

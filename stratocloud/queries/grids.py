@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocloud.operators import neighbors, voxel
+from stratocloud.operators import hull, neighbors, voxel
 from stratocloud.queries.base import key_sql, over, query, r6, rounded
 from stratocloud.queries.clouds import ID, SCENES, XYZ, points
 
@@ -145,6 +145,11 @@ def _stats_sql(*percents: int) -> str:
     return over(f"-- {_ONE} SELECT scene_id, count(*) AS n, {r6(*whole, *cut)} FROM one GROUP BY scene_id")
 
 
+@query()
+def v18_hull_density(spark, sf_dir):
+    return hull.hull_density(points(spark, sf_dir))
+
+
 @query(_stats_sql(25, 75, 90, 95))
 def n1_spacing_stats(spark, sf_dir):
     df = neighbors.spacing_stats(points(spark, sf_dir))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import affine, features, neighbors, normalize, places, planes, views, voxel
+from stratocloud.operators import affine, features, hull, neighbors, normalize, places, planes, views, voxel
 from stratocloud.plans import preprocess as steps
 
 SCHEMA = "scene_id bigint, pid string, x double, y double, z double"
@@ -223,6 +223,32 @@ def test_pooling(spark, reduce):
     assert pooled.keys() == groups.keys() and all(abs(pooled[c] - fold(x)) < 1e-9 for c, x in groups.items())
 
 
+def _hull_volume(xyz):
+    """Over all triples of points: those with every other point on one side are faces."""
+    middle, total = xyz.mean(0), 0.0
+    for t in itertools.combinations(range(len(xyz)), 3):
+        a, b, c = xyz[list(t)]
+        side = (xyz - a) @ np.cross(b - a, c - a)
+        if (side <= 1e-12).all() or (side >= -1e-12).all():
+            total += abs(np.cross(a - middle, b - middle) @ (c - middle)) / 6
+    return total
+
+
+def test_hull_volumes(spark):
+    rng = np.random.default_rng(17)
+    flat = np.c_[rng.uniform(0, 1, (12, 2)), np.zeros(12)]
+    scenes = [rng.normal(size=(24, 3)), rng.uniform(size=(20, 3)), flat, np.c_[flat[:, :2], flat[:, 0]], np.ones((3, 3))]
+    df = _cloud(spark, *scenes)
+    expected = [_hull_volume(scenes[0]), _hull_volume(scenes[1]), 0.0, float(np.ptp(scenes[3], axis=0).prod()), 0.0]
+    for chunk in (8, 20_000):
+        found = {r["scene_id"]: r for r in hull.hull_density(df, chunk).collect()}
+        assert np.allclose([found[s]["volume"] for s in range(1, 6)], expected)
+        assert [found[s]["n"] for s in range(1, 6)] == [24, 20, 12, 12, 3] and found[3]["density"] == 0
+        assert found[1]["density"] == pytest.approx(24 / expected[0])
+    scaled = affine.scale_to_volume(df, 7.0, hull=True)
+    assert np.allclose([r["volume"] for r in hull.hull_volumes(scaled).orderBy("scene_id").collect()], [7, 7, 0, 7, 0])
+
+
 def test_a_failing_step_is_left_out(spark, tmp_path, monkeypatch):
     df = _cloud(spark, np.random.default_rng(16).uniform(0, 1, (40, 3)))
 
