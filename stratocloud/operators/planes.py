@@ -79,16 +79,17 @@ def candidate_planes(points: DataFrame, n: int = 500, seed: int = 42, plane: int
 def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least: int = 50, seed: int = 42, plane: int = 0) -> DataFrame:
     """(scene_id, candidate, a, b, c, d, inliers): the candidate with most points within the threshold, the first of equals.
 
-    A scene's candidates travel as one array (of at most ``n``), once for each slice of its points; a point gives a row for each
-    candidate that it lies in, and these are counted in its task before they are shuffled. ``threshold`` may be a column of ``points``.
+    A scene's candidates travel as one array (of at most ``n``), once for each slice of its points; a point meets them, and those that it lies
+    in are counted, in its own task, so what is shuffled is a count for each candidate and task. ``threshold`` may be a column of ``points``.
     """
     points = points.withColumn("_t", F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold)
     candidates = settled(candidate_planes(points, n, seed, plane))
     slices = F.explode(F.array(*map(F.lit, range(SLICES)))).alias("_slice")
     planes = candidates.groupBy(SCENE).agg(F.collect_list(F.struct("candidate", *"abcd")).alias("_p")).select(SCENE, "_p", slices)
     rows = points.select(SCENE, *XYZ, "_t", F.pmod(F.xxhash64("pid"), F.lit(SLICES)).cast("int").alias("_slice")).join(planes, [SCENE, "_slice"])
-    inside = F.filter("_p", lambda p: plane_distance(p["a"], p["b"], p["c"], p["d"]) <= F.col("_t"))
-    scored = rows.select(SCENE, F.explode(F.transform(inside, lambda p: p["candidate"])).alias("candidate")).groupBy(SCENE, "candidate").agg(F.count("*").alias("inliers"))
+    met = rows.select(SCENE, *XYZ, "_t", F.explode("_p").alias("_p")).select(SCENE, *XYZ, "_t", "_p.*")  # in generated code; arrays' own functions aren't
+    inside = met.filter(plane_distance(*map(F.col, "abcd")) <= F.col("_t"))
+    scored = inside.groupBy(SCENE, "candidate").agg(F.count("*").alias("inliers"))
     best = F.min_by(F.struct("candidate", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b")
     top = scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(best).select(SCENE, "_b.*")
     return top.join(candidates, [SCENE, "candidate"]).select(SCENE, "candidate", *"abcd", "inliers")
