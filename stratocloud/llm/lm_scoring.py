@@ -45,6 +45,7 @@ BITS = 40
 SLICE_WORDS = 1_000_000
 SHARD_WORDS = 2_000_000
 WORD_BYTES = 6  # of text a word, about; it only sizes the shards
+TEXT_BYTES = 2 << 20  # of text that is split into words at once, which takes some twenty times as much memory
 SLICE_TEXTS = 200_000  # of texts without words, say
 TARGET, BACKGROUND, ASKED = range(3)
 
@@ -162,7 +163,7 @@ def sliced(texts: DataFrame, keys: Keys, role: int, slice_words: int = SLICE_WOR
         number = (role << 60) | (TaskContext.get().partitionId() << 30)
         ids, hashes, sizes, n, m = [], [], [], 0, 0
         for batch in batches:
-            for at, part in _slices(batch.column(1)):
+            for at, part in _slices(batch.column(1), TEXT_BYTES):
                 words: list[bytes] = []
                 size = np.empty(len(part), np.int64)
                 for k, t in enumerate(part):
