@@ -17,6 +17,8 @@ from stratocloud.operators.scenes import SCENE, beside, settled
 
 XYZ = ("x", "y", "z")
 FLAT = 1e-8
+#: How much a plane's area, flatness and level weigh against one point of it.
+AREA, FLATNESS, LEVEL = 100.0, 1000.0, 500.0
 SLICES = 16  # of the points of a scene that candidate planes meet
 
 
@@ -116,7 +118,8 @@ def ground_scores(members: DataFrame, planes: DataFrame) -> DataFrame:
     """How floor-like each plane is: many points, spread widely in x and y and little in height, facing up."""
     per = members.filter("plane >= 0").groupBy(SCENE, "plane").agg(F.count("*").alias("k"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.var_pop("z").alias("vz"))
     df = per.join(planes.select(SCENE, "plane", *"abcd"), [SCENE, "plane"])
-    score = F.col("k") + F.lit(100.0) * F.sqrt(F.col("vx") * F.col("vy")) + F.lit(1000.0) / (F.lit(1.0) + F.lit(1000.0) * F.col("vz")) + F.lit(500.0) * F.abs("c")
+    area, flatness = F.sqrt(F.col("vx") * F.col("vy")), F.lit(1.0) / (F.lit(1.0) + F.lit(1000.0) * F.col("vz"))
+    score = F.col("k") + F.lit(AREA) * area + F.lit(FLATNESS) * flatness + F.lit(LEVEL) * F.abs("c")
     return df.withColumn("score", score)
 
 

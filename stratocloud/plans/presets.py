@@ -90,13 +90,22 @@ def pretraining(size: float = 0.02, most: int = 65_536) -> Plan:
     return Plan([{"type": "voxel_pick", "size": size}, {"type": "copy"}, {"type": "multi_views", "most": most}, {"type": "update", "values": {"grid_size": size}}])
 
 
+#: The augmentations of fine-tuning.
+AUGMENTATIONS = (
+    {"type": "random_dropout", "ratio": 0.2, "application_ratio": 0.2},
+    {"type": "random_rotate", "angle": (-1, 1), "axis": "z", "center": (0, 0, 0)},
+    {"type": "random_rotate", "angle": (-1 / 64, 1 / 64), "axis": "x"},
+    {"type": "random_rotate", "angle": (-1 / 64, 1 / 64), "axis": "y"},
+    {"type": "random_scale", "scale": (0.9, 1.1)},
+    {"type": "random_flip"},
+    {"type": "random_jitter", "sigma": 0.005, "clip": 0.02},
+    {"type": "auto_contrast"},
+    {"type": "color_translation"},
+    {"type": "color_jitter_noise"},
+)
+
+
 def training(size: float = 0.02, most: int = 102_400) -> Plan:
     """The augmentations of fine-tuning, then a crop and colours to 0..1."""
-    return Plan(
-        [
-            {"type": "center_shift"}, {"type": "random_dropout", "ratio": 0.2, "application_ratio": 0.2}, {"type": "random_rotate", "angle": (-1, 1), "axis": "z", "center": (0, 0, 0)},
-            {"type": "random_rotate", "angle": (-1 / 64, 1 / 64), "axis": "x"}, {"type": "random_rotate", "angle": (-1 / 64, 1 / 64), "axis": "y"}, {"type": "random_scale", "scale": (0.9, 1.1)},
-            {"type": "random_flip"}, {"type": "random_jitter", "sigma": 0.005, "clip": 0.02}, {"type": "auto_contrast"}, {"type": "color_translation"}, {"type": "color_jitter_noise"},
-            {"type": "voxel_pick", "size": size}, {"type": "sphere_crop", "point_max": most}, {"type": "center_shift", "apply_z": False}, {"type": "normalize_color"}, {"type": "to_tensor_types"},
-        ]
-    )
+    last = [{"type": "voxel_pick", "size": size}, {"type": "sphere_crop", "point_max": most}, {"type": "center_shift", "apply_z": False}, {"type": "normalize_color"}, {"type": "to_tensor_types"}]
+    return Plan([{"type": "center_shift"}, *AUGMENTATIONS, *last])

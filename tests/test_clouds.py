@@ -1,12 +1,16 @@
 """Operators on small hand-made clouds and sequences."""
 
+import hashlib
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import affine, curves, features, frames, neighbors, voxel
+from stratocloud.operators import affine, color, curves, features, frames, neighbors, select, voxel
 from stratocloud.plans import presets
 from stratocloud.sources import clouds
+from stratocloud.streaming import ingest
 
 SCHEMA = "scene_id bigint, pid string, x double, y double, z double"
 
@@ -75,3 +79,98 @@ def test_variants_and_widths(spark):
     assert features.test_variants(_cloud(spark, 2)).count() == 5 * 13
     with pytest.raises(ValueError):
         features.resolve_width(spark.createDataFrame([([1.0],)], "v array<double>"), ["v"], 2)
+
+
+def _colored(spark, n=80):
+    rng = np.random.default_rng(8)
+    rows = [(k % 2, f"p{k:03d}", *map(float, rng.uniform(0, 2, 3)), *map(int, rng.integers(0, 256, 3)), 0.0, 0.6, 0.8, k % 4) for k in range(n)]
+    return spark.createDataFrame(rows, "scene_id bigint, pid string, x double, y double, z double, r int, g int, b int, nx double, ny double, nz double, segment int")
+
+
+def test_pretraining_and_training_presets(spark):
+    df = _colored(spark)
+    views = presets.pretraining(0.2, 30).apply(df)
+    assert {r["view"] for r in views.select("view").distinct().collect()} == {"global0", "global1", "local0", "local1", "local2", "local3"}
+    assert views.filter("grid_size <> 0.2").isEmpty() and views.groupBy("scene_id", "view").count().filter("count > 30").isEmpty()
+    done = presets.training(0.2, 25).apply(df)
+    assert done.groupBy("scene_id").count().filter("count > 25").isEmpty() and not done.isEmpty()
+    colors = done.agg(*(f(c) for c in "rgb" for f in (F.min, F.max))).first()
+    assert min(colors) >= 0 and max(colors) <= 1
+
+
+@pytest.mark.parametrize("project", [False, True])
+def test_voxel_pick_displacement_and_forced_points(spark, project):
+    df = _colored(spark)
+    size, rows = 0.5, {r["pid"]: r for r in df.collect()}
+    found = voxel.voxel_pick(df, size, displacement=True, project=project, forced=F.col("segment") == 0).collect()
+    assert {p for p, r in rows.items() if r["segment"] == 0} <= {r["pid"] for r in found}
+    assert len({(r["scene_id"], r["gx"], r["gy"], r["gz"]) for r in found}) == sum(r["voxel_points"] is not None for r in found)
+    for r in found:
+        d = np.array([r[c] / size - np.floor(r[c] / size) - 0.5 for c in "xyz"])
+        if project:
+            assert r["displacement"] == pytest.approx(float(d @ (0.0, 0.6, 0.8)), abs=1e-9)
+        else:
+            assert np.allclose([r["dx"], r["dy"], r["dz"]], d)
+
+
+def test_serialization_in_all_orders(spark):
+    df = voxel.with_cells(_colored(spark), 0.25)
+    rows = curves.serialize(df, 4).collect()
+    swapped = {(r["scene_id"], r["pid"]): r["code"] for r in curves.with_hilbert(df, 4, ("gy", "gx", "gz"), "code").collect()}
+    for order in curves.ORDERS:
+        name = order.replace("-", "_")
+        for scene in (0, 1):
+            own = sorted((r for r in rows if r["scene_id"] == scene), key=lambda r: (r[f"code_{name}"], r["pid"]))
+            assert [r[f"place_{name}"] for r in own] == list(range(len(own)))
+    assert all(r["code_hilbert_trans"] == swapped[r["scene_id"], r["pid"]] for r in rows)
+
+
+def test_manifest_ids_that_are_missing(spark):
+    manifest = spark.createDataFrame([("a", "u"), ("b", "v"), ("c", "w")], "video_id string, url string")
+    found, missing = select.manifest_filter(manifest, spark.createDataFrame([("c",), ("a",), ("x",)], "video_id string"))
+    assert sorted(r["video_id"] for r in found.collect()) == ["a", "c"] and [r["video_id"] for r in missing.collect()] == ["x"]
+
+
+def test_odd_frame_sizes(spark):
+    rows = [(10_000, 6), (6, 10_000), (1920, 1080), (1, 1), (0, 5), (640, 480)]
+    df = spark.createDataFrame(rows, "w int, h int")
+    width, height = frames.fit_size(F.col("w"), F.col("h"), 255_000)
+    for r in df.select("w", "h", width.alias("a"), height.alias("b")).collect():
+        scale = (255_000 / (r["w"] * r["h"])) ** 0.5 if r["w"] * r["h"] else 1
+        wide, high = r["w"] * scale, r["h"] * scale
+        k, m = round(wide / 14), round(high / 14)
+        while k * m * 196 > 255_000:
+            k, m = (k - 1, m) if k / m > wide / high else (k, m - 1)
+        assert (r["a"], r["b"]) == (max(1, k) * 14, max(1, m) * 14)
+
+
+def test_ingestion_with_a_key(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "video_id string, n int"
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 2)], schema).coalesce(1).write.parquet(source)
+    for key, n in (("video_id", 2), (None, 3)):
+        out, state = str(tmp_path / f"out{n}"), str(tmp_path / f"state{n}")
+        ingest.ingest(ingest.watch(spark, source, schema), out, state, key=key).awaitTermination(60)
+        assert spark.read.parquet(out).count() == n
+
+
+def _unit(*keys):
+    return int(hashlib.md5(":".join(map(str, (42, *keys))).encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def test_color_jitter_is_the_single_steps_in_each_scenes_order(spark):
+    df = _colored(spark, 60).withColumn("scene_id", F.pmod(F.xxhash64("pid"), F.lit(4)))
+    spans = ((0.6, 1.4), (0.5, 1.5), (0.6, 1.4), (-0.1, 0.1))
+    found = color.color_jitter(df, *spans, p=0.8)
+    orders, single = list(itertools.permutations(range(4))), (color.brightness, color.contrast, color.saturation, color.hue)
+    tried = set()
+    for scene in range(4):
+        one = df.filter(F.col("scene_id") == scene)
+        order = orders[int(_unit("jitter/order", scene) * len(orders))]
+        tried.add(order)
+        for k in order:
+            if _unit(f"jitter/p{k}", scene) < 0.8:
+                low, high = spans[k]
+                one = single[k](one, low + _unit(f"jitter/{k}", scene) * (high - low))
+        key = lambda d: sorted((r["pid"], r["r"], r["g"], r["b"]) for r in d.collect())
+        assert key(found.filter(F.col("scene_id") == scene)) == key(one)
+    assert len(tried) > 2
