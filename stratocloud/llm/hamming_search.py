@@ -32,7 +32,7 @@ from stratocloud.llm.common import kept
 BITS = 64
 K = 10
 SHARD = 1_000_000
-LEAST_SHARD = 5_000  # codes; small tables are dealt over the cores as far as that allows
+LEAST_BLOCK = 200  # queries; few are dealt over the cores as far as that allows
 BLOCK = 100_000
 
 
@@ -126,14 +126,16 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD,
     codes = kept(ids.groupBy("code").agg(F.collect_list("id").alias("ids")))
     wanted = kept(queries.filter("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").cast("long").alias("query_id"), "code"))
     asked = kept(wanted.select("code").distinct())
-    n = codes.count()
-    n_shards = max(1, -(-n // shard), min(index.sparkSession.sparkContext.defaultParallelism, n // LEAST_SHARD))
-    n_blocks = max(1, -(-asked.count() // block))
+    n_shards, n_asked = max(1, -(-codes.count() // shard)), asked.count()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-n_asked // block), min(cores // n_shards, n_asked // LEAST_BLOCK))  # more shards would make each query's work more
     dealt = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = codes.select("code", F.size("ids").alias("n"), F.array_min("ids").alias("first"), dealt(1, n_shards).alias("shard"), every(n_blocks).alias("block"))
     right = asked.select("code", every(n_shards).alias("shard"), dealt(2, n_blocks).alias("block"))
-    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_searcher(k), "code bigint, found bigint, distance bigint")
+    tasks = min(4 * n_shards * n_blocks, 10_000)  # given as a number, or few bytes would be put together to one task
+    left, right = (df.repartition(tasks, "shard", "block").groupBy("shard", "block") for df in (left, right))
+    near = left.cogroup(right).applyInPandas(_searcher(k), "code bigint, found bigint, distance bigint")
     near = near.join(codes.select(F.col("code").alias("found"), "ids"), "found").select("code", "distance", F.explode("ids").alias("id"))
     best = W.partitionBy("code").orderBy("distance", "id")
     near = near.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
