@@ -121,6 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     rows = kept(rows).toPandas()  # at most positives + unlabelled rows of about 150 numbers
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, N_FEATURES))
     y = rows["y"].to_numpy()
+    order = np.lexsort([*x.T, y])  # rows come in no certain order, and the fit takes every other one
+    x, y = x[order], y[order]
     if not (y == 1).any() or not (y == 0).any():
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5)
     return fit(x[y == 1], x[y == 0])
