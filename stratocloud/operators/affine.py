@@ -73,7 +73,10 @@ def random_rotate(points: DataFrame, angle=(-1.0, 1.0), axis: str = "z", center:
     return rotate(points, F.when(uniform(seed, f"rotate/{axis}/p", F.col(SCENE)) < p, turn).otherwise(0.0), axis, center)
 
 
-def random_rotate_target(points: DataFrame, angles=(0.5, 1.0, 1.5), axis: str = "z", center: Sequence[float] | None = None, p: float = 0.75, seed: int = 42) -> DataFrame:
+def random_rotate_target(
+    points: DataFrame, angles=(0.5, 1.0, 1.5), axis: str = "z", center: Sequence[float] | None = None, p: float = 0.75,
+    seed: int = 42,
+) -> DataFrame:
     """A turn by one of the listed shares of pi."""
     pick = F.floor(uniform(seed, f"target/{axis}", F.col(SCENE)) * len(angles)).cast("int")
     turn = F.get(F.array(*(F.lit(a * math.pi) for a in angles)), pick)
@@ -121,7 +124,10 @@ def z_up_rotation(scenes: DataFrame, normal_columns=("a", "b", "c")) -> DataFram
     a, b, c = F.col("_a"), F.col("_b"), F.col("_c")
     # axis (b, -a, 0), sine^2 = a^2 + b^2, cosine = c
     k = (F.lit(1.0) - c) / (a * a + b * b)
-    turn = {"r00": 1 - k * a * a, "r01": -k * a * b, "r02": -a, "r10": -k * a * b, "r11": 1 - k * b * b, "r12": -b, "r20": a, "r21": b, "r22": 1 - k * (a * a + b * b)}
+    turn = {
+        "r00": 1 - k * a * a, "r01": -k * a * b, "r02": -a, "r10": -k * a * b, "r11": 1 - k * b * b, "r12": -b, "r20": a,
+        "r21": b, "r22": 1 - k * (a * a + b * b),
+    }
     same = {"r00": 1.0, "r11": 1.0, "r22": 1.0}
     over = {"r00": 1.0, "r11": -1.0, "r22": -1.0}
     rows = {n: F.when(c > 0.999, F.lit(same.get(n, 0.0))).when(c < -0.999, F.lit(over.get(n, 0.0))).otherwise(v) for n, v in turn.items()}

@@ -115,7 +115,10 @@ def hue(points: DataFrame, factor: Column | float) -> DataFrame:
     return _set(df, {c: v * 255.0 for c, v in rgb.items()}).select(*points.columns)
 
 
-def color_jitter(points: DataFrame, bright=(0.6, 1.4), contrast_=(0.6, 1.4), saturate=(0.6, 1.4), hue_=(-0.1, 0.1), p: float = 0.95, seed: int = 42) -> DataFrame:
+def color_jitter(
+    points: DataFrame, bright=(0.6, 1.4), contrast_=(0.6, 1.4), saturate=(0.6, 1.4), hue_=(-0.1, 0.1), p: float = 0.95,
+    seed: int = 42,
+) -> DataFrame:
     """The four adjustments in an order of each scene's own, each with probability ``p``.
 
     Only contrast needs more than the point itself: what precedes it in a scene's order is applied first, then one mean for each scene is taken.
@@ -158,7 +161,10 @@ def _jitter_pass(df: DataFrame, which: Column, mean: Column | None = None) -> Da
     return _set(df, values).select(*kept)
 
 
-def hue_saturation_translation(points: DataFrame, hue_max: float = 0.5, saturation_max: float = 0.2, seed: int = 42, shift: tuple[float, float] | None = None) -> DataFrame:
+def hue_saturation_translation(
+    points: DataFrame, hue_max: float = 0.5, saturation_max: float = 0.2, seed: int = 42,
+    shift: tuple[float, float] | None = None,
+) -> DataFrame:
     """Moves hue and saturation by one amount for each scene (or the given ``shift``); colours are cut to integers."""
     draw = lambda n, m: uniform(seed, f"hst/{n}", F.col(SCENE), low=-m, high=m)
     dh, ds = map(F.lit, shift) if shift else (draw("h", hue_max), F.lit(1.0) + draw("s", saturation_max))

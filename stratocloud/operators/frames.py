@@ -75,7 +75,10 @@ def smoothing_width(seconds: float, fps: float) -> int:
 def islands(frames: DataFrame, value: str, name: str = "island") -> DataFrame:
     """Numbers the runs of equal neighbouring values of each video, from 0."""
     new = ~F.col(value).eqNullSafe(F.lag(value).over(_video()))
-    return frames.withColumn(name, F.sum(F.when(F.row_number().over(_video()) == 1, 0).otherwise(new.cast("int"))).over(_video().rowsBetween(W.unboundedPreceding, 0)))
+    return frames.withColumn(
+        name,
+        F.sum(F.when(F.row_number().over(_video()) == 1, 0).otherwise(new.cast("int"))).over(_video().rowsBetween(W.unboundedPreceding, 0)),
+    )
 
 
 def suppress_short_runs(frames: DataFrame, least: int, value: str = "keep") -> DataFrame:
@@ -103,7 +106,9 @@ def best_label(scores: DataFrame, by: list[str], label: str = "label", order: st
 
 def runs(frames: DataFrame, value: str = "label") -> DataFrame:
     """(video_id, run, value, first, last, n) of each run."""
-    return islands(frames, value, "run").groupBy(VIDEO, "run").agg(F.first(value).alias(value), F.min(AT).alias("first"), F.max(AT).alias("last"), F.count("*").alias("n"))
+    return islands(frames, value, "run").groupBy(VIDEO, "run").agg(
+        F.first(value).alias(value), F.min(AT).alias("first"), F.max(AT).alias("last"), F.count("*").alias("n"),
+    )
 
 
 def shortest_run(room_seconds: float, fps: float, stride: int) -> int:
@@ -189,4 +194,8 @@ def clip_name(number: Column, label: Column) -> Column:
 def probability_rows(frames: DataFrame, stride: int = 1) -> DataFrame:
     """The debugging table of probabilities: sample, frame, time and probability as text."""
     df = decimate(frames, 0, stride)
-    return df.select(VIDEO, F.floor(F.col(AT) / F.lit(stride)).alias("sample_index"), AT, F.format_string("%.3f", F.col(AT) / frame_rate(F.col("fps"))).alias("time_sec"), F.format_string("%.6f", F.col("prob_inside")).alias("prob_inside"))
+    return df.select(
+        VIDEO, F.floor(F.col(AT) / F.lit(stride)).alias("sample_index"), AT,
+        F.format_string("%.3f", F.col(AT) / frame_rate(F.col("fps"))).alias("time_sec"),
+        F.format_string("%.6f", F.col("prob_inside")).alias("prob_inside"),
+    )

@@ -177,7 +177,10 @@ def spacing_stats(points: DataFrame, percents=(25, 75, 90, 95), h: float | None
     """mean, median, std (of the population), min, max and percentiles of each scene's distances to the nearest point."""
     one = nearest(points, 1, h)
     cut = [F.percentile("d", F.lit(p / 100)).alias(f"p{p}") for p in percents]
-    return one.groupBy(SCENE).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.stddev_pop("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"), *cut)
+    return one.groupBy(SCENE).agg(
+        F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"),
+        F.stddev_pop("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"), *cut,
+    )
 
 
 def sampled_median_spacing(points: DataFrame, n: int = 10_000, seed: int = 42, h: float | None = None) -> DataFrame:
@@ -242,7 +245,10 @@ def removal_report(marked: DataFrame, cap: float) -> DataFrame:
     return df.withColumn("ratio", F.col("removed") / F.col("n")).withColumn("over_cap", F.col("ratio") > cap)
 
 
-def remove_outliers(points: DataFrame, radius_factor: float = 10.0, least: int = 1, k: int = 50, ratio: float = 4.0, cap: float = 0.01, h: float | None = None) -> tuple[DataFrame, DataFrame]:
+def remove_outliers(
+    points: DataFrame, radius_factor: float = 10.0, least: int = 1, k: int = 50, ratio: float = 4.0, cap: float = 0.01,
+    h: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Both passes: points with ``least`` others within ``radius_factor`` median spacings, then those that aren't statistical outliers; and the reports.
 
     A point has that many others within a radius if its ``least``-th nearest is, so one search serves the spacing and
@@ -285,5 +291,8 @@ def normal_quality(points: DataFrame) -> DataFrame:
     size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
     df = points.withColumn("_s", size)
     bad = F.col("_s").isNull() | F.isnan("_s") | (F.col("_s") < 1e-6)
-    out = df.groupBy(SCENE).agg(F.count("*").alias("n"), F.sum((F.col("_s") < 1e-6).cast("long")).alias("zero"), F.sum(F.isnan("_s").cast("long")).alias("nan"), F.avg("_s").alias("mean_norm"), F.sum(bad.cast("long")).alias("_bad"))
+    out = df.groupBy(SCENE).agg(
+        F.count("*").alias("n"), F.sum((F.col("_s") < 1e-6).cast("long")).alias("zero"),
+        F.sum(F.isnan("_s").cast("long")).alias("nan"), F.avg("_s").alias("mean_norm"), F.sum(bad.cast("long")).alias("_bad"),
+    )
     return out.withColumn("score", F.lit(100.0) * (F.lit(1.0) - F.col("_bad") / F.col("n"))).drop("_bad")

@@ -47,7 +47,9 @@ def _sizes(state: DataFrame, target: float, mark: str) -> DataFrame:
     return state.groupBy(SCENE).agg(F.count("*").alias(f"n{mark}"), F.first(F.abs(F.col("spacing") - target) / F.lit(target)).alias(f"error{mark}"))
 
 
-def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = None) -> tuple[DataFrame, DataFrame]:
+def adjust_spacing(
+    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(points, report). Scenes that are denser than the target are thinned step by step until their mean spacing is within the threshold.
 
     A step aims at a fifth of the way in number of points. A scene stops when it is within the threshold, too sparse, or its step is under 2 %.
@@ -81,7 +83,10 @@ def adjust_spacing(points: DataFrame, target: float, threshold: float = 0.03, ro
     return done.select(*points.columns), report
 
 
-def refine_spacing(points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = None, reruns: int = 5) -> tuple[DataFrame, DataFrame]:
+def refine_spacing(
+    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = None,
+    reruns: int = 5,
+) -> tuple[DataFrame, DataFrame]:
     """``adjust_spacing``, run again up to ``reruns`` times, with other draws, on the scenes whose error is not under the threshold."""
     done, report = (settled(df) for df in adjust_spacing(points, target, threshold, rounds, seed, h))
     for k in range(1, reruns + 1):
@@ -95,12 +100,17 @@ def refine_spacing(points: DataFrame, target: float, threshold: float = 0.03, ro
     return done, report
 
 
-def iterate_spacing(points: DataFrame, target: float, rounds: int = 5, least: float = 0.7, enough: float = 0.02, seed: int = 42, h: float | None = None) -> DataFrame:
+def iterate_spacing(
+    points: DataFrame, target: float, rounds: int = 5, least: float = 0.7, enough: float = 0.02, seed: int = 42,
+    h: float | None = None,
+) -> DataFrame:
     """Off the main path: scenes are thinned in growing cells; a scene stops within ``enough`` of the target, when its error
     does not lessen or when under ``least`` of its points are left. The best state before that is kept.
     """
     ratio = F.col("spacing") / F.lit(target)
-    start = F.when(ratio < 1, F.least(F.lit(1.25), F.greatest(F.lit(0.95), F.pow(1 / ratio, F.lit(0.25))))).otherwise(F.least(F.lit(1.05), F.greatest(F.lit(0.8), F.pow(ratio, F.lit(0.25)))))
+    start = F.when(
+        ratio < 1, F.least(F.lit(1.25), F.greatest(F.lit(0.95), F.pow(1 / ratio, F.lit(0.25)))),
+    ).otherwise(F.least(F.lit(1.05), F.greatest(F.lit(0.8), F.pow(ratio, F.lit(0.25)))))
     sizes = points.groupBy(SCENE).agg(F.floor(F.count("*") * F.lit(least)).alias("_least"))
     state = _spaced(points, h)
     scenes = settled(state.groupBy(SCENE).agg(F.first("spacing").alias("spacing")).withColumns({"_factor": start, "_error": F.lit(float("inf"))}).drop("spacing").join(sizes, SCENE))
@@ -184,7 +194,9 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     met = settled(nearest(points, k, h, queries=pick))
     mean = met.filter("rank = 1").groupBy(SCENE).agg(F.avg("d").alias("_mean"))
     far = met.join(mean, SCENE).filter(F.col("d") >= 0.3 * F.col("_mean")).select(SCENE, "pid", "other")
-    draws = scenes.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col("_need") - 1))).withColumn("_r", (F.col("_j") % F.col("_n") + 1).cast("long"))
+    draws = scenes.withColumn(
+        "_j", F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col("_need") - 1)),
+    ).withColumn("_r", (F.col("_j") % F.col("_n") + 1).cast("long"))
     tried = draws.join(rows.select(SCENE, "pid", "_r"), [SCENE, "_r"]).join(far, [SCENE, "pid"])
     chosen = tried.groupBy(SCENE, "pid", "_j", "_n", "_need").agg(F.min_by("other", key_hash(seed, "up/other", F.col("pid"), F.col("other"), F.col("_j"))).alias("other"))
     chosen = chosen.withColumn("_k", F.row_number().over(W.partitionBy(SCENE).orderBy("_j"))).filter(F.col("_k") <= F.col("_need"))
@@ -193,8 +205,12 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     t = uniform(seed, "up/t", F.col(SCENE), F.col("pid"), F.col("_j"), low=0.3, high=0.7)
     made = points.join(chosen, [SCENE, "pid"]).join(b, [SCENE, "other"]).withColumns({c: F.col(c) + t * (F.col(f"_b{c}") - F.col(c)) for c in XYZ})
     made = made.withColumn("pid", F.concat("pid", F.lit("+"), "other", F.when(F.col("_again") > 0, F.concat(F.lit("+"), "_again")).otherwise("")))
-    short = scenes.join(chosen.groupBy(SCENE).agg(F.count("*").alias("_got")), SCENE, "left").withColumn("_short", F.col("_need") - F.coalesce("_got", F.lit(0))).filter("_short > 0")
-    copies = short.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_short"))).withColumn("_r", (F.floor(uniform(seed, "up/copy", F.col(SCENE), F.col("_i")) * F.col("_n")) + 1).cast("long"))
+    short = scenes.join(
+        chosen.groupBy(SCENE).agg(F.count("*").alias("_got")), SCENE, "left",
+    ).withColumn("_short", F.col("_need") - F.coalesce("_got", F.lit(0))).filter("_short > 0")
+    copies = short.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_short"))).withColumn(
+        "_r", (F.floor(uniform(seed, "up/copy", F.col(SCENE), F.col("_i")) * F.col("_n")) + 1).cast("long"),
+    )
     copies = copies.join(rows.select(SCENE, "_r", "pid"), [SCENE, "_r"]).select(SCENE, "pid", "_i").join(points, [SCENE, "pid"]).withColumn("pid", F.concat("pid", F.lit("#"), "_i"))
     added = made.select(*points.columns).unionByName(copies.select(*points.columns)).withColumn("made", F.lit(True))
     return points.withColumn("made", F.lit(False)).unionByName(added)

@@ -20,7 +20,10 @@ RANGES = 64  # of each scene's order by a number
 TINY = 1e-300
 
 
-def ranked(rows: DataFrame, order: Sequence[str | Column], place: Column, by: Sequence[str] = (SCENE,), name: str = "_r", most: Column | None = None) -> DataFrame:
+def ranked(
+    rows: DataFrame, order: Sequence[str | Column], place: Column, by: Sequence[str] = (SCENE,), name: str = "_r",
+    most: Column | None = None,
+) -> DataFrame:
     """``name``: each row's place (from 1) in the order within its group.
 
     ``place`` must never fall as the order rises; rows that share it are a range. With ``most`` only the rows up to that place

@@ -43,7 +43,9 @@ def fit_planes(points: DataFrame, by: list[str] = [SCENE]) -> DataFrame:  # noqa
     import pandas as pd
 
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    moments = points.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in XYZ), *(F.covar_pop(p, q).alias(f"{p}{q}") for p, q in pairs)).filter("n >= 3")
+    moments = points.groupBy(*by).agg(
+        F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in XYZ), *(F.covar_pop(p, q).alias(f"{p}{q}") for p, q in pairs),
+    ).filter("n >= 3")
 
     def solve(batches):
         for t in batches:
@@ -97,7 +99,9 @@ def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least
     return top.join(candidates, [SCENE, "candidate"]).select(SCENE, "candidate", *"abcd", "inliers")
 
 
-def detect_planes(points: DataFrame, threshold: Column | float, planes: int = 2, n: int = 500, least: int = 50, stop: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def detect_planes(
+    points: DataFrame, threshold: Column | float, planes: int = 2, n: int = 500, least: int = 50, stop: int = 100, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
     """(planes refitted to their points, points with ``plane``: -1 if in none). Planes are taken off one after the other; scenes with under ``stop`` points left are done.
 
     ``threshold`` may be a column of ``points``.
@@ -116,7 +120,9 @@ def detect_planes(points: DataFrame, threshold: Column | float, planes: int = 2,
 
 def ground_scores(members: DataFrame, planes: DataFrame) -> DataFrame:
     """How floor-like each plane is: many points, spread widely in x and y and little in height, facing up."""
-    per = members.filter("plane >= 0").groupBy(SCENE, "plane").agg(F.count("*").alias("k"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.var_pop("z").alias("vz"))
+    per = members.filter("plane >= 0").groupBy(SCENE, "plane").agg(
+        F.count("*").alias("k"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.var_pop("z").alias("vz"),
+    )
     df = per.join(planes.select(SCENE, "plane", *"abcd"), [SCENE, "plane"])
     area, flatness = F.sqrt(F.col("vx") * F.col("vy")), F.lit(1.0) / (F.lit(1.0) + F.lit(1000.0) * F.col("vz"))
     score = F.col("k") + F.lit(AREA) * area + F.lit(FLATNESS) * flatness + F.lit(LEVEL) * F.abs("c")

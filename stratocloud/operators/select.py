@@ -18,7 +18,10 @@ def keep_random(points: DataFrame, target: Column, seed: int, name: str, key: st
     return ranked_at_random(points, seed, name, key, most=target).select(*points.columns)
 
 
-def random_dropout(points: DataFrame, ratio: float = 0.2, application_ratio: float = 0.5, seed: int = 42, key: str = "pid", forced: Column | None = None) -> DataFrame:
+def random_dropout(
+    points: DataFrame, ratio: float = 0.2, application_ratio: float = 0.5, seed: int = 42, key: str = "pid",
+    forced: Column | None = None,
+) -> DataFrame:
     """Keeps the whole part of n (1 - ratio) points of a share of the scenes; ``forced`` points always stay."""
     on = uniform(seed, "dropout/p", F.col(SCENE)) < application_ratio
     df = ranked_at_random(beside(points, F.count("*").alias("_n")), seed, "dropout", key)
@@ -43,7 +46,10 @@ def scene_center(points: DataFrame, mode: str, seed: int = 42, key: str = "pid")
     return df.join(middle, [SCENE, "_place"]).select(SCENE, *(F.col(c).alias(f"c{c}") for c in "xyz"))
 
 
-def sphere_crop(points: DataFrame, point_max: int | None = 80_000, sample_rate: float | None = None, mode: str = "random", seed: int = 42, key: str = "pid") -> DataFrame:
+def sphere_crop(
+    points: DataFrame, point_max: int | None = 80_000, sample_rate: float | None = None, mode: str = "random", seed: int = 42,
+    key: str = "pid",
+) -> DataFrame:
     """The points nearest to a centre, at most ``point_max`` (or a share of the scene)."""
     df = beside(points, F.count("*").alias("_n")).join(scene_center(points, mode, seed, key), SCENE)
     most = F.floor(F.col("_n") * F.lit(sample_rate)) if sample_rate is not None else F.lit(point_max)
@@ -70,7 +76,10 @@ def pre_downsample(points: DataFrame, threshold: int, seed: int = 42, key: str =
     return keep_random(points, F.lit(threshold), seed, "downsample", key)
 
 
-def adjust_density(points: DataFrame, target: float, ratio: float = 1.5, most: int = 200_000, least: int = 40_000, seed: int = 42, key: str = "pid") -> DataFrame:
+def adjust_density(
+    points: DataFrame, target: float, ratio: float = 1.5, most: int = 200_000, least: int = 40_000, seed: int = 42,
+    key: str = "pid",
+) -> DataFrame:
     """Brings scenes above ``ratio`` times the target density, or of over ``most`` points, to the target.
 
     The number aimed at is at least ``least`` and within 30 % of the present one; where it is larger, points appear again

@@ -25,7 +25,11 @@ def _one(points: DataFrame, name: str, seed: int) -> DataFrame:
     return points.groupBy(SCENE).agg(best.alias("c")).select(SCENE, *(F.col(f"c.{c}").alias(f"c{c}") for c in "xyz"))
 
 
-def multi_views(points: DataFrame, global_views: int = 2, local_views: int = 4, global_scale=(0.4, 1.0), local_scale=(0.1, 0.4), most: int = 65_536, band: tuple[float, float] = (0.0, 1.0), seed: int = 42, global_transform=None, local_transform=None, shared_transform=None) -> DataFrame:
+def multi_views(
+    points: DataFrame, global_views: int = 2, local_views: int = 4, global_scale=(0.4, 1.0), local_scale=(0.1, 0.4),
+    most: int = 65_536, band: tuple[float, float] = (0.0, 1.0), seed: int = 42, global_transform=None, local_transform=None,
+    shared_transform=None,
+) -> DataFrame:
     """All views of all scenes, told apart by ``view``.
 
     The first global view is centred on a point within the height ``band`` (shares of the scene's height), further ones on points

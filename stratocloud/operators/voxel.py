@@ -31,7 +31,10 @@ def with_cells(points: DataFrame, size: float, origin: str = "grid") -> DataFram
     return df.withColumns({f"g{c}": F.floor((F.col(c) - F.col(f"_lo{c}")) / F.lit(size)) for c in XYZ}).select(*points.columns, *CELL)
 
 
-def voxel_pick(points: DataFrame, size: float, seed: int = 42, key: str = "pid", origin: str = "grid", name: str = "voxel", displacement: bool = False, project: bool = False, forced: Column | None = None) -> DataFrame:
+def voxel_pick(
+    points: DataFrame, size: float, seed: int = 42, key: str = "pid", origin: str = "grid", name: str = "voxel",
+    displacement: bool = False, project: bool = False, forced: Column | None = None,
+) -> DataFrame:
     """One random point of each cell, with the cell, its number of points and, if asked for, the point's place in the cell.
 
     The pick is an aggregate (the least keyed hash), so cells need no sort. ``displacement`` (-0.5 to 0.5 in each

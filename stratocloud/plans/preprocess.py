@@ -48,7 +48,9 @@ def preprocess(points: DataFrame, config: Config | None = None) -> tuple[DataFra
         "align": lambda df: planes.align_z_up(df, c.cell, c.plane_threshold, c.seed),
         "scale": lambda df: affine.adjust_scale(df, c.scale, c.seed)[0],
         "spacing": lambda df: normalize.refine_spacing(df, c.spacing, c.spacing_threshold, c.spacing_rounds, c.seed, c.reach, c.spacing_reruns)[0],
-        "density": lambda df: select.adjust_density(df, c.density, least=c.least_points, seed=c.seed).withColumn("pid", F.when(F.col("copy") > 0, F.concat_ws("#", "pid", "copy")).otherwise(F.col("pid"))).drop("copy"),
+        "density": lambda df: select.adjust_density(df, c.density, least=c.least_points, seed=c.seed).withColumn(
+            "pid", F.when(F.col("copy") > 0, F.concat_ws("#", "pid", "copy")).otherwise(F.col("pid")),
+        ).drop("copy"),
         "normals": lambda df: neighbors.normals_by_neighbours(df, c.normals_k, c.reach),
     }
     unknown = set(c.steps) - set(steps)

@@ -51,8 +51,14 @@ class Registry:
 
 OPERATORS = Registry("operators")
 for _module, _names in (
-    (affine, "center_shift positive_shift normalize_coord random_shift point_clip rotate random_rotate random_rotate_target random_scale random_flip random_jitter clip_gaussian_jitter scale_by scale_to_volume grid_coord layout_offset"),
-    (color, "normalize_color auto_contrast color_translation color_jitter_noise grayscale brightness contrast saturation hue color_jitter hue_saturation_translation color_drop"),
+    (
+        affine,
+        "center_shift positive_shift normalize_coord random_shift point_clip rotate random_rotate random_rotate_target random_scale random_flip random_jitter clip_gaussian_jitter scale_by scale_to_volume grid_coord layout_offset",
+    ),
+    (
+        color,
+        "normalize_color auto_contrast color_translation color_jitter_noise grayscale brightness contrast saturation hue color_jitter hue_saturation_translation color_drop",
+    ),
     (schema, "collect copy update to_tensor_types"),
     (select, "random_dropout sphere_crop nearest_to shuffle_points crop_boundary pre_downsample adjust_density"),
     (voxel, "with_cells voxel_pick voxel_fragments voxel_inverse spatial_sample spacing_sample voxel_centroids spatial_grid"),
@@ -107,5 +113,8 @@ AUGMENTATIONS = (
 
 def training(size: float = 0.02, most: int = 102_400) -> Plan:
     """The augmentations of fine-tuning, then a crop and colours to 0..1."""
-    last = [{"type": "voxel_pick", "size": size}, {"type": "sphere_crop", "point_max": most}, {"type": "center_shift", "apply_z": False}, {"type": "normalize_color"}, {"type": "to_tensor_types"}]
+    last = [
+        {"type": "voxel_pick", "size": size}, {"type": "sphere_crop", "point_max": most},
+        {"type": "center_shift", "apply_z": False}, {"type": "normalize_color"}, {"type": "to_tensor_types"},
+    ]
     return Plan([{"type": "center_shift"}, *AUGMENTATIONS, *last])

@@ -44,7 +44,10 @@ def read_work_list(spark: SparkSession, path: str) -> DataFrame:
 def work_list(rows: DataFrame) -> DataFrame:
     """(input, output, video_id, scene); older and newer names of the keys serve alike; rows without input or output go."""
     at = lambda *names: F.coalesce(*(F.col(n) for n in names if n in rows.columns), F.lit(None).cast("string"))
-    df = rows.select(at("input_path", "scene_mp4").alias("input"), at("output_path", "source_ply").alias("output"), at("video_id").alias("video_id"), at("scene_dir", "scene_name").alias("scene"))
+    df = rows.select(
+        at("input_path", "scene_mp4").alias("input"), at("output_path", "source_ply").alias("output"),
+        at("video_id").alias("video_id"), at("scene_dir", "scene_name").alias("scene"),
+    )
     return df.filter("input IS NOT NULL AND output IS NOT NULL")
 
 
