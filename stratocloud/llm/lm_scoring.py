@@ -155,7 +155,10 @@ def sliced(texts: DataFrame, keys: Keys, role: int, slice_words: int = SLICE_WOR
         asked = {"sizes": [None] * len(parts), "words": [None] * len(parts), "codes": [None] * len(parts), "total": [None] * len(parts)}
         asked |= {"shard": [s for s, _, _ in parts], "first": [int(k[0].view(np.int64)) for _, k, _ in parts]}
         asked |= {"keys": [packed(np.diff(k, prepend=k[:1])) for _, k, _ in parts], "counts": [packed(c) for _, _, c in parts]}
-        for row, n_rows, ids_column in ((own, 1, pa.ListArray.from_arrays([0, len(ids_)], ids_)), (asked, len(parts), pa.nulls(len(parts), pa.list_(ids_.type)))):
+        for row, n_rows, ids_column in (
+            (own, 1, pa.ListArray.from_arrays([0, len(ids_)], ids_)),
+            (asked, len(parts), pa.nulls(len(parts), pa.list_(ids_.type))),
+        ):
             row = {"slice": [number] * n_rows, "role": [role] * n_rows} | row
             yield pa.RecordBatch.from_arrays([ids_column, *(pa.array(row[c], kinds[c]) for c in names)], ["ids", *names])
 

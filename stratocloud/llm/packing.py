@@ -175,7 +175,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32))
                 data = pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at + row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), data],
+                    [
+                        batch.column(0).take(pa.array(at + row)), pa.array(piece, pa.int32()),
+                        pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), data,
+                    ],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
@@ -253,7 +256,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
         bucket = F.pmod(F.xxhash64(F.lit(r), "doc_id", "start", "ids_crc32"), F.lit(n_parts)).cast("long").alias("bucket")
         schema = todo.select(*columns, F.lit(0).cast("long").alias("bucket")).schema.add("sequence_id", "long").add("offset", "long").add("gap", "long").add("loose", "boolean")
         packed = kept(todo.select(*columns, bucket).groupBy("bucket").applyInArrow(_packer(capacity, r), schema))
-        seen = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("loose"), F.col("sequence_id"))), F.sum(F.col("loose").cast("long"))).first()
+        seen = packed.agg(
+            F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("loose"), F.col("sequence_id"))),
+            F.sum(F.col("loose").cast("long")),
+        ).first()
         n_bins, n_loose, loose_rows = seen[0], seen[1], seen[2] or 0
         now = packed if done is None else done.unionByName(packed)
         if best is None or n_done + n_bins < best[0]:
@@ -267,7 +273,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
     return best[1].select(*columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS, keep_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS,
+    keep_ids: bool = False,
+) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with ``keep_ids`` also ids."""
     pieces = token_pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids"))
     return pack(pieces if keep_ids else pieces.drop("ids"), capacity, part_rows, rounds)

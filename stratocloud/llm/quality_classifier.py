@@ -59,7 +59,10 @@ def features(text: str | None) -> np.ndarray:
     again = sum(map(bytes.__eq__, words[:-1], words[1:]))
     lines = data.split(b"\n")
     sizes = np.fromiter(map(len, words), float, n)
-    out[_KINDS * _KINDS :] = (again / n, len(set(words)) / n, sizes.mean() / 10, sizes.std() / 10, np.log1p(n) / 10, 1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)) / 10)
+    out[_KINDS * _KINDS :] = (
+        again / n, len(set(words)) / n, sizes.mean() / 10, sizes.std() / 10, np.log1p(n) / 10, 1 - len(set(lines)) / len(lines),
+        np.log1p(n / len(lines)) / 10,
+    )
     return out
 
 
@@ -110,7 +113,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), x], ["y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 42) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positives: int = POSITIVES,
+    unlabelled: int = UNLABELLED, seed: int = 42,
+) -> Model:
     """A model from at most ``positives`` trusted and ``unlabelled`` other texts, none of the held-out fold."""
     known = labelled_ids(labels, label, modulus, held_out).filter("y = 1")
     p = first_by_hash(known, positives, seed)

@@ -159,7 +159,10 @@ def sketch(docs: DataFrame, bits: int, depth: int = DEPTH, window: int = WINDOW,
                         rows["row"].append(r)
                         rows["shard"].append(int(shards[at]))
                         rows["cells"].append((part & ((1 << shard_bits) - 1)).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows["row"], pa.int32()), pa.array(rows["shard"], pa.int32()), pa.array(rows["cells"], pa.binary())], ["row", "shard", "cells"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows["row"], pa.int32()), pa.array(rows["shard"], pa.int32()), pa.array(rows["cells"], pa.binary())],
+                    ["row", "shard", "cells"],
+                )
 
     def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << shard_bits, np.uint8)
@@ -167,7 +170,13 @@ def sketch(docs: DataFrame, bits: int, depth: int = DEPTH, window: int = WINDOW,
             for cells in part.column("cells"):
                 at, n = np.unique(np.frombuffer(cells.as_buffer(), "<u4"), return_counts=True)
                 counts[at] = np.minimum(2, counts[at] + np.minimum(2, n)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], ["row", "shard", "bits"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()),
+                pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary()),
+            ],
+            ["row", "shard", "bits"],
+        )
 
     cells = docs.select("text").mapInArrow(count, "row int, shard int, cells binary")
     return cells.groupBy("row", "shard").applyInArrow(merge, "row int, shard int, bits binary")
@@ -214,7 +223,10 @@ def _second_pass(docs: DataFrame, bitmaps, bits: int, window: int, gram: int, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        kinds = {"gram": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int32()), "pos": pa.int32(), "n": pa.int32()}
+        kinds = {
+            "gram": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int32()),
+            "pos": pa.int32(), "n": pa.int32(),
+        }
         for batch in batches:
             own, uid = batch.columns[:-1], batch.columns[-1]
             for at, texts in _slices(batch.column(text_at), SLICE_BYTES):
@@ -244,7 +256,10 @@ def _second_pass(docs: DataFrame, bitmaps, bits: int, window: int, gram: int, te
                 row = {name: c.take(rows) if k == id_at else pa.nulls(n, c.type) for k, (name, c) in enumerate(zip(names, own))}
                 row |= {"uid": uid.take(rows), "again": pa.nulls(n, pa.bool_()), "n_words": pa.nulls(n, pa.int64()), "kept_sha256": pa.nulls(n, pa.string())}
                 row |= {"gram": pa.array(w.least[first].view(np.int64)), "d1": pa.array(d1), "d2": pa.array(d2)}
-                row |= {"h1": pa.ListArray.from_arrays(cuts, pa.array(h1[each].view(np.int64))), "h2": pa.ListArray.from_arrays(cuts, pa.array((h2[each] >> np.uint64(32)).astype(np.uint32).view(np.int32)))}
+                row |= {
+                    "h1": pa.ListArray.from_arrays(cuts, pa.array(h1[each].view(np.int64))),
+                    "h2": pa.ListArray.from_arrays(cuts, pa.array((h2[each] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                }
                 row |= {"pos": pa.array((start - w.first[w.text[first]]).astype(np.int32)), "n": pa.array(size.astype(np.int32))}
                 table = pa.RecordBatch.from_pydict(row)
                 for k in range(0, n, 50_000):
@@ -263,7 +278,9 @@ def _least_ids(runs: DataFrame) -> DataFrame:
     groups = kept(per.groupBy("gram").agg(F.count("*").alias("k"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("gram", "k"))
     alone = per.join(groups.filter("k = 1").select("gram"), "gram").select(*key, F.array("low").alias("least"))
     apart = kept(per.join(groups.filter("k > 1").select("gram"), "gram").select("run", *key, "low", "h1", "h2"))
-    each = apart.select("run", "low", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("run", F.col("at").cast("smallint").alias("at"), "low", "h.h1", "h.h2")
+    each = apart.select("run", "low", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select(
+        "run", F.col("at").cast("smallint").alias("at"), "low", "h.h1", "h.h2",
+    )
     # A window may be in very many runs: these are dealt by a salt, and a window's least id is taken to each of its salts.
     # A window that a single distinct run holds needs no word from others: its run's least id is its own.
     each = each.withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("tinyint"))

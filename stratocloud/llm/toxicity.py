@@ -133,7 +133,10 @@ def cover(passages: list[tuple[bytes, float]], worth: dict[int, float], most: in
     return out
 
 
-def train_dictionaries(sample: DataFrame, shared: int = SHARED_BYTES, own: int = OWN_BYTES, significance: float = SIGNIFICANCE, contrast: float = CONTRAST) -> Dictionaries:
+def train_dictionaries(
+    sample: DataFrame, shared: int = SHARED_BYTES, own: int = OWN_BYTES, significance: float = SIGNIFICANCE,
+    contrast: float = CONTRAST,
+) -> Dictionaries:
     """From texts with y. What is gathered is bounded: the ``STRINGS`` most valuable strings and passages of each kind."""
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -169,7 +172,9 @@ class Distance:
     """Features of texts: how many windows the toxic dictionary shortens more, by how many bytes."""
 
     def __init__(self, d: Dictionaries, level: int = LEVEL):
-        plain = zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        plain = zstandard.ZstdCompressionParameters.from_level(
+            level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
 
         def compressor(content: bytes):
             if len(content) < 8:
@@ -215,7 +220,10 @@ def _feature_rows(dictionaries: Dictionaries):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS, seed: int = 42) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, toxic_docs: int = TOXIC_DOCS,
+    ordinary_docs: int = ORDINARY_DOCS, seed: int = 42,
+) -> Model:
     """A model of the labels outside the held-out fold, from at most toxic_docs + ordinary_docs documents."""
     ids = labelled_ids(labels, label, modulus, held_out)
     chosen = first_by_hash(ids.filter("y = 1"), toxic_docs, seed).unionByName(first_by_hash(ids.filter("y = 0"), ordinary_docs, seed))

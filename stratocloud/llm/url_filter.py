@@ -107,7 +107,10 @@ def _by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
     parts = parts.withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("suffix"), (F.size(labels) - i).alias("depth")))
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("suffix"), (F.size(labels) - i).alias("depth")),
+    )
     rows = parts.filter("host <> ''").select("row", "path", F.explode(suffixes).alias("s")).select("row", "path", "s.*")
     rows = rows.join(lengths.withColumnRenamed("host", "suffix"), "suffix").withColumn("n", F.explode("lengths")).filter(F.length("path") >= F.col("n"))
     rows = rows.withColumn("start", F.substring("path", F.lit(1), F.col("n")))

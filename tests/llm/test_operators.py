@@ -26,7 +26,10 @@ def _texts() -> list:
     base = [word() for _ in range(400)]
     near = list(base)
     near[200] = "changed"
-    rows = [None, "", "  \n\t ", "one", "two words", "the end. " * 30, " ".join(base), " ".join(base), " ".join(near), "A B C D E F G H I J", "a b c d e f g h i j"]
+    rows = [
+        None, "", "  \n\t ", "one", "two words", "the end. " * 30, " ".join(base), " ".join(base), " ".join(near),
+        "A B C D E F G H I J", "a b c d e f g h i j",
+    ]
     rows += [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(k)]) for k in (0, 10, 70)]
     rows += ["x\u00a0y \u3000z \x1c q " * 20, "line\nline\nline\nother", "w " * 2_000, "é" * 200_000, "$$$ ### *** " * 9]
     return rows
@@ -74,15 +77,24 @@ def test_mix_matches_sql_and_hits_targets(spark):
 
 
 def _pages(spark):
-    urls = [None, "", "no scheme", "http://A.Example.NET/en/1?x", "https://example.net", "https://x.net/de", "HTTP://example.com/de/", "http://sub.example.com/de", "ftp://a.b.org/fr/x#y", "http://org/fr/", "http://notnet/", "x://net/\nq", "http://net:80/"]
-    return spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)] + [(None, urls[3], "h", "r")], "page_id bigint, url string, html string, rule string")
+    urls = [
+        None, "", "no scheme", "http://A.Example.NET/en/1?x", "https://example.net", "https://x.net/de", "HTTP://example.com/de/",
+        "http://sub.example.com/de", "ftp://a.b.org/fr/x#y", "http://org/fr/", "http://notnet/", "x://net/\nq", "http://net:80/",
+    ]
+    return spark.createDataFrame(
+        [(k, u, "h", "r") for k, u in enumerate(urls)] + [(None, urls[3], "h", "r")],
+        "page_id bigint, url string, html string, rule string",
+    )
 
 
 def test_url_rules_match_sql_by_trie_and_by_join(spark):
     columns = ["page_id", "host", "path", "rule", "verdict"]
     con = duckdb.connect()
     pages = _pages(spark).toPandas()  # noqa: F841
-    expected = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES['op8_url_filter'].replace('FROM pages', 'FROM (SELECT page_id::BIGINT AS page_id, url FROM pages)')})").fetchall(), key=str)
+    expected = sorted(
+        con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES['op8_url_filter'].replace('FROM pages', 'FROM (SELECT page_id::BIGINT AS page_id, url FROM pages)')})").fetchall(),
+        key=str,
+    )
     for most in (200_000, 0):
         assert _rows(url_filter.filter_urls(_pages(spark), URL_RULES, max_broadcast=most), *columns) == expected
     ties = [url_filter.UrlRule("block", "a.com", "/x"), url_filter.UrlRule("allow", "a.com", "/x"), url_filter.UrlRule("allow", "com", "/xyz")]
@@ -309,7 +321,10 @@ def test_toxicity_by_hand(spark):
             for content in (d.ordinary, d.toxic):
                 data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 data.precompute_compress(level=toxicity.LEVEL)
-                plain = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+                plain = zstandard.ZstdCompressionParameters.from_level(
+                    toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0,
+                    write_dict_id=0,
+                )
                 sizes.append(len(zstandard.ZstdCompressor(dict_data=data, compression_params=plain).compress(b" %b " % b" ".join(words[k : k + toxicity.WINDOW]))))
             gains.append(min(max(sizes[0] - sizes[1], -2), toxicity.BINS - 1))
         n, at_least = max(1, len(gains)), [sum(g >= b for g in gains) for b in range(1, toxicity.BINS)]
@@ -356,7 +371,11 @@ def test_classifiers_without_labels(spark):
 
 def test_empty_tables(spark):
     docs = _docs(spark).filter("doc_id < 0")
-    for found in (quality_rules(docs), substring_dedup.dedup_substrings(docs), mixing.mix(docs), simhash.near_duplicates(docs), packing.pack_documents(docs, tokenizer_path()), url_filter.filter_urls(_pages(spark).limit(0), URL_RULES), lm_scoring.score(docs, lm_scoring.train(docs, docs, bits=16))):
+    for found in (
+        quality_rules(docs), substring_dedup.dedup_substrings(docs), mixing.mix(docs), simhash.near_duplicates(docs),
+        packing.pack_documents(docs, tokenizer_path()), url_filter.filter_urls(_pages(spark).limit(0), URL_RULES),
+        lm_scoring.score(docs, lm_scoring.train(docs, docs, bits=16)),
+    ):
         assert found.isEmpty()
     codes = spark.createDataFrame([], "id bigint, code bigint")
     assert hamming_search.top_k(codes, codes).isEmpty()

@@ -19,7 +19,10 @@ def _docs(spark):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
     passage = " ".join(word() for _ in range(70))
     prose = [" ".join(word() for _ in range(120)) for _ in range(6)]
-    texts = [(1, prose[0]), (2, prose[0]), (None, prose[0]), (3, prose[1]), (3, prose[2]), (3, prose[2]), (None, prose[3]), (None, prose[3]), (4, None), (5, ""), (None, " \n ")]
+    texts = [
+        (1, prose[0]), (2, prose[0]), (None, prose[0]), (3, prose[1]), (3, prose[2]), (3, prose[2]), (None, prose[3]),
+        (None, prose[3]), (4, None), (5, ""), (None, " \n "),
+    ]
     texts += [(6, prose[4] + " " + passage), (7, passage + " " + prose[5]), (8, passage), (9, "long " * 60_000)]
     rows = [(i, t, "en", (None, "a", "b")[k % 3], len(t or ""), *(f"{c}{k}" for c in ODD)) for k, (i, t) in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
