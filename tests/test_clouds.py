@@ -84,7 +84,10 @@ def test_variants_and_widths(spark):
 def _colored(spark, n=80):
     rng = np.random.default_rng(8)
     rows = [(k % 2, f"p{k:03d}", *map(float, rng.uniform(0, 2, 3)), *map(int, rng.integers(0, 256, 3)), 0.0, 0.6, 0.8, k % 4) for k in range(n)]
-    return spark.createDataFrame(rows, "scene_id bigint, pid string, x double, y double, z double, r int, g int, b int, nx double, ny double, nz double, segment int")
+    return spark.createDataFrame(
+        rows,
+        "scene_id bigint, pid string, x double, y double, z double, r int, g int, b int, nx double, ny double, nz double, segment int",
+    )
 
 
 def test_pretraining_and_training_presets(spark):

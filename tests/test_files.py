@@ -13,7 +13,10 @@ from stratocloud.sources import clouds, manifests, reports
 def _points(spark):
     rng = np.random.default_rng(1)
     rows = [(s, f"p{k:03d}", *map(float, np.float32(rng.normal(size=3))), *map(int, rng.integers(0, 256, 3)), 0.0, 0.6, 0.8, k % 3) for s in (1, 2) for k in range(20)]
-    return spark.createDataFrame(rows, "scene_id int, pid string, x double, y double, z double, r int, g int, b int, nx double, ny double, nz double, segment int")
+    return spark.createDataFrame(
+        rows,
+        "scene_id int, pid string, x double, y double, z double, r int, g int, b int, nx double, ny double, nz double, segment int",
+    )
 
 
 def _key(df, *columns):
@@ -29,7 +32,10 @@ def test_ply_files(spark, tmp_path, normals_first):
     assert (head.index("nx") < head.index("red")) == normals_first
     back = clouds.decode_ply(clouds.load_files(spark, str(tmp_path)))
     cut = ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")
-    assert _key(back, "scene_id", *cut) == _key(df.withColumn("scene_id", F.concat(F.lit("s"), "scene_id")).withColumns({c: F.col(c).cast("float").cast("double") for c in ("ny", "nz")}), "scene_id", *cut)
+    assert _key(back, "scene_id", *cut) == _key(
+        df.withColumn("scene_id", F.concat(F.lit("s"), "scene_id")).withColumns({c: F.col(c).cast("float").cast("double") for c in ("ny", "nz")}),
+        "scene_id", *cut,
+    )
 
 
 def test_npz_and_npy_files(spark, tmp_path):
@@ -60,7 +66,10 @@ def test_manifest_and_its_header(spark, tmp_path):
 
 
 def test_work_list_of_mixed_elements(spark, tmp_path):
-    rows = [{"input_path": "a", "output_path": "b", "video_id": 7}, 3, "text", None, ["x"], {"scene_mp4": "c", "source_ply": "d", "scene_dir": "e"}, {"input_path": "only"}]
+    rows = [
+        {"input_path": "a", "output_path": "b", "video_id": 7}, 3, "text", None, ["x"],
+        {"scene_mp4": "c", "source_ply": "d", "scene_dir": "e"}, {"input_path": "only"},
+    ]
     (tmp_path / "w.json").write_text(json.dumps(rows, indent=1))
     found = sorted(map(tuple, manifests.read_work_list(spark, str(tmp_path / "w.json")).collect()))
     assert found == [("a", "b", "7", None), ("c", "d", None, "e")]

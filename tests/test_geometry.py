@@ -86,7 +86,10 @@ def test_plane_fit(spark):
 
 def _corner(rng):
     """A floor, a wall and clutter."""
-    return [np.c_[rng.uniform(0, 4, (200, 2)), np.zeros(200)], np.c_[np.zeros(120), rng.uniform(0, 4, 120), rng.uniform(0, 2, 120)], rng.uniform((1, 1, 0.5), (3, 3, 2), (60, 3))]
+    return [
+        np.c_[rng.uniform(0, 4, (200, 2)), np.zeros(200)], np.c_[np.zeros(120), rng.uniform(0, 4, 120), rng.uniform(0, 2, 120)],
+        rng.uniform((1, 1, 0.5), (3, 3, 2), (60, 3)),
+    ]
 
 
 def test_two_planes_are_taken_off_one_after_the_other(spark):
