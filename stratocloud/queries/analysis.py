@@ -78,7 +78,7 @@ def l7_align_z_up(spark, sf_dir):
 @query()
 def i1_i3_adjust_spacing(spark, sf_dir):
     """The report of each scene: spacing before and after, and the error left."""
-    return normalize.refine_spacing(points(spark, sf_dir), 0.35)[1]
+    return normalize.refine_spacing(points(spark, sf_dir), 0.35, h=0.5)[1]
 
 
 @query()

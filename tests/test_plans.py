@@ -86,10 +86,10 @@ def test_ingestion_works_off_new_files_once(spark, tmp_path):
     step = lambda df: df.withColumn("n", F.col("n") + 1)
     spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], schema).coalesce(1).write.parquet(source)
     for _ in range(2):  # the second run finds nothing new
-        ingest.ingest(ingest.watch(spark, source, schema), out, state, step).awaitTermination(60)
+        ingest.ingest(ingest.watch(spark, source, schema), out, state, step, key="video_id").awaitTermination(60)
         assert sorted((r["video_id"], r["n"]) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 3)]
     spark.createDataFrame([("c", 5)], schema).coalesce(1).write.mode("append").parquet(source)
-    ingest.ingest(ingest.watch(spark, source, schema), out, state, step).awaitTermination(60)
+    ingest.ingest(ingest.watch(spark, source, schema), out, state, step, key="video_id").awaitTermination(60)
     assert spark.read.parquet(out).count() == 3
 
 
