@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocloud.llm import lm_scoring, quality_classifier, toxicity
+from stratocloud.llm import lm_scoring, quality_classifier, token_alignment, toxicity
 from stratocloud.llm.common import table
 from stratocloud.llm.hamming_search import code_of, top_k
 from stratocloud.llm.mixing import mix
@@ -18,11 +18,11 @@ from stratocloud.llm.url_filter import UrlRule, filter_urls
 URL_RULES = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The tokenizer's vocabulary file; it is read in place and never copied."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,17 @@ def op10_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing, op8_url_filter, op9_lm_scoring, op10_hamming_top_k)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing,
+        op8_url_filter, op9_lm_scoring, op10_hamming_top_k, op11_token_alignment,
+    )
+}
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
