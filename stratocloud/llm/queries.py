@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocloud.llm import lm_scoring, quality_classifier, token_alignment, toxicity
+from stratocloud.llm import lm_scoring, quality_classifier, token_alignment, toxicity, warc
 from stratocloud.llm.common import table
 from stratocloud.llm.hamming_search import code_of, top_k
 from stratocloud.llm.mixing import mix
@@ -76,11 +76,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.through_archives(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing,
-        op8_url_filter, op9_lm_scoring, op10_hamming_top_k, op11_token_alignment,
+        op8_url_filter, op9_lm_scoring, op10_hamming_top_k, op11_token_alignment, op12_warc_index,
     )
 }
 
@@ -133,6 +138,14 @@ WITH v AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(
 d AS (SELECT q.id AS query_id, v.id, list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> v.bits[i])::INT))::BIGINT AS distance FROM v AS q JOIN v ON q.id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
 SELECT query_id, id, distance, rank FROM r WHERE rank <= 10""",
+    "op12_warc_index": """
+WITH p AS (SELECT row_number() OVER () AS id, page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, sha1(html) AS hex, row_number() OVER w AS k, first_value(page_id) OVER w AS top FROM p
+  WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || hex[5 * i + 1 : 5 * i + 5])::BIGINT) AS parts FROM r)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(parts, lambda v: array_to_string(
+    list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v >> s) % 32 + 1]), '')), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM v""",
     "op8_url_filter": """
 WITH p AS (SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
