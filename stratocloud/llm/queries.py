@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratocloud.llm import lm_scoring, quality_classifier, token_alignment, toxicity, warc
 from stratocloud.llm.common import table
+from stratocloud.llm.conversation_trie import digested, prefix_trie, rebuilt
 from stratocloud.llm.hamming_search import code_of, top_k
 from stratocloud.llm.mixing import mix
 from stratocloud.llm.packing import pack_documents
@@ -81,11 +82,15 @@ def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(digested(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_best_fit_packing, op3_simhash, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_mixing,
-        op8_url_filter, op9_lm_scoring, op10_hamming_top_k, op11_token_alignment, op12_warc_index,
+        op8_url_filter, op9_lm_scoring, op10_hamming_top_k, op11_token_alignment, op12_warc_index, op13_conversation_trie,
     )
 }
 
@@ -146,6 +151,28 @@ v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || hex[5 * i + 1 : 5 *
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(parts, lambda v: array_to_string(
     list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(v >> s) % 32 + 1]), '')), '') AS payload_digest,
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM v""",
+    "op13_conversation_trie": """
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))) % 6 AS h FROM ids),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+given AS (SELECT h.conv_id, t.role, t.text, t.i FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.i <= h.h),
+n AS (SELECT h.conv_id, h.h, count(given.i) AS k FROM h LEFT JOIN given USING (conv_id) GROUP BY ALL),
+r AS (SELECT * FROM given UNION ALL SELECT t.conv_id, t.role, t.text, t.i - n.h + n.k FROM t JOIN n USING (conv_id) WHERE t.i > n.h),
+c AS (SELECT conv_id, i AS depth, length(text) AS size, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY i)
+    OVER (PARTITION BY conv_id ORDER BY i)) AS node FROM r),
+c0 AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM c),
+p AS (SELECT conv_id, depth, size, node, parent, depth = n AS ends FROM c0
+  UNION ALL SELECT ids.conv_id, 0, 0, 'root', NULL, ids.conv_id NOT IN (SELECT conv_id FROM r) FROM ids),
+node AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n_convs, min(size) AS size,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY node),
+kids AS (SELECT parent, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saved FROM node LEFT JOIN kids ON kids.parent = node.node),
+lines AS (SELECT DISTINCT a.node AS top, b.node AS sub FROM p AS a JOIN p AS b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT top, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM lines JOIN full_ ON full_.node = lines.sub GROUP BY top)
+SELECT f.conv_id, f.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ AS f LEFT JOIN full_ AS up ON up.node = f.parent JOIN sums ON sums.top = f.node""",
     "op8_url_filter": """
 WITH p AS (SELECT row_number() OVER () AS id, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
