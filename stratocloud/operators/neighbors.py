@@ -1,156 +1,37 @@
-"""Nearest neighbours within scenes.
+"""Nearest neighbours within scenes, what follows from their distances, and outliers.
 
-Points are dealt into cubic cells of side ``h`` and each point is sent to the 27 cells around its own;
-an equi-join on the cell then brings together all pairs within ``h`` of each other. What is within h is exact. Points
-whose k-th neighbour is farther are asked again with larger cells, until all have k or their cells take in the whole scene. The
-joins are on (scene, cell), so a large scene is spread over as many tasks as it has cells; when only a few points still ask, the
-others' cells are dealt into slices, so that a cell which holds most of a scene is many tasks too.
-
-``h`` is a length, or None: each scene's own. That follows the cells that are occupied, not the box: a first guess from the box is
-lessened until a typical point's cell holds few others. So a few points far from the rest change nothing but how often they ask
-themselves. Of points at one and the same place no more take part as neighbours than can be among the k nearest of any other.
+Searches go through each scene's split tree (``operators/splits.py``), quantiles of distances through ``operators/quantiles.py``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratocloud.operators import splits
+from stratocloud.operators.quantiles import quantiles
 from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.voxel import random_points
 
-XYZ = ("x", "y", "z")
+XYZ = splits.XYZ
 LEAST_CELL = 1e-6
-SLICES = 32  # tasks over which a cell is spread where few points ask
-CROWD = 8  # others in a typical point's cell, for each neighbour asked for, beyond which cells are lessened
-GROWTH = 4.0
-
-
-def _cells(h: Column | float) -> list[Column]:
-    return [F.floor(F.col(c) / h).alias(f"c{c}") for c in XYZ]
-
-
-def _squared(*sides: Column) -> Column:
-    return sum((s * s for s in sides[1:]), sides[0] * sides[0])
-
-
-def spans(points: DataFrame, k: int = 1) -> DataFrame:
-    """(scene_id, span, reach): the box's diagonal, and the side of a cube, square or length that holds about k points if the scene fills
-    its box, a side of it or an edge; the longest of these."""
-    sides = F.sort_array(F.array(*(F.max(c) - F.min(c) for c in XYZ)), asc=False)
-    df = points.groupBy(SCENE).agg(sides.alias("_s"), F.count("*").alias("_n"))
-    a, b, c = (F.get("_s", F.lit(i)) for i in range(3))
-    share = F.lit(float(k)) / F.col("_n")
-    longest = F.greatest(a * share, F.sqrt(a * b * share), F.cbrt(a * b * c * share), F.lit(LEAST_CELL))
-    return df.select(SCENE, F.sqrt(_squared(a, b, c)).alias("span"), longest.alias("reach"))
-
-
-def crowds(points: DataFrame, reach: DataFrame) -> DataFrame:
-    """(scene_id, crowd): how many points the cell of a typical point of the scene holds, itself included."""
-    cells = points.join(reach.select(SCENE, "reach"), SCENE).groupBy(SCENE, *_cells(F.col("reach"))).agg(F.count("*").alias("_n"))
-    return cells.groupBy(SCENE).agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("crowd"))
-
-
-def reaches(points: DataFrame, k: int = 1, rounds: int = 12) -> DataFrame:
-    """(scene_id, span, reach, crowd): cells that hold at most some ``CROWD`` others for each of k neighbours, and how many a typical one
-    does hold; more only where points are at one place, so that smaller cells don't help."""
-    now, most = spans(points, k), 1 + CROWD * k
-    for _ in range(rounds):
-        now = settled(now)
-        now = settled(now.join(crowds(points, now), SCENE))
-        crowded = (F.col("crowd") > most) & (F.col("reach") > LEAST_CELL)
-        if now.filter(crowded).isEmpty():
-            break
-        smaller = F.greatest(F.col("reach") * F.greatest(F.lit(1 / 16), F.sqrt(F.lit(most / 2) / F.col("crowd"))), F.lit(LEAST_CELL))
-        now = now.select(SCENE, "span", F.when(crowded, smaller).otherwise(F.col("reach")).alias("reach"))
-    else:
-        now = settled(now.join(crowds(points, now), SCENE))
-    return now
-
+SLICES = 32  # tasks over which a scene is spread where all its points are compared
 
-def _few_of_a_place(points: DataFrame, k: int) -> DataFrame:
-    """Of points at one place the k + 1 with the smallest ids; ties go to smaller ids, so no other is among the k nearest of any point."""
-    order = W.partitionBy(SCENE, *XYZ).orderBy("pid")
-    return points.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k + 1).drop("_at")
 
-
-def _apart() -> Column:
-    return F.sqrt(_squared(*(F.col(f"q{c}") - F.col(c) for c in XYZ)))
-
-
-AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-
-
-def _to_cells(left: DataFrame, steps: list[tuple[int, int, int]], *columns: str) -> DataFrame:
-    """Each row once for each of the cells that many steps from its own."""
-    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"_s{c}") for v, c in zip(s, XYZ))) for s in steps)))
-    moved = left.withColumn("_step", near).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"_step._s{c}") for c in XYZ})
-    own = (F.col("_step._sx") == 0) & (F.col("_step._sy") == 0) & (F.col("_step._sz") == 0)
-    return moved.withColumn("_own", own).select(*columns, "_own", *(f"c{c}" for c in XYZ))
-
-
-def pairs_within(queries: DataFrame, points: DataFrame, h: float | DataFrame, key: str = "pid", keep_self: bool = False, slices: int = 1) -> DataFrame:
-    """(scene_id, pid, other, d) of all pairs at most ``h`` apart; only the queries are sent to several cells.
-
-    ``h`` may be a table (scene_id, reach). With ``slices`` the points are dealt into so many and each query is sent to all.
-    """
-    own = isinstance(h, DataFrame)
-    h_ = F.col("reach") if own else F.lit(float(h))
-    if own:
-        h = h.select(SCENE, "reach")
-        queries, points = queries.join(h, SCENE), points.join(h, SCENE)
-    left = queries.select(SCENE, F.col(key).alias("pid"), *(F.col(c).alias(f"q{c}") for c in XYZ), h_.alias("reach"), *_cells(h_))
-    left = _to_cells(left, AROUND, SCENE, "pid", "qx", "qy", "qz", "reach").drop("_own")
-    right = points.select(SCENE, F.col(key).alias("other"), *XYZ, *_cells(h_))
-    keys = [SCENE, "cx", "cy", "cz"]
-    if slices > 1:
-        left = left.withColumn("_slice", F.explode(F.array(*map(F.lit, range(slices)))))
-        right = right.withColumn("_slice", F.pmod(F.xxhash64("other"), F.lit(slices)).cast("int"))
-        keys.append("_slice")
-    met = left.hint("merge").join(right, keys)
-    met = met if keep_self else met.filter(F.col("pid") != F.col("other"))
-    return met.withColumn("d", _apart()).filter(F.col("d") <= F.col("reach")).select(SCENE, "pid", "other", "d")
+def _apart():
+    return F.sqrt(sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "yz"), (F.col("qx") - F.col("x")) * (F.col("qx") - F.col("x"))))
 
 
 def neighbour_counts(points: DataFrame, radius: float, key: str = "pid") -> DataFrame:
-    """(scene_id, pid, neighbours) of the points that have others within the radius. Each pair is met once, in half of the cells around."""
-    rows = points.select(SCENE, F.col(key).alias("pid"), *XYZ, *_cells(F.lit(float(radius))))
-    left = rows.select(SCENE, "pid", *(F.col(c).alias(f"q{c}") for c in XYZ), *(f"c{c}" for c in XYZ))
-    left = _to_cells(left, [s for s in AROUND if s >= (0, 0, 0)], SCENE, "pid", "qx", "qy", "qz")
-    met = left.hint("merge").join(rows.withColumnRenamed("pid", "other"), [SCENE, "cx", "cy", "cz"])
-    met = met.filter((~F.col("_own") | (F.col("pid") < F.col("other"))) & (_apart() <= radius))
-    ends = met.select(SCENE, F.explode(F.array("pid", "other")).alias("pid"))
-    return ends.groupBy(SCENE, "pid").agg(F.count("*").alias("neighbours"))
+    """(scene_id, pid, neighbours): the others within the radius. No pairs are made of what lies within it whole."""
+    return splits.counts_within(points.select(SCENE, F.col(key).alias("pid"), *XYZ), radius)
 
 
-def nearest(points: DataFrame, k: int = 1, h: float | None = None, queries: DataFrame | None = None, key: str = "pid", growth: float = GROWTH) -> DataFrame:
-    """(scene_id, pid, other, d, rank) of the k nearest other points; ties go to the smaller id. Fewer where a scene has fewer.
-
-    ``h`` is about the distance to one neighbour; the first cells are as much wider as k neighbours need, the next ``growth`` times, and
-    every later ones the cube of what the last ones grew.
-    """
-    todo = (points if queries is None else queries).select(SCENE, F.col(key).alias("pid"), *XYZ)
-    right = points.select(SCENE, F.col(key).alias("pid"), *XYZ)
-    if h is None:
-        reach = reaches(right, k)
-        if not reach.filter(F.col("crowd") > 1 + CROWD * k).isEmpty():
-            right = _few_of_a_place(right, k)
-    else:
-        reach = settled(spans(right).select(SCENE, "span", F.lit(float(h * k ** (1 / 3))).alias("reach")))
-    order = W.partitionBy(SCENE, "pid").orderBy("d", "other")
-    done, slices = None, 1
-    while True:
-        met = pairs_within(todo, right, reach, slices=slices)
-        best = settled(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-        full = best.filter(F.col("rank") == k).select(SCENE, "pid")
-        whole = F.col("reach") >= F.col("span")  # of a scene whose cells take it all in nothing more can be found
-        todo = settled(todo.join(reach.filter(~whole).select(SCENE), SCENE, "left_semi").join(full, [SCENE, "pid"], "left_anti"))
-        if todo.isEmpty():
-            return best if done is None else done.unionByName(best)
-        best = best.join(todo.select(SCENE, "pid"), [SCENE, "pid"], "left_anti")
-        done = best if done is None else done.unionByName(best)
-        reach, growth, slices = reach.withColumn("reach", F.col("reach") * growth), growth**3, SLICES
+def nearest(points: DataFrame, k: int = 1, queries: DataFrame | None = None, key: str = "pid", leaf: int = splits.LEAF) -> DataFrame:
+    """(scene_id, pid, other, d, rank) of the k nearest other points; ties go to the smaller id. Fewer where a scene has fewer."""
+    rows, asked = (None if d is None else d.select(SCENE, F.col(key).alias("pid"), *XYZ) for d in (points, queries))
+    return splits.nearest(rows, k, asked, leaf)
 
 
 def pairs_of_scenes(queries: DataFrame, points: DataFrame, k: int | None = None) -> DataFrame:
@@ -173,28 +54,27 @@ def brute_nearest(points: DataFrame, k: int = 1) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(W.partitionBy(SCENE, "pid").orderBy("d", "other"))).filter(F.col("rank") <= k)
 
 
-def spacing_stats(points: DataFrame, percents=(25, 75, 90, 95), h: float | None = None) -> DataFrame:
+def spacing_stats(points: DataFrame, percents=(25, 75, 90, 95)) -> DataFrame:
     """mean, median, std (of the population), min, max and percentiles of each scene's distances to the nearest point."""
-    one = nearest(points, 1, h)
-    cut = [F.percentile("d", F.lit(p / 100)).alias(f"p{p}") for p in percents]
-    return one.groupBy(SCENE).agg(
-        F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"),
-        F.stddev_pop("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"), *cut,
-    )
+    one = nearest(points, 1)
+    plain = [F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max")]
+    cuts = {"median": 0.5} | {f"p{p}": p / 100 for p in percents}
+    found = one.groupBy(SCENE).agg(*plain).join(quantiles(one, [SCENE], "d", cuts), SCENE)
+    return found.select(SCENE, "n", "mean", "median", "std", "min", "max", *(f"p{p}" for p in percents))
 
 
-def sampled_median_spacing(points: DataFrame, n: int = 10_000, seed: int = 42, h: float | None = None) -> DataFrame:
+def sampled_median_spacing(points: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     """The median distance to the nearest point among a sample of each scene."""
-    return nearest(random_points(points, n, seed, "spacing"), 1, h).groupBy(SCENE).agg(F.percentile("d", F.lit(0.5)).alias("median"))
+    return quantiles(nearest(random_points(points, n, seed, "spacing"), 1), [SCENE], "d", {"median": 0.5})
 
 
-def spacing_scale(points: DataFrame, h: float | None = None, fallback: float = 0.01) -> DataFrame:
+def spacing_scale(points: DataFrame, fallback: float = 0.01) -> DataFrame:
     """(scene_id, median, mean) of distances to the nearest point; the fallback for scenes of one point."""
-    return _scale(points, nearest(points, 1, h), fallback)
+    return _scale(points, nearest(points, 1), fallback)
 
 
 def _scale(points: DataFrame, one: DataFrame, fallback: float = 0.01) -> DataFrame:
-    found = one.groupBy(SCENE).agg(F.percentile("d", F.lit(0.5)).alias("median"), F.avg("d").alias("mean"))
+    found = one.groupBy(SCENE).agg(F.avg("d").alias("mean")).join(quantiles(one, [SCENE], "d", {"median": 0.5}), SCENE)
     every = points.select(SCENE).distinct()
     return every.join(found, SCENE, "left").select(SCENE, *(F.coalesce(c, F.lit(fallback)).alias(c) for c in ("median", "mean")))
 
@@ -205,7 +85,7 @@ def plane_threshold(points: DataFrame, queries: int = 500, sample: int = 1000, s
     asked = random_points(points, queries, seed, "plane/query")
     places = base.groupBy(SCENE, *XYZ).agg(F.min("pid").alias("pid"))
     met = nearest_place(asked, places)
-    spread = met.groupBy(SCENE).agg((F.percentile("d", F.lit(0.75)) - F.percentile("d", F.lit(0.25))).alias("iqr"))
+    spread = quantiles(settled(met), [SCENE], "d", {"upper": 0.75, "lower": 0.25}).select(SCENE, (F.col("upper") - F.col("lower")).alias("iqr"))
     n = points.groupBy(SCENE).agg(F.count("*").alias("n"))
     value = F.greatest(F.lit(0.001), F.least(F.lit(0.5) * F.col("iqr"), F.lit(0.1)))
     return n.join(spread, SCENE, "left").select(SCENE, F.when((F.col("n") < 10) | F.col("iqr").isNull(), 0.01).otherwise(value).alias("threshold"))
@@ -226,13 +106,13 @@ def radius_outliers(points: DataFrame, radius: float, least: int, include_self:
     return df.withColumn("stays", F.col("neighbours") + F.lit(1 if include_self else 0) > least)
 
 
-def statistical_outliers(points: DataFrame, k: int, ratio: float, h: float | None = None, include_self: bool = True) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, ratio: float, include_self: bool = True) -> DataFrame:
     """Points with their mean distance to k neighbours and whether it is at most the scene's mean + ratio deviations.
 
     The k neighbours include the point itself (at distance 0) by default.
     """
     others = max(1, k - 1) if include_self else k
-    near = settled(nearest(points, others, h).groupBy(SCENE, "pid").agg(F.sum("d").alias("_s"), F.count("*").alias("_k")))
+    near = settled(nearest(points, others).groupBy(SCENE, "pid").agg(F.sum("d").alias("_s"), F.count("*").alias("_k")))
     mean = F.col("_s") / (F.col("_k") + F.lit(1 if include_self else 0))
     df = points.join(near, [SCENE, "pid"], "left").withColumn("mean_d", F.coalesce(mean, F.lit(0.0)))
     df = beside(df, F.avg("mean_d").alias("_m"), F.coalesce(F.stddev_samp("mean_d"), F.lit(0.0)).alias("_sd"))
@@ -247,29 +127,28 @@ def removal_report(marked: DataFrame, cap: float) -> DataFrame:
 
 def remove_outliers(
     points: DataFrame, radius_factor: float = 10.0, least: int = 1, k: int = 50, ratio: float = 4.0, cap: float = 0.01,
-    h: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Both passes: points with ``least`` others within ``radius_factor`` median spacings, then those that aren't statistical outliers; and the reports.
 
     A point has that many others within a radius if its ``least``-th nearest is, so one search serves the spacing and
     the radius, and no pairs of a dense scene are listed.
     """
-    met = settled(nearest(points, max(1, least), h))
+    met = settled(nearest(points, max(1, least)))
     radius = _scale(points, met.filter("rank = 1")).select(SCENE, F.greatest(F.col("median") * F.lit(radius_factor), F.lit(LEAST_CELL)).alias("_rad"))
     near = met.filter(F.col("rank") == max(1, least)).join(radius, SCENE).filter(F.col("d") <= F.col("_rad")).select(SCENE, "pid", F.lit(True).alias("stays"))
     first = points.join(near, [SCENE, "pid"], "left").withColumn("stays", F.coalesce("stays", F.lit(least < 1)))
     first = settled(first.select(*points.columns, "stays"))
-    second = statistical_outliers(first.filter("stays").drop("stays"), k, ratio, h)
+    second = statistical_outliers(first.filter("stays").drop("stays"), k, ratio)
     reports = removal_report(first, 0.6 * cap).withColumn("step", F.lit("radius")).unionByName(removal_report(second, cap).withColumn("step", F.lit("statistical")))
     return second.filter("stays").select(*points.columns), reports
 
 
-def normals_by_neighbours(points: DataFrame, k: int = 32, h: float | None = None) -> DataFrame:
+def normals_by_neighbours(points: DataFrame, k: int = 32) -> DataFrame:
     """Unit normals: the direction of least spread of the k nearest points, turned towards the scene's middle."""
     import numpy as np
     import pandas as pd
 
-    met = nearest(points, k - 1, h).join(points.select(SCENE, F.col("pid").alias("other"), *XYZ), [SCENE, "other"]).select(SCENE, "pid", *XYZ)
+    met = nearest(points, k - 1).join(points.select(SCENE, F.col("pid").alias("other"), *XYZ), [SCENE, "other"]).select(SCENE, "pid", *XYZ)
     met = met.unionByName(points.select(SCENE, "pid", *XYZ))
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     cov = met.groupBy(SCENE, "pid").agg(*(F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs))

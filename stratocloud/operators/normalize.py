@@ -7,16 +7,16 @@ no data. What a round needs again is written to the shared folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash, normal, uniform
 from stratocloud.operators.neighbors import nearest, spacing_scale
-from stratocloud.operators.places import ranked_at_random
-from stratocloud.operators.scenes import SCENE, beside, settled
+from stratocloud.operators.places import ranked, ranked_at_random
+from stratocloud.operators.scenes import SCENE, beside, has, settled
 from stratocloud.operators.voxel import with_cells
 
 XYZ = ("x", "y", "z")
+DRAWS = 10_000  # of a scene, numbered together
 
 
 def _thin(points: DataFrame, size: str, seed: int, name: str) -> DataFrame:
@@ -27,10 +27,10 @@ def _thin(points: DataFrame, size: str, seed: int, name: str) -> DataFrame:
     return df.groupBy(SCENE, *cells).agg(best.alias("_p")).select("_p.*")
 
 
-def _spaced(points: DataFrame, h: float | None) -> DataFrame:
+def _spaced(points: DataFrame) -> DataFrame:
     """The points with their scene's mean spacing."""
     points = settled(points)
-    return settled(points.join(spacing_scale(points, h).select(SCENE, F.col("mean").alias("spacing")), SCENE))
+    return settled(points.join(spacing_scale(points).select(SCENE, F.col("mean").alias("spacing")), SCENE))
 
 
 def _best(states: list[DataFrame], target: float) -> DataFrame:
@@ -48,7 +48,7 @@ def _sizes(state: DataFrame, target: float, mark: str) -> DataFrame:
 
 
 def adjust_spacing(
-    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = None,
+    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, report). Scenes that are denser than the target are thinned step by step until their mean spacing is within the threshold.
 
@@ -56,7 +56,7 @@ def adjust_spacing(
     The best state of each scene is kept. Scenes still off by more than the threshold get a layout pass, one point a cell of about
     the target's size, which is taken if it lessens the error and changes the number of points by under 20 %.
     """
-    first = settled(spacing_scale(points, h).select(SCENE, F.col("mean").alias("before")))
+    first = settled(spacing_scale(points).select(SCENE, F.col("mean").alias("before")))
     state = settled(points.join(first.withColumn("spacing", F.col("before")), SCENE).drop("before"))
     states = [state]
     error = F.abs(F.col("spacing") - target) / F.lit(target)
@@ -67,13 +67,13 @@ def adjust_spacing(
         moving = state.filter(go).withColumn("_size", F.col("spacing") * factor)
         if moving.isEmpty():
             break
-        state = _spaced(_thin(moving, "_size", seed, f"spacing/{k}").select(*points.columns), h)
+        state = _spaced(_thin(moving, "_size", seed, f"spacing/{k}").select(*points.columns))
         states.append(state)
     done = _best(states, target)
     off = done.filter(error > threshold)
     if not off.isEmpty():
         factor = F.when(F.col("spacing") < target, F.lit(1.0) + (F.lit(target) / F.col("spacing") - 1) * 0.3).otherwise(1.0)
-        laid = _spaced(_thin(off.withColumn("_size", F.lit(target) * factor), "_size", seed, "spacing/layout").select(*points.columns), h)
+        laid = _spaced(_thin(off.withColumn("_size", F.lit(target) * factor), "_size", seed, "spacing/layout").select(*points.columns))
         sizes = _sizes(off, target, "_old").join(_sizes(laid, target, "_new"), SCENE)
         better = sizes.filter((F.col("error_new") < F.col("error_old")) & (F.abs(F.col("n_new") - F.col("n_old")) < 0.2 * F.col("n_old"))).select(SCENE)
         done = settled(done.join(better, SCENE, "left_anti").unionByName(laid.join(better, SCENE, "left_semi")))
@@ -84,16 +84,16 @@ def adjust_spacing(
 
 
 def refine_spacing(
-    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, h: float | None = None,
+    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42,
     reruns: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """``adjust_spacing``, run again up to ``reruns`` times, with other draws, on the scenes whose error is not under the threshold."""
-    done, report = (settled(df) for df in adjust_spacing(points, target, threshold, rounds, seed, h))
+    done, report = (settled(df) for df in adjust_spacing(points, target, threshold, rounds, seed))
     for k in range(1, reruns + 1):
         off = report.filter(F.col("error") >= threshold)
         if off.isEmpty():
             break
-        again, more = adjust_spacing(settled(done.join(off, SCENE, "left_semi")), target, threshold, rounds, seed + k, h)
+        again, more = adjust_spacing(settled(done.join(off, SCENE, "left_semi")), target, threshold, rounds, seed + k)
         done = settled(done.join(off, SCENE, "left_anti").unionByName(again))
         changed = off.select(SCENE, "n_before", "before").join(more.select(SCENE, "n_after", "after", "error"), SCENE)
         report = settled(report.join(off, SCENE, "left_anti").unionByName(changed))
@@ -102,7 +102,6 @@ def refine_spacing(
 
 def iterate_spacing(
     points: DataFrame, target: float, rounds: int = 5, least: float = 0.7, enough: float = 0.02, seed: int = 42,
-    h: float | None = None,
 ) -> DataFrame:
     """Off the main path: scenes are thinned in growing cells; a scene stops within ``enough`` of the target, when its error
     does not lessen or when under ``least`` of its points are left. The best state before that is kept.
@@ -112,7 +111,7 @@ def iterate_spacing(
         ratio < 1, F.least(F.lit(1.25), F.greatest(F.lit(0.95), F.pow(1 / ratio, F.lit(0.25)))),
     ).otherwise(F.least(F.lit(1.05), F.greatest(F.lit(0.8), F.pow(ratio, F.lit(0.25)))))
     sizes = points.groupBy(SCENE).agg(F.floor(F.count("*") * F.lit(least)).alias("_least"))
-    state = _spaced(points, h)
+    state = _spaced(points)
     scenes = settled(state.groupBy(SCENE).agg(F.first("spacing").alias("spacing")).withColumns({"_factor": start, "_error": F.lit(float("inf"))}).drop("spacing").join(sizes, SCENE))
     states = [state]
     for k in range(rounds):
@@ -125,7 +124,7 @@ def iterate_spacing(
         if k == rounds - 1 or scenes.isEmpty():
             break
         moving = state.join(scenes.select(SCENE, (F.col("_factor") * target).alias("_size")), SCENE)
-        state = _spaced(_thin(moving, "_size", seed, f"iterate/{k}").select(*points.columns), h)
+        state = _spaced(_thin(moving, "_size", seed, f"iterate/{k}").select(*points.columns))
         states.append(state)
     return _best(states, target).select(*points.columns)
 
@@ -182,7 +181,26 @@ def elastic_distortion(points: DataFrame, steps=((0.2, 0.4), (0.8, 1.6)), p: flo
     return df
 
 
-def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int = 42, h: float | None = None) -> DataFrame:
+def _blended(made: DataFrame, points: DataFrame, first: DataFrame) -> DataFrame:
+    """Colours and normals of new points: by ``_t`` between those of the point and of its nearest, whichever neighbour it was moved towards.
+    Whole-number colours stay whole numbers, cut off; normals are unit vectors again."""
+    colours, normals = ("r", "g", "b"), ("nx", "ny", "nz")
+    groups = [g for g in (colours, normals) if has(points, *g)]
+    if not groups:
+        return made
+    near = points.select(SCENE, F.col("pid").alias("_first"), *(F.col(c).alias(f"_f{c}") for g in groups for c in g))
+    made = made.join(first, [SCENE, "pid"]).join(near, [SCENE, "_first"])
+    mixed = {c: F.col(c) * (1 - F.col("_t")) + F.col(f"_f{c}") * F.col("_t") for g in groups for c in g}
+    if colours in groups:
+        made = made.withColumns({c: mixed[c].cast(points.schema[c].dataType) for c in colours})
+    if normals in groups:
+        made = made.withColumns({f"_m{c}": mixed[c] for c in normals})
+        length = F.sqrt(sum((F.col(f"_m{c}") * F.col(f"_m{c}") for c in normals[1:]), F.col("_mnx") * F.col("_mnx"))) + 1e-8
+        made = made.withColumns({c: F.col(f"_m{c}") / length for c in normals})
+    return made
+
+
+def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int = 42) -> DataFrame:
     """Adds a share of points to each scene, each between a random point and one of its k nearest that isn't too near; ``made`` marks them.
 
     A point whose neighbours are all too near is drawn in vain; there are three draws for each point to add, and copies of random
@@ -191,7 +209,7 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     rows = settled(ranked_at_random(points.select(SCENE, "pid", *XYZ), seed, "up"))
     scenes = settled(rows.groupBy(SCENE).agg(F.count("*").alias("_n")).withColumn("_need", F.floor(F.col("_n") * share)).filter("_need > 0"))
     pick = rows.join(scenes, SCENE).filter(F.col("_r") <= 3 * F.col("_need")).select(SCENE, "pid", *XYZ)
-    met = settled(nearest(points, k, h, queries=pick))
+    met = settled(nearest(points, k, queries=pick))
     mean = met.filter("rank = 1").groupBy(SCENE).agg(F.avg("d").alias("_mean"))
     far = met.join(mean, SCENE).filter(F.col("d") >= 0.3 * F.col("_mean")).select(SCENE, "pid", "other")
     draws = scenes.withColumn(
@@ -199,11 +217,13 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     ).withColumn("_r", (F.col("_j") % F.col("_n") + 1).cast("long"))
     tried = draws.join(rows.select(SCENE, "pid", "_r"), [SCENE, "_r"]).join(far, [SCENE, "pid"])
     chosen = tried.groupBy(SCENE, "pid", "_j", "_n", "_need").agg(F.min_by("other", key_hash(seed, "up/other", F.col("pid"), F.col("other"), F.col("_j"))).alias("other"))
-    chosen = chosen.withColumn("_k", F.row_number().over(W.partitionBy(SCENE).orderBy("_j"))).filter(F.col("_k") <= F.col("_need"))
+    chosen = ranked(settled(chosen), ["_j"], F.floor(F.col("_j") / DRAWS), name="_k", most=F.col("_need")).filter(F.col("_k") <= F.col("_need"))
     chosen = settled(chosen.select(SCENE, "pid", "other", "_j", F.floor(F.col("_j") / F.col("_n")).alias("_again")))
     b = points.select(SCENE, F.col("pid").alias("other"), *(F.col(c).alias(f"_b{c}") for c in XYZ))
     t = uniform(seed, "up/t", F.col(SCENE), F.col("pid"), F.col("_j"), low=0.3, high=0.7)
-    made = points.join(chosen, [SCENE, "pid"]).join(b, [SCENE, "other"]).withColumns({c: F.col(c) + t * (F.col(f"_b{c}") - F.col(c)) for c in XYZ})
+    made = points.join(chosen, [SCENE, "pid"]).join(b, [SCENE, "other"]).withColumn("_t", t)
+    made = made.withColumns({c: F.col(c) + F.col("_t") * (F.col(f"_b{c}") - F.col(c)) for c in XYZ})
+    made = _blended(made, points, met.filter("rank = 1").select(SCENE, "pid", F.col("other").alias("_first")))
     made = made.withColumn("pid", F.concat("pid", F.lit("+"), "other", F.when(F.col("_again") > 0, F.concat(F.lit("+"), "_again")).otherwise("")))
     short = scenes.join(
         chosen.groupBy(SCENE).agg(F.count("*").alias("_got")), SCENE, "left",

@@ -32,7 +32,6 @@ class Config:
     density: float = 1734.4
     least_points: int = 40_000
     normals_k: int = 32
-    reach: float | None = None  # first search radius of neighbours; None: each scene's own
     seed: int = 42
     intermediates: str | None = None  # folder for each step's result, as step1_downsample and so on
     go_on: bool = True  # after a step that fails, with a warning and the points as they were
@@ -44,14 +43,14 @@ def preprocess(points: DataFrame, config: Config | None = None) -> tuple[DataFra
     c = config or Config()
     steps = {
         "downsample": lambda df: select.pre_downsample(df, c.threshold, c.seed),
-        "outliers": lambda df: neighbors.remove_outliers(df, c.radius_factor, c.least_neighbours, c.neighbours, c.deviations, h=c.reach)[0],
+        "outliers": lambda df: neighbors.remove_outliers(df, c.radius_factor, c.least_neighbours, c.neighbours, c.deviations)[0],
         "align": lambda df: planes.align_z_up(df, c.cell, c.plane_threshold, c.seed),
         "scale": lambda df: affine.adjust_scale(df, c.scale, c.seed)[0],
-        "spacing": lambda df: normalize.refine_spacing(df, c.spacing, c.spacing_threshold, c.spacing_rounds, c.seed, c.reach, c.spacing_reruns)[0],
+        "spacing": lambda df: normalize.refine_spacing(df, c.spacing, c.spacing_threshold, c.spacing_rounds, c.seed, c.spacing_reruns)[0],
         "density": lambda df: select.adjust_density(df, c.density, least=c.least_points, seed=c.seed).withColumn(
             "pid", F.when(F.col("copy") > 0, F.concat_ws("#", "pid", "copy")).otherwise(F.col("pid")),
         ).drop("copy"),
-        "normals": lambda df: neighbors.normals_by_neighbours(df, c.normals_k, c.reach),
+        "normals": lambda df: neighbors.normals_by_neighbours(df, c.normals_k),
     }
     unknown = set(c.steps) - set(steps)
     if unknown:

@@ -25,7 +25,7 @@ def _cloud(spark, n=60):
 def test_nearest_matches_brute_force(spark):
     df = _cloud(spark)
     key = lambda d: sorted((r["scene_id"], r["pid"], r["other"], round(r["d"], 12)) for r in d.collect())
-    assert key(neighbors.nearest(df, 3, h=0.3)) == key(neighbors.brute_nearest(df, 3))
+    assert key(neighbors.nearest(df, 3)) == key(neighbors.brute_nearest(df, 3))
 
 
 def test_fragments_cover_all_points(spark):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import affine, features, hull, neighbors, normalize, places, planes, views, voxel
+from stratocloud.operators import affine, features, hull, neighbors, normalize, places, planes, splits, views, voxel
 from stratocloud.plans import preprocess as steps
 
 SCHEMA = "scene_id bigint, pid string, x double, y double, z double"
@@ -31,9 +31,9 @@ def test_neighbours_stand_a_cluster_and_a_far_point(spark):
     rng = np.random.default_rng(3)
     cluster = np.r_[rng.uniform(0, 1e-3, (1500, 3)), [[1e3, 2e3, 3e3]], rng.uniform(5, 6, (20, 3))]
     df = _cloud(spark, cluster, rng.uniform(0, 1, (50, 3)))
-    reach = neighbors.reaches(df, 2)
-    cells = df.join(reach, "scene_id").groupBy("scene_id", *neighbors._cells(F.col("reach"))).count()
-    assert cells.agg(F.max("count")).first()[0] < 120  # of 1,521 rows, the most in one cell and so in one group of the join
+    dealt = splits.Splits(df, leaf=100).deal(df)
+    assert dealt.groupBy("scene_id", "leaf").count().agg(F.max("count")).first()[0] < 300  # of 1,521 rows
+    assert _near(neighbors.nearest(df, 2, leaf=100)) == _near(neighbors.brute_nearest(df, 2))
     assert _near(neighbors.nearest(df, 2)) == _near(neighbors.brute_nearest(df, 2))
 
 

@@ -20,11 +20,10 @@ def _room(spark, n=240, scene=1, tilt=0.0):
     return spark.createDataFrame(rows, "scene_id bigint, pid string, x double, y double, z double, r int, g int, b int")
 
 
-@pytest.mark.parametrize("h", [0.2, None])
 @pytest.mark.parametrize("least", [1, 3])
-def test_outlier_removal_matches_brute_force(spark, h, least):
+def test_outlier_removal_matches_brute_force(spark, least):
     df = _room(spark, 80)
-    kept, reports = neighbors.remove_outliers(df, 2.0, least, 5, 2.0, h=h)
+    kept, reports = neighbors.remove_outliers(df, 2.0, least, 5, 2.0)
     rows = df.orderBy("pid").collect()
     xyz = np.array([(r["x"], r["y"], r["z"]) for r in rows])
     d = np.linalg.norm(xyz[:, None] - xyz[None], axis=-1)
@@ -38,12 +37,10 @@ def test_outlier_removal_matches_brute_force(spark, h, least):
     assert removed == {"radius": int((~first).sum()), "statistical": int((~second).sum())}
 
 
-def test_reach_of_flat_and_single_point_scenes(spark):
+def test_flat_and_single_point_scenes(spark):
     rows = [(1, f"a{k}", k % 10 / 10, k // 10 / 10, 0.0) for k in range(100)] + [(2, "b", 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "scene_id bigint, pid string, x double, y double, z double")
-    found = {r["scene_id"]: r["reach"] for r in neighbors.reaches(df).collect()}
-    assert found[1] == pytest.approx(0.09) and found[2] == neighbors.LEAST_CELL
-    one = neighbors.nearest(df, 1, None).collect()
+    one = neighbors.nearest(df, 1).collect()
     assert len(one) == 100 and all(r["d"] == pytest.approx(0.1) for r in one)
 
 
