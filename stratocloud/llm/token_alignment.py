@@ -59,6 +59,34 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _OWN = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each size, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Rows:
+    """Numbers in rows of several lengths, ``width`` numbers at each place, to which rows are added."""
+
+    def __init__(self, width: int, kind: type):
+        self.ends, self.values, self.n, self.used = np.zeros(1, np.int64), np.zeros((width, 1 << 10), kind), 0, 0
+
+    def add(self, counts: np.ndarray, values: np.ndarray) -> None:
+        end = self.used + values.shape[1]
+        if end > self.values.shape[1]:
+            grown = np.zeros((len(self.values), 2 * end), self.values.dtype)
+            grown[:, : self.used] = self.values[:, : self.used]
+            self.values = grown
+        self.values[:, self.used : end] = values
+        self.ends = np.concatenate([self.ends[: self.n + 1], self.ends[self.n] + np.cumsum(counts)])
+        self.n, self.used = self.n + len(counts), end
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and numbers of the rows asked for."""
+        start = self.ends[rows]
+        size = self.ends[rows + 1] - start
+        return size, self.values[:, _spread(start, size)]
+
+
 class Words:
     """Token ids of distinct words (a space and what stands up to the next cut), and whether both tokenizers give back their bytes."""
 
@@ -78,24 +106,35 @@ class Words:
         ]
         self.a_size, self.b_size = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
         self.a_mark, self.b_mark = (np.fromiter((x[:1] == b" " for x in t), bool, len(t)) for t in (self.a_bytes, self.b_bytes))
+        self.flat = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum(n) - n) for t, n in ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size))]
         self.by_word = not any(_MARK in p.lstrip(_MARK) for p in pieces)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.lists: tuple[list, list] = ([], [])
-        self.ok: list[bool] = []
+        self.ids = Rows(1, np.int32), Rows(1, np.int32)
+        self.ok = np.zeros(0, bool)
         self.bytes = 0
 
     def _learn(self, words: list[str]) -> None:
-        found = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for w, a, b in zip(words, (e.ids for e in found), self.b.encode(words, num_threads=1)):
-            whole = (" " + w).encode()
-            self.known[w] = len(self.ok)
-            self.ok.append(b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)))
-            self.lists[0].append(a)
-            self.lists[1].append(b)
-            self.bytes += 20 * len(whole)
+        whole = [(" " + w).encode() for w in words]
+        length = np.fromiter(map(len, whole), np.int64, len(whole))
+        raw, ok = np.frombuffer(b"".join(whole), np.uint8), np.ones(len(whole), bool)
+        found = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], self.b.encode(words, num_threads=1)
+        for lists, rows, size, (flat, at) in zip(found, self.ids, (self.a_size, self.b_size), self.flat):
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+            rows.add(counts, ids[None])
+            own = np.bincount(np.repeat(np.arange(len(words)), counts), weights=size[ids], minlength=len(words)).astype(np.int64)
+            back, word = flat[_spread(at[ids], size[ids])], np.repeat(np.arange(len(words)), length)
+            ok &= own == length
+            start = np.cumsum(own) - own  # bytes are compared where there are as many
+            alike = np.flatnonzero(ok[word])
+            place = _spread(start[ok], length[ok])
+            ok[word[alike[back[place] != raw[alike]]]] = False
+        self.known.update(zip(words, range(len(self.ok), len(self.ok) + len(words))))
+        self.ok = np.concatenate([self.ok, ok])
+        self.bytes += 10 * len(raw)
 
     def cut(self, text: str) -> list[str]:
         if not self.by_word:
@@ -114,34 +153,22 @@ class Words:
                 words += self.cut(t)
                 sizes[k] = len(words) - at
         codes, distinct = pd.factorize(np.array(words, object))
-        known = self.known
-        new = [w for w in distinct if w not in known]
+        new = [w for w in distinct if w not in self.known]
         for k in range(0, len(new), 5000):
             self._learn(new[k : k + 5000])
-        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-        word = at[codes]
+        word = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
         text = np.repeat(np.arange(len(texts)), sizes)
         bad = np.zeros(len(texts), bool)
-        bad[text[~np.array(self.ok, bool)[word]]] = True
+        bad[text[~self.ok[word]]] = True
         good = ~bad[text]
-        codes, text = codes[good], text[good]
+        word, text = word[good], text[good]
         out = []
-        for known_lists in self.lists:
-            lists = [known_lists[i] for i in at]
-            length = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.int64, int(length.sum()))
-            start = np.cumsum(length) - length
-            size = length[codes]
-            index = np.repeat(start[codes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out.append((ids[index], np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64)))
+        for rows in self.ids:
+            size, ids = rows.of(word)
+            out.append((ids[0].astype(np.int64), np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64)))
         return out
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each size, one after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def _summed(owner: np.ndarray, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted and distinct (owner, code), with the sums of ``times``."""
     order = np.lexsort([codes, owner])
@@ -150,23 +177,6 @@ def _summed(owner: np.ndarray, codes: np.ndarray, times: np.ndarray) -> tuple[np
     return owner[new], codes[new], np.add.reduceat(times[order], new) if len(new) else times[:0]
 
 
-class Rows:
-    """Numbers in rows of several lengths, to which rows are added."""
-
-    def __init__(self):
-        self.ends, self.values, self.n, self.used = np.zeros(1, np.int64), np.zeros((2, 1 << 10), np.int64), 0, 0
-
-    def add(self, counts: np.ndarray, values: np.ndarray) -> None:
-        end = self.used + values.shape[1]
-        if end > self.values.shape[1]:
-            grown = np.zeros((2, 2 * end), np.int64)
-            grown[:, : self.used] = self.values[:, : self.used]
-            self.values = grown
-        self.values[:, self.used : end] = values
-        self.ends = np.concatenate([self.ends[: self.n + 1], self.ends[self.n] + np.cumsum(counts)])
-        self.n, self.used = self.n + len(counts), end
-
-
 class Windows:
     """What is known of windows, by the ids of both sides."""
 
@@ -179,7 +189,7 @@ class Windows:
         self.texts: list[str] = []
         self.bytes = 0
         self.n_groups, self.n_links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pairs = Rows()  # of each window: pair codes (A's id shifted, and B's), and how often it links them
+        self.pairs = Rows(2, np.int64)  # of each window: pair codes (A's id shifted, and B's), and how often it links them
 
     def of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of texts' ids, in order, as numbers in this memory, and the byte at which each starts."""
@@ -198,11 +208,9 @@ class Windows:
         ids[_spread(at + count[0] + 1, count[1])] = b
         raw, cut = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
         keys = [raw[s:e] for s, e in zip(cut, cut[1:])]
-        known = self.known
-        new: dict[bytes, int] = {}
-        for k, key in enumerate(keys):
-            if key not in known and key not in new:
-                new[key] = k
+        found = list(map(self.known.get, keys))
+        missing = [k for k, at in enumerate(found) if at is None]
+        new = dict(zip([keys[k] for k in missing], missing))
         if new:
             chosen = np.fromiter(new.values(), np.int64, len(new))
             n = len(self.texts)
@@ -210,9 +218,11 @@ class Windows:
                 part = chosen[lo : lo + 20_000]
                 ca, cb = count[0][part], count[1][part]
                 self._align(a[_spread(first[0][part], ca)], b[_spread(first[1][part], cb)], ca, cb)
-            known.update(zip(new, range(n, n + len(new))))
+            self.known.update(zip(new, range(n, n + len(new))))
             self.bytes += 3 * sum(map(len, new))
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys)), anchors
+            for k in missing:
+                found[k] = self.known[keys[k]]
+        return np.array(found, np.int64), anchors
 
     def _align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
         ends = [np.cumsum(self.words.a_size[a]), np.cumsum(self.words.b_size[b])]
@@ -310,8 +320,7 @@ class Slice:
         self.rows["groups_sha256"] += [hashlib.sha256(";".join(lines[s:e]).encode()).hexdigest() if s < e else "" for s, e in zip(cut, cut[1:])]
         both, times = np.unique(text * len(memory.texts) + windows, return_counts=True)
         text, window = np.divmod(both, max(1, len(memory.texts)))
-        size = np.diff(memory.pairs.ends)[window]
-        code, occurs = memory.pairs.values[:, _spread(memory.pairs.ends[window], size)]
+        size, (code, occurs) = memory.pairs.of(window)
         text, code, sums = _summed(np.repeat(text, size), code, occurs * np.repeat(times, size))
         self.parts.append((np.bincount(text, minlength=n), code, sums))
         self.ids.append(ids)
