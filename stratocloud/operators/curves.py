@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratocloud.operators.places import ranked_by_number
-from stratocloud.operators.scenes import SCENE, beside
+from stratocloud.operators.scenes import SCENE, beside, settled
 
 MOST_DEPTH = 16
+RANGE_BITS = 9
+CROWD = 50_000
 
 #: Bits spread three apart by halving steps: (shift, mask).
 _SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
@@ -119,13 +121,76 @@ def with_codes(cells: DataFrame, depth: int, orders: Sequence[str] = ORDERS) ->
     return df
 
 
-def serialize(cells: DataFrame, depth: int, orders: Sequence[str] = ORDERS, key: str = "pid") -> DataFrame:
-    """A code and the place in its scene for each order."""
+def shuffled(orders: Sequence[str], seed: int) -> list[str]:
+    """The orders in a random order, the same for all scenes."""
+    return sorted(orders, key=lambda o: hashlib.md5(f"{seed}:order:{o}".encode()).hexdigest())
+
+
+def serialize(
+    cells: DataFrame, depth: int, orders: Sequence[str] = ORDERS, key: str = "pid", shuffle: int | None = None, crowd: int = CROWD,
+) -> DataFrame:
+    """A code and the place in its scene for each order. With ``shuffle``, a seed, the orders are shuffled, and the columns are
+    order_0, code_0, place_0, order_1, ... in the order drawn.
+
+    Rows are dealt by the leading bits of their codes: none where a scene has at most ``crowd`` rows, ``RANGE_BITS`` otherwise, and as many more
+    where a range would still hold more.
+    The sizes of all orders' ranges come from one aggregate.
+    """
     df = with_codes(cells, depth, orders)
-    for order in orders:
+    if any(o.startswith("hilbert") for o in orders):
+        df = settled(df)  # these codes are long expressions, which each order's join would work out again
+    codes = {o: "code_" + o.replace("-", "_") for o in orders}
+    sizes, crowded = _ranges(df, codes, 3 * depth, crowd)
+    for order, code in codes.items():
         name = order.replace("-", "_")
-        df = ranked_by_number(df, f"code_{name}", key, "_r").withColumn(f"place_{name}", F.col("_r") - 1).drop("_r")
-    return df
+        df = _in_range(df, order, code, crowded, 3 * depth)
+        before = sizes.filter(F.col("_order") == order).select(SCENE, "_range", "_before")
+        df = df.join(before, [SCENE, "_range"])
+        within = F.row_number().over(W.partitionBy(SCENE, "_range").orderBy(code, key))
+        df = df.withColumn(f"place_{name}", (F.col("_before") + within - 1).cast("long")).drop("_range", "_before")
+    if shuffle is None:
+        return df
+    drawn, out = shuffled(orders, shuffle), [c for c in cells.columns]
+    for k, o in enumerate(drawn):
+        name = o.replace("-", "_")
+        out += [F.lit(o).alias(f"order_{k}"), F.col(f"code_{name}").alias(f"code_{k}"), F.col(f"place_{name}").alias(f"place_{k}")]
+    return df.select(*out)
+
+
+def _cut(code: Column, bits: int, level: int) -> Column:
+    """The code with all but its leading bits of that level zero."""
+    low = max(0, bits - RANGE_BITS * level)
+    return F.shiftleft(F.shiftright(code, low), low)
+
+
+def _ranges(df: DataFrame, codes: dict[str, str], bits: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(scene_id, _order, _range, _before) of all ranges, and for each level but the last its crowded ranges."""
+    listed = F.explode(F.array(*(F.struct(F.lit(o).alias("_order"), F.col(c).alias("_code")) for o, c in codes.items()))).alias("_x")
+    rows, sizes, crowded, level = df.select(SCENE, listed).select(SCENE, "_x.*"), None, [], 0
+    while True:
+        found = settled(rows.groupBy(SCENE, "_order", _cut(F.col("_code"), bits, level).alias("_range")).agg(F.count("*").alias("_size")))
+        many = found.filter(F.col("_size") > crowd)
+        last = RANGE_BITS * level >= bits or many.isEmpty()
+        part = found if last else found.filter(F.col("_size") <= crowd)
+        sizes = part if sizes is None else sizes.unionByName(part)
+        if last:
+            break
+        crowded.append(many.drop("_size"))
+        rows = rows.withColumn("_range", _cut(F.col("_code"), bits, level)).join(many.drop("_size"), [SCENE, "_order", "_range"], "left_semi").drop("_range")
+        level += 1
+    up_to = W.partitionBy(SCENE, "_order").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    return settled(sizes.select(SCENE, "_order", "_range", F.coalesce(F.sum("_size").over(up_to), F.lit(0)).alias("_before"))), crowded
+
+
+def _in_range(df: DataFrame, order: str, code: str, crowded: list[DataFrame], bits: int) -> DataFrame:
+    """Adds each row's ``_range`` in an order."""
+    place = _cut(F.col(code), bits, 0)
+    for level, many in enumerate(crowded):
+        mark = many.filter(F.col("_order") == order).select(SCENE, F.col("_range").alias("_now"), F.lit(True).alias("_many"))
+        df = df.withColumn("_now", _cut(F.col(code), bits, level)).join(mark, [SCENE, "_now"], "left")
+        df = df.withColumn(f"_many{level}", F.coalesce("_many", F.lit(False))).drop("_now", "_many")
+        place = F.when(F.col(f"_many{level}"), _cut(F.col(code), bits, level + 1)).otherwise(place)
+    return df.withColumn("_range", place).drop(*(f"_many{level}" for level in range(len(crowded))))
 
 
 def patches(places: DataFrame, size: int, place: str = "place") -> DataFrame:

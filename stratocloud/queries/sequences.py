@@ -285,6 +285,19 @@ def z6_z7_z9_serialize(spark, sf_dir):
     return df.select("scene_id", "pid", "code_z", "code_z_trans", "place_z", "place_z_trans", curves.batch_code(F.col("scene_id"), F.col("code_z"), 8).alias("batch_code"))
 
 
+_DRAWN = {f"{part}_{k}": f"CASE WHEN md5('42:order:z') {'<' if k == 0 else '>'} md5('42:order:z-trans') THEN {a} ELSE {b} END" for k in (0, 1)
+          for part, a, b in (("order", "'z'", "'z-trans'"), ("code", "code_z", "code_z_trans"), ("place", "place_z", "place_z_trans"))}
+
+
+@query(over(f"""-- {_FINE},
+c AS (SELECT {ID}, {_MORTON_SQL('gx', 'gy', 'gz')} AS code_z, {_MORTON_SQL('gy', 'gx', 'gz')} AS code_z_trans FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY code_z, pid) - 1 AS place_z,
+  row_number() OVER (PARTITION BY scene_id ORDER BY code_z_trans, pid) - 1 AS place_z_trans FROM c)
+SELECT scene_id, pid, {', '.join(f'{v} AS {c}' for c, v in _DRAWN.items())} FROM r"""))
+def z9_shuffled_orders(spark, sf_dir):
+    return curves.serialize(_cells(spark, sf_dir), 8, ("z", "z-trans"), shuffle=42).select("scene_id", "pid", *_DRAWN)
+
+
 _PLACES = f"""{_FINE}, c AS (SELECT scene_id, pid, gx, gy, gz, row_number() OVER (PARTITION BY scene_id ORDER BY {_MORTON_SQL('gx', 'gy', 'gz')}, pid) - 1 AS place, count(*) OVER (PARTITION BY scene_id) AS n FROM g),
 s AS (SELECT scene_id, pid, gx, gy, gz, place AS slot, false AS padded FROM c UNION ALL SELECT scene_id, pid, gx, gy, gz, place + 64, true FROM c WHERE n > 64 AND n % 64 <> 0 AND place >= n - 64 AND place < n - n % 64),
 p AS (SELECT *, slot // 64 AS patch FROM s)"""

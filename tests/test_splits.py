@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocloud.operators import neighbors, splits
+from stratocloud.operators import curves, neighbors, splits
 from stratocloud.operators.quantiles import quantiles
 
 SCHEMA = "scene_id bigint, pid string, x double, y double, z double"
@@ -126,3 +126,24 @@ def test_spacing_of_a_scene_in_leaves(spark, monkeypatch):
     one = d.min(1)
     row = neighbors.spacing_stats(_cloud(spark, xyz)).first()
     assert row["n"] == 900 and row["median"] == pytest.approx(np.median(one)) and row["p95"] == pytest.approx(np.quantile(one, 0.95))
+
+
+@pytest.mark.parametrize("crowd", [20, 10**6])
+def test_places_along_curves_in_ranges(spark, crowd):
+    rng = np.random.default_rng(17)
+    scenes = [np.r_[rng.integers(0, 4, (300, 3)), rng.integers(0, 64, (100, 3))], rng.integers(0, 64, (5, 3))]
+    rows = [(s, f"p{k:04d}", *map(int, g)) for s, cells in enumerate(scenes, 1) for k, g in enumerate(cells)]
+    df = spark.createDataFrame(rows, "scene_id bigint, pid string, gx bigint, gy bigint, gz bigint").repartition(3)
+    found = curves.serialize(df, 6, crowd=crowd).collect()
+    for name in ("z", "z_trans", "hilbert", "hilbert_trans"):
+        for s in (1, 2):
+            own = sorted((r for r in found if r["scene_id"] == s), key=lambda r: (r[f"code_{name}"], r["pid"]))
+            assert [r[f"place_{name}"] for r in own] == list(range(len(scenes[s - 1])))
+    drawn = curves.serialize(df, 6, shuffle=5, crowd=crowd).collect()
+    by = {(r["scene_id"], r["pid"]): r for r in found}
+    orders = [drawn[0][f"order_{k}"] for k in range(4)]
+    assert sorted(orders) == sorted(curves.ORDERS) and orders == curves.shuffled(curves.ORDERS, 5)
+    for r in drawn:
+        for k, o in enumerate(orders):
+            name = o.replace("-", "_")
+            assert (r[f"code_{k}"], r[f"place_{k}"]) == (by[r["scene_id"], r["pid"]][f"code_{name}"], by[r["scene_id"], r["pid"]][f"place_{name}"])
