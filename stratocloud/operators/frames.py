@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratocloud.operators.ranges import interval_join
+
 VIDEO, AT = "video_id", "frame_index"
 
 
@@ -164,9 +166,8 @@ def merge_short_segments(segments: DataFrame, least: int) -> DataFrame:
 
 
 def split_at_cuts(frames: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Frames with the interval of ``cuts`` (video_id, start, end; empty ones dropped) that holds them."""
-    real = cuts.filter("end > start").select(VIDEO, "start", "end")
-    return frames.join(real, VIDEO).filter((F.col(AT) >= F.col("start")) & (F.col(AT) < F.col("end")))
+    """Frames with the intervals of ``cuts`` (video_id, start, end; empty ones dropped) that hold them."""
+    return interval_join(frames, cuts.select(VIDEO, "start", "end"), VIDEO, AT)
 
 
 def fit_size(width: Column, height: Column, limit: int, step: int = 14) -> tuple[Column, Column]:

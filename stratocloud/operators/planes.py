@@ -92,7 +92,7 @@ def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least
     planes = candidates.groupBy(SCENE).agg(F.collect_list(F.struct("candidate", *"abcd")).alias("_p")).select(SCENE, "_p", slices)
     rows = points.select(SCENE, *XYZ, "_t", F.pmod(F.xxhash64("pid"), F.lit(SLICES)).cast("int").alias("_slice")).join(planes, [SCENE, "_slice"])
     met = rows.select(SCENE, *XYZ, "_t", F.explode("_p").alias("_p")).select(SCENE, *XYZ, "_t", "_p.*")  # in generated code; arrays' own functions aren't
-    inside = met.filter(plane_distance(*map(F.col, "abcd")) <= F.col("_t"))
+    inside = met.filter(plane_distance(*map(F.col, "abcd")) < F.col("_t"))
     scored = inside.groupBy(SCENE, "candidate").agg(F.count("*").alias("inliers"))
     best = F.min_by(F.struct("candidate", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b")
     top = scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(best).select(SCENE, "_b.*")
@@ -110,7 +110,7 @@ def detect_planes(
     for k in range(planes):
         many = settled(beside(left, F.count("*").alias("_m")).filter(F.col("_m") >= stop).drop("_m"))
         best = best_plane(many, threshold, n, least, seed, k).select(SCENE, *(F.col(c).alias(f"_{c}") for c in "abcd"))
-        near = settled(many.join(best, SCENE).filter(plane_distance(*(F.col(f"_{c}") for c in "abcd")) <= threshold).select(*points.columns).withColumn("plane", F.lit(k)))
+        near = settled(many.join(best, SCENE).filter(plane_distance(*(F.col(f"_{c}") for c in "abcd")) < threshold).select(*points.columns).withColumn("plane", F.lit(k)))
         fit = fit_planes(near).withColumn("plane", F.lit(k))
         fits = fit if fits is None else fits.unionByName(fit)
         inside = near if inside is None else inside.unionByName(near)

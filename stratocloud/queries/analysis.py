@@ -22,7 +22,7 @@ def _features(spark, sf_dir):
 
 _U3 = lambda j: f"floor({uniform_sql('triple/0', 'scene_id', 'c', str(j))} * (n - {j}))::BIGINT"
 _CAND = f"""o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {key_sql('triple/order', 'scene_id', 'pid')}, pid) - 1 AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM points),
-w0 AS (SELECT scene_id, c AS candidate, {_U3(0)} AS a, {_U3(1)} AS b, {_U3(2)} AS d FROM (SELECT DISTINCT scene_id, n FROM o WHERE n >= 3), range(0, 20) AS a(c)),
+w0 AS (SELECT scene_id, c AS candidate, {_U3(0)} AS a, {_U3(1)} AS b, {_U3(2)} AS d FROM (SELECT DISTINCT scene_id, n FROM o WHERE n >= 3), range(0, 500) AS a(c)),
 w1 AS (SELECT * EXCLUDE (b), CASE WHEN b >= a THEN b + 1 ELSE b END AS b FROM w0), w2 AS (SELECT * EXCLUDE (d), CASE WHEN d >= least(a, b) THEN d + 1 ELSE d END AS d FROM w1),
 w3 AS (SELECT * EXCLUDE (d), CASE WHEN d >= greatest(a, b) THEN d + 1 ELSE d END AS d FROM w2), w AS (SELECT scene_id, candidate, j, [a, b, d][j + 1] AS k FROM w3, range(0, 3) AS b(j)),
 t AS (SELECT w.scene_id, candidate, max(CASE WHEN j = 0 THEN x END) AS px, max(CASE WHEN j = 0 THEN y END) AS py, max(CASE WHEN j = 0 THEN z END) AS pz,
@@ -34,7 +34,7 @@ c AS (SELECT scene_id, candidate, nx / s AS a, ny / s AS b, nz / s AS c, -(nx /
 
 @query(over(f"-- {_CAND} SELECT scene_id, candidate::INT AS candidate, {r6('a', 'b', 'c', 'd')} FROM c"))
 def l1_candidate_planes(spark, sf_dir):
-    return rounded(planes.candidate_planes(points(spark, sf_dir), 20), *"abcd")
+    return rounded(planes.candidate_planes(points(spark, sf_dir)), *"abcd")
 
 
 @query(over(f"SELECT {ID}, {r6('abs(0.1::DOUBLE * x - 0.2::DOUBLE * y + 0.9::DOUBLE * z - 1::DOUBLE) / sqrt(0.01::DOUBLE + 0.04::DOUBLE + 0.81::DOUBLE) AS d')} FROM points"))
@@ -47,11 +47,11 @@ def l3_plane_fit(spark, sf_dir):
     return planes.fit_planes(points(spark, sf_dir))
 
 
-@query(over(f"""-- {_CAND}, i AS (SELECT scene_id, candidate, count(*) FILTER (abs(c.a * x + c.b * y + c.c * z + c.d) / sqrt(c.a * c.a + c.b * c.b + c.c * c.c) <= 0.3::DOUBLE) AS inliers FROM points JOIN c USING (scene_id) GROUP BY ALL),
+@query(over(f"""-- {_CAND}, i AS (SELECT scene_id, candidate, count(*) FILTER (abs(c.a * x + c.b * y + c.c * z + c.d) / sqrt(c.a * c.a + c.b * c.b + c.c * c.c) < 0.3::DOUBLE) AS inliers FROM points JOIN c USING (scene_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY inliers DESC, candidate) AS k FROM i WHERE inliers >= 50) SELECT scene_id, inliers FROM r WHERE k = 1"""))
 def l4_ransac_plane(spark, sf_dir):
     """The number of inliers; of candidates whose triples lie in the same plane, rounding decides which is named."""
-    return planes.best_plane(points(spark, sf_dir), 0.3, 20).select("scene_id", "inliers")
+    return planes.best_plane(points(spark, sf_dir), 0.3).select("scene_id", "inliers")
 
 
 @query()

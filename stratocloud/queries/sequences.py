@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocloud.operators import curves, frames, select, voxel
+from stratocloud.operators import curves, frames, ranges, select, voxel
 from stratocloud.queries.base import over, query, r6, rounded
 from stratocloud.queries.clouds import ID, points
 from stratocloud.queries.grids import GRID
@@ -164,6 +164,36 @@ def q12_split_at_cuts(spark, sf_dir):
     return frames.split_at_cuts(rows, cuts).select("video_id", "frame_index", "start")
 
 
+_MARKS = "m AS (SELECT video_id, frame_index + 1 AS frame_index, prob_inside AS mark FROM frames WHERE frame_index % 7 = 2 AND video_id % 5 > 0)"
+
+
+@query(_fsql(f"-- {_MARKS} SELECT f.video_id, f.frame_index, m.frame_index AS right_frame_index, m.mark FROM frames AS f ASOF LEFT JOIN m ON f.video_id = m.video_id AND f.frame_index >= m.frame_index"))
+def x_asof_last(spark, sf_dir):
+    rows = _frames(spark, sf_dir).select("video_id", "frame_index", "prob_inside")
+    marks = rows.filter("frame_index % 7 = 2 AND video_id % 5 > 0").select("video_id", (F.col("frame_index") + 1).alias("frame_index"), F.col("prob_inside").alias("mark"))
+    return ranges.asof_join(rows.drop("prob_inside"), marks, "video_id", "frame_index")
+
+
+@query(_fsql(f"""-- {_MARKS}, r AS (SELECT f.video_id, f.frame_index, m.frame_index AS right_frame_index, m.mark,
+  row_number() OVER (PARTITION BY f.video_id, f.frame_index ORDER BY abs(f.frame_index - m.frame_index), m.frame_index) AS k
+  FROM frames AS f LEFT JOIN m ON f.video_id = m.video_id AND abs(f.frame_index - m.frame_index) <= 2) SELECT * EXCLUDE (k) FROM r WHERE k = 1"""))
+def x_asof_nearest(spark, sf_dir):
+    rows = _frames(spark, sf_dir).select("video_id", "frame_index", "prob_inside")
+    marks = rows.filter("frame_index % 7 = 2 AND video_id % 5 > 0").select("video_id", (F.col("frame_index") + 1).alias("frame_index"), F.col("prob_inside").alias("mark"))
+    return ranges.asof_join(rows.drop("prob_inside"), marks, "video_id", "frame_index", "nearest", tolerance=2)
+
+
+#: Clips of 12 frames that begin every 5 frames, so that most frames are in several.
+_CLIPS = "c AS (SELECT video_id, frame_index AS start, frame_index + 12 AS \"end\", label AS clip FROM frames WHERE frame_index % 5 = 0)"
+
+
+@query(_fsql(f"-- {_CLIPS} SELECT f.video_id, f.frame_index, c.start, c.clip FROM frames AS f JOIN c ON f.video_id = c.video_id AND f.frame_index >= c.start AND f.frame_index < c.\"end\""))
+def x_overlapping_clips(spark, sf_dir):
+    rows = _frames(spark, sf_dir)
+    clips = rows.filter("frame_index % 5 = 0").select("video_id", F.col("frame_index").alias("start"), (F.col("frame_index") + 12).alias("end"), F.col("label").alias("clip"))
+    return ranges.interval_join(rows.select("video_id", "frame_index"), clips, "video_id", "frame_index").select("video_id", "frame_index", "start", "clip")
+
+
 #: Every tenth frame is long and thin, so that a number of steps is rounded to none.
 _SIZES = """s AS (SELECT video_id, frame_index, (video_id % 1280 + 640) * CASE WHEN frame_index % 10 = 5 THEN 15 ELSE 1 END AS w, CASE WHEN frame_index % 10 = 5 THEN frame_index // 10 + 3 ELSE frame_index * 7 + 360 END AS h FROM frames),
 a AS (SELECT *, w * sqrt(255000::DOUBLE / (w * h)) AS x, h * sqrt(255000::DOUBLE / (w * h)) AS y FROM s), k0 AS (SELECT *, round_even(x / 14, 0)::BIGINT AS k, round_even(y / 14, 0)::BIGINT AS m FROM a),"""
