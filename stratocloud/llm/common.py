@@ -52,6 +52,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def all_of(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns by their names, whatever characters these have."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in names or df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

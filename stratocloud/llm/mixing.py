@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratocloud.llm.common import fresh, kept, word_count
+from stratocloud.llm.common import all_of, fresh, kept, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -103,4 +103,4 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(F.col(size) == 0, 1).otherwise(F.floor(F.try_divide(F.col(taken), F.col(size)) + 0.5))
     joined = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col(own)))
     each = F.explode(F.sequence(F.lit(1), copies.cast("int")))
-    return joined.filter(copies >= 1).withColumn(copy, each).select(*(docs[c] for c in docs.columns))
+    return joined.filter(copies >= 1).withColumn(copy, each).select(*all_of(docs))

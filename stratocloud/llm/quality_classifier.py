@@ -3,7 +3,7 @@
 Trusted positives are documents labelled 1; negative labels are not used. A linear model over
 features of a text's bytes and words minimises the non-negative unbiased risk
 ``prior * E_P[l(x)] + max(0, E_U[l(-x)] - prior * E_P[l(-x)])``. The prior is the share of positives among
-unlabelled web text, estimated from a first model: among the documents that it likes best, the ratio of
+unlabelled web text, estimated from first models: among the documents that one likes best, the ratio of
 the unlabelled share to the positive share is at least the prior, and comes near it.
 
 Edge cases: null and empty text have zero features and get the score that the model gives them. Null ids
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocloud.llm.common import fold_of, kept
 from stratocloud.llm.packing import _slices
@@ -77,11 +78,14 @@ class Model:
         return sigmoid(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1])
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.3) -> float:
-    """The least ratio of shares above a threshold, over thresholds that keep ``least_share`` of the positives."""
-    cuts = np.quantile(positive, np.linspace(0, 1 - least_share, 29))
-    ratios = [((unlabelled >= c).mean() + 1 / len(unlabelled)) / max((positive >= c).mean(), 1e-9) for c in cuts]
-    return float(np.clip(min(ratios), 0.05, 0.99))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, risk: float = 0.1) -> float:
+    """The ratio of the shares above a threshold, at the threshold where its upper confidence bound is least. The least ratio itself would
+    be the one that chance made smallest."""
+    cuts = np.quantile(positive, np.linspace(0, 0.9, 91))
+    p, u = (1 - np.searchsorted(np.sort(x), cuts, "left") / len(x) for x in (positive, unlabelled))
+    width = np.sqrt(np.log(4 / risk) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    at = int(np.argmin((u + width) / np.maximum(p, 1e-9)))
+    return float(np.clip(u[at] / max(p[at], 1e-9), 0.05, 0.99))
 
 
 def fit(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.02, ridge: float = 1e-4) -> Model:
@@ -91,8 +95,9 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.02, ridg
     p, u = (np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))] for x in (p, u))
     half = lambda x: (x[::2], x[1::2]) if len(x) > 1 else (x, x)
     (p0, p1), (u0, u1) = half(p), half(u)
-    first = logistic(np.concatenate([p0, u0])[:, :-1], np.r_[np.ones(len(p0)), np.zeros(len(u0))], ridge=10.0)
-    prior = estimate_prior(p1 @ first, u1 @ first)
+    guess = lambda p, u: logistic(np.concatenate([p, u])[:, :-1], np.r_[np.ones(len(p)), np.zeros(len(u))], ridge=10.0)
+    each = [estimate_prior(p @ w, u @ w) for w, p, u in ((guess(p0, u0), p1, u1), (guess(p1, u1), p0, u0))]  # each half by the other's model
+    prior = sum(each) / 2
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
     for t in range(1, steps + 1):
         gp, gu = sigmoid(p @ w), sigmoid(u @ w)
@@ -117,7 +122,8 @@ def train(
     docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, positives: int = POSITIVES,
     unlabelled: int = UNLABELLED, seed: int = 42,
 ) -> Model:
-    """A model from at most ``positives`` trusted and ``unlabelled`` other texts, none of the held-out fold."""
+    """A model from at most ``positives`` trusted and ``unlabelled`` web texts, none of the held-out fold. The web texts are drawn from all
+    texts, whatever they are labelled, and independently of the trusted ones: a text drawn as both counts as both."""
     known = labelled_ids(labels, label, modulus, held_out).filter("y = 1")
     p = first_by_hash(known, positives, seed)
     web = docs.select("doc_id").filter(fold_of(F.col("doc_id"), modulus) != held_out).withColumn("y", F.lit(0))
@@ -145,10 +151,11 @@ def score_quality(docs: DataFrame, model: Model, column: str = "score") -> DataF
         for batch in batches:
             for at, texts in _slices(batch.column(at_text)):
                 score = shared.value.score(np.stack([features(t) for t in texts]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, pa.array(score)], [*names, column])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+    plain = [f"c{k}" for k in range(len(names))]  # columns may be called anything
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema)), T.StructField("score", T.DoubleType())])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*names, column)
 
 
 def classify_quality(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,5 +175,5 @@ def _scores_only(docs: DataFrame, model: Model) -> DataFrame:
                 score = shared.value.score(np.stack([features(t) for t in texts]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(score)], ["doc_id", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratocloud.llm.common import kept
+from stratocloud.llm.common import all_of, kept
 from stratocloud.llm.packing import _slices
 
 WINDOW = 50
@@ -265,8 +266,8 @@ def _second_pass(docs: DataFrame, bitmaps, bits: int, window: int, gram: int, te
                 for k in range(0, n, 50_000):
                     yield table.slice(k, 50_000)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"{fields}, {_PASS}")
+    own = [T.StructField(f.name, f.dataType) for f in schema]
+    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL(_PASS)]))
 
 
 def _least_ids(runs: DataFrame) -> DataFrame:
@@ -278,8 +279,11 @@ def _least_ids(runs: DataFrame) -> DataFrame:
     groups = kept(per.groupBy("gram").agg(F.count("*").alias("k"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("gram", "k"))
     alone = per.join(groups.filter("k = 1").select("gram"), "gram").select(*key, F.array("low").alias("least"))
     apart = kept(per.join(groups.filter("k > 1").select("gram"), "gram").select("run", *key, "low", "h1", "h2"))
-    each = apart.select("run", "low", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select(
-        "run", F.col("at").cast("smallint").alias("at"), "low", "h.h1", "h.h2",
+    # No run of a gram has a smaller id than its first: windows that another run shares with that one are told by one row a run.
+    first = kept(apart.groupBy("gram").agg(F.min_by(F.struct("run", "low", "h1", "h2"), F.struct("low", "run")).alias("first")))
+    apart = kept(_beside_first(apart.join(first, "gram").filter(F.col("run") != F.col("first.run"))))
+    each = apart.select("run", "low", F.posexplode(F.arrays_zip("at", "h1", "h2")).alias("k", "h")).select(
+        "run", F.col("h.at").cast("smallint").alias("at"), "low", "h.h1", "h.h2",
     )
     # A window may be in very many runs: these are dealt by a salt, and a window's least id is taken to each of its salts.
     # A window that a single distinct run holds needs no word from others: its run's least id is its own.
@@ -288,12 +292,45 @@ def _least_ids(runs: DataFrame) -> DataFrame:
     window = W.partitionBy("h1", "h2")  # at most SALTS rows
     lows = parts.select("h1", "h2", "salt", F.min("least").over(window).alias("least"), F.sum("k").over(window).alias("k")).filter("k > 1").drop("k")
     lower = each.join(lows, ["h1", "h2", "salt"]).filter("least < low").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "least"))).alias("m"))
-    told = apart.select("run", *key, "low", F.size("h1").alias("n")).join(lower, "run", "left")
+    told = apart.select("run", *key, "low", "n", "shared", "first_low").join(lower, "run", "left")
     of = lambda i: F.coalesce(F.try_element_at("m", i.cast("smallint")), F.col("low"))
-    least = F.when(F.col("m").isNull(), F.array("low")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), of))
+    least = F.when(F.col("m").isNull(), F.array_repeat("low", F.col("n"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), of))
+    least = F.zip_with(least, "shared", lambda own, shared: F.when(shared, F.least(own, F.col("first_low"))).otherwise(own))
+    leading = first.select("gram", F.col("first.run").alias("run")).join(per.select("gram", "run", "d1", "d2", "low"), ["gram", "run"])
+    alone = alone.unionByName(leading.select(*key, F.array("low").alias("least")))
     return alone.unionByName(told.select(*key, least.alias("least")))
 
 
+def _beside_first(rows: DataFrame) -> DataFrame:
+    """Of each run beside the first of its gram: which of its windows that one holds (``shared``), and place and hashes of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"n": [], "shared": [], "at": [], "h1": [], "h2": []}
+            last, known = None, np.empty(0, np.uint64)
+            for head, of, h1, h2 in zip(*(batch.column(c) for c in ("first_run", "first", "h1", "h2"))):
+                if head.as_py() != last:
+                    last, known = head.as_py(), _windows_of(*(of.values.field(k).to_numpy() for k in range(2)))
+                own = h1.values.to_numpy(), h2.values.to_numpy()
+                shared = np.isin(_windows_of(*own), known)
+                other = np.flatnonzero(~shared)
+                for c, v in zip(out, (len(shared), shared, other, own[0][other], own[1][other])):
+                    out[c].append(v)
+            kinds = {"n": pa.int32(), "shared": pa.list_(pa.bool_()), "at": pa.list_(pa.int32()), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int32())}
+            kept_columns = {c: batch.column(c) for c in ("run", "gram", "d1", "d2", "low", "first_low")}
+            yield pa.RecordBatch.from_pydict(kept_columns | {c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    zipped = F.arrays_zip("first.h1", "first.h2").alias("first")
+    rows = rows.select("run", "gram", "d1", "d2", "low", F.col("first.low").alias("first_low"), F.col("first.run").alias("first_run"), zipped, "h1", "h2")
+    schema = "run bigint, gram bigint, d1 bigint, d2 bigint, low bigint, first_low bigint, n int, shared array<boolean>, at array<int>, h1 array<bigint>, h2 array<int>"
+    return rows.mapInArrow(run, schema)
+
+
+def _windows_of(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Both hashes of windows as one value each."""
+    return np.rec.fromarrays([h1.astype("<i8"), h2.astype("<i4")]).view(np.dtype((np.void, 12)))
+
+
 _WORD_AND_SPACE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -320,7 +357,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
     """Every document with n_words and n_removed. With ``text``, all its columns, the text without the
     removed words; otherwise doc_id and kept_sha256, of the kept words joined by single spaces.
     Columns named like those made here are replaced."""
-    docs = docs.drop(*(c for c in (*_OWN, "n_removed") if c in docs.columns)) if text else docs.select("doc_id", "text")
+    given = [c for c in docs.columns if c.lower() not in (*_OWN, "n_removed")] if text else ["doc_id", "text"]
+    plain = [c if c in ("doc_id", "text") else f"_c{k}" for k, c in enumerate(given)]  # columns may be called anything
+    docs = docs.select(*all_of(docs, given)).toDF(*plain)
     names = docs.columns
     bits = sketch_bits(docs, max_cells)
     passed = kept(_second_pass(docs, _bitmaps(docs, bits, depth, window, gram), bits, window, gram, text))
@@ -330,7 +369,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
     marks = own.groupBy("uid").agg(F.collect_list(F.struct("pos", "n", F.when(F.array_max("least") >= F.col("id"), F.col("least")).alias("least"))).alias("runs"))
     base = passed.filter("again IS NOT NULL")
     out = [*names, "n_words"] if text else ["doc_id", "n_words", "kept_sha256"]
-    plain = base.filter("NOT again").select(*out, F.lit(0).cast("long").alias("n_removed"))
+    same = base.filter("NOT again").select(*out, F.lit(0).cast("long").alias("n_removed"))
     again = base.filter("again").join(marks, "uid", "left").select(*names, "n_words", "runs")
     text_at = names.index("text")
 
@@ -347,4 +386,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, de
                     row = {n: row[n] for n in ("doc_id", "n_words")} | {"kept_sha256": pa.array([_sha(t.encode().split()) for t, _ in done], pa.string())}
                 yield pa.RecordBatch.from_pydict(row | {"n_removed": pa.array([n for _, n in done], pa.int64())})
 
-    return plain.unionByName(again.mapInArrow(cut, plain.schema))
+    done = same.unionByName(again.mapInArrow(cut, same.schema))
+    return done.toDF(*given, *done.columns[len(given) :]) if text else done

@@ -22,19 +22,19 @@ def first_by_hash(ids: DataFrame, n: int, seed: int) -> DataFrame:
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, y and text of the sampled ids, which are few and are broadcast; so only sampled texts are shuffled. Of rows that repeat
-    an id, one is taken, the same in every run."""
+    an id, one is taken, the same in every run. An id that was drawn for both values of y appears with each."""
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    return texts.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"), "text")).alias("text"))
+    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"), "text")).alias("text"))
 
 
 def one_of_copies(sample: DataFrame, shingle: int = 5) -> DataFrame:
-    """mark, y and text: of the texts of a small sample that share their least hash of ``shingle`` words (``mark``), as copies and most
+    """mark, y and text: of the texts of a small sample that share y and their least hash of ``shingle`` words (``mark``), as copies and most
     near copies do, one. Statistics over what is left count passages, not how often a text was copied."""
     words = words_of(F.lower("text"))
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, shingle)))
     marked = sample.withColumn("_w", words).withColumn("mark", F.array_min(each))
     order = F.struct(F.xxhash64("doc_id"), F.col("doc_id"))
-    return marked.groupBy("mark").agg(F.max("y").alias("y"), F.min_by("text", order).alias("text"))
+    return marked.groupBy("mark", "y").agg(F.min_by("text", order).alias("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
