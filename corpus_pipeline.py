@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocloud.llm import mixing, packing, quality_classifier, simhash, substring_dedup
-from stratocloud.llm.common import fresh, kept, table
+from stratocloud.llm.common import all_of, fresh, kept, table
 from stratocloud.llm.queries import tokenizer_path
 
 #: No SQL can express the learnt classifier and the tokenizer.
@@ -29,7 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     (score,) = fresh(docs, "_score")
     scored = quality_classifier.score_quality(docs, model, score)
-    return scored.filter(F.col(score) >= quality_classifier.THRESHOLD).select(*docs.columns)
+    scored = scored.filter(F.col(score) >= quality_classifier.THRESHOLD)
+    return scored.select(*all_of(scored, docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own, text = fresh(docs, "_id", "_text")
     first = first.select(F.col("id").alias(own), F.col("hash").alias(text))
     met = docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(text))
-    return docs.join(first, met).dropDuplicates([own, text]).select(*(docs[c] for c in docs.columns))
+    return docs.join(first, met).dropDuplicates([own, text]).select(*all_of(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     another.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"_c{k}") for k, c in enumerate(others)))  # no name clashes with the operator's
+    plain = docs.select("doc_id", "text", *(c.alias(f"_c{k}") for k, c in enumerate(all_of(docs, others) if others else [])))  # no name clashes with the operator's
     found = substring_dedup.dedup_substrings(plain)
     left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     back = {c: F.col(f"_c{k}") for k, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")}
@@ -70,7 +71,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     least half of its words fit. A document without words appears once. A null source is one of its own; rows that share an id, null
     too, share their words taken.
     """
-    return mixing.repeated(docs).select(*docs.columns)
+    mixed = mixing.repeated(docs)
+    return mixed.select(*all_of(mixed, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
