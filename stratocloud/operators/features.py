@@ -63,15 +63,18 @@ def heat(scored: DataFrame, value: str = "similarity", key: str = "vec_id") -> D
     return scored.withColumn("heat", F.when(F.col(value) >= mid, sig(up)).otherwise(F.lit(0.9) * sig(down)))
 
 
-def linear_probe(features: DataFrame, head: DataFrame, vector: str = "embedding", key: str = "vec_id", most: int = 10_000, blocks: int = 16) -> DataFrame:
+def linear_probe(features: DataFrame, head: DataFrame, vector: str = "embedding", key: str = "vec_id", most: int = 10_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, class_id, logit): the class of the largest w x + b, of equals the smaller. ``head`` has class_id, weight, bias, a row a class.
 
-    Rows are dealt into ``blocks`` and classes into parts of about ``most``; a task holds one block and one part.
+    A head of at most ``most`` classes meets every row where it is; a larger one is dealt into parts of so many, and the rows into blocks of about
+    ``block_rows``, so that a task holds one block and one part and their number follows both tables.
     """
     parts = max(1, -(-head.count() // most))
+    blocks = 1 if parts == 1 else max(1, -(-features.count() // block_rows))
     left = features.select(key, vector, _dealt(F.col(key), blocks).alias("_a"), _each(parts).alias("_b"))
     right = head.select("class_id", "weight", "bias", _dealt(F.col("class_id"), parts).alias("_b"), _each(blocks).alias("_a"))
-    scored = left.join(right, ["_a", "_b"]).withColumn("logit", dot(F.col("weight"), F.col(vector)) + F.col("bias"))
+    met = left.crossJoin(F.broadcast(right.drop("_a", "_b"))) if parts == 1 else left.join(right, ["_a", "_b"])
+    scored = met.withColumn("logit", dot(F.col("weight"), F.col(vector)) + F.col("bias"))
     best = F.min_by(F.struct("class_id", "logit"), F.struct(-F.col("logit"), F.col("class_id")))
     return scored.groupBy(key).agg(best.alias("m")).select(key, "m.*")
 

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash
-from stratocloud.operators.scenes import SCENE, beside
-from stratocloud.operators.places import ranked_at_random
+from stratocloud.operators.places import ranked, ranked_at_random
+from stratocloud.operators.scenes import SCENE, beside, settled
 from stratocloud.operators.select import keep_random
 
 CELL = ("gx", "gy", "gz")
@@ -74,10 +74,16 @@ def voxel_fragments(points: DataFrame, size: float, key: str = "pid") -> DataFra
 def voxel_inverse(points: DataFrame, size: float) -> DataFrame:
     """The number of each point's cell, in order of the cells of its scene; the cells are ordered, not the points."""
     df = with_cells(points, size)
-    cells = df.select(SCENE, *CELL).distinct().withColumn("inverse", (F.row_number().over(W.partitionBy(SCENE).orderBy(*CELL)) - 1).cast("long"))
+    cells = settled(df.select(SCENE, *CELL).distinct())
+    cells = ranked(cells, list(CELL), _stretch(*CELL)).withColumn("inverse", F.col("_r") - 1).drop("_r")
     return df.join(cells, [SCENE, *CELL])
 
 
+def _stretch(x: str, y: str, z: str) -> Column:
+    """A range of the order of cells: a slice of x and sixteen of y."""
+    return F.struct(F.col(x).alias("x"), F.floor(F.col(y) / 16).alias("y"))
+
+
 def ravel_key(points: DataFrame, size: float) -> DataFrame:
     """One number for each cell of the scene's box, z fastest."""
     df = beside(with_cells(points, size), F.max("gy").alias("_y"), F.max("gz").alias("_z"))
@@ -127,8 +133,7 @@ def grid_pool(cells: DataFrame, stride: int, features: Sequence[str], reduce: st
     key = [SCENE, *(f"_{c}" for c in CELL)]
     aggregates = [REDUCERS[reduce](f).alias(f) for f in features] + [F.avg(m).alias(m) for m in means if m not in features]
     pooled = fine.groupBy(*key).agg(*aggregates, F.count("*").alias("n"))
-    number = (F.row_number().over(W.partitionBy(SCENE).orderBy(*key[1:])) - 1).cast("long")
-    pooled = pooled.withColumn("cluster", number)
+    pooled = ranked(settled(pooled), key[1:], _stretch(*key[1:])).withColumn("cluster", F.col("_r") - 1).drop("_r")
     fine = fine.join(pooled.select(*key, "cluster"), key).drop(*key[1:])
     return pooled.withColumnsRenamed({f"_{c}": c for c in CELL}), fine
 
