@@ -46,6 +46,7 @@ SLICE_WORDS = 1_000_000
 SHARD_WORDS = 2_000_000
 WORD_BYTES = 6  # of text a word, about; it only sizes the shards
 TEXT_BYTES = 2 << 20  # of text that is split into words at once, which takes some twenty times as much memory
+GROUP_SLICES = 256  # added up together before shards are
 SLICE_TEXTS = 200_000  # of texts without words, say
 TARGET, BACKGROUND, ASKED = range(3)
 
@@ -189,30 +190,86 @@ def sliced(texts: DataFrame, keys: Keys, role: int, slice_words: int = SLICE_WOR
     return kept(rows.mapInArrow(run, f"ids array<{kind}>, {_ROW}"))
 
 
-def answers(asks: DataFrame, role: int) -> DataFrame:
+def _keys_of(t: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(unpacked(d.as_py())) + np.int64(f).view(np.uint64) for d, f in zip(t["keys"], t["first"].to_numpy())]
+
+
+def _totals(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, where each key is among them, and sums of the counts (one list for each of both corpora)."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate(c).astype(float), minlength=len(distinct)).astype(np.uint64) for c in counts]
+    return distinct, at, sums
+
+
+def _by_role(t: pa.Table) -> list[list[np.ndarray]]:
+    """The counts of each row, for the target and for the background; zeros where a row is of another role."""
+    roles, counts = t["role"].to_numpy(), [unpacked(d.as_py()) for d in t["counts"]]
+    return [[c if r == role else np.zeros(len(c), np.uint64) for r, c in zip(roles, counts)] for role in (TARGET, BACKGROUND)]
+
+
+def answers(asks: DataFrame, role: int, group_slices: int = GROUP_SLICES) -> DataFrame:
     """(slice, shard, n, m, distinct): to each slice of the role, the target's and the background's totals of its keys; and without a
-    slice, how many distinct words each shard has."""
+    slice, how many distinct words each shard has.
+
+    Slices are added up in groups of about ``group_slices``, a group and shard a task, and groups to totals, a shard a task, so that a gram that all slices
+    hold is one number a group there. Totals go back the same way.
+    """
     names = {"slice": pa.int64(), "shard": pa.int32(), "n": pa.binary(), "m": pa.binary(), "distinct": pa.int64()}
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        roles, slices = t["role"].to_numpy(), t["slice"].to_pylist()
-        keys = [np.cumsum(unpacked(d.as_py())) + np.int64(f).view(np.uint64) for d, f in zip(t["keys"], t["first"].to_numpy())]
-        counts = [unpacked(d.as_py()).astype(float) for d in t["counts"]]
-        sizes = np.array([len(k) for k in keys])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts, of = np.concatenate(counts), np.repeat(roles, sizes)
-        totals = [np.bincount(at, weights=np.where(of == r, counts, 0.0), minlength=len(distinct)).astype(np.uint64) for r in (TARGET, BACKGROUND)]
-        met = ((distinct & np.uint64(1)) == 1) & (totals[0] + totals[1] > 0)
-        out = {c: [None] for c in names} | {"shard": [key[0].as_py()], "distinct": [int(met.sum())]}
+    def replied(t: pa.Table, shard: int, at: np.ndarray, sizes: list[int], sums: list[np.ndarray], out: dict) -> dict:
         ends = np.cumsum(sizes)
-        for r, s, a, b in zip(roles.tolist(), slices, (ends - sizes).tolist(), ends.tolist()):
+        for r, s, a, b in zip(t["role"].to_pylist(), t["slice"].to_pylist(), (ends - sizes).tolist(), ends.tolist()):
             if r == role:
-                for c, v in zip(names, (s, key[0].as_py(), packed(totals[0][at[a:b]]), packed(totals[1][at[a:b]]), None)):
+                for c, v in zip(names, (s, shard, packed(sums[0][at[a:b]]), packed(sums[1][at[a:b]]), None)):
                     out[c].append(v)
+        return out
+
+    def met(distinct: np.ndarray, sums: list[np.ndarray]) -> int:
+        return int((((distinct & np.uint64(1)) == 1) & (sums[0] + sums[1] > 0)).sum())
+
+    def at_once(key: tuple, t: pa.Table) -> pa.Table:
+        keys, shard = _keys_of(t), key[0].as_py()
+        distinct, at, sums = _totals(keys, _by_role(t))
+        out = replied(t, shard, at, list(map(len, keys)), sums, {c: [None] for c in names} | {"shard": [shard], "distinct": [met(distinct, sums)]})
+        return pa.table({c: pa.array(v, names[c]) for c, v in out.items()})
+
+    def added(key: tuple, t: pa.Table) -> pa.Table:
+        distinct, _, sums = _totals(_keys_of(t), _by_role(t))
+        row = {"shard": key[0].as_py(), "part": key[1].as_py(), "first": int(distinct[0].view(np.int64)), "keys": packed(np.diff(distinct, prepend=distinct[:1]))}
+        kinds = {"shard": pa.int32(), "part": pa.int32(), "first": pa.int64()}
+        return pa.table({c: pa.array([v], kinds.get(c, pa.binary())) for c, v in (row | {"n": packed(sums[0]), "m": packed(sums[1])}).items()})
+
+    def in_all(key: tuple, t: pa.Table) -> pa.Table:
+        keys = _keys_of(t)
+        distinct, at, sums = _totals(keys, [[unpacked(d.as_py()) for d in t[c]] for c in ("n", "m")])
+        cut = [0, *np.cumsum(list(map(len, keys))).tolist()]
+        each = [[packed(x[at[a:b]]) for a, b in zip(cut, cut[1:])] for x in sums]
+        n = t.num_rows
+        return pa.table({
+            "shard": pa.array([key[0].as_py()] * (n + 1), pa.int32()), "part": pa.array([*t["part"].to_pylist(), None], pa.int32()),
+            "n": pa.array([*each[0], None], pa.binary()), "m": pa.array([*each[1], None], pa.binary()), "distinct": pa.array([None] * n + [met(distinct, sums)], pa.int64()),
+        })
+
+    def back(key: tuple, t: pa.Table, totals: pa.Table) -> pa.Table:
+        keys = _keys_of(t)
+        _, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (None, np.zeros(0, np.int64))
+        out = {c: [] for c in names}
+        if keys:
+            out = replied(t, key[0].as_py(), at, list(map(len, keys)), [unpacked(totals[c][0].as_py()) for c in ("n", "m")], out)
         return pa.table({c: pa.array(v, names[c]) for c, v in out.items()})
 
     asked = asks.filter("shard IS NOT NULL").select("slice", "shard", "role", "first", "keys", "counts")
-    return kept(asked.groupBy("shard").applyInArrow(run, "slice bigint, shard int, n binary, m binary, distinct bigint"))
+    schema = "slice bigint, shard int, n binary, m binary, distinct bigint"
+    parts = max(1, -(-asks.filter("shard IS NULL").count() // group_slices))
+    if parts == 1:
+        return kept(asked.groupBy("shard").applyInArrow(at_once, schema))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts)).cast("int"))
+    sums = kept(asked.groupBy("shard", "part").applyInArrow(added, "shard int, part int, first bigint, keys binary, n binary, m binary"))
+    totals = kept(sums.groupBy("shard").applyInArrow(in_all, "shard int, part int, n binary, m binary, distinct bigint"))
+    known = totals.filter("part IS NOT NULL").select("shard", "part", "n", "m")
+    replies = asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(back, schema)
+    counted = totals.filter("part IS NULL").select(F.lit(None).cast("long").alias("slice"), "shard", "n", "m", "distinct")
+    return kept(replies.unionByName(counted))
 
 
 @dataclass

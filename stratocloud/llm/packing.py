@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from stratocloud.llm.common import kept
 CAPACITY = 4096
 END = 1
 PART_ROWS = 50_000
-ROUNDS = 6
+IDLE = 2
 #: Texts are tokenized in slices of about so many bytes, so that a batch of long texts needs little memory.
 SLICE_BYTES = 8 << 20
 #: Words remembered between slices; the memory is emptied beyond that.
@@ -241,8 +241,8 @@ def _packer(capacity: int, round_: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ids_crc32 and more) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """``pieces`` (doc_id, piece, length, ids_crc32 and more) with sequence_id and offset. Repacking ends at the bound, or when ``IDLE`` rounds in a row save nothing."""
     columns = pieces.columns
     todo = kept(pieces)
     counts = np.zeros(capacity + 1, np.int64)
@@ -250,8 +250,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
         counts[length] = n
     bound = lower_bound(counts, capacity)
     rows, done, n_done = int(counts.sum()), None, 0
-    best = None
-    for r in range(rounds):
+    best, idle = None, 0
+    for r in count():
         n_parts = max(1, -(-rows // part_rows))
         bucket = F.pmod(F.xxhash64(F.lit(r), "doc_id", "start", "ids_crc32"), F.lit(n_parts)).cast("long").alias("bucket")
         schema = todo.select(*columns, F.lit(0).cast("long").alias("bucket")).schema.add("sequence_id", "long").add("offset", "long").add("gap", "long").add("loose", "boolean")
@@ -262,9 +262,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
         ).first()
         n_bins, n_loose, loose_rows = seen[0], seen[1], seen[2] or 0
         now = packed if done is None else done.unionByName(packed)
-        if best is None or n_done + n_bins < best[0]:
+        idle = 0 if best is None or n_done + n_bins < best[0] else idle + 1
+        if not idle:
             best = (n_done + n_bins, now)
-        if n_done + n_bins <= bound or not loose_rows or n_loose < 2 or (r and n_parts == 1):
+        if idle == IDLE or n_done + n_bins <= bound or not loose_rows or n_loose < 2 or (r and n_parts == 1):
             break
         firm = packed.filter("NOT loose")
         done = firm if done is None else done.unionByName(firm)
@@ -274,9 +275,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS,
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
     keep_ids: bool = False,
 ) -> DataFrame:
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with ``keep_ids`` also ids."""
     pieces = token_pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(pieces if keep_ids else pieces.drop("ids"), capacity, part_rows, rounds)
+    return pack(pieces if keep_ids else pieces.drop("ids"), capacity, part_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from stratocloud.llm import quality_classifier, substring_dedup, toxicity, training
+from stratocloud.llm import lm_scoring, packing, quality_classifier, substring_dedup, toxicity, training
 
 
 def test_prior_through_train(spark):
@@ -147,3 +147,30 @@ def test_whole_run(spark):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_slices_added_up_in_groups_give_the_same_totals(spark):
+    rng = random.Random(35)
+    texts = [" ".join(rng.choice(["the", "a", f"w{rng.randint(0, 3000)}"]) for _ in range(300)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(12)
+    models = lm_scoring.train(docs.filter("doc_id < 5"), docs, slice_words=1_500, shard_words=1_000)
+    assert models.slices.select("slice").distinct().count() > 9
+    key = lambda df: sorted(df.collect(), key=lambda r: (r["shard"], r["slice"] is not None, r["slice"] or 0))
+    once = key(lm_scoring.answers(models.slices, lm_scoring.BACKGROUND))
+    assert len({r["shard"] for r in once}) > 3
+    for size in (1, 4):
+        assert key(lm_scoring.answers(models.slices, lm_scoring.BACKGROUND, size)) == once
+
+
+def test_repacking_goes_on_while_it_saves(spark):
+    """Many partitions that each leave a gap: together they reach the bound, or the last round saved nothing."""
+    rng = np.random.default_rng(36)
+    sizes = rng.integers(30, 70, 3_000).tolist()
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(sizes)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    found = packing.pack(pieces, capacity=100, part_rows=150).collect()
+    used = {}
+    for r in found:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert len(found) == 3_000 and max(used.values()) <= 100
+    alone = int(packing.best_fit(np.sort(np.array(sizes))[::-1], 100)[0].max()) + 1
+    assert packing.lower_bound(np.bincount(sizes, minlength=101), 100) <= len(used) <= alone * 1.03
