@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocloud.operators.places import numbered
+from stratocloud.operators.scenes import settled
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,6 +28,9 @@ def similarity_to(features: DataFrame, query: DataFrame, vector: str = "embeddin
     return features.withColumn("similarity", cosine(F.col(vector), F.array(*(F.lit(float(v)) for v in one))))
 
 
+PIVOTS = 256  # rows drawn as centres of groups
+SLACK = 1e-9  # of similarities worked out in another order
+ANGLE_SLACK = 1e-6
 BLOCK_ROWS = 5_000  # of each side in a task that compares all pairs of two blocks
 
 
@@ -51,6 +58,114 @@ def best_match(features: DataFrame, queries: DataFrame, key: str = "vec_id", vec
     return scored.groupBy("query").agg(best.alias("m")).select("query", "m.*")
 
 
+def pruned_match(
+    features: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, itself: bool = True, seed: int = 42,
+) -> DataFrame:
+    """The rows of :func:`best_match`, exactly, without comparing what cannot win.
+
+    Rows are dealt to the nearest of ``pivots`` rows, drawn by a keyed hash (that many at most, which is what is broadcast). Angles obey the triangle inequality, so no row
+    of a group is nearer to a query than the query's angle to the pivot less the largest angle in the group. A query is first compared with its own group; then only with
+    the groups that this bound leaves. Rows whose similarity is within ``SLACK`` of the best are compared once more by the same expression as everywhere else.
+    Rows without direction (null, empty or zero vectors) have no similarity and go to nobody; queries like that are answered as by ``best_match``.
+    """
+    size = F.sqrt(dot(F.col(vector), F.col(vector)))
+    real = features.filter(size > 0).select(F.col(key).alias("other"), F.col(vector).alias("v"))
+    asked = queries.filter(size > 0).select(F.col(key).alias("query"), F.col(vector).alias("q"))
+    rest = queries.filter(~F.coalesce(size > 0, F.lit(False)))
+    drawn = real.orderBy(F.xxhash64(F.lit(seed), "other"), "other").limit(pivots).collect()  # a bounded sample
+    if not drawn:
+        return best_match(features, queries, key, vector, block_rows, itself)
+    centres = _unit(np.array([r["v"] for r in drawn], float))
+    shared = features.sparkSession.sparkContext.broadcast(centres)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angles = _angles(_matrix(batch.column(1)), shared.value)
+                own = np.argmin(angles, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], [*batch.schema.names, "group", "angle"])
+
+    dealt = settled(real.mapInArrow(near, T.StructType([*real.schema, T.StructField("group", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
+    groups = settled(dealt.groupBy("group").agg(F.max("angle").alias("reach"), F.count("*").alias("n")))  # at most ``pivots`` rows
+    reach = np.full(len(centres), -np.inf)
+    sizes = np.zeros(len(centres), np.int64)
+    for g, r, n in groups.collect():
+        reach[g], sizes[g] = r, n
+    parts = np.maximum(1, -(-sizes // block_rows))
+    known = features.sparkSession.sparkContext.broadcast((centres, reach, parts))
+    ask = T.StructType([*asked.schema, T.StructField("best", T.DoubleType()), T.StructField("group", T.IntegerType()), T.StructField("part", T.IntegerType())])
+
+    def to_groups(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, reach, parts = known.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                bound = _angles(_matrix(batch.column(1)), centres) - reach  # of the angle to any row of each group
+                best = batch.column(2).to_numpy(zero_copy_only=False)
+                own = np.argmin(bound, axis=1)  # the group that may hold the nearest row
+                meets = bound <= np.where(np.isfinite(best), best, np.inf)[:, None] + ANGLE_SLACK
+                meets &= reach[None, :] > -np.inf
+                alone = np.zeros(meets.shape, bool)
+                alone[np.arange(len(own)), own] = True
+                row, group = np.nonzero(alone if first else meets & ~alone)
+                n = parts[group]
+                row, group = np.repeat(row, n), np.repeat(group, n)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(group.astype(np.int32)), pa.array(part.astype(np.int32))], ask.names)
+
+        return run
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"query": [], "other": [], "cosine": []}
+        if len(left) and len(right):
+            q, v = (_unit(_matrix(t[c].combine_chunks())) for t, c in ((left, "q"), (right, "v")))
+            ids = right["other"].to_numpy()
+            for k in range(0, len(q), 500):
+                cosine = q[k : k + 500] @ v.T
+                if not itself:
+                    cosine[left["query"].to_numpy()[k : k + 500, None] == ids[None, :]] = -np.inf
+                row, col = np.nonzero((cosine >= cosine.max(axis=1)[:, None] - SLACK) & np.isfinite(cosine))
+                out["query"].append(left["query"].to_numpy()[k : k + 500][row])
+                out["other"].append(ids[col])
+                out["cosine"].append(cosine[row, col])
+        empty = {"query": left["query"].to_numpy()[:0], "other": right["other"].to_numpy()[:0], "cosine": np.zeros(0)}
+        return pa.table({c: np.concatenate([empty[c], *v]) for c, v in out.items()})
+
+    block = dealt.select("other", "v", "group", F.pmod(F.xxhash64("other"), F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("group") + 1)).cast("int").alias("part"))
+    found = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("other", real.schema["other"].dataType), T.StructField("cosine", T.DoubleType())])
+
+    def met(rows: DataFrame, first: bool) -> DataFrame:
+        sent = rows.mapInArrow(to_groups(first), ask)
+        return settled(sent.groupBy("group", "part").cogroup(block.groupBy("group", "part")).applyInArrow(compare, found))
+
+    one = met(asked.withColumn("best", F.lit(None).cast("double")), True)
+    angle = F.acos(F.least(F.greatest(F.max("cosine"), F.lit(-1.0)), F.lit(1.0))).alias("best")
+    two = met(asked.join(one.groupBy("query").agg(angle), "query", "left").select(*ask.names[:3]), False)
+    every = one.unionByName(two)
+    best = every.groupBy("query").agg(F.max("cosine").alias("_most"))
+    close = every.join(best, "query").filter(F.col("cosine") >= F.col("_most") - SLACK).select("query", "other").distinct()
+    norm = lambda v: F.sqrt(dot(v, v))
+    close = close.join(asked, "query").join(real, "other")
+    scored = close.withColumn("similarity", F.try_divide(dot(F.col("q"), F.col("v")), norm(F.col("q")) * norm(F.col("v"))))
+    pick = F.min_by(F.struct("other", "similarity"), F.struct(-F.col("similarity"), F.col("other")))
+    out = scored.groupBy("query").agg(pick.alias("m")).select("query", "m.*")
+    return out if rest.isEmpty() else out.unionByName(best_match(features, rest, key, vector, block_rows, itself))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(vectors), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(x) @ centres.T, -1, 1))
+
+
 def heat(scored: DataFrame, value: str = "similarity", key: str = "vec_id") -> DataFrame:
     """Similarities as heat: the values at ranks 2 % and 10 % from the top and 50 % set the scale; below the middle one heat fades by 0.9."""
     placed = numbered(scored, F.desc(value), F.col(key))

@@ -104,6 +104,14 @@ def n14_best_match(spark, sf_dir):
     return rounded(features.best_match(rows, rows.filter("vec_id % 20 = 0"), itself=False), "similarity")
 
 
+@query(over(f"""-- {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, other) AS k FROM c WHERE other <> query)
+SELECT query, other, {r6('similarity')} FROM r WHERE k = 1""", "features"))
+def x_pruned_match(spark, sf_dir):
+    """Every row against all rows but itself, by groups of which most are not looked at."""
+    rows = _features(spark, sf_dir)
+    return rounded(features.pruned_match(rows, rows, itself=False), "similarity")
+
+
 @query(over(f"""-- {_COS}, s AS (SELECT other AS vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, other) - 1 AS r, count(*) OVER () AS n FROM c WHERE query = (SELECT min(vec_id) FROM features)),
 m AS (SELECT max(similarity) FILTER (r = floor(n * 0.02::DOUBLE)) AS hi, max(similarity) FILTER (r = floor(n * 0.1::DOUBLE)) AS mid, max(similarity) FILTER (r = floor(n * 0.5::DOUBLE)) AS lo FROM s)
 SELECT vec_id, {r6('CASE WHEN similarity >= mid THEN 1 / (1 + exp(-(similarity - mid) / (hi - mid))) ELSE 0.9::DOUBLE / (1 + exp(-(similarity - mid) / (mid - lo))) END AS heat')} FROM s, m""", "features"))
