@@ -137,17 +137,20 @@ def serialize(
     The sizes of all orders' ranges come from one aggregate.
     """
     df = with_codes(cells, depth, orders)
-    if any(o.startswith("hilbert") for o in orders):
-        df = settled(df)  # these codes are long expressions, which each order's join would work out again
     codes = {o: "code_" + o.replace("-", "_") for o in orders}
-    sizes, crowded = _ranges(df, codes, 3 * depth, crowd)
-    for order, code in codes.items():
-        name = order.replace("-", "_")
-        df = _in_range(df, order, code, crowded, 3 * depth)
-        before = sizes.filter(F.col("_order") == order).select(SCENE, "_range", "_before")
-        df = df.join(before, [SCENE, "_range"])
-        within = F.row_number().over(W.partitionBy(SCENE, "_range").orderBy(code, key))
-        df = df.withColumn(f"place_{name}", (F.col("_before") + within - 1).cast("long")).drop("_range", "_before")
+    if cells.groupBy(SCENE).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).isEmpty():  # a scene is a range: one shuffle serves all orders
+        for order, code in codes.items():
+            place = F.row_number().over(W.partitionBy(SCENE).orderBy(code, key)) - 1
+            df = df.withColumn(f"place_{order.replace('-', '_')}", place.cast("long"))
+    else:
+        df = settled(df)  # codes are long expressions, which each order's join would work out again
+        sizes, crowded = _ranges(df, codes, 3 * depth, crowd)
+        for order, code in codes.items():
+            df = _in_range(df, order, code, crowded, 3 * depth)
+            before = sizes.filter(F.col("_order") == order).select(SCENE, "_range", "_before")
+            df = df.join(before, [SCENE, "_range"])
+            within = F.row_number().over(W.partitionBy(SCENE, "_range").orderBy(code, key))
+            df = df.withColumn(f"place_{order.replace('-', '_')}", (F.col("_before") + within - 1).cast("long")).drop("_range", "_before")
     if shuffle is None:
         return df
     drawn, out = shuffled(orders, shuffle), [c for c in cells.columns]
