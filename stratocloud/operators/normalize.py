@@ -6,14 +6,18 @@ no data. What a round needs again is written to the shared folder.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratocloud.functions.keyed import key_hash, normal, uniform
+from stratocloud.functions.keyed import drawn, key_hash, uniform
 from stratocloud.operators.neighbors import nearest, spacing_scale
 from stratocloud.operators.places import ranked, ranked_at_random
 from stratocloud.operators.scenes import SCENE, beside, has, settled
-from stratocloud.operators.voxel import with_cells
 
 XYZ = ("x", "y", "z")
 DRAWS = 10_000  # of a scene, numbered together
@@ -133,52 +137,79 @@ def iterate_spacing(
 BLUR = {-2: 1 / 9, -1: 2 / 9, 0: 3 / 9, 1: 2 / 9, 2: 1 / 9}
 
 
-def _noise_field(cells: DataFrame, seed: int, name: str) -> DataFrame:
-    """(scene_id, gx, gy, gz, ex, ey, ez): blurred noise at the corners of the occupied ``cells``.
+BLOCK = 8  # cells in each direction that are moved together
 
-    Each node's noise is drawn once and blurred axis by axis; beyond the grid (one node before the least cell to three behind the
-    largest) noise is 0.
-    """
-    place = [SCENE, *(f"g{c}" for c in XYZ)]
-    extent = cells.groupBy(SCENE).agg(*(F.max(f"g{c}").alias(f"_m{c}") for c in XYZ))
-    nodes = cells.select(*place).distinct()
-    for c in XYZ:  # the corners of a cell and two nodes on each side of them
-        nodes = nodes.withColumn("_d", F.explode(F.array(*map(F.lit, range(-2, 4))))).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_d")).drop("_d").distinct()
-    inside = F.lit(True)
-    for c in XYZ:
-        inside = inside & (F.col(f"g{c}") >= -1) & (F.col(f"g{c}") <= F.col(f"_m{c}") + 2)
-    field = nodes.join(extent, SCENE).filter(inside)
-    field = field.select(*place, *(normal(seed, f"{name}/{c}", *map(F.col, place)).alias(f"e{c}") for c in XYZ))
-    for c in XYZ:
-        step = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in BLUR.items())))
-        spread = field.withColumn("_s", step).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_s.d"))
-        field = spread.groupBy(*place).agg(*(F.sum(F.col("_s.w") * F.col(f"e{v}")).alias(f"e{v}") for v in XYZ))
+
+def _noise(scene: object, low: np.ndarray, high: np.ndarray, most: np.ndarray, seed: int, name: str) -> np.ndarray:
+    """Blurred noise at the nodes from ``low`` to ``high``, as [x, y, z, direction]. Beyond the grid (one node before the least cell to two behind the
+    corners of the largest, ``most``) noise is 0."""
+    first, last = np.maximum(low - 2, -1), np.minimum(high + 2, most + 2)
+    field = np.zeros((*(high - low + 5), 3))
+    axes = [range(f, t + 1) for f, t in zip(first, last)]
+    nodes = [b"%d:%d:%d" % (x, y, z) for x in axes[0] for y in axes[1] for z in axes[2]]
+    u, v = (np.stack([drawn(seed, f"{name}/{c}/{w}", scene, nodes) for c in XYZ], axis=1).reshape(*map(len, axes), 3) for w in "uv")
+    inner = tuple(slice(f - o + 2, t - o + 3) for f, t, o in zip(first, last, low))
+    field[inner] = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * math.pi * v)
+    for axis in range(3):
+        n = field.shape[axis] - 4
+        field = sum(w * np.take(field, range(2 - d, 2 - d + n), axis) for d, w in BLUR.items())
     return field
 
 
+def _shifts(scene: object, xyz: np.ndarray, low: np.ndarray, most: np.ndarray, size: float, seed: int, name: str) -> np.ndarray:
+    """How the noise moves points of one block: by the eight corners of a point's cell, each by how near it is."""
+    at = (xyz - low) / size
+    cell = np.floor(at).astype(np.int64)
+    share, least = at - cell, cell.min(axis=0)
+    field = _noise(scene, least, cell.max(axis=0) + 1, most, seed, name)
+    out = np.zeros_like(xyz)
+    for corner in np.ndindex(2, 2, 2):
+        w = np.where(np.array(corner) == 1, share, 1 - share).prod(axis=1)
+        out += w[:, None] * field[tuple((cell - least + corner).T)]
+    return out
+
+
 def elastic_distortion(points: DataFrame, steps=((0.2, 0.4), (0.8, 1.6)), p: float = 0.95, seed: int = 42) -> DataFrame:
     """Moves points by smoothed noise on a grid, for each (cell size, magnitude).
 
-    Noise is a function of the grid node, so nodes are made only where points are. A point moves by what the eight corners of its cell
-    say, each by how near it is.
+    Noise is a function of the grid node, so nothing but points is shuffled, once a step, by blocks of cells; a task draws the nodes around
+    those of its blocks that hold points. Blocks of very many points may be split, as any rows of a block can be moved by themselves.
     """
     df = points
-    on = uniform(seed, "elastic/p", F.col(SCENE)) < p
-    place = [SCENE, *(f"g{c}" for c in XYZ)]
     for k, (size, magnitude) in enumerate(steps):
-        cells = with_cells(df, size, "min")
-        field = _noise_field(cells, seed, f"elastic/{k}")
-        low = df.groupBy(SCENE).agg(*(F.min(c).alias(f"_lo{c}") for c in XYZ))
-        share = {f"_f{c}": (F.col(c) - F.col(f"_lo{c}")) / F.lit(size) - F.col(f"g{c}") for c in XYZ}
-        asked = cells.join(low, SCENE).withColumns(share).select(*place, "pid", *share)
-        for c in XYZ:
-            side = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), w.alias("w")) for i, w in ((0, 1 - F.col(f"_f{c}")), (1, F.col(f"_f{c}"))))))
-            asked = asked.withColumn("_s", side).withColumns({f"_w{c}": F.col("_s.w"), f"g{c}": F.col(f"g{c}") + F.col("_s.i")}).drop("_s")
-        w = F.col("_wx") * F.col("_wy") * F.col("_wz")
-        moves = asked.join(field, place).groupBy(SCENE, "pid").agg(*(F.sum(w * F.col(f"e{c}")).alias(f"_m{c}") for c in XYZ))
-        moved = {c: F.when(on, F.col(c) + F.col(f"_m{c}") * magnitude).otherwise(F.col(c)) for c in XYZ}
-        df = df.join(moves, [SCENE, "pid"]).withColumns(moved).select(*points.columns)
-    return df
+        df = _distorted(df, size, magnitude, p, seed, f"elastic/{k}")
+    return df.select(*points.columns)
+
+
+def _distorted(points: DataFrame, size: float, magnitude: float, p: float, seed: int, name: str) -> DataFrame:
+    low, far, block = ([f"_{m}{c}" for c in XYZ] for m in ("lo", "far", "b"))
+    floor = lambda c, side: F.floor((F.col(c) - F.col(f"_lo{c}")) / F.lit(side))
+    box = points.groupBy(SCENE).agg(*(F.min(c).cast("double").alias(f"_lo{c}") for c in XYZ), *(F.max(c).cast("double").alias(f"_far{c}") for c in XYZ))
+    box = box.withColumns({f"_far{c}": F.floor((F.col(f"_far{c}") - F.col(f"_lo{c}")) / F.lit(size)) for c in XYZ})
+    rows = points.withColumns({c: F.col(c).cast("double") for c in XYZ}).join(box.withColumn("_on", uniform(seed, "elastic/p", F.col(SCENE)) < p), SCENE)
+    rows = rows.withColumns({b: floor(c, size * BLOCK) for b, c in zip(block, XYZ)})
+    rows = rows.hint("rebalance", SCENE, *block).sortWithinPartitions(SCENE, *block)
+    schema = rows.select(*points.columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = lambda names: np.stack([table[c].to_numpy() for c in names], axis=1)
+            xyz = held(XYZ).astype(float)
+            scenes = table[SCENE].combine_chunks().dictionary_encode()
+            names = scenes.dictionary.to_pylist()
+            known = np.isfinite(xyz).all(axis=1) & table["_on"].to_numpy(zero_copy_only=False).astype(bool)
+            rows = np.flatnonzero(known)
+            lows, most = held(low)[rows], held(far)[rows].astype(np.int64)
+            keys = np.column_stack([scenes.indices.to_numpy()[rows], held(block)[rows].astype(np.int64)])
+            ends = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for part in np.split(np.arange(len(rows)), ends) if len(rows) else ():
+                k = part[0]
+                xyz[rows[part]] += magnitude * _shifts(names[keys[k, 0]], xyz[rows[part]], lows[k], most[k], size, seed, name)
+            columns = [pa.array(xyz[:, XYZ.index(c)], from_pandas=True) if c in XYZ else batch.column(batch.schema.names.index(c)) for c in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _blended(made: DataFrame, points: DataFrame, first: DataFrame) -> DataFrame:
