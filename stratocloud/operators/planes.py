@@ -1,15 +1,17 @@
 """Planes: through three points, by least spread, by random triples, and which of them is a scene's floor.
 
-All candidate triples of all scenes are scored together: a scene's candidates are one array beside its points, and
-counts are summed in each task before they are shuffled.
+A scene of bounded size draws and scores its candidate triples in one group; of a larger one the candidates meet slices of its points.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratocloud.functions.keyed import uniform
+from stratocloud.functions.keyed import drawn, drawn_hashes, uniform
 from stratocloud.operators.affine import apply_z_up, z_up_rotation
 from stratocloud.operators.neighbors import plane_threshold, sampled_median_spacing
 from stratocloud.operators.places import ranked_at_random
@@ -19,7 +21,8 @@ XYZ = ("x", "y", "z")
 FLAT = 1e-8
 #: How much a plane's area, flatness and level weigh against one point of it.
 AREA, FLATNESS, LEVEL = 100.0, 1000.0, 500.0
-SLICES = 16  # of the points of a scene that candidate planes meet
+WHOLE = 50_000  # points of a scene that are one group
+PAIRS_AT_ONCE = 2_000_000  # of planes and points
 
 
 def plane_through(p: Column, q: Column, r: Column) -> Column:
@@ -58,13 +61,79 @@ def fit_planes(points: DataFrame, by: list[str] = [SCENE]) -> DataFrame:  # noqa
     return moments.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in by) + ", a double, b double, c double, d double, n bigint")
 
 
-def candidate_planes(points: DataFrame, n: int = 500, seed: int = 42, plane: int = 0, key: str = "pid") -> DataFrame:
+def candidate_planes(points: DataFrame, n: int = 500, seed: int = 42, plane: int = 0, key: str = "pid", whole: int = WHOLE) -> DataFrame:
     """(scene_id, candidate, a, b, c, d) of ``n`` random triples of different points of each scene; those on a line are left out.
 
     Points are numbered in a random order; each triple is three keyed draws of a number, the later ones from those still free.
-    Scenes of fewer than three points have none.
+    Scenes of fewer than three points have none. A scene of at most ``whole`` points is one group, whose draws are never rows.
     """
-    rows = ranked_at_random(points.select(SCENE, key, *XYZ), seed, "triple/order", key)
+    small, large, _ = _by_size(points.select(SCENE, F.col(key).cast("string").alias("pid"), *XYZ), whole)
+
+    def draw(group: pa.Table) -> pa.Table:
+        number, found = _drawn_planes(group, n, seed, plane)
+        return _planes_table(group, number, found)
+
+    schema = T.StructType([points.schema[SCENE], *T.StructType.fromDDL(_PLANE)])
+    found = small.groupBy(SCENE).applyInArrow(draw, schema)
+    return found if large is None else found.unionByName(_candidates_of_large(large, n, seed, plane))
+
+
+_PLANE = "candidate int, a double, b double, c double, d double"
+
+
+def _by_size(points: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Points of scenes of at most ``whole`` points, those of the others, and the others' sizes; None if there is none."""
+    sizes = settled(points.groupBy(SCENE).agg(F.count("*").alias("_n")).filter(F.col("_n") > whole))
+    if sizes.isEmpty():
+        return points, None, None
+    return points.join(sizes, SCENE, "left_anti"), points.join(sizes, SCENE, "left_semi"), sizes
+
+
+def _drawn_planes(group: pa.Table, n: int, seed: int, plane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and a, b, c, d of the candidates of a scene that fits in a group, as :func:`_candidates_of_large` draws them."""
+    size, scene = len(group), group[SCENE][0].as_py()
+    if size < 3:
+        return np.zeros(0, np.int32), np.zeros((0, 4))
+    ids = group["pid"].to_pylist()
+    order = np.argsort(drawn_hashes(seed, "triple/order", scene, [i.encode() for i in ids]), kind="stable")
+    u = [drawn(seed, f"triple/{plane}", scene, [b"%d:%d" % (c, k) for c in range(n)]) for k in range(3)]
+    one, two, three = (np.floor(u[k] * (size - k)).astype(np.int64) for k in range(3))
+    two = two + (two >= one)
+    three = three + (three >= np.minimum(one, two))
+    three = three + (three >= np.maximum(one, two))
+    xyz = _xyz(group)[order]
+    p, q, r = (xyz[k].T for k in (one, two, three))
+    u, v = q - p, r - p
+    normal = np.stack([u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]])
+    long = np.sqrt(normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2])
+    real = np.flatnonzero(long >= FLAT)
+    unit, p = normal[:, real] / long[real], p[:, real]
+    d = -(unit[0] * p[0] + unit[1] * p[1] + unit[2] * p[2])
+    return real.astype(np.int32), np.stack([*unit, d], axis=1)
+
+
+def _planes_table(group: pa.Table, number: np.ndarray, found: np.ndarray, **more: np.ndarray) -> pa.Table:
+    scenes = group[SCENE].combine_chunks().take(pa.array(np.zeros(len(number), np.int64)))
+    return pa.table({SCENE: scenes, "candidate": pa.array(number, pa.int32())} | {c: found[:, k] for k, c in enumerate("abcd")} | more)
+
+
+def _xyz(table: pa.Table) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in XYZ], axis=1).astype(float)
+
+
+def _inliers(found: np.ndarray, table: pa.Table) -> np.ndarray:
+    """How many of the points each plane has within their thresholds."""
+    a, b, c, d = found.T[:, :, None]
+    size, count, xyz, near = np.sqrt(a * a + b * b + c * c), np.zeros(len(found), np.int64), _xyz(table), table["_t"].to_numpy()
+    step = max(1, PAIRS_AT_ONCE // max(1, len(found)))
+    for k in range(0, len(xyz), step):
+        x, y, z = xyz[k : k + step].T[:, None, :]
+        count += np.count_nonzero(np.abs(a * x + b * y + c * z + d) / size < near[None, k : k + step], axis=1)
+    return count
+
+
+def _candidates_of_large(points: DataFrame, n: int, seed: int, plane: int) -> DataFrame:
+    rows = ranked_at_random(points, seed, "triple/order")
     draws = points.groupBy(SCENE).agg(F.count("*").alias("n")).filter("n >= 3").withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     u = [uniform(seed, f"triple/{plane}", F.col(SCENE), F.col("candidate"), F.lit(k)) for k in range(3)]
     draws = draws.withColumns({f"_u{k}": F.floor(u[k] * (F.col("n") - k)).cast("long") for k in range(3)})
@@ -80,23 +149,41 @@ def candidate_planes(points: DataFrame, n: int = 500, seed: int = 42, plane: int
     return triples.withColumn("_p", plane_through(F.col("p0"), F.col("p1"), F.col("p2"))).filter("_p IS NOT NULL").select(SCENE, "candidate", "_p.*")
 
 
-def best_plane(points: DataFrame, threshold: Column | float, n: int = 500, least: int = 50, seed: int = 42, plane: int = 0) -> DataFrame:
+def best_plane(
+    points: DataFrame, threshold: Column | float, n: int = 500, least: int = 50, seed: int = 42, plane: int = 0, fewest: int = 0, whole: int = WHOLE,
+) -> DataFrame:
     """(scene_id, candidate, a, b, c, d, inliers): the candidate with most points within the threshold, the first of equals.
 
-    A scene's candidates travel as one array (of at most ``n``), once for each slice of its points; a point meets them, and those that it lies
-    in are counted, in its own task, so what is shuffled is a count for each candidate and task. ``threshold`` may be a column of ``points``.
+    A scene of at most ``whole`` points is one group that draws its candidates and hands on its best. The points of a larger one are dealt into slices of about so
+    many, each of which meets the candidates and hands on a count for each. ``threshold`` may be a column of ``points``; scenes of under ``fewest`` points have none.
     """
-    points = points.withColumn("_t", F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold)
-    candidates = settled(candidate_planes(points, n, seed, plane))
-    slices = F.explode(F.array(*map(F.lit, range(SLICES)))).alias("_slice")
-    planes = candidates.groupBy(SCENE).agg(F.collect_list(F.struct("candidate", *"abcd")).alias("_p")).select(SCENE, "_p", slices)
-    rows = points.select(SCENE, *XYZ, "_t", F.pmod(F.xxhash64("pid"), F.lit(SLICES)).cast("int").alias("_slice")).join(planes, [SCENE, "_slice"])
-    met = rows.select(SCENE, *XYZ, "_t", F.explode("_p").alias("_p")).select(SCENE, *XYZ, "_t", "_p.*")  # in generated code; arrays' own functions aren't
-    inside = met.filter(plane_distance(*map(F.col, "abcd")) < F.col("_t"))
-    scored = inside.groupBy(SCENE, "candidate").agg(F.count("*").alias("inliers"))
-    best = F.min_by(F.struct("candidate", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b")
-    top = scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(best).select(SCENE, "_b.*")
-    return top.join(candidates, [SCENE, "candidate"]).select(SCENE, "candidate", *"abcd", "inliers")
+    near = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold
+    small, large, sizes = _by_size(points.select(SCENE, F.col("pid").cast("string").alias("pid"), *XYZ, near.alias("_t")), whole)
+
+    def best(group: pa.Table) -> pa.Table:
+        number, found = _drawn_planes(group, n, seed, plane) if len(group) >= fewest else (np.zeros(0, np.int32), np.zeros((0, 4)))
+        count = _inliers(found, group)
+        at = np.argmax(count)[None] if len(count) else np.zeros(0, np.int64)
+        at = at[count[at] >= least]
+        return _planes_table(group, number[at], found[at], inliers=count[at])
+
+    schema = T.StructType([points.schema[SCENE], *T.StructType.fromDDL(f"{_PLANE}, inliers bigint")])
+    top = small.groupBy(SCENE).applyInArrow(best, schema)
+    if large is None:
+        return top
+    sizes = sizes.filter(F.col("_n") >= fewest).select(SCENE, F.ceil(F.col("_n") / whole).cast("int").alias("_slices"))
+    candidates = settled(_candidates_of_large(large.drop("_t"), n, seed, plane))
+    planes = candidates.join(sizes, SCENE).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    rows = large.join(sizes, SCENE).withColumn("_slice", F.pmod(F.xxhash64("pid"), F.col("_slices")).cast("int")).drop("_slices")
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.stack([right[c].to_numpy() for c in "abcd"], axis=1)
+        return _planes_table(right, right["candidate"].to_numpy(), found, inliers=_inliers(found, left))
+
+    counted = rows.groupBy(SCENE, "_slice").cogroup(planes.groupBy(SCENE, "_slice")).applyInArrow(count, schema)
+    scored = counted.groupBy(SCENE, "candidate").agg(*(F.first(c).alias(c) for c in "abcd"), F.sum("inliers").alias("inliers"))
+    first = F.min_by(F.struct("candidate", *"abcd", "inliers"), F.struct(-F.col("inliers"), F.col("candidate"))).alias("_b")
+    return top.unionByName(scored.filter(F.col("inliers") >= least).groupBy(SCENE).agg(first).select(SCENE, "_b.*"))
 
 
 def detect_planes(
@@ -104,18 +191,18 @@ def detect_planes(
 ) -> tuple[DataFrame, DataFrame]:
     """(planes refitted to their points, points with ``plane``: -1 if in none). Planes are taken off one after the other; scenes with under ``stop`` points left are done.
 
-    ``threshold`` may be a column of ``points``.
+    ``threshold`` may be a column of ``points``. A plane found marks its points in one pass; points are not looked up by their ids.
     """
-    left, inside, fits = points, None, None
+    state, fits = settled(points.withColumn("plane", F.lit(-1))), None
+    free = F.col("plane") == -1
     for k in range(planes):
-        many = settled(beside(left, F.count("*").alias("_m")).filter(F.col("_m") >= stop).drop("_m"))
-        best = best_plane(many, threshold, n, least, seed, k).select(SCENE, *(F.col(c).alias(f"_{c}") for c in "abcd"))
-        near = settled(many.join(best, SCENE).filter(plane_distance(*(F.col(f"_{c}") for c in "abcd")) < threshold).select(*points.columns).withColumn("plane", F.lit(k)))
-        fit = fit_planes(near).withColumn("plane", F.lit(k))
+        best = settled(best_plane(state.filter(free), threshold, n, least, seed, k, stop).select(SCENE, *(F.col(c).alias(f"_{c}") for c in "abcd")))
+        near = plane_distance(*(F.col(f"_{c}") for c in "abcd")) < threshold
+        state = state.join(best, SCENE, "left").withColumn("plane", F.when(free & near, k).otherwise(F.col("plane")))
+        state = settled(state.select(*points.columns, "plane"))
+        fit = fit_planes(state.filter(F.col("plane") == k)).withColumn("plane", F.lit(k))
         fits = fit if fits is None else fits.unionByName(fit)
-        inside = near if inside is None else inside.unionByName(near)
-        left = settled(left.join(near.select(SCENE, "pid"), [SCENE, "pid"], "left_anti"))
-    return fits, inside.unionByName(left.withColumn("plane", F.lit(-1)))
+    return fits, state
 
 
 def ground_scores(members: DataFrame, planes: DataFrame) -> DataFrame:
@@ -161,7 +248,7 @@ def align_z_up(points: DataFrame, cell: float | None = None, threshold: float |
     own = F.struct(*XYZ)
     on_floor = plane_distance(*map(F.col, "abcd")) < F.col("threshold")
     rows = points.select(SCENE, "pid", *XYZ).join(best, SCENE).join(near(points, seed + 1), SCENE).withColumn("_on", on_floor)
-    rows = settled(rows.select(SCENE, "pid", "_on", F.signum(side([F.col(c) for c in XYZ])).alias("_side"), own.alias("_p")))
+    rows = settled(rows.select(SCENE, "_on", F.signum(side([F.col(c) for c in XYZ])).alias("_side"), own.alias("_p")))
     means_of = [F.avg(F.when(which, F.col(f"_p.{c}"))).alias(f"{m}{c}") for m, which in (("m", F.lit(True)), ("f", F.col("_on"))) for c in XYZ]
     votes = rows.groupBy(SCENE).agg(F.sum("_side").alias("_up"), *means_of).join(best, SCENE)
     lift = sum((F.col(v) * (F.col(f"m{c}") - F.col(f"f{c}")) for v, c in zip("bc", "yz")), F.col("a") * (F.col("mx") - F.col("fx")))
@@ -174,7 +261,6 @@ def align_z_up(points: DataFrame, cell: float | None = None, threshold: float |
     middle = loose.groupBy(SCENE).agg(*(F.avg(c).alias(f"t{c}") for c in XYZ)).join(flat, SCENE, "left")
     middle = middle.withColumns({v: F.coalesce(F.col(v), F.lit(1.0 if v == "c" else 0.0)) for v in "abc"})
     columns = [SCENE, *"abc", *(f"t{c}" for c in XYZ)]
-    turn = z_up_rotation(floors.withColumns(onto).select(*columns).unionByName(middle.select(*columns)))
-    turned = settled(apply_z_up(points, turn))
-    lowest = turned.join(rows.filter("_on").select(SCENE, "pid"), [SCENE, "pid"], "left_semi").groupBy(SCENE).agg(F.min("z").alias("_lo"))
-    return turned.join(lowest, SCENE, "left").withColumn("z", F.col("z") - F.coalesce("_lo", F.lit(0.0))).select(*points.columns)
+    turn = settled(z_up_rotation(floors.withColumns(onto).select(*columns).unionByName(middle.select(*columns))))
+    lowest = apply_z_up(rows.filter("_on").select(SCENE, "_p.*"), turn).groupBy(SCENE).agg(F.min("z").alias("_lo"))
+    return apply_z_up(points, turn).join(lowest, SCENE, "left").withColumn("z", F.col("z") - F.coalesce("_lo", F.lit(0.0))).select(*points.columns)

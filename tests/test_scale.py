@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratocloud.operators import normalize
+from stratocloud.operators import normalize, planes
 
 
 def _cloud(spark, xyz, scene=1):
@@ -27,3 +27,13 @@ def test_points_without_coordinates_stay(spark):
     df = _cloud(spark, [[0, 0, 0], [1, 1, 1]]).unionByName(_cloud(spark, [[5, 5, 5]]).withColumns({"pid": F.lit("none"), "x": F.lit(None).cast("double")}))
     moved = {r["pid"]: r for r in normalize.elastic_distortion(df, ((0.5, 0.2),), p=1.0).collect()}
     assert len(moved) == 3 and moved["none"]["x"] is None and moved["none"]["y"] == 5
+
+
+def test_planes_of_whole_and_of_cut_scenes_are_the_same(spark):
+    rng = np.random.default_rng(2)
+    flat = np.c_[rng.uniform(0, 4, (300, 2)), rng.normal(0, 0.004, 300)]
+    df = _cloud(spark, np.r_[flat, rng.uniform(0, 4, (100, 3))]).unionByName(_cloud(spark, rng.uniform(0, 1, (40, 3)), 2)).unionByName(_cloud(spark, [[1, 2, 3]] * 2, 3))
+    key = lambda d: sorted(tuple(round(v, 9) for v in r) for r in d.collect())
+    for operator in (lambda **more: planes.candidate_planes(df, 60, **more), lambda **more: planes.best_plane(df, 0.01, 60, 5, **more)):
+        assert len(key(operator())) > 1 and key(operator()) == key(operator(whole=30)) == key(operator(whole=150))
+    assert "Generate" not in _plan(planes.best_plane(df, 0.01)) and "Join" not in _plan(planes.best_plane(df, 0.01))  # small scenes: points go to their group
