@@ -35,6 +35,9 @@ CROWDED = 4  # times LEAF: a leaf beyond that holds many points at one place
 BLOCK = 192
 SLACK = 1e-9  # of a distance: bounds are compared a little generously, distances exactly
 
+#: What can be told of a point's nearest within its leaf: the sum and number of distances; moments of their places and its own.
+SUMMARIES = {"sums": ("sum_d", "n"), "moments": ("xx", "xy", "xz", "yy", "yz", "zz")}
+
 _TREE = "axis array<int>, value array<double>, left array<int>, right array<int>"
 
 
@@ -329,14 +332,16 @@ def _unpacked(right: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Search:
     """What is looked for in each leaf: the k nearest, or with ``radius`` the number within it."""
 
-    def __init__(self, scene: T.DataType, pid: T.DataType, k: int | None, radius: float | None):
-        self.k, self.radius = k, radius
+    def __init__(self, scene: T.DataType, pid: T.DataType, k: int | None, radius: float | None, summary: str | None = None):
+        self.k, self.radius, self.summary = k, radius, summary
         base = T.StructType().add(SCENE, scene).add("pid", pid)
         for c in XYZ:
             base.add(c, T.DoubleType())
         base.add("leaf", T.IntegerType())
         if k:
             base.add("others", T.ArrayType(pid)).add("ds", T.ArrayType(T.DoubleType()))
+            for name in SUMMARIES.get(summary, ()):
+                base.add(name, T.DoubleType())
         else:
             base.add("found", T.LongType())
         self.found = base.add("reach", T.DoubleType()).add("open", T.BooleanType())
@@ -350,21 +355,40 @@ class Search:
         columns = {c: queries[c] for c in (SCENE, "pid", *XYZ, "leaf")}
         if self.k:
             d, at = knn(points, xyz, own, self.k, within)
-            n = (at >= 0).sum(axis=1)
-            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            hit = at >= 0
-            reach = d[:, -1]
+            hit, reach = at >= 0, d[:, -1]
+            if self.summary:
+                columns |= self._summaries(points, xyz, d, at)
+                if within is None:  # of the others all that is wanted is told
+                    hit = hit & self._open(queries, reach)[:, None]
+            ends = pa.array(np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32))
             columns["others"] = pa.ListArray.from_arrays(ends, ids.take(pa.array(at[hit])))
             columns["ds"] = pa.ListArray.from_arrays(ends, pa.array(d[hit]))
         else:
             reach = np.full(len(xyz), self.radius)
             count = count_within(points, weights, xyz, self.radius)
             columns["found"] = pa.array(count)
-        edge = pc.fill_null(queries["edge"], np.inf).to_numpy() if "edge" in queries.column_names else np.full(len(xyz), np.inf)
         columns["reach"] = pa.array(reach)
-        columns["open"] = pa.array((reach * (1 + SLACK) >= edge) & np.isfinite(edge))
+        columns["open"] = pa.array(self._open(queries, reach))
         return pa.table(columns)
 
+    def _open(self, queries: pa.Table, reach: np.ndarray) -> np.ndarray:
+        edge = pc.fill_null(queries["edge"], np.inf).to_numpy() if "edge" in queries.column_names else np.full(len(reach), np.inf)
+        return (reach * (1 + SLACK) >= edge) & np.isfinite(edge)
+
+    def _summaries(self, points: np.ndarray, xyz: np.ndarray, d: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        hit = at >= 0
+        if self.summary == "sums":
+            return {"sum_d": np.where(hit, d, 0).sum(axis=1), "n": hit.sum(axis=1).astype(float)}
+        out, step = np.zeros((len(SUMMARIES["moments"]), len(xyz))), 16 * BLOCK
+        for k in range(0, len(xyz) if len(points) else 0, step):
+            mask = np.pad(hit[k : k + step], ((0, 0), (0, 1)), constant_values=True)[..., None]  # the point itself is one of them, at 0
+            away = np.pad(points[at[k : k + step]] - xyz[k : k + step, None], ((0, 0), (0, 1), (0, 0)))
+            n = mask.sum(axis=1)
+            away = np.where(mask, away - (np.where(mask, away, 0).sum(axis=1) / n)[:, None], 0)
+            for j, ab in enumerate(SUMMARIES["moments"]):
+                out[j, k : k + step] = (away[..., "xyz".index(ab[0])] * away[..., "xyz".index(ab[1])]).sum(axis=1) / n[:, 0]
+        return dict(zip(SUMMARIES["moments"], out))
+
     def whole_leaf(self, group: pa.Table) -> pa.Table:
         """A leaf's points ask one another; the packed leaf is the last row, if other leaves may ask."""
         ids, xyz, table = _sorted_by_id(group)
@@ -432,7 +456,8 @@ def _first_answers(search: Search, points: DataFrame, queries: DataFrame | None,
             splits.by_place = True
             dealt = splits.deal(few)
     if queries is None:
-        all_ = settled(dealt.groupBy(SCENE, "leaf").applyInArrow(lambda leaf: search.whole_leaf(leaf), search.both))
+        all_ = dealt.groupBy(SCENE, "leaf").applyInArrow(lambda leaf: search.whole_leaf(leaf), search.both)
+        all_ = all_ if splits.trees is None else settled(all_)  # without trees it is read once
         packed = all_.filter("at IS NOT NULL").select(*search.packed.names) if splits.trees is not None else None
         return all_.filter("at IS NULL").select(*search.found.names), packed, splits
     packed = settled(dealt.groupBy(SCENE, "leaf").applyInArrow(lambda leaf: search.pack(leaf), search.packed))
@@ -446,6 +471,14 @@ def _further(search: Search, found: DataFrame, packed: DataFrame, splits: Splits
     return _ask(search, settled(asks), packed, splits.leaf)
 
 
+def _merged(search: Search, found: DataFrame, packed: DataFrame, splits: Splits, k: int) -> DataFrame:
+    """(scene_id, pid, other, d, rank) of the queries that ask several leaves."""
+    more = found.filter("open").select(SCENE, "pid", "others", "ds").unionByName(_further(search, found, packed, splits).select(SCENE, "pid", "others", "ds"))
+    more = more.select(SCENE, "pid", F.explode(F.arrays_zip("others", "ds")).alias("x")).select(SCENE, "pid", F.col("x.others").alias("other"), F.col("x.ds").alias("d"))
+    order = W.partitionBy(SCENE, "pid").orderBy("d", "other")
+    return settled(more.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+
+
 def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf: int = LEAF, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(scene_id, pid, other, d, rank) of the k points nearest to each point, or to each of ``queries``, itself left out; ties go to the smaller id.
 
@@ -460,11 +493,26 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, leaf: i
     done = done.select(SCENE, "pid", listed).select(*out)
     if packed is None:
         return done
-    more = found.filter("open").select(SCENE, "pid", "others", "ds").unionByName(_further(search, found, packed, splits).select(SCENE, "pid", "others", "ds"))
-    more = more.select(SCENE, "pid", listed).select(*out).drop("rank")
-    order = W.partitionBy(SCENE, "pid").orderBy("d", "other")
-    more = settled(more.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-    return done.unionByName(more)
+    return done.unionByName(_merged(search, found, packed, splits, k))
+
+
+def summaries(points: DataFrame, k: int, summary: str, leaf: int = LEAF, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """(scene_id, pid, the columns of ``SUMMARIES``) of the k nearest of each point. They are worked out where a leaf is searched; only of points that ask several
+    leaves are neighbours listed. If no scene has several leaves, nothing is kept: it is searched again each time the result is read."""
+    points = _finite(points.select(SCENE, "pid", *XYZ))
+    search = Search(points.schema[SCENE].dataType, points.schema["pid"].dataType, k, None, summary)
+    found, packed, splits = _first_answers(search, points, None, k, leaf, broadcast_nodes)
+    out = [SCENE, "pid", *SUMMARIES[summary]]
+    if packed is None:
+        return found.select(*out)
+    listed = _merged(search, found, packed, splits, k)
+    if summary == "sums":
+        more = listed.groupBy(SCENE, "pid").agg(F.sum("d").alias("sum_d"), F.count("*").cast("double").alias("n"))
+    else:
+        near = listed.join(points.withColumnRenamed("pid", "other"), [SCENE, "other"]).select(SCENE, "pid", *XYZ)
+        near = near.unionByName(found.filter("open").select(SCENE, "pid", *XYZ))
+        more = near.groupBy(SCENE, "pid").agg(*(F.covar_pop(*ab).alias(ab) for ab in SUMMARIES["moments"]))
+    return found.filter("NOT open").select(*out).unionByName(more)
 
 
 def counts_within(points: DataFrame, radius: float, leaf: int = LEAF, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:

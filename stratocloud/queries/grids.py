@@ -198,7 +198,7 @@ def n6_radius_outliers(spark, sf_dir):
 @query(over(f"""-- {_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, pid ORDER BY d, other) AS k FROM p), m AS (SELECT scene_id, pid, sum(d) / (count(*) + 1) AS mean_d FROM k WHERE k <= 7 GROUP BY ALL),
 s AS (SELECT scene_id, avg(mean_d) AS m, stddev_samp(mean_d) AS sd FROM m GROUP BY ALL) SELECT {ID}, {r6('mean_d')}, mean_d <= m + 2::DOUBLE * sd AS stays FROM m JOIN s USING (scene_id)"""))
 def n7_statistical_outliers(spark, sf_dir):
-    return rounded(neighbors.statistical_outliers(points(spark, sf_dir), 8, 2.0).select("scene_id", "pid", "mean_d", "stays"), "mean_d")
+    return rounded(neighbors.statistical_outliers(points(spark, sf_dir).select("scene_id", "pid", *XYZ), 8, 2.0).select("scene_id", "pid", "mean_d", "stays"), "mean_d")
 
 
 @query(over(f"{_RADIUS} SELECT scene_id, count(*) AS n, count(*) FILTER (NOT stays) AS removed, {r6('count(*) FILTER (NOT stays) / count(*)::DOUBLE AS ratio')}, count(*) FILTER (NOT stays) / count(*)::DOUBLE > 0.01 AS over_cap FROM m GROUP BY scene_id"))
@@ -209,12 +209,12 @@ def n8_removal_report(spark, sf_dir):
 @query()
 def n9_n10_remove_outliers(spark, sf_dir):
     """Both passes over all scenes, of any size: the cell joins need no second plan for large ones."""
-    return neighbors.remove_outliers(points(spark, sf_dir), 2.0, 1, 4, 2.0)[0].select("scene_id", "pid")
+    return neighbors.remove_outliers(points(spark, sf_dir).select("scene_id", "pid", *XYZ), 2.0, 1, 4, 2.0)[0].select("scene_id", "pid")
 
 
 @query()
 def n11_normals(spark, sf_dir):
-    df = neighbors.normals_by_neighbours(points(spark, sf_dir), 8)
+    df = neighbors.normals_by_neighbours(points(spark, sf_dir).select("scene_id", "pid", *XYZ), 8)
     return df.select("scene_id", "pid", "nx", "ny", "nz")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratocloud.operators import normalize, planes
+from stratocloud.operators import neighbors, normalize, planes, splits
 
 
 def _cloud(spark, xyz, scene=1):
@@ -37,3 +37,19 @@ def test_planes_of_whole_and_of_cut_scenes_are_the_same(spark):
     for operator in (lambda **more: planes.candidate_planes(df, 60, **more), lambda **more: planes.best_plane(df, 0.01, 60, 5, **more)):
         assert len(key(operator())) > 1 and key(operator()) == key(operator(whole=30)) == key(operator(whole=150))
     assert "Generate" not in _plan(planes.best_plane(df, 0.01)) and "Join" not in _plan(planes.best_plane(df, 0.01))  # small scenes: points go to their group
+
+
+def test_sums_and_moments_of_neighbours(spark):
+    rng = np.random.default_rng(3)
+    df = _cloud(spark, np.r_[rng.normal(0, 1, (400, 3)), np.zeros((5, 3))]).unionByName(_cloud(spark, [[1, 2, 3]], 2)).unionByName(_cloud(spark, [[1, 2, 3], [2, 2, 5]], 3))
+    key = lambda d: sorted((r[0], r[1], *(round(v, 9) + 0.0 for v in r[2:])) for r in d.collect())
+    near = neighbors.brute_nearest(df, 6)
+    sums = near.groupBy("scene_id", "pid").agg(F.sum("d"), F.count("*").cast("double"))
+    places = near.join(df.withColumnRenamed("pid", "other"), ["scene_id", "other"]).select(*df.columns).unionByName(df)
+    moments = places.groupBy("scene_id", "pid").agg(*(F.covar_pop(*ab) for ab in splits.SUMMARIES["moments"]))
+    alone = [(2, "p00000", 0.0, 0.0)]
+    for leaf in (50, 50_000):
+        assert key(splits.summaries(df, 6, "sums", leaf)) == sorted(key(sums) + alone)
+        assert key(splits.summaries(df, 6, "moments", leaf)) == key(moments)
+    normals = neighbors.normals_by_neighbours(df, 8)
+    assert "Generate" not in _plan(normals) and normals.count() == 408  # a row a point, none a neighbour
