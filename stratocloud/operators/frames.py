@@ -192,11 +192,16 @@ def clip_name(number: Column, label: Column) -> Column:
     return F.format_string("scene-%03d_%s", number.cast("int"), F.regexp_replace(label, r"[^0-9A-Za-z_-]", "_"))
 
 
+def _printed(value: Column, digits: int) -> Column:
+    """As C's printf writes it: the number's exact binary value is rounded. ``format_string`` rounds its shortest decimal form instead, so 0.0000005, which is a
+    little less as a binary number, would become 0.000001."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def probability_rows(frames: DataFrame, stride: int = 1) -> DataFrame:
     """The debugging table of probabilities: sample, frame, time and probability as text."""
     df = decimate(frames, 0, stride)
     return df.select(
         VIDEO, F.floor(F.col(AT) / F.lit(stride)).alias("sample_index"), AT,
-        F.format_string("%.3f", F.col(AT) / frame_rate(F.col("fps"))).alias("time_sec"),
-        F.format_string("%.6f", F.col("prob_inside")).alias("prob_inside"),
+        _printed(F.col(AT) / frame_rate(F.col("fps")), 3).alias("time_sec"), _printed(F.col("prob_inside"), 6).alias("prob_inside"),
     )

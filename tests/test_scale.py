@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratocloud.operators import neighbors, normalize, planes, splits
+from stratocloud.operators import frames, neighbors, normalize, planes, splits
 
 
 def _cloud(spark, xyz, scene=1):
@@ -53,3 +53,10 @@ def test_sums_and_moments_of_neighbours(spark):
         assert key(splits.summaries(df, 6, "moments", leaf)) == key(moments)
     normals = neighbors.normals_by_neighbours(df, 8)
     assert "Generate" not in _plan(normals) and normals.count() == 408  # a row a point, none a neighbour
+
+
+def test_probabilities_are_printed_as_c_does(spark):
+    values = [0.0000005, 0.0000015, 0.1234565, 0.5, 0.0078125, 0.9999995, 2.0] + [k / 1000 + 0.0000005 for k in range(1, 400, 7)]
+    df = spark.createDataFrame([(1, k, v, 8.0) for k, v in enumerate(values)], "video_id int, frame_index bigint, prob_inside double, fps double")
+    for r in frames.probability_rows(df).collect():
+        assert r["prob_inside"] == f"{values[r['frame_index']]:.6f}" and r["time_sec"] == f"{r['frame_index'] / 8:.3f}"
