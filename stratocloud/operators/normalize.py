@@ -220,7 +220,7 @@ def _blended(made: DataFrame, points: DataFrame, first: DataFrame) -> DataFrame:
     if not groups:
         return made
     near = points.select(SCENE, F.col("pid").alias("_first"), *(F.col(c).alias(f"_f{c}") for g in groups for c in g))
-    made = made.join(first, [SCENE, "pid"]).join(near, [SCENE, "_first"])
+    made = made.join(first.hint("merge"), [SCENE, "pid"]).join(near.hint("merge"), [SCENE, "_first"])
     mixed = {c: F.col(c) * (1 - F.col("_t")) + F.col(f"_f{c}") * F.col("_t") for g in groups for c in g}
     if colours in groups:
         made = made.withColumns({c: mixed[c].cast(points.schema[c].dataType) for c in colours})
@@ -246,13 +246,14 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     draws = scenes.withColumn(
         "_j", F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col("_need") - 1)),
     ).withColumn("_r", (F.col("_j") % F.col("_n") + 1).cast("long"))
-    tried = draws.join(rows.select(SCENE, "pid", "_r"), [SCENE, "_r"]).join(far, [SCENE, "pid"])
+    # tables of points may look small as compressed files; they are merged, not sent through the driver
+    tried = draws.join(rows.select(SCENE, "pid", "_r").hint("merge"), [SCENE, "_r"]).join(far.hint("merge"), [SCENE, "pid"])
     chosen = tried.groupBy(SCENE, "pid", "_j", "_n", "_need").agg(F.min_by("other", key_hash(seed, "up/other", F.col("pid"), F.col("other"), F.col("_j"))).alias("other"))
     chosen = ranked(settled(chosen), ["_j"], F.floor(F.col("_j") / DRAWS), name="_k", most=F.col("_need")).filter(F.col("_k") <= F.col("_need"))
     chosen = settled(chosen.select(SCENE, "pid", "other", "_j", F.floor(F.col("_j") / F.col("_n")).alias("_again")))
     b = points.select(SCENE, F.col("pid").alias("other"), *(F.col(c).alias(f"_b{c}") for c in XYZ))
     t = uniform(seed, "up/t", F.col(SCENE), F.col("pid"), F.col("_j"), low=0.3, high=0.7)
-    made = points.join(chosen, [SCENE, "pid"]).join(b, [SCENE, "other"]).withColumn("_t", t)
+    made = points.join(chosen.hint("merge"), [SCENE, "pid"]).join(b.hint("merge"), [SCENE, "other"]).withColumn("_t", t)
     made = made.withColumns({c: F.col(c) + F.col("_t") * (F.col(f"_b{c}") - F.col(c)) for c in XYZ})
     made = _blended(made, points, met.filter("rank = 1").select(SCENE, "pid", F.col("other").alias("_first")))
     made = made.withColumn("pid", F.concat("pid", F.lit("+"), "other", F.when(F.col("_again") > 0, F.concat(F.lit("+"), "_again")).otherwise("")))
@@ -262,6 +263,6 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     copies = short.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_short"))).withColumn(
         "_r", (F.floor(uniform(seed, "up/copy", F.col(SCENE), F.col("_i")) * F.col("_n")) + 1).cast("long"),
     )
-    copies = copies.join(rows.select(SCENE, "_r", "pid"), [SCENE, "_r"]).select(SCENE, "pid", "_i").join(points, [SCENE, "pid"]).withColumn("pid", F.concat("pid", F.lit("#"), "_i"))
+    copies = copies.join(rows.select(SCENE, "_r", "pid").hint("merge"), [SCENE, "_r"]).select(SCENE, "pid", "_i").join(points.hint("merge"), [SCENE, "pid"]).withColumn("pid", F.concat("pid", F.lit("#"), "_i"))
     added = made.select(*points.columns).unionByName(copies.select(*points.columns)).withColumn("made", F.lit(True))
     return points.withColumn("made", F.lit(False)).unionByName(added)

@@ -60,3 +60,8 @@ def test_probabilities_are_printed_as_c_does(spark):
     df = spark.createDataFrame([(1, k, v, 8.0) for k, v in enumerate(values)], "video_id int, frame_index bigint, prob_inside double, fps double")
     for r in frames.probability_rows(df).collect():
         assert r["prob_inside"] == f"{values[r['frame_index']]:.6f}" and r["time_sec"] == f"{r['frame_index'] / 8:.3f}"
+
+
+def test_added_points_are_merged_not_broadcast(spark):
+    made = normalize.gentle_upsample(_cloud(spark, np.random.default_rng(4).uniform(0, 1, (60, 3))), 0.2, 4)
+    assert _plan(made).count("strategy=merge") >= 4
