@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratocloud.functions.keyed import drawn, key_hash, uniform
+from stratocloud.functions.keyed import drawn, drawn_hashes, key_hash, uniform
 from stratocloud.operators.neighbors import nearest, spacing_scale
 from stratocloud.operators.places import ranked, ranked_at_random
 from stratocloud.operators.scenes import SCENE, beside, has, settled
+from stratocloud.operators.splits import knn
 
 XYZ = ("x", "y", "z")
+FALLBACK = 0.01  # the spacing of a scene of one point
+WHOLE = 50_000  # points of a scene that is thinned in one group
 DRAWS = 10_000  # of a scene, numbered together
 
 
@@ -51,8 +54,81 @@ def _sizes(state: DataFrame, target: float, mark: str) -> DataFrame:
     return state.groupBy(SCENE).agg(F.count("*").alias(f"n{mark}"), F.first(F.abs(F.col("spacing") - target) / F.lit(target)).alias(f"error{mark}"))
 
 
+def _mean_spacing(xyz: np.ndarray) -> float:
+    d = knn(xyz, xyz, np.arange(len(xyz)), 1)[0][:, 0]
+    return float(d.mean()) if len(d) > 1 else FALLBACK
+
+
+def _picked(scene: object, ids: list[bytes], xyz: np.ndarray, size: float, seed: int, name: str) -> np.ndarray:
+    """The rows that ``_thin`` picks."""
+    cell = np.floor((xyz - xyz.min(axis=0)) / size).astype(np.int64)
+    order = np.lexsort((drawn_hashes(seed, name, scene, ids), *cell.T))
+    first = np.r_[True, np.any(cell[order[1:]] != cell[order[:-1]], axis=1)]
+    return order[first]
+
+
+def _thinned(scene: object, ids: list[bytes], xyz: np.ndarray, target: float, threshold: float, rounds: int, seed: int) -> tuple[np.ndarray, float, float]:
+    """Rows of one scene that stay, and its spacing before and after."""
+    off = lambda spacing: abs(spacing - target) / target
+    named = lambda rows: [ids[r] for r in rows]
+    states = [(np.arange(len(xyz)), _mean_spacing(xyz))]
+    for k in range(rounds):
+        rows, spacing = states[-1]
+        factor = (1.0 / max(1.0 + ((spacing / target) ** 3 - 1) * 0.2, 0.5)) ** (1 / 3)
+        if not (off(spacing) > threshold and spacing < target and factor >= 1.02):
+            break
+        rows = rows[_picked(scene, named(rows), xyz[rows], spacing * factor, seed, f"spacing/{k}")]
+        states.append((rows, _mean_spacing(xyz[rows])))
+    rows, spacing = min(states, key=lambda s: abs(s[1] - target))
+    if off(spacing) > threshold:
+        factor = 1.0 + (target / spacing - 1) * 0.3 if spacing < target else 1.0
+        laid = rows[_picked(scene, named(rows), xyz[rows], target * factor, seed, "spacing/layout")]
+        after = _mean_spacing(xyz[laid])
+        if off(after) < off(spacing) and len(rows) - len(laid) < 0.2 * len(rows):
+            rows, spacing = laid, after
+    return rows, states[0][1], spacing
+
+
+def _thinned_scenes(points: DataFrame, target: float, threshold: float, rounds: int, seeds: list[int]) -> DataFrame:
+    """(scene_id, pid, n_before, n_after, after, before, error) of the points that stay; a scene is one group, thinned once for each seed while its error
+    is not under the threshold."""
+    schema = points.select(SCENE, "pid", *(F.lit(0).cast("long").alias(c) for c in ("n_before", "n_after")), *(F.lit(0.0).alias(c) for c in ("after", "before", "error"))).schema
+
+    def run(group: pa.Table) -> pa.Table:
+        scene, pids = group[SCENE][0].as_py(), group["pid"].to_pylist()
+        ids, xyz = [str(p).encode() for p in pids], np.stack([group[c].to_numpy() for c in XYZ], axis=1).astype(float)
+        rows, before, after = np.arange(len(xyz)), None, None
+        for seed in seeds:
+            stay, first, after = _thinned(scene, [ids[r] for r in rows], xyz[rows], target, threshold, rounds, seed)
+            rows, before = rows[stay], first if before is None else before
+            if not abs(after - target) / target >= threshold:
+                break
+        n, told = len(rows), (len(xyz), len(rows), after, before, abs(after - target) / target)
+        each = {name: pa.array(np.full(n, v)) for name, v in zip(schema.names[2:], told)}
+        return pa.table({c: group[c].take(pa.array(rows)) for c in (SCENE, "pid")} | each)
+
+    return points.select(SCENE, "pid", *XYZ).groupBy(SCENE).applyInArrow(run, schema)
+
+
+def _normalized(points: DataFrame, target: float, threshold: float, rounds: int, seeds: list[int], whole: int) -> tuple[DataFrame, DataFrame]:
+    """Scenes of at most ``whole`` points are thinned in a group each, so their points are shuffled once however many rounds they take; larger
+    ones, and those with points without coordinates, in rounds of joins. All of it works on ids and coordinates; other columns are joined at the end."""
+    slim = points.select(SCENE, "pid", *XYZ)
+    known = F.coalesce(sum((F.abs(c).cast("double") for c in XYZ), F.lit(0.0)) < F.lit(float("inf")), F.lit(False))
+    large = settled(slim.groupBy(SCENE).agg(F.count("*").alias("_n"), F.bool_and(known).alias("_known")).filter((F.col("_n") > whole) | ~F.col("_known")).select(SCENE))
+    apart = not large.isEmpty()
+    kept = settled(_thinned_scenes(slim.join(large, SCENE, "left_anti") if apart else slim, target, threshold, rounds, seeds))
+    done = kept.select(SCENE, "pid")
+    report = kept.groupBy(SCENE).agg(*(F.first(c).alias(c) for c in kept.columns[2:]))
+    if apart:
+        more, told = _in_rounds(settled(slim.join(large, SCENE, "left_semi")), target, threshold, rounds, seeds)
+        done, report = done.unionByName(more.select(SCENE, "pid")), report.unionByName(told)
+    # a table of ids may look small as a compressed file; it must not go through the driver
+    return points.join(done.hint("merge"), [SCENE, "pid"], "left_semi"), report
+
+
 def adjust_spacing(
-    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42,
+    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42, whole: int = WHOLE,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, report). Scenes that are denser than the target are thinned step by step until their mean spacing is within the threshold.
 
@@ -60,6 +136,18 @@ def adjust_spacing(
     The best state of each scene is kept. Scenes still off by more than the threshold get a layout pass, one point a cell of about
     the target's size, which is taken if it lessens the error and changes the number of points by under 20 %.
     """
+    return _normalized(points, target, threshold, rounds, [seed], whole)
+
+
+def refine_spacing(
+    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42,
+    reruns: int = 5, whole: int = WHOLE,
+) -> tuple[DataFrame, DataFrame]:
+    """``adjust_spacing``, run again up to ``reruns`` times, with other draws, on the scenes whose error is not under the threshold."""
+    return _normalized(points, target, threshold, rounds, [seed + k for k in range(reruns + 1)], whole)
+
+
+def _adjusted(points: DataFrame, target: float, threshold: float, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
     first = settled(spacing_scale(points).select(SCENE, F.col("mean").alias("before")))
     state = settled(points.join(first.withColumn("spacing", F.col("before")), SCENE).drop("before"))
     states = [state]
@@ -87,17 +175,13 @@ def adjust_spacing(
     return done.select(*points.columns), report
 
 
-def refine_spacing(
-    points: DataFrame, target: float, threshold: float = 0.03, rounds: int = 10, seed: int = 42,
-    reruns: int = 5,
-) -> tuple[DataFrame, DataFrame]:
-    """``adjust_spacing``, run again up to ``reruns`` times, with other draws, on the scenes whose error is not under the threshold."""
-    done, report = (settled(df) for df in adjust_spacing(points, target, threshold, rounds, seed))
-    for k in range(1, reruns + 1):
+def _in_rounds(points: DataFrame, target: float, threshold: float, rounds: int, seeds: list[int]) -> tuple[DataFrame, DataFrame]:
+    done, report = (settled(df) for df in _adjusted(points, target, threshold, rounds, seeds[0]))
+    for seed in seeds[1:]:
         off = report.filter(F.col("error") >= threshold)
         if off.isEmpty():
             break
-        again, more = adjust_spacing(settled(done.join(off, SCENE, "left_semi")), target, threshold, rounds, seed + k)
+        again, more = _adjusted(settled(done.join(off, SCENE, "left_semi")), target, threshold, rounds, seed)
         done = settled(done.join(off, SCENE, "left_anti").unionByName(again))
         changed = off.select(SCENE, "n_before", "before").join(more.select(SCENE, "n_after", "after", "error"), SCENE)
         report = settled(report.join(off, SCENE, "left_anti").unionByName(changed))

@@ -65,3 +65,18 @@ def test_probabilities_are_printed_as_c_does(spark):
 def test_added_points_are_merged_not_broadcast(spark):
     made = normalize.gentle_upsample(_cloud(spark, np.random.default_rng(4).uniform(0, 1, (60, 3))), 0.2, 4)
     assert _plan(made).count("strategy=merge") >= 4
+
+
+def test_spacing_is_adjusted_in_one_shuffle_a_scene(spark, monkeypatch):
+    rng, written = np.random.default_rng(5), []
+    kept = normalize.settled
+    monkeypatch.setattr(normalize, "settled", lambda df, *more: written.append(1) or kept(df, *more))
+    df = _cloud(spark, rng.uniform(0, 1, (300, 3))).unionByName(_cloud(spark, rng.uniform(0, 2, (150, 3)), 2)).unionByName(_cloud(spark, [[1, 2, 3]], 3))
+    none = _cloud(spark, [[5, 5, 5]]).withColumns({"scene_id": F.lit(2), "pid": F.lit("none"), "x": F.lit(None).cast("double")})
+    key = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    done, report = normalize.refine_spacing(df, 0.12, rounds=2, reruns=1)
+    assert len(written) <= 2  # no table a round
+    slow = normalize.refine_spacing(df, 0.12, rounds=2, reruns=1, whole=0)
+    assert key(report) == key(slow[1].select(report.columns)) and key(done) == key(slow[0])
+    assert len(key(report)) == 3 and done.count() < df.count()
+    assert normalize.adjust_spacing(df.unionByName(none), 0.12, rounds=1)[1].count() == 3
