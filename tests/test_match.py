@@ -38,3 +38,33 @@ def test_vectors_without_direction(spark):
     found = {r["query"]: r["other"] for r in features.pruned_match(df, df.filter("vec_id IN (1, 4)"), itself=False).collect()}
     assert found == {1: 4, 4: 1}
     assert features.pruned_match(df.filter("1 = 0"), df).count() == 0
+
+
+def test_blocks_of_both_sides_are_bounded(spark, monkeypatch, tmp_path):
+    df, x = _rows(spark)
+    wanted = {r["query"]: r["other"] for r in features.best_match(df, df, itself=False).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, -np.inf)
+    assert len(wanted) == 600 and all(other == np.flatnonzero(cosine[k] >= cosine[k].max() - 1e-12)[0] for k, other in wanted.items())
+    whole, log = features._comparison, str(tmp_path / "sizes")
+
+    def watched(itself):
+        def run(left, right):
+            with open(log, "a") as f:
+                f.write(f"{len(left)} {len(right)}\n")
+            return whole(itself)(left, right)
+
+        return run
+
+    monkeypatch.setattr(features, "_comparison", watched)
+    for found in (features.best_match(df, df, block_rows=60, itself=False), features.pruned_match(df, df, pivots=4, block_rows=60, itself=False)):
+        assert {r["query"]: r["other"] for r in found.collect()} == wanted
+    sizes = np.loadtxt(log, int)
+    assert sizes.max() < 110  # about 60 of each side, of 600
+
+
+def test_best_match_of_vectors_without_direction(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
+    found = {r["query"]: (r["other"], r["similarity"]) for r in features.best_match(df, df, itself=False).collect()}
+    assert found[1][0] == 4 and found[4][0] == 1 and found[2] == (1, None) and found[3] == (1, None)
