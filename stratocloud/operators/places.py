@@ -16,19 +16,25 @@ from stratocloud.functions.keyed import key_hash
 from stratocloud.operators.scenes import SCENE, settled
 
 HASH_DIGITS = 2  # 256 ranges of each scene's random order
+CROWD = 50_000  # rows of a group that are sorted as one range
 RANGES = 64  # of each scene's order by a number
 TINY = 1e-300
 
 
 def ranked(
     rows: DataFrame, order: Sequence[str | Column], place: Column, by: Sequence[str] = (SCENE,), name: str = "_r",
-    most: Column | None = None,
+    most: Column | None = None, crowd: int = CROWD, among: DataFrame | None = None,
 ) -> DataFrame:
-    """``name``: each row's place (from 1) in the order within its group.
+    """``name``: each row's place (from 1) in the order within its group. If no group has over ``crowd`` rows, each is one range, and rows are shuffled once;
+    ``among``, a table that holds as many rows of each group or more, serves to tell it cheaply.
 
     ``place`` must never fall as the order rises; rows that share it are a range. With ``most`` only the rows up to that place
     are wanted; ranges behind it are left out before anything is sorted.
     """
+    if (rows if among is None else among).groupBy(*by).agg(F.count("*").alias("_size")).filter(F.col("_size") > crowd).isEmpty():
+        df = rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+        df = df if most is None else df.filter(F.col(name) <= most)
+        return df.withColumn(name, F.col(name).cast("long"))
     df = rows.withColumn("_range", place)
     sizes = df.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
     up_to = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -41,20 +47,20 @@ def ranked(
     return df if most is None else df.filter(F.col(name) <= most)
 
 
-def ranked_at_random(points: DataFrame, seed: int, name: str, key: str = "pid", late: str | None = None, most: Column | None = None) -> DataFrame:
+def ranked_at_random(points: DataFrame, seed: int, name: str, key: str = "pid", late: str | None = None, most: Column | None = None, among: DataFrame | None = None) -> DataFrame:
     """``_r``: places in the random order of each scene's points that the keyed hash gives; rows with ``late`` (0 or 1) 1 come behind the others."""
     df = points.withColumn("_h", key_hash(seed, name, F.col(SCENE), F.col(key)))
     start = F.substring("_h", 1, HASH_DIGITS)
     first = [late] if late else []
-    found = ranked(df, [*first, "_h", key], F.concat(F.col(late), start) if late else start, most=most)
+    found = ranked(df, [*first, "_h", key], F.concat(F.col(late), start) if late else start, most=most, among=among)
     return found.drop("_h")
 
 
-def ranked_by_distance(points: DataFrame, squared: Column, key: str = "pid", most: Column | None = None) -> DataFrame:
+def ranked_by_distance(points: DataFrame, squared: Column, key: str = "pid", most: Column | None = None, among: DataFrame | None = None) -> DataFrame:
     """``_r``: places in order of a squared distance; each range is as wide as a 64th of a doubling of it."""
     df = points.withColumn("_d", squared)
     place = F.floor(F.log2(F.greatest(F.col("_d"), F.lit(TINY))) * 64)
-    return ranked(df, ["_d", key], place, most=most).drop("_d")
+    return ranked(df, ["_d", key], place, most=most, among=among).drop("_d")
 
 
 def ranked_by_number(points: DataFrame, number: str, key: str = "pid", name: str = "_r", ranges: int = RANGES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash, uniform
-from stratocloud.operators.places import numbered, ranked_at_random, ranked_by_distance
+from stratocloud.operators.places import CROWD, numbered, ranked_at_random, ranked_by_distance
 from stratocloud.operators.scenes import SCENE, beside
 
 
@@ -41,7 +41,12 @@ def scene_center(points: DataFrame, mode: str, seed: int = 42, key: str = "pid")
         return points.groupBy(SCENE).agg(best.alias("c")).select(SCENE, *(F.col(f"c.{c}").alias(f"c{c}") for c in "xyz"))
     if mode != "center":
         raise ValueError(f"unknown crop mode {mode!r}")
-    df = numbered(points.select(SCENE, key, *"xyz"), SCENE, key)
+    df = points.select(SCENE, key, *"xyz")
+    sizes = df.groupBy(SCENE).agg(F.count("*").alias("_n"))
+    if sizes.filter(F.col("_n") > CROWD).isEmpty():  # scenes are sorted one by one
+        df = df.withColumn("_r", F.row_number().over(W.partitionBy(SCENE).orderBy(key))).join(sizes, SCENE)
+        return df.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(SCENE, *(F.col(c).alias(f"c{c}") for c in "xyz"))
+    df = numbered(df, SCENE, key)
     middle = df.groupBy(SCENE).agg((F.min("_place") + F.floor(F.count("*") / 2)).alias("_place"))
     return df.join(middle, [SCENE, "_place"]).select(SCENE, *(F.col(c).alias(f"c{c}") for c in "xyz"))
 
@@ -51,10 +56,11 @@ def sphere_crop(
     key: str = "pid",
 ) -> DataFrame:
     """The points nearest to a centre, at most ``point_max`` (or a share of the scene)."""
-    df = beside(points, F.count("*").alias("_n")).join(scene_center(points, mode, seed, key), SCENE)
+    df = points if sample_rate is None else beside(points, F.count("*").alias("_n"))
+    df = df.join(scene_center(points, mode, seed, key), SCENE)
     most = F.floor(F.col("_n") * F.lit(sample_rate)) if sample_rate is not None else F.lit(point_max)
     apart = squared_distance(*(F.col(f"c{c}") for c in "xyz"))
-    return ranked_by_distance(df, apart, key, most).select(*points.columns)
+    return ranked_by_distance(df, apart, key, most, among=points).select(*points.columns)
 
 
 def nearest_to(points: DataFrame, at: Sequence[float], k: int, key: str = "pid") -> DataFrame:
