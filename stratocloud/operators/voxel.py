@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from stratocloud.functions.keyed import key_hash
 from stratocloud.operators.places import ranked, ranked_at_random
-from stratocloud.operators.scenes import SCENE, beside, settled
+from stratocloud.operators.scenes import SCENE, beside, settled, spread
 from stratocloud.operators.select import keep_random
 
 CELL = ("gx", "gy", "gz")
 XYZ = ("x", "y", "z")
+BLOCK = 8  # cells a side that look at their neighbours together
 
 
 def with_cells(points: DataFrame, size: float, origin: str = "grid") -> DataFrame:
@@ -101,7 +102,7 @@ def spatial_sample(points: DataFrame, size: float, target: int, seed: int = 42,
     df = with_cells(points, size, "min")
     first = df.groupBy(SCENE, *CELL).agg(F.min(key).alias(key)).select(SCENE, key, F.lit(0).alias("_late"))
     df = points.join(first, [SCENE, key], "left").withColumn("_late", F.coalesce("_late", F.lit(1)))
-    return ranked_at_random(df, seed, "spatial", key, late="_late", most=F.lit(target)).select(*points.columns)
+    return ranked_at_random(df, seed, "spatial", key, late="_late", most=F.lit(target), among=points).select(*points.columns)
 
 
 def spacing_sample(points: DataFrame, median: float, target: int, seed: int = 42, key: str = "pid") -> DataFrame:
@@ -112,7 +113,7 @@ def spacing_sample(points: DataFrame, median: float, target: int, seed: int = 42
 
 
 def voxel_centroids(points: DataFrame, size: float) -> DataFrame:
-    cells = with_cells(points, size, "min")
+    cells = spread(with_cells(points.select(SCENE, *XYZ), size, "min"), SCENE, *CELL, n=points.count())
     return cells.groupBy(SCENE, *CELL).agg(*(F.avg(c).alias(c) for c in XYZ), F.count("*").alias("n"))
 
 
@@ -147,13 +148,27 @@ def grid_unpool(fine: DataFrame, pooled: DataFrame, features: Sequence[str], com
 
 
 def neighbour_sum(cells: DataFrame, value: str) -> DataFrame:
-    """The sum of ``value`` over each occupied cell and the 26 around it. Each cell sends its value to 27 places,
-    where they are added up before they are joined to the occupied cells."""
-    steps = F.explode(F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip((a, b, c), "abc"))) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
-    sent = cells.select(SCENE, *CELL, value, steps.alias("s"))
-    sent = sent.select(SCENE, *((F.col(c) + F.col(f"s.{n}")).alias(c) for c, n in zip(CELL, "abc")), value)
-    sums = sent.groupBy(SCENE, *CELL).agg(F.sum(value).alias("around"), F.count("*").alias("n_around"))
-    return cells.join(sums, [SCENE, *CELL])
+    """The sum of ``value`` over each occupied cell and the 26 around it. Cells (a row each) go to the block of ``BLOCK`` cells a side that they are in, and those
+    at its faces to the blocks beside it; a block adds up for itself."""
+    cells = settled(cells)
+    at = lambda c, d: F.floor((F.col(c) + d) / F.lit(BLOCK))
+    place = [F.explode(F.array_distinct(F.array(*(at(c, d) for d in (-1, 0, 1))))).alias(f"_b{c}") for c in CELL]
+    sent, blocks = cells.select(SCENE, *CELL, value), [f"_b{c}" for c in CELL]
+    for p in place:
+        sent = sent.select("*", p)
+    step = lambda c: F.explode(F.filter(F.sequence(F.col(c) - 1, F.col(c) + 1), lambda v: F.floor(v / F.lit(BLOCK)) == F.col(f"_b{c}"))).alias(f"_to{c}")
+    sent = spread(sent, SCENE, *blocks, n=2 * cells.count())
+    for c in CELL:
+        sent = sent.select("*", step(c))
+    own = F.lit(True)
+    for c in CELL:
+        own = own & (F.col(c) == F.col(f"_to{c}"))
+    to = [f"_to{c}" for c in CELL]
+    sums = sent.groupBy(SCENE, *blocks, *to).agg(F.sum(value).alias("around"), F.count("*").alias("n_around"), F.count_if(own).alias("_own"), F.max(F.when(own, F.col(value))).alias(value))
+    sums = sums.filter("_own > 0").select(SCENE, *(F.col(t).alias(c) for c, t in zip(CELL, to)), value, "around", "n_around")
+    if set(cells.columns) == {SCENE, *CELL, value}:
+        return sums.select(*cells.columns, "around", "n_around")
+    return cells.join(sums.drop(value), [SCENE, *CELL])
 
 
 def parse_instances(points: DataFrame, ignored: Sequence[int] = (-1,)) -> tuple[DataFrame, DataFrame]:
