@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratocloud.operators.scenes import SCENE, beside, settled
+from stratocloud.operators.scenes import SCENE, beside, settled, spread
 
 MOST_DEPTH = 16
 RANGE_BITS = 9
@@ -59,42 +62,65 @@ def depth_of(largest: Column) -> Column:
     return F.length(F.bin(largest + 1))
 
 
+def _turned(x: list[np.ndarray], bit: int, k: int) -> None:
+    """One step of Skilling's transform, in place."""
+    low = (1 << bit) - 1
+    on = (x[k] >> bit & 1).astype(bool)
+    t = np.where(on, low, (x[0] ^ x[k]) & low)
+    x[0] ^= t
+    if k:
+        x[k] ^= np.where(on, 0, t)
+
+
+def _numbers(columns: Sequence[pa.Array]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns' values, 0 for nulls, and which rows have a null."""
+    none = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in columns], axis=0)
+    return [np.array(pc.fill_null(c.cast(pa.int64()), 0)) for c in columns], none
+
+
 def with_hilbert(cells: DataFrame, depth: int, columns: Sequence[str] = ("gx", "gy", "gz"), name: str = "code") -> DataFrame:
-    """Adds the Hilbert code by Skilling's transform, a bit plane at a time; each plane is one projection."""
-    df = cells.withColumns({f"_h{k}": F.col(c).cast("long") for k, c in enumerate(columns)})
-    x = [F.col(f"_h{k}") for k in range(3)]
-    for bit in reversed(range(1, depth)):
-        q, low = 1 << bit, (1 << bit) - 1
+    """Adds the Hilbert code by Skilling's transform, a bit plane at a time, worked out on arrays: as columns it is too long an expression to be compiled."""
+
+    def coded(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        x, none = _numbers((a, b, c))
+        for bit in reversed(range(1, depth)):
+            for k in range(3):
+                _turned(x, bit, k)
+        x[1] ^= x[0]
+        x[2] ^= x[1]
+        t = np.zeros_like(x[0])
+        for bit in range(1, depth):
+            t ^= np.where(x[2] >> bit & 1, (1 << bit) - 1, 0)
+        code = np.zeros_like(t)
         for k in range(3):
-            on = x[k].bitwiseAND(F.lit(q)) != 0
-            t = x[0].bitwiseXOR(x[k]).bitwiseAND(F.lit(low))
-            if k == 0:
-                df = df.withColumn("_h0", F.when(on, x[0].bitwiseXOR(F.lit(low))).otherwise(x[0]))
-            else:
-                df = df.withColumns({"_h0": F.when(on, x[0].bitwiseXOR(F.lit(low))).otherwise(x[0].bitwiseXOR(t)), f"_h{k}": F.when(on, x[k]).otherwise(x[k].bitwiseXOR(t))})
-    df = df.withColumn("_h1", x[1].bitwiseXOR(x[0])).withColumn("_h2", x[2].bitwiseXOR(x[1]))
-    t = F.lit(0).cast("long")
-    for bit in range(1, depth):
-        t = t.bitwiseXOR(F.when(x[2].bitwiseAND(F.lit(1 << bit)) != 0, F.lit((1 << bit) - 1)).otherwise(F.lit(0)).cast("long"))
-    df = df.withColumn("_t", t).withColumns({f"_h{k}": x[k].bitwiseXOR(F.col("_t")) for k in range(3)})
-    return df.withColumn(name, morton_code(*x)).drop("_h0", "_h1", "_h2", "_t")
+            v = (x[k] ^ t) & 0x1FFFFF
+            for shift, mask in _SPREAD:
+                v = (v | v << shift) & mask
+            code |= v << (2 - k)
+        return pa.array(code, pa.int64(), mask=none)
+
+    return cells.withColumn(name, F.arrow_udf(coded, "long")(*map(F.col, columns)))
 
 
 def with_hilbert_cell(codes: DataFrame, depth: int, code: str = "code", columns: Sequence[str] = ("gx", "gy", "gz")) -> DataFrame:
     """Adds the cell of a Hilbert code."""
-    df = codes.withColumns({f"_h{k}": v for k, v in enumerate(morton_cell(F.col(code)))})
-    x = [F.col(f"_h{k}") for k in range(3)]
-    df = df.withColumn("_t", F.shiftright(x[2], 1)).withColumns({"_h2": x[2].bitwiseXOR(x[1]), "_h1": x[1].bitwiseXOR(x[0]), "_h0": x[0].bitwiseXOR(F.col("_t"))}).drop("_t")
-    for bit in range(1, depth):
-        q, low = 1 << bit, (1 << bit) - 1
+
+    def cell(c: pa.Array) -> pa.Array:
+        (v,), none = _numbers((c,))
+        x = []
         for k in (2, 1, 0):
-            on = x[k].bitwiseAND(F.lit(q)) != 0
-            t = x[0].bitwiseXOR(x[k]).bitwiseAND(F.lit(low))
-            if k == 0:
-                df = df.withColumn("_h0", F.when(on, x[0].bitwiseXOR(F.lit(low))).otherwise(x[0]))
-            else:
-                df = df.withColumns({"_h0": F.when(on, x[0].bitwiseXOR(F.lit(low))).otherwise(x[0].bitwiseXOR(t)), f"_h{k}": F.when(on, x[k]).otherwise(x[k].bitwiseXOR(t))})
-    return df.withColumnsRenamed({f"_h{k}": c for k, c in enumerate(columns)})
+            g = v >> k & _SPREAD[-1][1]
+            for (shift, _), (_, mask) in zip(reversed(_SPREAD), list(reversed(_SPREAD))[1:] + [(0, 0x1FFFFF)]):
+                g = (g | g >> shift) & mask
+            x.append(g)
+        x = [x[0] ^ x[2] >> 1, x[1] ^ x[0], x[2] ^ x[1]]
+        for bit in range(1, depth):
+            for k in (2, 1, 0):
+                _turned(x, bit, k)
+        return pa.StructArray.from_arrays([pa.array(w, pa.int64(), mask=none) for w in x], ["a", "b", "c"])
+
+    df = codes.withColumn("_h", F.arrow_udf(cell, "a long, b long, c long")(F.col(code)))
+    return df.withColumns({c: F.col(f"_h.{n}") for c, n in zip(columns, "abc")}).drop("_h")
 
 
 def batch_code(batch: Column, code: Column, depth: int) -> Column:
@@ -138,7 +164,9 @@ def serialize(
     """
     df = with_codes(cells, depth, orders)
     codes = {o: "code_" + o.replace("-", "_") for o in orders}
-    if cells.groupBy(SCENE).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd).isEmpty():  # a scene is a range: one shuffle serves all orders
+    most, n = cells.groupBy(SCENE).agg(F.count("*").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) <= crowd:  # a scene is a range: one shuffle serves all orders
+        df = with_codes(spread(cells, SCENE, n=n or 0), depth, orders)
         for order, code in codes.items():
             place = F.row_number().over(W.partitionBy(SCENE).orderBy(code, key)) - 1
             df = df.withColumn(f"place_{order.replace('-', '_')}", place.cast("long"))
@@ -214,7 +242,9 @@ def patches(places: DataFrame, size: int, place: str = "place") -> DataFrame:
 def relative_bins(members: DataFrame, size: int) -> DataFrame:
     """Clamped grid offsets of all pairs within a patch; a patch has at most ``size`` points, so pairs are at most size squared a patch."""
     bound = int((4 * size) ** (1 / 3) * 2)
+    n = members.count()
     a = members.select(SCENE, "patch", "pid", *(F.col(c).alias(f"a{c}") for c in ("gx", "gy", "gz")))
     b = members.select(SCENE, "patch", F.col("pid").alias("other"), "gx", "gy", "gz")
     clamp = lambda c: F.greatest(F.lit(-bound), F.least(F.col(f"a{c}") - F.col(c), F.lit(bound))) + bound
-    return a.join(b, [SCENE, "patch"]).select(SCENE, "patch", "pid", "other", *(clamp(c).alias(f"d{c[1]}") for c in ("gx", "gy", "gz")))
+    a, b = (spread(df, SCENE, "patch", n=n) for df in (a, b))
+    return a.hint("merge").join(b, [SCENE, "patch"]).select(SCENE, "patch", "pid", "other", *(clamp(c).alias(f"d{c[1]}") for c in ("gx", "gy", "gz")))
