@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocloud.functions.keyed import normal, uniform
 from stratocloud.operators.scenes import SCENE, beside
 
 RGB = ("r", "g", "b")
+_ORDERS = list(permutations(range(4)))
 
 
 def _clip(value: Column, low: float = 0.0, high: float = 255.0) -> Column:
@@ -128,37 +134,89 @@ def color_jitter(
             raise ValueError(f"{name} must be an interval of numbers that aren't negative")
     if not -0.5 <= hue_[0] <= hue_[1] <= 0.5:
         raise ValueError("hue must be an interval within -0.5 and 0.5")
-    orders = list(permutations(range(4)))
-    at = F.floor(uniform(seed, "jitter/order", F.col(SCENE)) * len(orders)).cast("int")
-    drawn = {f"_on{k}": uniform(seed, f"jitter/p{k}", F.col(SCENE)) < p for k in range(4)}
-    drawn |= {f"_by{k}": uniform(seed, f"jitter/{k}", F.col(SCENE), low=lo, high=hi) for k, (lo, hi) in enumerate((bright, contrast_, saturate, hue_))}
-    drawn["_order"] = F.get(F.array(*(F.array(*map(F.lit, o)) for o in orders)), at)
-    df = points.join(points.select(SCENE).distinct().withColumns(drawn), SCENE)
-    at = F.array_position("_order", F.lit(1)) - 1
-    for place in range(3):
-        df = _jitter_pass(df, F.when(F.lit(place) < at, F.get("_order", F.lit(place))))
-    df = beside(df, F.avg(gray(*map(F.col, RGB)).cast(points.schema["r"].dataType)).alias("_mean"))
+    at = F.floor(uniform(seed, "jitter/order", F.col(SCENE)) * len(_ORDERS)).cast("int")
+    on = sum((F.when(uniform(seed, f"jitter/p{k}", F.col(SCENE)) < p, 1 << k).otherwise(0) for k in range(4)), F.lit(0))
+    by = {f"_by{k}": uniform(seed, f"jitter/{k}", F.col(SCENE), low=lo, high=hi) for k, (lo, hi) in enumerate((bright, contrast_, saturate, hue_))}
+    drawn = {"_order": at, "_on": on} | by
+    kind = points.schema["r"].dataType
+    kinds = [points.schema[c].dataType for c in RGB]
+    given = [*(F.col(c).cast("double") for c in RGB), *drawn]
+    # a table of points may look small as a compressed file; broadcast, it would leave the rest to one task
+    before = points.hint("merge").join(points.select(SCENE).distinct().withColumns(drawn), SCENE)
+    level = F.arrow_udf(lambda *columns: _jittered(kinds, *columns), "double")(*given)
+    means = before.groupBy(SCENE).agg(F.avg(level.cast(kind)).alias("_mean")).withColumns(drawn)
+    done = F.arrow_udf(lambda *columns: _jittered(kinds, *columns), "r double, g double, b double")(*given, F.col("_mean").cast("double"))
+    df = points.hint("merge").join(means, SCENE).withColumn("_rgb", done)
+    return _set(df, {c: F.col(f"_rgb.{c}") for c in RGB}).select(*points.columns)
+
+
+# The steps of the jitter on arrays: as expressions, seven passes with every step in each are too long to be compiled.
+
+
+def _jittered(kinds: list[T.DataType], *columns: pa.Array) -> pa.Array:
+    """Colours after all four steps or, without the scenes' means, the grays that contrast will find. Columns: r, g, b, order, steps that are on, four ratios, mean."""
+    (r, g, b), order, on, by, mean = columns[:3], columns[3].to_numpy(), columns[4].to_numpy(), [c.to_numpy() for c in columns[5:9]], columns[9:]
+    none = np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in (r, g, b)])
+    rgb = np.stack([c.to_numpy(zero_copy_only=False) for c in (r, g, b)])
+    typed = [_typed(kind) for kind in kinds]
+    steps, reached = np.array(_ORDERS)[order], np.zeros(len(order), bool)
     for place in range(4):
-        df = _jitter_pass(df, F.when(F.lit(place) >= at, F.get("_order", F.lit(place))), F.col("_mean"))
-    return df.select(*points.columns)
-
-
-def _jitter_pass(df: DataFrame, which: Column, mean: Column | None = None) -> DataFrame:
-    """Every scene's adjustment number ``which``: brightness, contrast, saturation or hue; none if it is null."""
-    kept, level = df.columns, gray(*map(F.col, RGB)).cast(df.schema["r"].dataType)
-    df = _to_hsv(df.withColumns({"_which": which, "_gray": level}))
-    turned = F.col("_h") + F.col("_by3")
-    df = df.withColumn("_h", turned - F.floor(turned))
-    hues = _from_hsv(F.col("_h"), F.col("_s"), F.col("_v"))
-    on = [(F.col("_which") == k) & F.col(f"_on{k}") for k in range(4)]
-    toward = {0: F.lit(0.0), 2: F.col("_gray")} | ({} if mean is None else {1: mean})
-    values = {}
-    for c in RGB:
-        value = F.when(on[3], hues[c] * 255.0).otherwise(F.col(c))
-        for k, goal in toward.items():
-            value = F.when(on[k], _blend(F.col(c), goal, F.col(f"_by{k}"))).otherwise(value)
-        values[c] = value
-    return _set(df, values).select(*kept)
+        if not mean:
+            reached |= steps[:, place] == 1
+        for k in range(4):
+            rows = np.flatnonzero((steps[:, place] == k) & (on >> k & 1 == 1) & ~reached)
+            if not len(rows):
+                continue
+            old, ratio, was = rgb[:, rows], by[k][rows], none[:, rows]
+            if k == 3:
+                new = _turned(old, was, ratio)
+                none[:, rows] = was.any(axis=0) & np.isnan(new)
+            else:
+                goal = 0.0 if k == 0 else mean[0].to_numpy(zero_copy_only=False)[rows] if k == 1 else typed[0](_gray(old))
+                new = ratio * old + (1.0 - ratio) * goal
+                new = np.where(np.isnan(new), 255.0, np.clip(new, 0.0, 255.0))  # as ``_clip`` does, of nulls too
+                none[:, rows] = False
+            rgb[:, rows] = np.stack([cut(c) for cut, c in zip(typed, new)])
+    if not mean:
+        return pa.array(_gray(rgb), mask=none.any(axis=0))
+    return pa.StructArray.from_arrays([pa.array(c, mask=m) for c, m in zip(rgb, none)], list(RGB))
+
+
+def _gray(rgb: np.ndarray) -> np.ndarray:
+    return rgb[0] * 0.2989 + rgb[1] * 0.587 + rgb[2] * 0.114
+
+
+def _turned(rgb: np.ndarray, none: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``hue`` of arrays; NaN where a null comes in, but for colours without a hue."""
+    unit = rgb / 255.0
+    r, g, b = unit
+    v = np.fmax.reduce(unit)
+    d = v - np.fmin.reduce(unit)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sixth = np.select([d == 0, v == r, v == g], [0.0, (g - b) / d, 2.0 + (b - r) / d], 4.0 + (r - g) / d)
+        s = np.where(v == 0, 0.0, d / v)
+    h = sixth / 6.0
+    h = h - np.floor(h) + by
+    h = h - np.floor(h)
+    i = np.floor(h * 6.0)
+    f = h * 6.0 - i
+    p, q, t = v * (1.0 - s), v * (1.0 - s * f), v * (1.0 - s * (1.0 - f))
+    at = np.where(np.isnan(i), 0, i).astype(int) % 6
+    out = np.stack([np.choose(at, x) for x in ((v, q, p, p, t, v), (t, v, v, q, p, p), (p, p, t, v, v, q))]) * 255.0
+    out[:, np.isnan(h) | (np.isnan(rgb) & ~none).any(axis=0)] = np.nan
+    return out
+
+
+def _typed(kind: T.DataType) -> Callable[[np.ndarray], np.ndarray]:
+    """What a cast to a column's type leaves of numbers."""
+    if isinstance(kind, T.IntegralType):
+        return np.trunc
+    if isinstance(kind, T.FloatType):
+        return lambda values: values.astype(np.float32).astype(float)
+    if isinstance(kind, T.DecimalType):
+        unit = Decimal(1).scaleb(-kind.scale)
+        return np.vectorize(lambda v: float(Decimal(repr(float(v))).quantize(unit, ROUND_HALF_UP)), otypes=[float])
+    return lambda values: values
 
 
 def hue_saturation_translation(

@@ -1,9 +1,11 @@
 """What is shuffled, written or held grows with the points and no faster."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratocloud.operators import curves, frames, neighbors, normalize, planes, pyramid, scenes, select, splits, views, voxel
+from stratocloud.operators import color, curves, frames, neighbors, normalize, planes, pyramid, scenes, select, splits, views, voxel
 
 
 def _cloud(spark, xyz, scene=1):
@@ -117,3 +119,30 @@ def test_hilbert_codes_are_one_short_column(spark):
     assert len(_plan(coded)) < 3_000  # an expression a bit plane was too long to be compiled
     back = curves.with_hilbert_cell(coded.select("code", *(F.col(c).alias(f"o{c}") for c in ("gx", "gy", "gz"))), 10).collect()
     assert sum(r["code"] is None for r in back) == 1 and all(r["code"] is None or (r["gx"], r["gy"], r["gz"]) == (r["ogx"], r["ogy"], r["ogz"]) for r in back)
+
+
+def test_color_jitter_on_arrays_is_the_single_steps(spark):
+    colors = np.random.default_rng(21).uniform(0, 255, (60, 3)).round(2).tolist()
+    colors += [[None, 10.0, 20.0], [7.0, None, 7.0], [30.0, 40.0, None], [None, None, 9.0], [None] * 3, [0.0] * 3, [255.0] * 3, [80.0] * 3, [float("nan"), 1.0, 2.0]]
+    rows = [(scene, k, *c) for scene in range(2) for k, c in enumerate(colors)] + [(2, 0, None, None, None)]
+    doubles = spark.createDataFrame(rows, "scene_id int, pid int, r double, g double, b double")
+    real = doubles.filter("r IS NULL OR NOT isnan(r)")
+    unit = lambda *keys: int(hashlib.md5(":".join(map(str, (42, *keys))).encode()).hexdigest()[:13], 16) / (1 << 52)
+    spans, single = ((0.6, 1.4), (0.5, 1.5), (0.6, 1.4), (-0.1, 0.1)), (color.brightness, color.contrast, color.saturation, color.hue)
+    key = lambda d: [[r["pid"], *(None if r[c] is None else float(r[c]) for c in "rgb")] for r in d.orderBy("pid").collect()]
+    for kind in ("decimal(6,2)", "int", "double", "float"):
+        df = (doubles if kind in ("double", "float") else real).withColumns({c: F.col(c).cast(kind) for c in "rgb"})
+        moved = color.color_jitter(df, *spans, p=0.8)
+        assert _plan(moved).count("strategy=merge") == 2
+        assert moved.dtypes == df.dtypes
+        found = moved.cache()
+        for scene in range(3):
+            one = df.filter(F.col("scene_id") == scene)
+            for k in color._ORDERS[int(unit("jitter/order", scene) * len(color._ORDERS))]:
+                if unit(f"jitter/p{k}", scene) < 0.8:
+                    low, high = spans[k]
+                    one = single[k](one, low + unit(f"jitter/{k}", scene) * (high - low))
+            got, want = key(found.filter(F.col("scene_id") == scene)), key(one)
+            assert [[v is None for v in r] for r in got] == [[v is None for v in r] for r in want]
+            assert np.allclose(np.array(got, float), np.array(want, float), rtol=0 if kind == "int" else 1e-6, atol=0, equal_nan=True), (kind, scene)
+        found.unpersist()
