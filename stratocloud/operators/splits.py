@@ -33,6 +33,9 @@ MOST_LEAVES = 1 << 16
 BROADCAST_NODES = 1_000_000
 CROWDED = 4  # times LEAF: a leaf beyond that holds many points at one place
 BLOCK = 192
+WHOLE = 1024  # points that are compared without blocks
+STEP = 64
+FEW = 64  # columns whose least values bound the nearest
 SLACK = 1e-9  # of a distance: bounds are compared a little generously, distances exactly
 
 #: What can be told of a point's nearest within its leaf: the sum and number of distances; moments of their places and its own.
@@ -77,8 +80,9 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
     for c in range(3):
         side = a[:, None, c] - b[None, :, c]
-        out += side * side
-    return np.sqrt(out)
+        side *= side
+        out += side
+    return np.sqrt(out, out=out)
 
 
 def _best(d: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +92,16 @@ def _best(d: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
         row, col = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
     else:
         row, col = np.nonzero(np.isfinite(d))
-    dist, place = d[row, col], at[row, col]
+    return _ranked(row, d[row, col], at[row, col], len(d), k)
+
+
+def _ranked(row: np.ndarray, dist: np.ndarray, place: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((place, dist, row))
     row, dist, place = row[order], dist[order], place[order]
-    first = np.searchsorted(row, np.arange(len(d)))
+    first = np.searchsorted(row, np.arange(n))
     rank = np.arange(len(row)) - first[row]
     near = rank < k
-    out_d, out_at = np.full((len(d), k), np.inf), np.full((len(d), k), -1, np.int64)
+    out_d, out_at = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
     out_d[row[near], rank[near]], out_at[row[near], rank[near]] = dist[near], place[near]
     return out_d, out_at
 
@@ -105,6 +112,8 @@ def knn(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, within
     found, at = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, np.int64)
     if not len(points) or not len(queries):
         return found, at
+    if len(points) <= WHOLE and np.isfinite(points).all() and np.isfinite(queries).all():
+        return _within(*_compared(points, queries, own, k), within)
     parts = blocks(points)
     low, high = _boxes(points, parts)
     limit = np.full(len(queries), np.inf) if within is None else within
@@ -126,6 +135,37 @@ def knn(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, within
             both = np.concatenate([d[asks], new], axis=1)
             d[asks], p[asks] = _best(both, np.concatenate([p[asks], np.broadcast_to(part, new.shape)], axis=1), k)
         found[rows], at[rows] = d, p
+    return _within(found, at, within)
+
+
+def _compared(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``knn`` of few points: all are compared, in two buffers, by squares; only those about as near as the k-th are ordered."""
+    n, wide = len(points), len(points) // FEW * FEW
+    at, asks = np.ascontiguousarray(points.T), np.ascontiguousarray(queries.T)
+    buffers = np.empty((2, STEP, n))
+    hits = []
+    for start in range(0, len(queries), STEP):
+        mine = own[start : start + STEP]
+        d, side = buffers[:, : len(mine)]
+        for c in range(3):
+            to = side if c else d
+            np.subtract(asks[c, start : start + STEP, None], at[c], out=to)
+            np.multiply(to, to, out=to)
+            if c:
+                np.add(d, side, out=d)
+        has = np.flatnonzero(mine >= 0)
+        d[has, mine[has]] = np.inf
+        kth = np.full(len(mine), np.inf)
+        if n > k:  # the k-th of some least values is no nearer than the k-th of all
+            few = d[:, :wide].reshape(len(mine), -1, FEW).min(axis=1) if wide > FEW and 4 * k <= FEW else d
+            kth = np.partition(few, k - 1, axis=1)[:, k - 1]
+        hit = np.flatnonzero(d <= np.minimum(kth * (1 + SLACK), np.finfo(float).max)[:, None])
+        hits.append((hit + start * n, np.sqrt(d.ravel()[hit])))
+    row, place = np.divmod(np.concatenate([h for h, _ in hits]), n)
+    return _ranked(row, np.concatenate([d for _, d in hits]), place, len(queries), k)
+
+
+def _within(found: np.ndarray, at: np.ndarray, within: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     if within is not None:
         out = found > within[:, None]
         found[out], at[out] = np.inf, -1
@@ -347,6 +387,7 @@ class Search:
         self.found = base.add("reach", T.DoubleType()).add("open", T.BooleanType())
         self.packed = T.StructType().add(SCENE, scene).add("leaf", T.IntegerType()).add("ids", T.ArrayType(pid)).add("at", T.BinaryType()).add("weight", T.BinaryType())
         self.both = T.StructType([*self.found, *(f for f in self.packed if f.name not in self.found.names)])
+        self.columns = _empty(self.both).schema
 
     def answers(self, queries: pa.Table, ids: pa.Array, points: np.ndarray, weights: np.ndarray, own: np.ndarray) -> pa.Table:
         """``queries`` with what was found. ``reach``, where they have it, bounds the distances."""
@@ -394,7 +435,7 @@ class Search:
         ids, xyz, table = _sorted_by_id(group)
         weights = table["weight"].to_numpy() if "weight" in table.column_names else np.ones(len(ids), np.int64)
         found = self.answers(table, ids, xyz, weights, np.arange(len(ids)))
-        schema = _empty(self.both).schema
+        schema = self.columns
         rows = pa.table({f.name: found[f.name] if f.name in found.column_names else pa.nulls(len(found), f.type) for f in schema}, schema)
         if table["edge"].null_count == len(table):
             return rows

@@ -95,6 +95,23 @@ def test_knn_in_one_leaf():
     assert (near[:, 0] == 0).all() and (near[:, 1][np.isfinite(near[:, 1])] <= 0.1).all()
 
 
+@pytest.mark.parametrize("n", [1, 3, 600, 1024, 1500])
+def test_knn_of_small_scenes_needs_no_blocks(monkeypatch, n):
+    xyz = np.random.default_rng(18).integers(0, 12, (n, 3)) / 4  # many ties
+    want = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    np.fill_diagonal(want, np.inf)
+    order = np.argsort(want, axis=1, kind="stable")
+    if n <= splits.WHOLE:
+        monkeypatch.setattr(splits, "blocks", None)
+    for k in (1, 4, 50):
+        d, at = splits.knn(xyz, xyz, np.arange(n), k)
+        near = min(k, n - 1)
+        assert (at[:, :near] == order[:, :near]).all() and (at[:, near:] == -1).all()
+        assert np.allclose(d[:, :near], np.take_along_axis(want, order[:, :near], 1)) and np.isinf(d[:, near:]).all()
+    d, at = splits.knn(xyz, xyz[:7], np.full(min(n, 7), -1), 2, np.full(min(n, 7), 0.1))
+    assert (d[:, 0] == 0).all() and (d[np.isfinite(d)] <= 0.1).all() and (at[np.isinf(d)] == -1).all()
+
+
 def test_quantiles_of_large_groups(spark):
     rng = np.random.default_rng(15)
     groups = {
