@@ -6,18 +6,21 @@ no data. What a round needs again is written to the shared folder.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocloud.functions.keyed import drawn, drawn_hashes, key_hash, uniform
 from stratocloud.operators.neighbors import nearest, spacing_scale
 from stratocloud.operators.places import ranked, ranked_at_random
-from stratocloud.operators.scenes import SCENE, beside, has, settled
+from stratocloud.operators.scenes import SCENE, beside, has, settled, spread
 from stratocloud.operators.splits import knn
 
 XYZ = ("x", "y", "z")
@@ -296,31 +299,102 @@ def _distorted(points: DataFrame, size: float, magnitude: float, p: float, seed:
     return rows.mapInArrow(run, schema)
 
 
-def _blended(made: DataFrame, points: DataFrame, first: DataFrame) -> DataFrame:
-    """Colours and normals of new points: by ``_t`` between those of the point and of its nearest, whichever neighbour it was moved towards.
+_ATTRIBUTES = (("r", "g", "b"), ("nx", "ny", "nz"))
+
+
+def _pair_schema(points: DataFrame) -> T.StructType:
+    """A point's columns; the neighbour (``other``) towards which a new one is moved and its place; what is mixed from the nearest point; the draw. Copies have ``_i`` and none of these."""
+    kinds = {f.name: f.dataType for f in points.schema}
+    mixed = [c for g in _ATTRIBUTES if has(points, *g) for c in g]
+    more = [("other", kinds["pid"]), *((f"_b{c}", kinds[c]) for c in XYZ), *((f"_f{c}", kinds[c]) for c in mixed), *((c, T.LongType()) for c in ("_j", "_again", "_i"))]
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in points.schema), *(T.StructField(*m) for m in more)])
+
+
+def _made(pairs: DataFrame, points: DataFrame, seed: int) -> DataFrame:
+    """New points. Colours and normals are by ``_t`` between those of the point and of its nearest, whichever neighbour it was moved towards.
     Whole-number colours stay whole numbers, cut off; normals are unit vectors again."""
-    colours, normals = ("r", "g", "b"), ("nx", "ny", "nz")
-    groups = [g for g in (colours, normals) if has(points, *g)]
-    if not groups:
-        return made
-    near = points.select(SCENE, F.col("pid").alias("_first"), *(F.col(c).alias(f"_f{c}") for g in groups for c in g))
-    made = made.join(first.hint("merge"), [SCENE, "pid"]).join(near.hint("merge"), [SCENE, "_first"])
-    mixed = {c: F.col(c) * (1 - F.col("_t")) + F.col(f"_f{c}") * F.col("_t") for g in groups for c in g}
-    if colours in groups:
-        made = made.withColumns({c: mixed[c].cast(points.schema[c].dataType) for c in colours})
-    if normals in groups:
-        made = made.withColumns({f"_m{c}": mixed[c] for c in normals})
+    new = F.col("_i").isNull()
+    pairs = pairs.withColumn("_t", uniform(seed, "up/t", F.col(SCENE), F.col("pid"), F.col("_j"), low=0.3, high=0.7))
+    colours, normals = (g if has(points, *g) else () for g in _ATTRIBUTES)
+    mixed = {c: F.col(c) * (1 - F.col("_t")) + F.col(f"_f{c}") * F.col("_t") for c in (*colours, *normals)}
+    pairs = pairs.withColumns({f"_m{c}": mixed[c] for c in normals})
+    value = {c: F.col(c) + F.col("_t") * (F.col(f"_b{c}") - F.col(c)) for c in XYZ}
+    value |= {c: mixed[c].cast(points.schema[c].dataType) for c in colours}
+    if normals:
         length = F.sqrt(sum((F.col(f"_m{c}") * F.col(f"_m{c}") for c in normals[1:]), F.col("_mnx") * F.col("_mnx"))) + 1e-8
-        made = made.withColumns({c: F.col(f"_m{c}") / length for c in normals})
-    return made
+        value |= {c: F.col(f"_m{c}") / length for c in normals}
+    done = {c: F.when(new, v).otherwise(F.col(c)) for c, v in value.items()}
+    again = F.when(F.col("_again") > 0, F.concat(F.lit("+"), "_again")).otherwise("")
+    done["pid"] = F.when(new, F.concat("pid", F.lit("+"), "other", again)).otherwise(F.concat("pid", F.lit("#"), "_i"))
+    return pairs.select(*(done.get(c, F.col(c)).alias(c) for c in points.columns))
 
 
-def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int = 42) -> DataFrame:
+def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int = 42, whole: int = WHOLE) -> DataFrame:
     """Adds a share of points to each scene, each between a random point and one of its k nearest that isn't too near; ``made`` marks them.
 
     A point whose neighbours are all too near is drawn in vain; there are three draws for each point to add, and copies of random
-    points make up for those still missing.
+    points make up for those still missing. Scenes of at most ``whole`` points find theirs in a group each, so that their points are
+    shuffled once and nothing is written; larger ones by joins.
     """
+    sizes = points.groupBy(SCENE).agg(F.count("*").alias("_size"))
+    n, most = sizes.agg(F.sum("_size"), F.max("_size")).first()
+    if (most or 0) > whole:
+        large = settled(sizes.filter(F.col("_size") > whole).select(SCENE))
+        few, many = (points.join(large, SCENE, how).select(*points.columns) for how in ("left_anti", "left_semi"))
+    else:
+        few, many = points, settled(points.limit(0))
+    pairs = _pairs_of_groups(few, share, k, seed, n or 0).unionByName(_pairs_by_joins(many, share, k, seed))
+    return points.withColumn("made", F.lit(False)).unionByName(_made(pairs, points, seed).withColumn("made", F.lit(True)))
+
+
+def _pairs_of_groups(points: DataFrame, share: float, k: int, seed: int, n: int) -> DataFrame:
+    """``_pair_schema`` of scenes of bounded size."""
+    schema, names = _pair_schema(points), points.columns
+    mixed = [f.name[2:] for f in schema if f.name.startswith("_f")]
+
+    def run(group: pa.Table) -> pa.Table:
+        scene, n = group[SCENE][0].as_py(), len(group)
+        group = group.take(pc.sort_indices(group["pid"]))
+        rows, others, nearest_, draws, copies = [], [], [], [], []
+        need = math.floor(n * share) if scene is not None else 0
+        if need > 0:
+            pids = [str(p) for p in group["pid"].to_numpy()]
+            order = np.argsort(drawn_hashes(seed, "up", scene, [p.encode() for p in pids]), kind="stable")
+            xyz = np.stack([group[c].to_numpy() for c in XYZ], axis=1).astype(float)
+            known = np.flatnonzero(~np.isnan(xyz).any(axis=1))
+            place = np.full(n, -1)
+            place[known] = np.arange(len(known))
+            asks = order[: 3 * need][place[order[: 3 * need]] >= 0]
+            d, at = knn(xyz[known], xyz[asks], place[asks], k)
+            found = at[:, 0] >= 0
+            far = (at >= 0) & (d >= 0.3 * (d[found, 0].mean() if found.any() else 0.0))
+            near = {row: [o for o, is_far in zip(a, f) if is_far] for row, a, f in zip(asks.tolist(), known[at].tolist(), far.tolist())} if len(known) else {}
+            one, places = dict(zip(asks.tolist(), known[at[:, 0]].tolist())) if len(known) else {}, order.tolist()
+            for j in range(3 * need):
+                row = places[j % n]
+                if near.get(row):
+                    start = f"{seed}:up/other:{pids[row]}:"
+                    rows.append(row)
+                    others.append(min(near[row], key=lambda o: hashlib.md5(f"{start}{pids[o]}:{j}".encode()).digest()))
+                    nearest_.append(one[row])
+                    draws.append(j)
+                    if len(rows) == need:
+                        break
+            copies = list(range(1, need - len(rows) + 1))
+            rows += order[np.floor(drawn(seed, "up/copy", scene, [str(i).encode() for i in copies]) * n).astype(int)].tolist() if copies else []
+        none = [None] * len(copies)
+        other, first = (pa.array(x + none, pa.int64()) for x in (others, nearest_))
+        columns = {c: group[c].take(pa.array(rows, pa.int64())) for c in names}
+        columns |= {"other": group["pid"].take(other)} | {f"_b{c}": group[c].take(other) for c in XYZ} | {f"_f{c}": group[c].take(first) for c in mixed}
+        columns |= {"_j": pa.array(draws + none, pa.int64()), "_again": pa.array([j // n for j in draws] + none, pa.int64()), "_i": pa.array([None] * len(draws) + copies, pa.int64())}
+        return pa.table(columns)
+
+    return spread(points, SCENE, n=n).groupBy(SCENE).applyInArrow(run, schema)
+
+
+def _pairs_by_joins(points: DataFrame, share: float, k: int, seed: int) -> DataFrame:
+    """``_pair_schema`` of scenes of any size."""
+    schema = _pair_schema(points)
     rows = settled(ranked_at_random(points.select(SCENE, "pid", *XYZ), seed, "up"))
     scenes = settled(rows.groupBy(SCENE).agg(F.count("*").alias("_n")).withColumn("_need", F.floor(F.col("_n") * share)).filter("_need > 0"))
     pick = rows.join(scenes, SCENE).filter(F.col("_r") <= 3 * F.col("_need")).select(SCENE, "pid", *XYZ)
@@ -336,17 +410,17 @@ def gentle_upsample(points: DataFrame, share: float = 0.2, k: int = 8, seed: int
     chosen = ranked(settled(chosen), ["_j"], F.floor(F.col("_j") / DRAWS), name="_k", most=F.col("_need")).filter(F.col("_k") <= F.col("_need"))
     chosen = settled(chosen.select(SCENE, "pid", "other", "_j", F.floor(F.col("_j") / F.col("_n")).alias("_again")))
     b = points.select(SCENE, F.col("pid").alias("other"), *(F.col(c).alias(f"_b{c}") for c in XYZ))
-    t = uniform(seed, "up/t", F.col(SCENE), F.col("pid"), F.col("_j"), low=0.3, high=0.7)
-    made = points.join(chosen.hint("merge"), [SCENE, "pid"]).join(b.hint("merge"), [SCENE, "other"]).withColumn("_t", t)
-    made = made.withColumns({c: F.col(c) + F.col("_t") * (F.col(f"_b{c}") - F.col(c)) for c in XYZ})
-    made = _blended(made, points, met.filter("rank = 1").select(SCENE, "pid", F.col("other").alias("_first")))
-    made = made.withColumn("pid", F.concat("pid", F.lit("+"), "other", F.when(F.col("_again") > 0, F.concat(F.lit("+"), "_again")).otherwise("")))
+    made = points.join(chosen.hint("merge"), [SCENE, "pid"]).join(b.hint("merge"), [SCENE, "other"])
+    mixed = [f.name[2:] for f in schema if f.name.startswith("_f")]
+    if mixed:
+        first = met.filter("rank = 1").select(SCENE, "pid", F.col("other").alias("_first"))
+        near = points.select(SCENE, F.col("pid").alias("_first"), *(F.col(c).alias(f"_f{c}") for c in mixed))
+        made = made.join(first.hint("merge"), [SCENE, "pid"]).join(near.hint("merge"), [SCENE, "_first"])
     short = scenes.join(
         chosen.groupBy(SCENE).agg(F.count("*").alias("_got")), SCENE, "left",
     ).withColumn("_short", F.col("_need") - F.coalesce("_got", F.lit(0))).filter("_short > 0")
     copies = short.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_short"))).withColumn(
         "_r", (F.floor(uniform(seed, "up/copy", F.col(SCENE), F.col("_i")) * F.col("_n")) + 1).cast("long"),
     )
-    copies = copies.join(rows.select(SCENE, "_r", "pid").hint("merge"), [SCENE, "_r"]).select(SCENE, "pid", "_i").join(points.hint("merge"), [SCENE, "pid"]).withColumn("pid", F.concat("pid", F.lit("#"), "_i"))
-    added = made.select(*points.columns).unionByName(copies.select(*points.columns)).withColumn("made", F.lit(True))
-    return points.withColumn("made", F.lit(False)).unionByName(added)
+    copies = copies.join(rows.select(SCENE, "_r", "pid").hint("merge"), [SCENE, "_r"]).select(SCENE, "pid", "_i").join(points.hint("merge"), [SCENE, "pid"])
+    return made.unionByName(copies, allowMissingColumns=True).select(*(F.col(f.name).cast(f.dataType) for f in schema))

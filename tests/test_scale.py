@@ -146,3 +146,21 @@ def test_color_jitter_on_arrays_is_the_single_steps(spark):
             assert [[v is None for v in r] for r in got] == [[v is None for v in r] for r in want]
             assert np.allclose(np.array(got, float), np.array(want, float), rtol=0 if kind == "int" else 1e-6, atol=0, equal_nan=True), (kind, scene)
         found.unpersist()
+
+
+def test_small_scenes_are_upsampled_in_one_shuffle(spark, monkeypatch):
+    rng, written = np.random.default_rng(22), []
+    clumps = np.repeat(rng.uniform(0, 20, (6, 3)), 10, axis=0) + rng.uniform(0, 1e-4, (60, 3))  # many draws in vain, so there are copies
+    df = _cloud(spark, np.r_[clumps, rng.uniform(0, 20, (20, 3))]).unionByName(_cloud(spark, rng.uniform(0, 1, (150, 3)), 2)).unionByName(_cloud(spark, [[1, 2, 3]] * 2, 3))
+    df = df.unionByName(_cloud(spark, [[5, 5, 5]], 2).withColumns({"pid": F.lit("none"), "x": F.lit(None).cast("double")}))
+    shade = lambda c, k: (F.crc32(F.concat("pid", F.lit(c))) % k)
+    df = df.withColumns({c: shade(c, 256).cast("int") for c in "rgb"} | {c: shade(c, 99) / 50 - 1 for c in ("nx", "ny", "nz")}).withColumn("label", shade("l", 5)).cache()
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    kept = normalize.settled
+    monkeypatch.setattr(normalize, "settled", lambda d, *more: written.append(d.count()) or kept(d, *more))
+    fast = normalize.gentle_upsample(df, 1.5, 3)
+    assert sum(written) == 0  # no table of points
+    slow = normalize.gentle_upsample(df, 1.5, 3, whole=100)  # one scene of three by joins
+    assert sum(written) > 0 and fast.columns == [*df.columns, "made"] and key(fast) == key(slow)
+    assert any("#" in r["pid"] for r in fast.collect()) and any(r["pid"].count("+") == 2 for r in fast.collect())
+    df.unpersist()
