@@ -165,6 +165,22 @@ def _compared(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int)
     return _ranked(row, np.concatenate([d for _, d in hits]), place, len(queries), k)
 
 
+def summarized(summary: str, points: np.ndarray, xyz: np.ndarray, d: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """``SUMMARIES`` of what ``knn`` found."""
+    hit = at >= 0
+    if summary == "sums":
+        return {"sum_d": np.where(hit, d, 0).sum(axis=1), "n": hit.sum(axis=1).astype(float)}
+    out, step = np.zeros((len(SUMMARIES["moments"]), len(xyz))), 16 * BLOCK
+    for k in range(0, len(xyz) if len(points) else 0, step):
+        mask = np.pad(hit[k : k + step], ((0, 0), (0, 1)), constant_values=True)[..., None]  # the point itself is one of them, at 0
+        away = np.pad(points[at[k : k + step]] - xyz[k : k + step, None], ((0, 0), (0, 1), (0, 0)))
+        n = mask.sum(axis=1)
+        away = np.where(mask, away - (np.where(mask, away, 0).sum(axis=1) / n)[:, None], 0)
+        for j, ab in enumerate(SUMMARIES["moments"]):
+            out[j, k : k + step] = (away[..., "xyz".index(ab[0])] * away[..., "xyz".index(ab[1])]).sum(axis=1) / n[:, 0]
+    return dict(zip(SUMMARIES["moments"], out))
+
+
 def _within(found: np.ndarray, at: np.ndarray, within: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     if within is not None:
         out = found > within[:, None]
@@ -398,7 +414,7 @@ class Search:
             d, at = knn(points, xyz, own, self.k, within)
             hit, reach = at >= 0, d[:, -1]
             if self.summary:
-                columns |= self._summaries(points, xyz, d, at)
+                columns |= summarized(self.summary, points, xyz, d, at)
                 if within is None:  # of the others all that is wanted is told
                     hit = hit & self._open(queries, reach)[:, None]
             ends = pa.array(np.concatenate([[0], np.cumsum(hit.sum(axis=1))]).astype(np.int32))
@@ -416,20 +432,6 @@ class Search:
         edge = pc.fill_null(queries["edge"], np.inf).to_numpy() if "edge" in queries.column_names else np.full(len(reach), np.inf)
         return (reach * (1 + SLACK) >= edge) & np.isfinite(edge)
 
-    def _summaries(self, points: np.ndarray, xyz: np.ndarray, d: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        hit = at >= 0
-        if self.summary == "sums":
-            return {"sum_d": np.where(hit, d, 0).sum(axis=1), "n": hit.sum(axis=1).astype(float)}
-        out, step = np.zeros((len(SUMMARIES["moments"]), len(xyz))), 16 * BLOCK
-        for k in range(0, len(xyz) if len(points) else 0, step):
-            mask = np.pad(hit[k : k + step], ((0, 0), (0, 1)), constant_values=True)[..., None]  # the point itself is one of them, at 0
-            away = np.pad(points[at[k : k + step]] - xyz[k : k + step, None], ((0, 0), (0, 1), (0, 0)))
-            n = mask.sum(axis=1)
-            away = np.where(mask, away - (np.where(mask, away, 0).sum(axis=1) / n)[:, None], 0)
-            for j, ab in enumerate(SUMMARIES["moments"]):
-                out[j, k : k + step] = (away[..., "xyz".index(ab[0])] * away[..., "xyz".index(ab[1])]).sum(axis=1) / n[:, 0]
-        return dict(zip(SUMMARIES["moments"], out))
-
     def whole_leaf(self, group: pa.Table) -> pa.Table:
         """A leaf's points ask one another; the packed leaf is the last row, if other leaves may ask."""
         ids, xyz, table = _sorted_by_id(group)

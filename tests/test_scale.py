@@ -164,3 +164,17 @@ def test_small_scenes_are_upsampled_in_one_shuffle(spark, monkeypatch):
     assert sum(written) > 0 and fast.columns == [*df.columns, "made"] and key(fast) == key(slow)
     assert any("#" in r["pid"] for r in fast.collect()) and any(r["pid"].count("+") == 2 for r in fast.collect())
     df.unpersist()
+
+
+def test_normals_of_small_scenes_take_one_shuffle(spark):
+    rng = np.random.default_rng(23)
+    df = _cloud(spark, rng.uniform(0, 1, (120, 3))).unionByName(_cloud(spark, rng.uniform(0, 1, (40, 3)), 2)).unionByName(_cloud(spark, [[1, 2, 3]], 3))
+    df = df.unionByName(_cloud(spark, [[5, 5, 5]], 2).withColumns({"pid": F.lit("none"), "x": F.lit(None).cast("double")})).unionByName(_cloud(spark, [[0, 0, 0]], 4).withColumn("scene_id", F.lit(None).cast("int")))
+    df = df.withColumns({"label": F.crc32("pid"), "nx": F.lit(9.0)})
+    key = lambda d: sorted((tuple(round(v, 9) + 0.0 if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
+    found = neighbors.normals_by_neighbours(df, 8)
+    assert "Join" not in _plan(found)
+    assert found.columns == ["scene_id", "pid", "x", "y", "z", "label", "nx", "ny", "nz"]
+    assert len(key(found)) == 162 and key(found) == key(neighbors.normals_by_neighbours(df, 8, whole=50)) == key(neighbors.normals_by_neighbours(df, 8, whole=0))
+    empty = neighbors.normals_by_neighbours(df.filter("scene_id > 9"), 8)
+    assert empty.count() == 0 and empty.columns == found.columns
